@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtally.functions.values import SPACE, strip
 
-ASCII_ONLY = r"^[\x00-\x7F]*$"
+ASCII_ONLY = r"^[\x00-\x7F]*\z"  # \z, as $ also matches before a last line end
 _NOT_BLANK = f"[^{SPACE[1:-1]}]"
 
 # Characters read as a blank or as a hyphen in keys.
@@ -44,14 +44,14 @@ def fold_unicode(v: Column) -> Column:
 def _tidy(v: Column) -> Column:
     """Delete tabs and line ends inside the key, collapse blanks, write integral numbers plainly."""
     n = F.regexp_replace(F.regexp_replace(v, r"[\t\n\r\f\x0B]", ""), f"{SPACE}+", " ")
-    integral = n.rlike(r"^ ?-?(\d+(\.0*)?|\.0+) ?$") & F.regexp_replace(n, r"[.\- ]", "").rlike(r"^\d{2,}$")
+    integral = n.rlike(r"^ ?-?(\d+(\.0*)?|\.0+) ?\z") & F.regexp_replace(n, r"[.\- ]", "").rlike(r"^\d{2,}\z")
     plain = F.regexp_replace(F.regexp_replace(F.trim(n), r"\.0*$", ""), r"^(-?)0+(?=\d)", "$1")
     plain = F.when(plain.isin("", "-", "-0"), "0").otherwise(plain)
     return F.when(integral, plain).otherwise(n)
 
 
 # Keys that normalisation leaves alone: a number without a leading zero, or a word without blanks.
-_CLEAN = r"^([1-9][0-9]*|[!-~]*[A-Za-z_][!-~]*)$"
+_CLEAN = r"^([1-9][0-9]*|[!-~]*[A-Za-z_][!-~]*)\z"
 
 
 def normalize_ascii_key(v: Column) -> Column:

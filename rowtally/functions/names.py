@@ -99,36 +99,35 @@ def contained_score(normalized: Column) -> Column:
     return F.when(found.isNotNull(), _verdict(score, F.concat(F.lit('Contains "'), found, F.lit('"'))))
 
 
-def _wanted(column: Column, target: str, exact: float, no_case: float, normalized: float, label: str):
+def _wanted(column: Column, n: Column, target: str, tops, label: str):
     t = F.lit(target)
-    return [
-        (column == t, _verdict(exact, f"{label} (exact)")),
-        (F.lower(column) == F.lower(t), _verdict(no_case, f"{label} (case-insensitive)")),
-        (normalize_column_name(column) == normalize_column_name(t), _verdict(normalized, f"{label} (normalized)")),
-    ]
+    tests = [column == t, F.lower(column) == F.lower(t), n == normalize_column_name(t)]
+    hows = ["exact", "case-insensitive", "normalized"]
+    return [(test, _verdict(top, f"{label} ({how})")) for test, top, how in zip(tests, tops, hows)]
 
 
-def column_score(column: Column, user: str | None = None, priority: list[str] | None = None) -> Column:
+def column_score(
+    column: Column, normalized: Column, near: Column, user: str | None = None, priority: list[str] | None = None
+) -> Column:
     """How likely a column name is the product key: ``struct(score, label)``.
 
     A user-given name decides first, then the priority list, exclusions, patterns, edit distance
-    to the target words and last a contained key word.
+    to the target words and last a contained key word. ``normalized`` and ``near`` hold the results of
+    ``normalize_column_name`` and ``similarity_score``; being columns, they are computed once.
     """
     tests = []
     if user:
-        tests += _wanted(column, user, 1.0, 0.98, 0.96, "User specified")
+        tests += _wanted(column, normalized, user, (1.0, 0.98, 0.96), "User specified")
     for i, listed in enumerate(priority or []):
         if listed.strip():
-            scores = [max(top - i * 0.02, floor) for top, floor in ((0.95, 0.8), (0.93, 0.78), (0.91, 0.76))]
-            tests += _wanted(column, listed.strip(), *scores, f"Priority #{i + 1}")
-    n = normalize_column_name(column)
-    near = similarity_score(n)
-    tests.append((is_excluded_name(n), _verdict(0.0, "Excluded")))
-    tests += [(n.rlike(p), _verdict(w, label)) for p, w, label in KEY_PATTERNS]
+            tops = [max(top - i * 0.02, floor) for top, floor in ((0.95, 0.8), (0.93, 0.78), (0.91, 0.76))]
+            tests += _wanted(column, normalized, listed.strip(), tops, f"Priority #{i + 1}")
+    tests.append((is_excluded_name(normalized), _verdict(0.0, "Excluded")))
+    tests += [(normalized.rlike(p), _verdict(w, label)) for p, w, label in KEY_PATTERNS]
     near_label = F.concat(F.lit('Similar to "'), near["word"], F.lit('" (distance)'))
     tests.append((near["score"] >= 0.4, _verdict(near["score"], near_label)))
     chain = reduce(lambda c, t: c.when(*t), tests[1:], F.when(*tests[0]))
-    return chain.otherwise(F.coalesce(contained_score(n), _verdict(0.0, "No match")))
+    return chain.otherwise(F.coalesce(contained_score(normalized), _verdict(0.0, "No match")))
 
 
 def confidence_band(score: Column) -> Column:

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowtally.functions.names import column_score, confidence_band
+from rowtally.functions.names import column_score, confidence_band, normalize_column_name, similarity_score
 
 FILE_SIDE = ["_file", "side"]
 
 
 def score_columns(meta: DataFrame, user: str | None = None, priority: list[str] | None = None) -> DataFrame:
     """Add ``score`` and ``label``."""
-    verdict = column_score(F.col("column"), user, priority)
-    return meta.withColumn("_v", verdict).select(*meta.columns, F.col("_v.score"), F.col("_v.label"))
+    verdict = column_score(F.col("column"), F.col("_n"), F.col("_near"), user, priority)
+    steps = meta.withColumn("_n", normalize_column_name(F.col("column")))
+    steps = steps.withColumn("_near", similarity_score(F.col("_n"))).withColumn("_v", verdict)
+    return steps.select(*meta.columns, F.col("_v.score"), F.col("_v.label"))
 
 
 def rank_candidates(scored: DataFrame, top: int = 5) -> DataFrame:
     """The best candidates of each file and side: score, then shorter name, then position."""
     order = Window.partitionBy(*FILE_SIDE).orderBy(F.desc("score"), F.length("column"), "pos")
-    ranked = scored.filter("score > 0").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    # names without a score rank last, so they can go after ranking; tested earlier, the test would
+    # be pushed into the scan and the score computed twice
+    return ranked.filter((F.col("rank") <= top) & (F.col("score") > 0))
 
 
 def detect_keys(meta: DataFrame, user: str | None = None, priority: list[str] | None = None) -> DataFrame:
