@@ -137,7 +137,22 @@ _RULES = [
 _NOT_A_KEY = r"^(category|parent|group|manufacturer|brand|country|tax|currency|language|warehouse|store|shop|row)_?id$|^index$|^unnamed"
 
 
-def scores(body: str) -> str:
+def _guided(user, priority):
+    """WHEN branches for a user column and a priority list, in front of the general rules."""
+    score, label = "", ""
+    for want, i in ([(user, None)] if user else []) + [(c, i) for i, c in enumerate(priority) if c]:
+        tops = (1.0, 0.98, 0.96) if i is None else [max(t - i * 0.02, f) for t, f in ((0.95, 0.8), (0.93, 0.78), (0.91, 0.76))]
+        head = "User specified" if i is None else f"Priority #{i + 1}"
+        norm = NAME_NORM.replace('"column"', f"'{want}'").replace("{0,3}", "<<0,3>>")
+        tests = [f"\"column\" = '{want}'", f"lower(\"column\") = lower('{want}')", f"n = {norm}"]
+        for test, top, how in zip(tests, tops, ("exact", "case-insensitive", "normalized")):
+            score += f" WHEN {test} THEN CAST({top!r} AS DOUBLE)"
+            label += f" WHEN {test} THEN '{head} ({how})'"
+    return score, label
+
+
+def scores(body: str, user=None, priority=()) -> str:
+    by_user, user_label = _guided(user, priority)
     by = lambda pick: " ".join(f"WHEN regexp_matches(n, '{p}') THEN {pick(w, t)}" for p, w, t in _RULES)
     words = ["ean", "at_sku", "sku", "id"]
     near = lambda w, i: (
@@ -153,9 +168,9 @@ def scores(body: str) -> str:
 near4 AS (SELECT *, {', '.join(f'{near(w, i)} AS d{i}' for i, w in enumerate(words))} FROM named),
 near1 AS (SELECT *, {best} AS near, {found} AS inside FROM near4),
 scored AS (SELECT _file, side, pos, "column",
-  CASE WHEN regexp_matches(n, '{_NOT_A_KEY}') THEN CAST(0 AS DOUBLE) {by(lambda w, t: f'CAST({w} AS DOUBLE)')}
+  CASE {by_user} WHEN regexp_matches(n, '{_NOT_A_KEY}') THEN CAST(0 AS DOUBLE) {by(lambda w, t: f'CAST({w} AS DOUBLE)')}
        WHEN near >= CAST(0.4 AS DOUBLE) THEN near WHEN inside IS NOT NULL THEN {low} ELSE CAST(0 AS DOUBLE) END AS score,
-  CASE WHEN regexp_matches(n, '{_NOT_A_KEY}') THEN 'Excluded' {by(lambda w, t: "'" + t + "'")}
+  CASE {user_label} WHEN regexp_matches(n, '{_NOT_A_KEY}') THEN 'Excluded' {by(lambda w, t: "'" + t + "'")}
        WHEN near >= CAST(0.4 AS DOUBLE) THEN 'Similar to "' || {word} || '" (distance)'
        WHEN inside IS NOT NULL THEN 'Contains "' || inside || '"' ELSE 'No match' END AS label FROM near1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY _file, side ORDER BY score DESC, length("column"), pos) AS rank FROM scored WHERE score > 0),
@@ -172,25 +187,6 @@ _RESOLVED = """, sides AS (SELECT _file, bool_or(side = 1 AND "column" = 'ids')
 pairs AS (SELECT a._file, a.key AS key_1, b.key AS key_2, least(a.score, b.score) AS confidence
   FROM best a JOIN best b ON a._file = b._file AND a.side = 1 AND b.side = 2)"""
 
-GUIDED = [("Ident", None)] + [(c, i) for i, c in enumerate(["", "g:ID", "skuu", "OFFER ID"]) if c]
-
-
-def guided_scores() -> str:
-    """Scores with a user column and a priority list in front of the general rules."""
-    score, label = [], []
-    for want, i in GUIDED:
-        norm = NAME_NORM.replace('"column"', f"'{want}'")
-        tops = (1.0, 0.98, 0.96) if i is None else [max(t - i * 0.02, f) for t, f in ((0.95, 0.8), (0.93, 0.78), (0.91, 0.76))]
-        head = "User specified" if i is None else f"Priority #{i + 1}"
-        tests = [f"\"column\" = '{want}'", f"lower(\"column\") = lower('{want}')", f"{NAME_NORM} = {norm}"]
-        for test, top, how in zip(tests, tops, ("exact", "case-insensitive", "normalized")):
-            score.append(f"WHEN {test} THEN CAST({top!r} AS DOUBLE)")
-            label.append(f"WHEN {test} THEN '{head} ({how})'")
-    body = f"""SELECT _file, side, pos, "column", CASE {' '.join(score)} ELSE score END AS score,
- CASE {' '.join(label)} ELSE label END AS label FROM scored"""
-    return scores(body.replace("{0,3}", "<<0,3>>"))
-
-
 ORACLE = {
     "key_normalize": duck(f"SELECT okey, line, pkey, raw, {key('raw')} AS sku FROM ({feeds.RAW_KEYS})"),
     "value_equality": duck(f"SELECT *, code < 2 AS equal FROM (SELECT okey, line, pkey, v1, v2, {code('v1', 'v2')} AS code FROM ({feeds.VALUE_PAIRS}))"),
@@ -236,7 +232,7 @@ ORACLE = {
     "column_names": scores(f"""SELECT _file, side, pos, "column", n AS normalized, regexp_matches(n, '{_NOT_A_KEY}') AS excluded,
  regexp_replace("column", '^[^:]<<0,3>>:(.*:)?', '') AS tag FROM named"""),
     "column_scores": scores("SELECT * FROM scored"),
-    "column_scores_guided": guided_scores(),
+    "column_scores_guided": scores("SELECT * FROM scored", "Ident", ["", "g:ID", "skuu", "OFFER ID"]),
     "top_candidates": scores("SELECT * FROM ranked WHERE rank <= 5"),
     "detected_keys": scores("SELECT * FROM best"),
     "paired_keys": scores(f"""SELECT a._file, a.key AS key_1, a.score AS score_1, b.key AS key_2, b.score AS score_2,
@@ -247,7 +243,7 @@ ORACLE = {
  CASE WHEN given THEN 'detected' WHEN confidence IS NULL THEN NULL ELSE {band('confidence')} END AS confidence_band,
  CASE WHEN given OR key_1 IS NOT NULL THEN 'success' ELSE 'skipped' END AS status,
  CASE WHEN given OR key_1 IS NOT NULL THEN NULL ELSE 'no key column detected' END AS reason
- FROM sides s LEFT JOIN pairs p ON s._file = p._file"""),
+ FROM sides s LEFT JOIN pairs p ON s._file = p._file""", user="ids"),
     "resolved_keys_manual": scores(f"""{_RESOLVED} SELECT _file, CASE WHEN given THEN 'ids' END AS key_1, CASE WHEN given THEN 'ids' END AS key_2,
  CASE WHEN given THEN CAST(1 AS DOUBLE) END AS confidence, CASE WHEN given THEN 'detected' END AS confidence_band,
  CASE WHEN given THEN 'success' ELSE 'skipped' END AS status, CASE WHEN NOT given THEN 'key column not found' END AS reason FROM sides"""),
