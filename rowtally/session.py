@@ -22,7 +22,6 @@ _CARRIED = (
     "spark.sql.adaptive.coalescePartitions.enabled",
     "spark.sql.files.maxPartitionBytes",
     "spark.sql.execution.arrow.maxRecordsPerBatch",
-    "spark.checkpoint.dir",
 )
 
 
