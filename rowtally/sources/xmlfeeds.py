@@ -73,33 +73,28 @@ def flattened(schema: T.StructType) -> dict[str, Column]:
     return {c: v if c.startswith("@") else strip(v) for c, v in out.items()}
 
 
-def _records(rows: DataFrame, schema: T.StructType, keep) -> DataFrame:
-    flat = flattened(schema)
-    return rows.select(*keep, *[flat[c].alias(c) for c in flat])
-
-
 def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schema: T.StructType, multi_part=False):
-    """Records and rejects. Records that do not parse are cleaned of illegal characters and parsed again.
+    """Records and rejects. A record that does not parse is cleaned of illegal characters and parsed again.
 
-    Returns ``(_file, _ord, <text columns>)`` and ``(_file, record)`` of those that still do not parse.
+    Returns ``(_file, _ord, <text columns>)`` and ``(_file, record, parsed)`` of those that still do not parse.
     """
     body = T.StructType([f for f in schema.fields if f.name != BAD])
+    full = T.StructType([*body.fields, T.StructField(BAD, T.StringType())])
+    flat = flattened(body)
     path = scanned_path()
-    place = [feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord")]
-    rows = _reader(spark, tag).schema(T.StructType([*body.fields, T.StructField(BAD, T.StringType())])).load(paths)
+    rows = _reader(spark, tag).schema(full).load(paths).select(
+        feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord"), *[name(f) for f in full.names]
+    )
     if BAD not in schema.names:
-        return _records(rows, body, place), None
-    placed = rows.select(*place, *[name(f.name) for f in body.fields], BAD)
-    good = _records(placed.filter(F.col(BAD).isNull()), body, ["_file", "_ord"])
-    options = {"rowTag": tag, "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": _TEXT, "mode": "PERMISSIVE",
-               "columnNameOfCorruptRecord": BAD}
-    with_bad = T.StructType([*body.fields, T.StructField(BAD, T.StringType())])
-    cleaned = F.regexp_replace(BAD, ILLEGAL, "")
-    again = placed.filter(F.col(BAD).isNotNull()).select("_file", "_ord", F.from_xml(cleaned, with_bad, options).alias("r"))
-    again = again.select("_file", "_ord", "r.*")
-    mended = _records(again.filter(F.col(BAD).isNull()), body, ["_file", "_ord"])
-    rejected = again.filter(F.col(BAD).isNotNull()).select("_file", F.col(BAD).alias("record"))
-    return good.unionByName(mended), rejected
+        return rows.select("_file", "_ord", *[flat[c].alias(c) for c in flat]), None
+    options = {"rowTag": tag, "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": _TEXT, "columnNameOfCorruptRecord": BAD}
+    bad = F.col(BAD)
+    again = F.from_xml(F.regexp_replace(bad, ILLEGAL, ""), full, options)
+    as_read = F.struct(*[name(f) for f in full.names])
+    tried = rows.select("_file", "_ord", F.when(bad.isNull(), as_read).otherwise(again).alias("_r")).select("_file", "_ord", "_r.*")
+    good = tried.filter(bad.isNull()).select("_file", "_ord", *[flat[c].alias(c) for c in flat])
+    parsed = F.to_json(F.struct(*[name(f) for f in body.names])).alias("parsed")
+    return good, tried.filter(bad.isNotNull()).select("_file", bad.alias("record"), parsed)
 
 
 def infer(spark: SparkSession, paths: list[str], tag: str) -> T.StructType:
