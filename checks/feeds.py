@@ -167,3 +167,33 @@ def spark_sql(spark, sf_dir: str, sql: str):
 def duck(sql: str) -> str:
     """The same SQL for DuckDB, where the placeholders are views."""
     return sql.replace("{", "").replace("}", "")
+
+# The same pairs as files; the largest is XML.
+FILES_A = MANY_A.replace("customer.csv", "customer.xml")
+FILES_B = MANY_B.replace("customer.csv", "customer.xml")
+FILE_DELIMITERS = {"supplier.csv": ";", "part.csv": "|", "region.csv": "\t"}
+
+# First lines of files, one file per part, cut by a delimiter the part number tells.
+HEAD_LINES = """
+SELECT 'f' || CAST(p_partkey AS STRING) AS path, pos,
+       'sku' || d || CASE WHEN pos = 0 THEN 'title' ELSE '"a,b;c|d"' END || d || p_name || CASE WHEN pos = 2 AND p_partkey % 9 = 0 THEN d || 'more' ELSE '' END AS line
+FROM (SELECT p_partkey, p_name, pos, CASE p_partkey % 8 WHEN 0 THEN '|' WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN ','
+             WHEN 4 THEN '~' WHEN 5 THEN '^' WHEN 6 THEN chr(1) ELSE '' END AS d
+      FROM {part} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) lines)
+"""
+
+LISTING_A = "SELECT DISTINCT c_name || '.csv' AS _file FROM {customer} WHERE c_custkey % 13 <> 0"
+LISTING_B = "SELECT DISTINCT c_name || '.csv' AS _file FROM {customer} WHERE c_custkey % 11 <> 0"
+
+# Channel lists of two sites; names repeat and differ by case.
+CHANNELS_A = """SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END || ' ' || p_brand AS name,
+ CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'http://a/' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.xml?x=1.zip' ELSE '/feed?y' END END AS link
+ FROM {part}"""
+CHANNELS_B = """SELECT p_partkey AS pos, p_name || ' ' || lower(p_brand) AS name, 'https://b/v1.2/' || CAST(p_partkey AS STRING) || '.ZIP' AS link
+ FROM {part} WHERE p_size % 3 <> 0"""
+
+SITE_NAMES = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'shop.DE live' WHEN 1 THEN 'Shop FR ' || c_name WHEN 2 THEN c_name
+ WHEN 3 THEN 'x' ELSE 'a.DEU ' || 'AT' || '-' || c_mktsegment END AS site FROM {customer}"""
+
+SITES = """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name END AS title,
+ CASE WHEN s_suppkey % 5 <> 0 THEN 'n' || CAST(s_suppkey AS STRING) END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'active' END AS status FROM {supplier}"""

@@ -248,3 +248,64 @@ ORACLE = {
  CASE WHEN given THEN CAST(1 AS DOUBLE) END AS confidence, CASE WHEN given THEN 'detected' END AS confidence_band,
  CASE WHEN given THEN 'success' ELSE 'skipped' END AS status, CASE WHEN NOT given THEN 'key column not found' END AS reason FROM sides"""),
 }
+
+
+def files(body: str) -> str:
+    return pair(feeds.FILES_A, feeds.FILES_B, feeds.MANY_COLUMNS, body)
+
+
+_EXT = r"""regexp_extract(string_split({l}, '?')[1], '[^/](\.[^./]+)$', 1)"""
+
+
+def _file_name(channel: str, link: str) -> str:
+    ext = _EXT.replace("{l}", link)
+    return f"CASE WHEN {link} <> '' THEN {channel} || CASE WHEN {ext} = '' THEN '.csv' ELSE {ext} END END"
+
+
+_MATCHED = f"""WITH a AS (SELECT lower(name) AS l, arg_max(name, pos) AS name, arg_max(link, pos) AS link FROM ({feeds.CHANNELS_A}) GROUP BY 1),
+b AS (SELECT lower(name) AS l, arg_max(link, pos) AS link FROM ({feeds.CHANNELS_B}) GROUP BY 1),
+m AS (SELECT a.l AS match_name, a.name AS channel, a.link AS link_1, b.link AS link_2 FROM a JOIN b ON a.l = b.l)"""
+
+_SITES = f"""WITH s AS ({feeds.SITES}), listed AS (
+ SELECT k AS response, 0 AS pos, k AS id, title, name, status FROM s WHERE k % 7 <> 0
+ UNION ALL SELECT k, 1, k, 'again', 'again', 'active' FROM s WHERE k % 7 <> 0
+ UNION ALL SELECT k, 2, k + 1, NULL, NULL, 'inactive' FROM s WHERE k % 7 <> 0)"""
+
+
+def _sites(where: str) -> str:
+    return duck(f"""{_SITES} SELECT CAST(response AS VARCHAR) AS response, CAST(id AS VARCHAR) AS id,
+ coalesce(nullif(title, ''), name, 'Site_' || id) AS name, coalesce(status, 'unknown') AS status FROM listed WHERE {where}
+ QUALIFY row_number() OVER (PARTITION BY response, id ORDER BY pos) = 1""")
+
+
+_PACKED_CELLS = """SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.xml' END AS _file,
+ CAST(0 AS BIGINT) AS _ord, CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""
+
+ORACLE |= {
+    "csv_scan": duck(f"""SELECT nullif(sku, '') AS sku, nullif(title, '') AS title, nullif(brand, '') AS brand, nullif(kind, '') AS kind,
+ nullif(size, '') AS size, nullif(retail, '') AS retail FROM ({feeds.PART_A})"""),
+    "folder_column_stats": files(STATS),
+    "folder_diff_cells": files("""SELECT _file, sku, "column", coalesce(value_1, '') AS value_1, coalesce(value_2, '') AS value_2
+ FROM coded WHERE code >= 2"""),
+    "folder_pair_summary": files("SELECT * FROM summary"),
+    "folder_missing_keys": files(MISSING),
+    "csv_delimiters": duck("""SELECT 'f' || p_partkey AS path, CASE p_partkey % 8 WHEN 0 THEN '|' WHEN 1 THEN ';' WHEN 2 THEN chr(9)
+ WHEN 3 THEN ',' WHEN 4 THEN '~' WHEN 5 THEN '^' WHEN 6 THEN chr(1) ELSE ',' END AS delimiter FROM {part}"""),
+    "packed_scan": duck(_PACKED_CELLS),
+    "file_pairing": duck(f"""SELECT coalesce(a._file, b._file) AS _file, CASE WHEN a._file IS NULL OR b._file IS NULL THEN 'unpaired' ELSE 'paired' END AS status,
+ CASE WHEN a._file IS NULL THEN 'only in comparison' WHEN b._file IS NULL THEN 'only in baseline' END AS reason
+ FROM ({feeds.LISTING_A}) a FULL JOIN ({feeds.LISTING_B}) b ON a._file = b._file"""),
+    "projects": duck("""SELECT CAST(n_nationkey AS VARCHAR) AS response, CAST(n_nationkey * 10 + i AS VARCHAR) AS id, n_name || i AS name
+ FROM {nation} CROSS JOIN (VALUES (0), (1)) t(i) WHERE n_nationkey % 6 <> 0"""),
+    "site_dedupe": _sites("true"),
+    "site_dedupe_active": _sites("status = 'active'"),
+    "channel_links": duck("""SELECT CAST(p_partkey AS VARCHAR) AS response, 0 AS pos, p_name AS name,
+ CASE p_partkey % 6 WHEN 0 THEN 'http://h/' || p_partkey WHEN 2 THEN 'http://s/' || p_brand ELSE '' END AS link FROM {part}"""),
+    "channel_match": duck(f"{_MATCHED} SELECT * FROM m"),
+    "channel_select": duck(f"{_MATCHED} SELECT * FROM m WHERE channel IN (SELECT p_name || ' ' || p_brand FROM part WHERE p_partkey % 4 = 0)"),
+    "channel_files": duck(f"""{_MATCHED}, n AS (SELECT channel, {_file_name('channel', 'link_1')} AS file_1, {_file_name('channel', 'link_2')} AS file_2 FROM m)
+ SELECT * FROM n WHERE file_1 IS NOT NULL AND file_2 IS NOT NULL"""),
+    "feed_file_name": f"SELECT page_id, {_file_name('CAST(page_id AS VARCHAR)', 'url')} AS file FROM pages",
+    "country_code": duck(rf"""SELECT id, site, coalesce(nullif(regexp_extract(site, '\.([A-Z]<<2>>)\b', 1), ''),
+ nullif(regexp_extract(site, '\b([A-Z]<<2>>)\b', 1), ''), upper(substr(site, 1, 2))) AS country FROM ({feeds.SITE_NAMES})""").replace("<<2>>", "{2}"),
+}

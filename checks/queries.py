@@ -9,9 +9,14 @@ from checks.feeds import spark_sql
 from rowtally.functions import names as nm
 from rowtally.functions.keys import with_key
 from rowtally.functions.values import cell_code, values_equal
-from rowtally.operators import compare, detect, ledger, rollup, runlog
+from rowtally.operators import catalog, compare, detect, ledger, rollup, runlog
 from rowtally.operators.align import first_per_key
+from rowtally.plans.folders import compare_folders
 from rowtally.plans.reconcile import reconcile
+from rowtally.session import scratch_folder
+from rowtally.sinks.report import diff_table
+from rowtally.sources import csvfeeds, listing, packed
+from rowtally.sources.scan import scan
 
 
 def _pair(a, b, **options):
@@ -93,8 +98,6 @@ def preview_overall(spark, sf_dir):
 
 
 def diff_export(spark, sf_dir):
-    from rowtally.sinks.report import diff_table
-
     return diff_table(many_pairs(spark, sf_dir).diff_cells, merged=True)
 
 
@@ -147,6 +150,132 @@ def resolved_keys_manual(spark, sf_dir):
     return detect.resolve_keys(_headers(spark, sf_dir), user="ids", auto_detect=False)
 
 
+def _write_folder(spark, sf_dir, feed_sql, folder):
+    """Write the rows of each file in order, as Spark text files named like a feed."""
+    rows = spark_sql(spark, sf_dir, feed_sql)
+    for file, sep in feeds.FILE_DELIMITERS.items():
+        part = rows.filter(F.col("_file") == file).orderBy("ord").drop("_file", "ord")
+        part.write.option("header", True).option("sep", sep).option("escape", '"').csv(f"{folder}/{file}")
+    records = rows.filter("_file = 'customer.xml'").orderBy("ord").drop("_file", "ord")
+    records.write.format("xml").option("rowTag", "item").save(f"{folder}/customer.xml")
+
+
+def folders(spark, sf_dir):
+    base = scratch_folder(spark, "feeds")
+    for side, sql in (("base", feeds.FILES_A), ("new", feeds.FILES_B)):
+        _write_folder(spark, sf_dir, sql, f"{base}/{side}")
+    return compare_folders(spark, f"{base}/base", f"{base}/new", key="sku")
+
+
+def folder_diff_cells(spark, sf_dir):
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return folders(spark, sf_dir).diff_cells.select("_file", "sku", "column", text("value_1"), text("value_2"))
+
+
+def csv_scan(spark, sf_dir):
+    folder = scratch_folder(spark, "scan")
+    rows = spark_sql(spark, sf_dir, feeds.PART_A).orderBy("ord").drop("_file", "ord")
+    rows.write.option("header", True).option("sep", "~").option("escape", '"').csv(f"{folder}/part.csv")
+    (df,) = scan(spark, folder)
+    return df.drop("_file", "_ord")
+
+
+def csv_delimiters(spark, sf_dir):
+    lines = spark_sql(spark, sf_dir, feeds.HEAD_LINES)
+    return csvfeeds.delimiters(lines.withColumn("line", F.col("line").cast("binary")))
+
+
+def _packed(kind, sku, title, brand):
+    """One small archive, workbook or XML document holding one record."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    if kind == 2:
+        return f"<shop><thing><sku>{sku}</sku><title>{escape(title)}</title><brand>{escape(brand)}</brand></thing></shop>".encode()
+    cell = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    row = lambda *cells: "<row>" + "".join(map(cell, cells)) + "</row>"
+    sheet = f"<worksheet><sheetData>{row('sku', 'title', 'brand')}{row(str(sku), title, brand)}</sheetData></worksheet>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        if kind == 1:
+            z.writestr("xl/worksheets/sheet1.xml", sheet)
+        else:
+            z.writestr("notes.txt", "-")
+            z.writestr("feed.csv", f"sku;title;brand\n{sku};{title};{brand}\n")
+    return buffer.getvalue()
+
+
+def packed_scan(spark, sf_dir):
+    """Every part packed into a file of its own, then unpacked."""
+
+    def pack(batches):
+        for b in batches:
+            b["content"] = [_packed(k % 3, k, t, r) for k, t, r in zip(b["p_partkey"], b["p_name"], b["p_brand"])]
+            yield b[["_file", "content"]]
+
+    ext = F.element_at(F.array(F.lit(".zip"), F.lit(".xlsx"), F.lit(".xml")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    files = parts.select(F.concat(F.lit("p"), "p_partkey", ext).alias("_file"), "p_partkey", "p_name", "p_brand")
+    return packed.as_columns(packed.unpack(files.mapInPandas(pack, "_file string, content binary")), ["sku", "title", "brand"])
+
+
+def file_pairing(spark, sf_dir):
+    return listing.pair_feeds(spark_sql(spark, sf_dir, feeds.LISTING_A), spark_sql(spark, sf_dir, feeds.LISTING_B))
+
+
+def projects(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    entry = lambda i: F.struct((F.col("n_nationkey") * 10 + i).alias("id"), F.concat("n_name", F.lit(str(i))).alias("name"))
+    body = F.to_json(F.struct((F.col("n_nationkey") % 6 != 0).alias("success"), F.array(entry(0), entry(1)).alias("Projects")))
+    return catalog.projects(n.select(F.col("n_nationkey").cast("string").alias("response"), body.alias("body")))
+
+
+def _site_responses(spark, sf_dir):
+    text = lambda v: F.lit(v).cast("string")
+    site = lambda i, t, n, s: F.struct(i.alias("id"), t.alias("title"), n.alias("name"), s.alias("status"))
+    listed = F.array(
+        site(F.col("k"), F.col("title"), F.col("name"), F.col("status")),
+        site(F.col("k"), text("again"), text("again"), text("active")),
+        site(F.col("k") + 1, text(None), text(None), text("inactive")),
+    )
+    body = F.to_json(F.struct((F.col("k") % 7 != 0).alias("success"), listed.alias("Sites")))
+    return spark_sql(spark, sf_dir, feeds.SITES).select(F.col("k").cast("string").alias("response"), body.alias("body"))
+
+
+def channel_links(spark, sf_dir):
+    """Every shape of the destinations: list, empty list, text, other key, no object, absent."""
+    shapes = F.expr("""CASE p_partkey % 6 WHEN 0 THEN concat(',"feed_destinations":{"2":["http://h/', p_partkey, '","http://x"]}')
+        WHEN 1 THEN ',"feed_destinations":{"2":[]}' WHEN 2 THEN concat(',"feed_destinations":{"2":"http://s/', p_brand, '"}')
+        WHEN 3 THEN ',"feed_destinations":{"1":"http://n"}' WHEN 4 THEN ',"feed_destinations":[1]' ELSE '' END""")
+    item = F.concat(F.lit('{"name":"'), "p_name", F.lit('"'), shapes, F.lit("}"))
+    body = F.concat(F.lit('{"success":true,"Channels":['), item, F.lit("]}"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return catalog.channels(parts.select(F.col("p_partkey").cast("string").alias("response"), body.alias("body")))
+
+
+def channel_match(spark, sf_dir):
+    return catalog.match_channels(spark_sql(spark, sf_dir, feeds.CHANNELS_A), spark_sql(spark, sf_dir, feeds.CHANNELS_B))
+
+
+def channel_select(spark, sf_dir):
+    chosen = spark_sql(spark, sf_dir, "SELECT p_name || ' ' || p_brand AS channel FROM {part} WHERE p_partkey % 4 = 0")
+    return catalog.select_channels(channel_match(spark, sf_dir), chosen)
+
+
+def channel_files(spark, sf_dir):
+    return catalog.channel_files(channel_match(spark, sf_dir))
+
+
+def feed_file_name(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", catalog.feed_file_name(F.col("page_id").cast("string"), F.col("url")).alias("file"))
+
+
+def country_code(spark, sf_dir):
+    return spark_sql(spark, sf_dir, feeds.SITE_NAMES).select("id", "site", nm.country_code(F.col("site")).alias("country"))
+
+
 QUERIES = {
     "key_normalize": key_normalize,
     "value_equality": value_equality,
@@ -187,4 +316,21 @@ QUERIES = {
     "paired_keys": paired_keys,
     "resolved_keys": resolved_keys,
     "resolved_keys_manual": resolved_keys_manual,
+    "csv_scan": csv_scan,
+    "csv_delimiters": csv_delimiters,
+    "packed_scan": packed_scan,
+    "file_pairing": file_pairing,
+    "folder_column_stats": frame(folders, "column_stats"),
+    "folder_diff_cells": folder_diff_cells,
+    "folder_pair_summary": frame(folders, "pair_summary"),
+    "folder_missing_keys": frame(folders, "missing_keys"),
+    "projects": projects,
+    "site_dedupe": lambda spark, sf_dir: catalog.sites(_site_responses(spark, sf_dir)),
+    "site_dedupe_active": lambda spark, sf_dir: catalog.sites(_site_responses(spark, sf_dir), only_active=True),
+    "channel_links": channel_links,
+    "channel_match": channel_match,
+    "channel_select": channel_select,
+    "channel_files": channel_files,
+    "feed_file_name": feed_file_name,
+    "country_code": country_code,
 }
