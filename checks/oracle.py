@@ -279,7 +279,7 @@ def _sites(where: str) -> str:
 
 
 _PACKED_CELLS = """SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.xml' END AS _file,
- CAST(0 AS BIGINT) AS _ord, CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""
+ CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""
 
 ORACLE |= {
     "csv_scan": duck(f"""SELECT nullif(sku, '') AS sku, nullif(title, '') AS title, nullif(brand, '') AS brand, nullif(kind, '') AS kind,

@@ -217,7 +217,8 @@ def packed_scan(spark, sf_dir):
     ext = F.element_at(F.array(F.lit(".zip"), F.lit(".xlsx"), F.lit(".xml")), (F.col("p_partkey") % 3 + 1).cast("int"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     files = parts.select(F.concat(F.lit("p"), "p_partkey", ext).alias("_file"), "p_partkey", "p_name", "p_brand")
-    return packed.as_columns(packed.unpack(files.mapInPandas(pack, "_file string, content binary")), ["sku", "title", "brand"])
+    files = files.repartition(spark.sparkContext.defaultParallelism)  # one small table file would be one task
+    return packed.as_columns(packed.unpack(files.mapInPandas(pack, "_file string, content binary")), ["sku", "title", "brand"]).drop("_ord")
 
 
 def file_pairing(spark, sf_dir):

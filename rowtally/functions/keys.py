@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtally.functions.values import SPACE, strip
 
-ASCII_ONLY = r"^[\x00-\x7F]*\z"  # \z, as $ also matches before a last line end
-_NOT_BLANK = f"[^{SPACE[1:-1]}]"
-
 # Characters read as a blank or as a hyphen in keys.
 BLANKS = "\u00a0\u2007\u202f"
 DASHES = "\u2013\u2014\u2015"
@@ -41,30 +38,35 @@ def fold_unicode(v: Column) -> Column:
     return F.pandas_udf(_fold_series, "string")(v)
 
 
-def _tidy(v: Column) -> Column:
-    """Delete tabs and line ends inside the key, collapse blanks, write integral numbers plainly."""
-    n = F.regexp_replace(F.regexp_replace(v, r"[\t\n\r\f\x0B]", ""), f"{SPACE}+", " ")
-    integral = n.rlike(r"^ ?-?(\d+(\.0*)?|\.0+) ?\z") & F.regexp_replace(n, r"[.\- ]", "").rlike(r"^\d{2,}\z")
-    plain = F.regexp_replace(F.regexp_replace(F.trim(n), r"\.0*$", ""), r"^(-?)0+(?=\d)", "$1")
-    plain = F.when(plain.isin("", "-", "-0"), "0").otherwise(plain)
-    return F.when(integral, plain).otherwise(n)
+def is_ascii(v: Column) -> Column:
+    return F.length(v) == F.octet_length(v)
+
 
+# Line ends and tabs inside a key are deleted, information separators read as blanks.
+_INNER = "\x1c\x1d\x1e\x1f" + "\t\n\r\f\v"
 
-# Keys that normalisation leaves alone: a number without a leading zero, or a word without blanks.
-_CLEAN = r"^([1-9][0-9]*|[!-~]*[A-Za-z_][!-~]*)\z"
 
+def _spaced(v: Column) -> Column:
+    """Delete tabs and line ends inside an ASCII key and make every run of blanks one blank."""
+    t = F.translate(v, _INNER, "    ")
+    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
 
-def normalize_ascii_key(v: Column) -> Column:
-    return F.when(v.rlike(_CLEAN), v).otherwise(_tidy(strip(v)))
 
+def _spaced_folded(v: Column) -> Column:
+    return F.regexp_replace(F.translate(v, "\t\n\r\f\v", ""), f"{SPACE}+", " ")
 
-def normalize_folded_key(v: Column) -> Column:
-    return _tidy(fold_unicode(strip(v)))
+
+def _plain_number(n: Column) -> Column:
+    """Write integral numbers of more than one digit without leading zeros, ``.0`` and negative zero."""
+    integral = n.rlike(r"^ ?-?(\d+(\.0*)?|\.0+) ?\z") & (F.length(F.translate(n, ".- ", "")) > 1)
+    plain = F.regexp_replace(F.regexp_replace(F.trim(n), r"\.0*$", ""), r"^(-?)0+(?=\d)", "$1")
+    plain = F.when(plain.isin("", "-", "-0"), "0").otherwise(plain)
+    return F.when(integral, plain).otherwise(n)
 
 
 def normalize_key(v: Column) -> Column:
     """The full normalisation of any key. The UDF runs for every row; for tables use ``with_key``."""
-    return F.coalesce(_tidy(fold_unicode(strip(v))), F.lit(""))
+    return F.coalesce(_plain_number(_spaced_folded(fold_unicode(strip(v)))), F.lit(""))
 
 
 def with_key(
@@ -84,21 +86,20 @@ def with_key(
     without a key are dropped, or keep the key '' with ``keep_blank``.
     """
     fold_case = (lambda c: c) if case_sensitive else F.lower
-    r = F.col(raw)
+    r, bare = F.col(raw), strip(F.col(raw))
     if not normalize:
-        if keep_blank:
-            return df.withColumn(key, F.coalesce(fold_case(strip(r)), F.lit("")))
-        return df.filter(r.rlike(_NOT_BLANK)).withColumn(key, fold_case(strip(r)))
-    plain_key = fold_case(normalize_ascii_key(r))
-    if keep_blank:
-        plain = df if ascii_only else df.filter(r.isNull() | r.rlike(ASCII_ONLY))
-        plain = plain.withColumn(key, F.coalesce(plain_key, F.lit("")))
-    else:
-        # "has a character that is no white space" stands for "the key is not empty" without computing it
-        df = df.filter(r.rlike(_NOT_BLANK))
-        plain = df if ascii_only else df.filter(r.rlike(ASCII_ONLY))
-        plain = plain.withColumn(key, plain_key)
+        rows = df if keep_blank else df.filter(bare != "")
+        return rows.withColumn(key, F.coalesce(fold_case(bare), F.lit("")))
+    # a key is empty just when its raw form is blank, so blank rows go before keys are computed
+    rows = df if keep_blank else df.filter(bare != "")
+    plain = rows if ascii_only else rows.filter(r.isNull() | is_ascii(r))
+
+    def keyed(part: DataFrame, spaced: Column) -> DataFrame:
+        # the text form is a column of its own, used several times but computed once
+        part = part.withColumn("_n", spaced)
+        return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_n")
+
+    plain = keyed(plain, _spaced(bare))
     if ascii_only:
         return plain
-    folded = df.filter(~r.rlike(ASCII_ONLY)).withColumn(key, fold_case(normalize_folded_key(r)))
-    return plain.unionByName(folded)
+    return plain.unionByName(keyed(rows.filter(~is_ascii(r)), _spaced_folded(fold_unicode(bare))))

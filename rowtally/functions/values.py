@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# One character of white space as Python's ``str.strip`` sees it.
+# White space as Python's ``str.strip`` sees it, as characters and as a regular expression class.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _DIGITS = r"\d+(_\d+)*"
@@ -27,7 +28,7 @@ def name(column: str) -> Column:
 
 
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(v, F.lit(SPACES))
 
 
 def as_text(column: str, dtype: str) -> Column:

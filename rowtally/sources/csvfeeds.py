@@ -127,7 +127,7 @@ def read_csv(spark, folder, paths, columns, dialect, multi_part=False) -> DataFr
     )
 
 
-def csv_groups(spark, folder, feeds: dict[str, list[str]], encoding=None, delimiter=None, multiline=None):
+def csv_groups(spark, folder, feeds: dict[str, list[str]], multi_part=False, encoding=None, delimiter=None, multiline=None):
     """Groups of CSV feeds that can be read together, and the feeds that have no header.
 
     Heads are read always, whole files only when ``encoding`` or ``multiline`` is left to be found.
@@ -158,10 +158,9 @@ def csv_groups(spark, folder, feeds: dict[str, list[str]], encoding=None, delimi
         if not columns:
             continue
         seen |= set(r["files"])
-        multi = any(len(feeds[f]) > 1 for f in r["files"])
 
-        def read(files, columns=columns, dialect=dialect, multi=multi):
-            return read_csv(session, folder, [p for f in files for p in feeds[f]], columns, dialect, multi)
+        def read(files, columns=columns, dialect=dialect):
+            return read_csv(session, folder, [p for f in files for p in feeds[f]], columns, dialect, multi_part)
 
         groups.append(FeedGroup(columns, sorted(r["files"]), read))
     return groups, sorted(set(feeds) - seen)

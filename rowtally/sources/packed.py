@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowtally.functions.values import name
 from rowtally.session import scratch_folder, working_session
 from rowtally.sources.csvfeeds import DELIMITERS, SAMPLE, header_names
-from rowtally.sources.feed import FeedGroup
+from rowtally.sources.feed import FeedGroup, as_order
 from rowtally.sources.listing import feed_name
 from rowtally.sources.xmlfeeds import RECORD_TAGS
 
 ROWS_PER_BATCH = 5000
+# Unpacking is work for the processor and one archive may be large: small tasks, one archive at a time.
+_UNPACKING = {"spark.sql.files.maxPartitionBytes": str(16 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 SCHEMA = "_file string, _ord bigint, cells map<string,string>, error string"
+_COLUMNS = ["_file", "_ord", "cells", "error"]
 
 
 def _decoded(data: bytes) -> str:
@@ -143,36 +146,38 @@ def unpack(contents: DataFrame) -> DataFrame:
     """``contents(_file, content)`` to records. A file that cannot be read gives one row with its error."""
 
     def run(batches):
+        rows = []
         for batch in batches:
             for file, data in zip(batch["_file"], batch["content"]):
-                rows, n = [], 0
+                n = 0
                 try:
                     for record in _records_of(file, bytes(data)):
                         rows.append((file, n, record, None))
                         n += 1
                         if len(rows) == ROWS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=["_file", "_ord", "cells", "error"])
+                            yield pd.DataFrame(rows, columns=_COLUMNS)
                             rows = []
                 except Exception as e:  # one unreadable file must not stop the others
                     rows.append((file, None, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["_file", "_ord", "cells", "error"])
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return contents.select("_file", "content").mapInPandas(run, SCHEMA)
 
 
-def as_columns(records: DataFrame, columns: list[str]) -> DataFrame:
+def as_columns(records: DataFrame, columns: list[str], multi_part: bool = False) -> DataFrame:
     """Records as text columns; a cell the record lacks is ''."""
-    return records.select("_file", "_ord", *[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in columns])
+    order = as_order(F.col("_ord"), F.lit(""), multi_part).alias("_ord")
+    return records.filter("error is null").select("_file", order, *[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in columns])
 
 
-def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]]):
+def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
     """Groups of packed feeds with the same columns, and ``{file: error}`` of those that cannot be read.
 
     Unpacked records are written once to the shared scratch folder; the shapes and every later pass read
     that table instead of decoding the archives again.
     """
-    session = working_session(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "1"})
+    session = working_session(spark, **_UNPACKING)
     files = session.read.format("binaryFile").load([p for ps in feeds.values() for p in ps])
     landed = scratch_folder(session, "packed")
     unpack(files.select(feed_name(F.col("path"), folder).alias("_file"), "content")).write.partitionBy("_file").parquet(landed)
@@ -190,7 +195,7 @@ def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]])
         names = [f for f in shape["files"] if f not in errors]
         if names:
             kept = list(shape["columns"])
-            groups.append(FeedGroup(kept, sorted(names), lambda chosen, kept=kept: as_columns(good.filter(F.col("_file").isin(chosen)), kept)))
+            groups.append(FeedGroup(kept, sorted(names), lambda chosen, kept=kept: as_columns(good.filter(F.col("_file").isin(chosen)), kept, multi_part)))
     found = {f for g in groups for f in g.files}
     errors |= {f: "no records" for f in feeds if f not in found and f not in errors}
     return groups, errors

@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtally.sources.csvfeeds import csv_groups
-from rowtally.sources.feed import FeedGroup
+from rowtally.sources.feed import FeedGroup, stack_groups
 from rowtally.sources.listing import list_feeds
 from rowtally.sources.packed import packed_groups
 from rowtally.sources.xmlfeeds import xml_groups
@@ -38,23 +38,25 @@ def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], *
     for f, paths in feeds.items():
         by_format["." + f.rsplit(".", 1)[-1].lower() if "." in f else ""][f] = paths
     groups, errors, rejects = [], {}, []
+    # row positions have one type per folder, so that groups can be stacked
+    multi_part = any(len(paths) > 1 for paths in feeds.values())
     packed = {f: p for ext in (".zip", ".xlsx") for f, p in by_format[ext].items()}
     if by_format[".csv"]:
-        found, headless = csv_groups(spark, folder, by_format[".csv"], **csv_options)
+        found, headless = csv_groups(spark, folder, by_format[".csv"], multi_part, **csv_options)
         groups += found
         errors |= {f: "no header" for f in headless}
     if by_format[".xml"]:
-        found, rejects, unknown = xml_groups(spark, folder, by_format[".xml"])
+        found, rejects, unknown = xml_groups(spark, folder, by_format[".xml"], multi_part)
         groups += found
         packed |= {f: by_format[".xml"][f] for f in unknown}
     if packed:
-        found, unreadable = packed_groups(spark, folder, packed)
+        found, unreadable = packed_groups(spark, folder, packed, multi_part)
         groups += found
         errors |= unreadable
     for ext, members in by_format.items():
         if ext not in (".csv", ".xml", ".zip", ".xlsx"):
             errors |= {f: f"unsupported format: {ext}" for f in members}
-    return FolderScan(groups, errors, rejects)
+    return FolderScan(stack_groups(groups), errors, rejects)
 
 
 def scan(spark: SparkSession, folder: str, pattern: str | None = None, **csv_options) -> list[DataFrame]:

@@ -101,7 +101,7 @@ def infer(spark: SparkSession, paths: list[str], tag: str) -> T.StructType:
     return _reader(spark, tag).load(paths).schema
 
 
-def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]]):
+def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
     """Groups of XML feeds with the same columns, rejected records, and feeds without a known record name.
 
     One schema is inferred per record name over all its feeds; which of its columns a feed has comes from
@@ -117,8 +117,7 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]]):
     for tag, files in by_tag.items():
         paths = [p for f in files for p in feeds[f]]
         schema = infer(session, paths, tag)
-        multi = any(len(feeds[f]) > 1 for f in files)
-        rows, rejected = read_xml(session, folder, paths, tag, schema, multi)
+        rows, rejected = read_xml(session, folder, paths, tag, schema, multi_part)
         rejects += [rejected] if rejected is not None else []
         columns = [c for c in rows.columns if c not in ("_file", "_ord")]
         if not columns:
@@ -130,8 +129,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]]):
         for shape in shapes:
             found |= set(shape["files"])
 
-            def read(chosen, tag=tag, schema=schema, multi=multi, kept=list(shape["columns"])):
-                part, _ = read_xml(session, folder, [p for f in chosen for p in feeds[f]], tag, schema, multi)
+            def read(chosen, tag=tag, schema=schema, kept=list(shape["columns"])):
+                part, _ = read_xml(session, folder, [p for f in chosen for p in feeds[f]], tag, schema, multi_part)
                 return part.select("_file", "_ord", *[F.coalesce(name(c), F.lit("")).alias(c) for c in kept])
 
             groups.append(FeedGroup(list(shape["columns"]), sorted(shape["files"]), read))
