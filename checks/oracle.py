@@ -6,6 +6,7 @@ from checks import feeds
 from checks.feeds import duck
 
 W = r"[\s\x0b\x1c-\x1f]"
+PAD = r"[\s\x0b]"
 
 
 def key(v: str, fold: bool = False) -> str:
@@ -20,8 +21,8 @@ def key(v: str, fold: bool = False) -> str:
 
 
 _NUM = (
-    rf"^{W}*[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?{W}*$"
-    rf"|^{W}*[+-]?(?i:inf(inity)?){W}*$"
+    rf"^{PAD}*[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?{PAD}*$"
+    rf"|^{PAD}*[+-]?(?i:inf(inity)?){PAD}*$"
 )
 
 
@@ -109,7 +110,7 @@ OVERALL = f'SELECT "column", {COUNTERS}, file_count, match_rate, status FROM ove
 MISSING = """SELECT _file, CASE WHEN n1 IS NULL THEN '1' ELSE '2' END AS missing_in, k AS sku, coalesce(raw1, raw2) AS raw_sku
  FROM ledger WHERE n1 IS NULL OR n2 IS NULL"""
 PRESENCE = """SELECT _file, k AS sku, CASE WHEN n2 IS NULL THEN 'only_1' WHEN n1 IS NULL THEN 'only_2' ELSE 'both' END AS presence FROM ledger"""
-RANKED = f"""SELECT *, row_number() OVER (PARTITION BY _file ORDER BY "column", sku) AS rank FROM ({DIFFS})"""
+RANKED = f"""SELECT *, CAST(row_number() OVER (PARTITION BY _file ORDER BY "column", sku) AS INTEGER) AS rank FROM ({DIFFS})"""
 RUN = """SELECT count(*) AS total_pairs, count(*) FILTER (status = 'success') AS success, CAST(0 AS BIGINT) AS skipped,
  CAST(0 AS BIGINT) AS failed, CAST(sum(common) AS BIGINT) AS total_skus, CAST(sum(total_differences) AS BIGINT) AS total_diffs,
  CAST(sum(only_1 + only_2) AS BIGINT) AS total_missing,
@@ -173,7 +174,7 @@ scored AS (SELECT _file, side, pos, "column",
   CASE {user_label} WHEN regexp_matches(n, '{_NOT_A_KEY}') THEN 'Excluded' {by(lambda w, t: "'" + t + "'")}
        WHEN near >= CAST(0.4 AS DOUBLE) THEN 'Similar to "' || {word} || '" (distance)'
        WHEN inside IS NOT NULL THEN 'Contains "' || inside || '"' ELSE 'No match' END AS label FROM near1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY _file, side ORDER BY score DESC, length("column"), pos) AS rank FROM scored WHERE score > 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY _file, side ORDER BY score DESC, length("column"), pos) AS INTEGER) AS rank FROM scored WHERE score > 0),
 best AS (SELECT _file, side, "column" AS key, score, label, {band('score')} AS confidence_band FROM ranked WHERE rank = 1)
 {body}""").replace("<<0,3>>", "{0,3}")
 

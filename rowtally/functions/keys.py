@@ -7,6 +7,7 @@ has no function for Unicode compatibility folding, so the rest passes one pandas
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -22,10 +23,11 @@ _FOLD = {ord(c): " " for c in BLANKS} | {ord(c): "-" for c in DASHES}
 
 def _fold_one(text: str) -> str:
     folded = unicodedata.normalize("NFKC", text).translate(_FOLD)
-    body = "".join(c for c in folded if not c.isspace() and c not in ".-")
-    if body.isdecimal():
-        # digits of other scripts take part in the number rule, so write them in ASCII
-        folded = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in folded)
+    # digits of other scripts count as digits in integral numbers, and only there
+    ascii_digits = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in folded)
+    number = "".join(" " if c.isspace() else c for c in ascii_digits if c not in "\t\n\r\f\v").strip()
+    if re.fullmatch(r"-?([0-9]+(\.0*)?|\.0+)", number) and sum(c.isdigit() for c in number) > 1:
+        return ascii_digits
     return folded
 
 

@@ -15,7 +15,8 @@ _DIGITS = r"\d+(_\d+)*"
 _FLOAT = rf"({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?"
 # Text that counts as a number. Checked before the cast because the cast alone also takes
 # type suffixes and hexadecimal floats ("10D", "0x1p3") and treats NaN as equal to itself.
-NUMBER = rf"^{SPACE}*[+-]?({_FLOAT}|(?i:inf(inity)?)){SPACE}*\z"
+_PADDING = SPACE.replace(r"\x1c-\x1f", "") + "*"
+NUMBER = rf"^{_PADDING}[+-]?({_FLOAT}|(?i:inf(inity)?)){_PADDING}\z"
 
 # What a cell pair turned out to be.
 SAME, BOTH_EMPTY, ONLY_1_EMPTY, ONLY_2_EMPTY, DIFFERENT = range(5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -105,17 +106,18 @@ def compare_folders(
     """
     session = working_session(spark)
     shown = _stem if pair_by_stem else (lambda f: f)
-    sides = [feed_paths(session, folder, pattern) for folder in (baseline, comparison)]
+    jobs = ThreadPoolExecutor(4)  # the sides are independent, so their small jobs run side by side
+    sides = list(jobs.map(lambda folder: feed_paths(session, folder, pattern), (baseline, comparison)))
     names = [{shown(f) for f in side} for side in sides]
     paired = names[0] & names[1]
     other = [{"_file": f, "status": "unpaired", "reason": "only in baseline"} for f in sorted(names[0] - paired)]
     other += [{"_file": f, "status": "unpaired", "reason": "only in comparison"} for f in sorted(names[1] - paired)]
 
     dialect = {"encoding": encoding, "delimiter": delimiter, "multiline": multiline}
-    scans = [
-        scan_folder(session, folder, {f: p for f, p in side.items() if shown(f) in paired}, **dialect)
-        for folder, side in zip((baseline, comparison), sides)
-    ]
+    scans = list(jobs.map(
+        lambda folder, side: scan_folder(session, folder, {f: p for f, p in side.items() if shown(f) in paired}, **dialect),
+        (baseline, comparison), sides,
+    ))
     broken: dict[str, str] = {}
     for s in scans:
         for f, why in s.errors.items():
@@ -128,7 +130,7 @@ def compare_folders(
     for f in sorted(paired - set(broken)):
         shapes[group_of[0][f][0], group_of[1][f][0]].append(f)
 
-    parts, confidence = [], []
+    planned, confidence = [], []
     if shapes:
         meta = [
             (f"{i}|{j}", side, pos, c)
@@ -147,13 +149,18 @@ def compare_folders(
             keys = (r["key_1"], r["key_2"])
             groups = (scans[0].groups[i], scans[1].groups[j])
             columns = compare.choose_columns(groups[0].columns, groups[1].columns, keys, compare_columns, exclude)
+            needed = [list(dict.fromkeys([k, *columns])) for k in keys]
             frames = []
-            for n, (g, k) in enumerate(zip(groups, keys)):
+            for n, g in enumerate(groups):
                 df = g.read([group_of[n][f][1] for f in files])
-                if pair_by_stem:
-                    df = df.withColumn("_file", F.regexp_replace("_file", r"\.[^.]*$", ""))
-                needed = list(dict.fromkeys([k, *columns]))
-                frames.append(_land(session, df, needed) if land else df)
-            parts.append(Reconciliation(*frames, *keys, columns, files=files, normalize=normalize, case_sensitive=case_sensitive))
+                frames.append(df.withColumn("_file", F.regexp_replace("_file", r"\.[^.]*$", "")) if pair_by_stem else df)
+            planned.append((frames, needed, keys, columns, files))
+    if land:
+        both = [(df, cols) for frames, needed, *_ in planned for df, cols in zip(frames, needed)]
+        landed = iter(list(jobs.map(lambda t: _land(session, *t), both)))
+        planned = [([next(landed) for _ in frames], *rest) for frames, *rest in planned]
+    jobs.shutdown()
+    options = {"normalize": normalize, "case_sensitive": case_sensitive}
+    parts = [Reconciliation(*frames, *keys, columns, files=files, **options) for frames, _, keys, columns, files in planned]
     rejects = [r for s in scans for r in s.rejects]
     return FolderComparison(session, parts, other, confidence, reduce(DataFrame.unionByName, rejects) if rejects else None)
