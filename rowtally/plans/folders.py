@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowtally.operators import compare, detect, rollup, runlog
 from rowtally.plans.reconcile import COLUMN_STATS, DIFF_CELLS, PAIR_SUMMARY, Reconciliation
 from rowtally.functions.values import name
-from rowtally.session import scratch_folder, working_session
+from rowtally.session import scratch_folder, size_shuffles, stored, working_session
 from rowtally.sources.scan import feed_paths, scan_folder
 
 MISSING_KEYS = "_file string, missing_in string, sku string, raw_sku string"
@@ -84,11 +84,9 @@ def _stem(file: str) -> str:
 
 def _land(spark, df: DataFrame, columns: list[str]) -> DataFrame:
     """Parse the text once: the needed columns go to a table that every later pass reads."""
-    folder = scratch_folder(spark, "feeds")
     # positions stand for names, which may hold characters a file format does not take
     kept = df.select("_file", "_ord", *[name(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    kept.write.parquet(folder)
-    landed = spark.read.parquet(folder)
+    landed = stored(kept, scratch_folder(spark, "feeds"))
     return landed.select("_file", "_ord", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
@@ -107,7 +105,9 @@ def compare_folders(
     session = working_session(spark)
     shown = _stem if pair_by_stem else (lambda f: f)
     jobs = ThreadPoolExecutor(4)  # the sides are independent, so their small jobs run side by side
-    sides = list(jobs.map(lambda folder: feed_paths(session, folder, pattern), (baseline, comparison)))
+    listed = list(jobs.map(lambda folder: feed_paths(session, folder, pattern), (baseline, comparison)))
+    sides = [paths for paths, _ in listed]
+    size_shuffles(session, sum(size for _, size in listed))
     names = [{shown(f) for f in side} for side in sides]
     paired = names[0] & names[1]
     other = [{"_file": f, "status": "unpaired", "reason": "only in baseline"} for f in sorted(names[0] - paired)]

@@ -11,7 +11,7 @@ from rowtally.functions.values import as_text, name
 from rowtally.operators import compare, ledger as keys, rollup, runlog
 from rowtally.operators.align import align, first_per_key
 from rowtally.operators.detect import detect_pair_keys
-from rowtally.session import scratch_folder
+from rowtally.session import scratch_folder, stored
 
 RESERVED = ("_file", "_ord")
 
@@ -43,7 +43,7 @@ class Reconciliation:
         self._options = {"normalize": normalize, "case_sensitive": case_sensitive}
         self._label = None if "_file" in base.columns and "_file" in changed.columns else label
         self._files = files
-        self._found = None
+        self._stored: dict[str, DataFrame] = {}
 
     def _side(self, df: DataFrame, key: str, letter: str | None):
         """``_file, _raw, _ord`` and, given a letter, the compared cells; with the key options."""
@@ -65,38 +65,40 @@ class Reconciliation:
 
     # --- keys ---------------------------------------------------------------------------------
 
-    @cached_property
+    @property
     def _full_ledger(self) -> DataFrame:
+        if "ledger" in self._stored:
+            return self._stored["ledger"]
         sides = []
         for df, key in ((self._base, self.key_1), (self._changed, self.key_2)):
             rows, options = self._side(df, key, None)
             sides.append(keys.ledger_side(keys.raw_keys(rows), **options))
         return keys.key_ledger(*sides)
 
-    @cached_property
+    @property
     def ledger(self) -> DataFrame:
         return self._full_ledger.filter("_key <> ''")
 
-    @cached_property
+    @property
     def key_presence(self) -> DataFrame:
         return keys.key_presence(self.ledger)
 
-    @cached_property
+    @property
     def missing_keys(self) -> DataFrame:
         return keys.missing_keys(self.ledger)
 
-    @cached_property
+    @property
     def key_counts(self) -> DataFrame:
         return keys.key_counts(self._full_ledger)
 
-    @cached_property
+    @property
     def duplicate_counts(self) -> DataFrame:
         sides = [f"{c}_{s}" for c in ("rows", "keys", "duplicates", "common_duplicates") for s in (1, 2)]
         return self.key_counts.select("_file", *sides)
 
     # --- cells --------------------------------------------------------------------------------
 
-    @cached_property
+    @property
     def aligned(self) -> DataFrame:
         """Shared keys with the cells of both sides as ``a<i>`` and ``b<i>``."""
         sides = []
@@ -106,26 +108,33 @@ class Reconciliation:
         return align(*sides)
 
     def materialize(self, folder: str | None = None) -> Reconciliation:
-        """Run the alignment once and keep only the cells that are not plainly equal.
+        """Run each of the two plans once and answer everything from what they leave.
 
-        Worth it when both statistics and differences are wanted. The cells are written to ``folder``,
-        by default below ``spark.checkpoint.dir``, so a lost executor costs nothing that is done.
+        Stored are the key ledger, the cells that are not plainly equal, and the statistics and summary
+        made from them. They go to ``folder``, by default below ``spark.checkpoint.dir``.
         """
-        if self._found is None and self.columns:
-            folder = folder or scratch_folder(self.spark, "cells")
-            compare.cells(self.aligned, self.columns).filter("code <> 0").write.parquet(folder)
-            self._found = self.spark.read.parquet(folder)
+        if not self._stored:
+            folder = folder or scratch_folder(self.spark, "reconciliation")
+            done = {"ledger": stored(self._full_ledger, f"{folder}/ledger")}
+            if self.columns:
+                found = compare.cells(self.aligned, self.columns).filter("code <> 0")
+                done["cells"] = stored(found, f"{folder}/cells")
+            self._stored = done
+            for part in ("column_stats", "pair_summary"):
+                self._stored[part] = stored(getattr(self, part), f"{folder}/{part}")
         return self
 
     @property
     def column_stats(self) -> DataFrame:
+        if "column_stats" in self._stored:
+            return self._stored["column_stats"]
         if not self.columns:
             return self.spark.createDataFrame([], COLUMN_STATS)
-        if self._found is None:
+        if "cells" not in self._stored:
             counts = compare.cell_counts(compare.cells(self.aligned, self.columns))
             return compare.column_stats(counts, self.files, self.columns)
         # the plainly equal cells were not written; the ledger knows how many rows were compared
-        found = compare.cell_counts(self._found).drop("total_compared", "exact_matches")
+        found = compare.cell_counts(self._stored["cells"]).drop("total_compared", "exact_matches")
         total = self.files.join(self.key_counts.select("_file", "common"), "_file", "left")
         positions = F.explode(F.sequence(F.lit(0), F.lit(len(self.columns) - 1))).alias("_col")
         counts = (
@@ -139,9 +148,9 @@ class Reconciliation:
     def diff_cells(self) -> DataFrame:
         if not self.columns:
             return self.spark.createDataFrame([], DIFF_CELLS)
-        if self._found is None:
+        if "cells" not in self._stored:
             return compare.diff_cells(self.aligned, self.columns)
-        return compare.name_diffs(self._found.filter(F.col("code") >= compare.FIRST_MISMATCH), self.columns)
+        return compare.name_diffs(self._stored["cells"].filter(F.col("code") >= compare.FIRST_MISMATCH), self.columns)
 
     @property
     def diff_preview(self) -> DataFrame:
@@ -159,6 +168,8 @@ class Reconciliation:
     @property
     def pair_summary(self) -> DataFrame:
         """One row per file; the frames joined here hold one row per file each."""
+        if "pair_summary" in self._stored:
+            return self._stored["pair_summary"]
         fields = [f.strip().split() for f in PAIR_SUMMARY.split(",")]
         fixed = {"status": F.lit("success"), "reason": F.lit(None).cast("string"),
                  "key_1": F.lit(self.key_1), "key_2": F.lit(self.key_2)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Column names differ by case in feeds, and GBK text needs the JVM's own charsets, which also
 # report bad bytes as U+FFFD instead of failing the job.
@@ -20,6 +20,7 @@ _CARRIED = (
     "spark.sql.shuffle.partitions",
     "spark.sql.adaptive.enabled",
     "spark.sql.adaptive.coalescePartitions.enabled",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
     "spark.sql.files.maxPartitionBytes",
     "spark.sql.execution.arrow.maxRecordsPerBatch",
 )
@@ -44,3 +45,19 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowtally-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+SHUFFLE_BYTES = 128 << 20
+
+
+def size_shuffles(session: SparkSession, input_bytes: int) -> None:
+    """Start shuffles with partitions of about 128 MB of input; AQE merges what turns out small."""
+    at_least = int(session.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(at_least, -(-input_bytes // SHUFFLE_BYTES))
+    session.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """Write a frame as a table and go on from there: later uses read it, and lost executors do not matter."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -81,4 +81,10 @@ def write_report(result, folder: str, fmt: str = "csv", merge_diffs: bool = Fals
     write_table(result.run_log, f"{folder}/Debug_Log", fmt)
     write_table(result.missing_keys.orderBy("_file", "missing_in", "raw_sku"), f"{folder}/Missing_Keys", fmt)
     diffs = diff_table(result.diff_cells, names, labels, merge_diffs, names is not None)
-    write_table(diffs, f"{folder}/Differences", fmt, None if merge_diffs else "_file")
+    if merge_diffs:
+        write_table(diffs, f"{folder}/Differences", fmt)
+    else:
+        # ranges keep a file's rows together in few output files, and spread a large file over many tasks
+        order = ["_file", "column", "sku"]
+        diffs = diffs.repartitionByRange(*order).sortWithinPartitions(*order)
+        write_table(diffs, f"{folder}/Differences", fmt, "_file")

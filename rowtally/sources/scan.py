@@ -24,12 +24,13 @@ class FolderScan:
         return [(f, i, c) for g in self.groups for f in g.files for i, c in enumerate(g.columns)]
 
 
-def feed_paths(spark: SparkSession, folder: str, pattern: str | None = None) -> dict[str, list[str]]:
-    """Paths of every feed in the folder, the parts of one feed in order."""
-    paths = defaultdict(list)
+def feed_paths(spark: SparkSession, folder: str, pattern: str | None = None) -> tuple[dict[str, list[str]], int]:
+    """Paths of every feed in the folder, the parts of one feed in order; and the bytes of all."""
+    paths, size = defaultdict(list), 0
     for r in list_feeds(spark, folder, pattern).filter("length > 0").orderBy("path").collect():
         paths[r["_file"]].append(r["path"])
-    return dict(paths)
+        size += r["length"]
+    return dict(paths), size
 
 
 def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], **csv_options) -> FolderScan:
@@ -61,7 +62,7 @@ def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], *
 
 def scan(spark: SparkSession, folder: str, pattern: str | None = None, **csv_options) -> list[DataFrame]:
     """One DataFrame per distinct shape among the feeds of a folder, every column as text."""
-    found = scan_folder(spark, folder, feed_paths(spark, folder, pattern), **csv_options)
+    found = scan_folder(spark, folder, feed_paths(spark, folder, pattern)[0], **csv_options)
     if found.errors:
         raise ValueError(f"cannot read {found.errors}")
     return [g.read(g.files) for g in found.groups]

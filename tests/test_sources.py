@@ -95,7 +95,7 @@ def test_order_over_splits_and_part_files(spark, tmp_path):
     small = working_session(spark, **{"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"})
     dialect = csvfeeds.Dialect(",", "UTF-8", False)
     folder = str(tmp_path / "f")
-    feeds = feed_paths(small, folder)
+    feeds, _ = feed_paths(small, folder)
     df = csvfeeds.read_csv(small, folder, feeds["big.csv"], ["sku", "v"], dialect)
     assert df.rdd.getNumPartitions() > 3
     assert [int(r["v"]) for r in df.orderBy("_ord").collect()] == list(range(n))
@@ -136,7 +136,7 @@ def test_xml_records(spark, tmp_path):
 
 def test_xml_rejects_are_kept_apart(spark, tmp_path):
     write(tmp_path, "bad.xml", "<r><item><a>1</a></item><item><a>2</b></item><item><a>3</a></item></r>")
-    feeds = feed_paths(spark, str(tmp_path))
+    feeds, _ = feed_paths(spark, str(tmp_path))
     found = scan_folder(spark, str(tmp_path), feeds)
     assert [r["a"] for r in found.groups[0].read(["bad.xml"]).orderBy("_ord").collect()] == ["1", "3"]
     assert [r["record"] for r in found.rejects[0].collect()] == ["<item><a>2</b></item>"]
@@ -185,8 +185,8 @@ def test_pairing_and_name_patterns(spark, tmp_path):
     got = {r["_file"]: (r["status"], r["reason"]) for r in listing.pair_feeds(one, two).collect()}
     assert got == {"a.csv": ("paired", None), "b one+1.CSV": ("paired", None),
                    "c.xml": ("unpaired", "only in baseline"), "d.zip": ("unpaired", "only in comparison")}
-    assert set(feed_paths(spark, str(tmp_path / "base"), "*.csv")) == {"a.csv"}
-    assert set(feed_paths(spark, str(tmp_path / "base"), "[an].*")) == {"a.csv", "n.txt"}
+    assert set(feed_paths(spark, str(tmp_path / "base"), "*.csv")[0]) == {"a.csv"}
+    assert set(feed_paths(spark, str(tmp_path / "base"), "[an].*")[0]) == {"a.csv", "n.txt"}
 
 
 def test_folders_end_to_end(spark, tmp_path):
