@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowtally.functions.values import (
@@ -29,25 +27,18 @@ def choose_columns(columns_1, columns_2, keys=(), wanted=None, exclude=()) -> li
     return [c for c in chosen if not any(w in c.lower() for w in words)]
 
 
-def cells(aligned: DataFrame, columns: list[str], code: bool = True) -> DataFrame:
+def cells(aligned: DataFrame, unequal_rows_only: bool = False) -> DataFrame:
     """One row per shared key and column: ``_file, _key, _col, value_1, value_2`` and ``code``.
 
-    The pair of values is unfolded before it is compared: one small compiled comparison then serves
-    every column, where a comparison per column outgrows what the JVM compiles (measured 2-3x slower
-    on 11 columns). Aligned cells are named ``a<i>`` and ``b<i>``.
+    Rows are unfolded before values are compared: one small compiled comparison then serves every
+    column, where a comparison per column outgrows what the JVM compiles (measured 2-3x slower on 11
+    columns). Cells arrive as one array per side, ``a`` and ``b``, which also keeps wide rows within
+    generated code.
     """
-    pairs = [
-        F.struct(F.lit(i).alias("_col"), F.col(f"a{i}").alias("value_1"), F.col(f"b{i}").alias("value_2"))
-        for i in range(len(columns))
-    ]
-    # wide feeds are unfolded in blocks, which keeps each generated expression small
-    blocks = [pairs[i : i + 100] for i in range(0, len(pairs), 100)]
-    if len(blocks) == 1:
-        out = aligned.select("_file", "_key", F.inline(F.array(*blocks[0])))
-    else:
-        block = F.explode(F.array(*[F.array(*b) for b in blocks])).alias("_block")
-        out = aligned.select("_file", "_key", block).select("_file", "_key", F.inline("_block"))
-    return out.withColumn("code", cell_code(F.col("value_1"), F.col("value_2"))) if code else out
+    rows = aligned.filter(~F.col("a").eqNullSafe(F.col("b"))) if unequal_rows_only else aligned
+    unfolded = rows.select("_file", "_key", "b", F.posexplode("a").alias("_col", "value_1"))
+    pairs = unfolded.select("_file", "_key", "_col", "value_1", F.get("b", F.col("_col")).alias("value_2"))
+    return pairs.withColumn("code", cell_code(F.col("value_1"), F.col("value_2")))
 
 
 def _named(df: DataFrame, columns: list[str], *rest) -> DataFrame:
@@ -85,8 +76,7 @@ def column_stats(counts: DataFrame, files: DataFrame, columns: list[str]) -> Dat
 
 def diff_cells(aligned: DataFrame, columns: list[str]) -> DataFrame:
     """Every differing cell. Rows equal in all cells are dropped before they are unfolded."""
-    equal = reduce(lambda x, y: x & y, [F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(columns))])
-    found = cells(aligned.filter(~equal), columns).filter(F.col("code") >= FIRST_MISMATCH)
+    found = cells(aligned, unequal_rows_only=True).filter(F.col("code") >= FIRST_MISMATCH)
     return name_diffs(found, columns)
 
 

@@ -49,7 +49,7 @@ class Reconciliation:
         """``_file, _raw, _ord`` and, given a letter, the compared cells; with the key options."""
         types = dict(df.dtypes)
         file = F.lit(self._label) if self._label is not None else F.col("_file")
-        cells = [as_text(c, types[c]).alias(f"{letter}{i}") for i, c in enumerate(self.columns)] if letter else []
+        cells = [F.array(*[as_text(c, types[c]) for c in self.columns]).alias(letter)] if letter else []
         rows = df.select(
             file.alias("_file"), name(key).cast("string").alias("_raw"), name(self._order_by).alias("_ord"), *cells
         )
@@ -100,7 +100,7 @@ class Reconciliation:
 
     @property
     def aligned(self) -> DataFrame:
-        """Shared keys with the cells of both sides as ``a<i>`` and ``b<i>``."""
+        """Shared keys with the compared cells of both sides as arrays ``a`` and ``b``."""
         sides = []
         for df, key, letter in ((self._base, self.key_1, "a"), (self._changed, self.key_2, "b")):
             rows, options = self._side(df, key, letter)
@@ -117,7 +117,7 @@ class Reconciliation:
             folder = folder or scratch_folder(self.spark, "reconciliation")
             done = {"ledger": stored(self._full_ledger, f"{folder}/ledger")}
             if self.columns:
-                found = compare.cells(self.aligned, self.columns).filter("code <> 0")
+                found = compare.cells(self.aligned).filter("code <> 0")
                 done["cells"] = stored(found, f"{folder}/cells")
             self._stored = done
             for part in ("column_stats", "pair_summary"):
@@ -131,7 +131,7 @@ class Reconciliation:
         if not self.columns:
             return self.spark.createDataFrame([], COLUMN_STATS)
         if "cells" not in self._stored:
-            counts = compare.cell_counts(compare.cells(self.aligned, self.columns))
+            counts = compare.cell_counts(compare.cells(self.aligned))
             return compare.column_stats(counts, self.files, self.columns)
         # the plainly equal cells were not written; the ledger knows how many rows were compared
         found = compare.cell_counts(self._stored["cells"]).drop("total_compared", "exact_matches")
