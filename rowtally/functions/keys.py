@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtally.functions.values import SPACE, strip
+from rowtally.functions.values import SPACE, SPACES, strip
 
 # Characters read as a blank or as a hyphen in keys.
 BLANKS = "\u00a0\u2007\u202f"
@@ -44,16 +44,11 @@ def is_ascii(v: Column) -> Column:
     return F.length(v) == F.octet_length(v)
 
 
+_ASCII_SPACES = "".join(c for c in SPACES if c < "\x7f")
 # Line ends and tabs inside a key are deleted, information separators read as blanks.
 _INNER = "\x1c\x1d\x1e\x1f" + "\t\n\r\f\v"
 
 
-def _spaced(v: Column) -> Column:
-    """Delete tabs and line ends inside an ASCII key and make every run of blanks one blank."""
-    t = F.translate(v, _INNER, "    ")
-    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
-
-
 def _spaced_folded(v: Column) -> Column:
     return F.regexp_replace(F.translate(v, "\t\n\r\f\v", ""), f"{SPACE}+", " ")
 
@@ -96,12 +91,14 @@ def with_key(
     rows = df if keep_blank else df.filter(bare != "")
     plain = rows if ascii_only else rows.filter(r.isNull() | is_ascii(r))
 
-    def keyed(part: DataFrame, spaced: Column) -> DataFrame:
-        # the text form is a column of its own, used several times but computed once
-        part = part.withColumn("_n", spaced)
-        return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_n")
+    def keyed(part: DataFrame) -> DataFrame:
+        return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_t", "_n")
 
-    plain = keyed(plain, _spaced(bare))
+    # steps used more than once are columns of their own, so that each is computed once
+    plain = plain.withColumn("_t", F.translate(F.btrim(r, F.lit(_ASCII_SPACES)), _INNER, "    "))
+    one_blank = F.when(F.contains("_t", F.lit("  ")), F.regexp_replace("_t", " {2,}", " ")).otherwise(F.col("_t"))
+    plain = keyed(plain.withColumn("_n", one_blank))
     if ascii_only:
         return plain
-    return plain.unionByName(keyed(rows.filter(~is_ascii(r)), _spaced_folded(fold_unicode(bare))))
+    folded = rows.filter(~is_ascii(r)).withColumn("_n", _spaced_folded(fold_unicode(bare)))
+    return plain.unionByName(keyed(folded))
