@@ -177,9 +177,9 @@ FILE_DELIMITERS = {"supplier.csv": ";", "part.csv": "|", "region.csv": "\t"}
 HEAD_LINES = """
 SELECT 'f' || CAST(p_partkey AS STRING) AS path, pos,
        'sku' || d || CASE WHEN pos = 0 THEN 'title' ELSE '"a,b;c|d"' END || d || p_name || CASE WHEN pos = 2 AND p_partkey % 9 = 0 THEN d || 'more' ELSE '' END AS line
-FROM (SELECT p_partkey, p_name, pos, CASE p_partkey % 8 WHEN 0 THEN '|' WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN ','
-             WHEN 4 THEN '~' WHEN 5 THEN '^' WHEN 6 THEN chr(1) ELSE '' END AS d
-      FROM {part} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) lines)
+FROM (SELECT p_partkey, p_name, explode(array(0, 1, 2)) AS pos,
+             CASE p_partkey % 8 WHEN 0 THEN '|' WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN ',' WHEN 4 THEN '~' WHEN 5 THEN '^'
+             WHEN 6 THEN chr(1) ELSE '' END AS d FROM {part})
 """
 
 LISTING_A = "SELECT DISTINCT c_name || '.csv' AS _file FROM {customer} WHERE c_custkey % 13 <> 0"

@@ -4,6 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
+from rowtally.plans.channels import compare_channels
 from rowtally.plans.folders import compare_folders
 from rowtally.plans.reconcile import Reconciliation, reconcile
 from rowtally.session import working_session
@@ -11,4 +12,4 @@ from rowtally.session import working_session
 # Python tasks carry the code they need, so executors work without a copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["Reconciliation", "compare_folders", "reconcile", "working_session"]
+__all__ = ["Reconciliation", "compare_channels", "compare_folders", "reconcile", "working_session"]

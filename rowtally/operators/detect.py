@@ -34,12 +34,10 @@ def detect_keys(meta: DataFrame, user: str | None = None, priority: list[str] |
 
 def pair_keys(detected: DataFrame) -> DataFrame:
     """Both sides' keys in one row per file; the pair is as sure as its weaker side."""
-    side = lambda n: detected.filter(F.col("side") == n).select(
-        "_file", F.col("key").alias(f"key_{n}"), F.col("score").alias(f"score_{n}")
-    )
+    of = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}_{n}")
+    sides = detected.groupBy("_file").agg(of(1, "key"), of(1, "score"), of(2, "key"), of(2, "score"))
     return (
-        side(1)
-        .join(side(2), "_file")
+        sides.filter(F.col("key_1").isNotNull() & F.col("key_2").isNotNull())
         .withColumn("confidence", F.least("score_1", "score_2"))
         .withColumn("confidence_band", confidence_band(F.col("confidence")))
     )

@@ -94,13 +94,13 @@ def compare_folders(
     spark: SparkSession, baseline: str, comparison: str, key: str | None = None, compare_columns=None, exclude=(),
     pattern: str | None = None, normalize: bool = True, case_sensitive: bool = True, auto_detect: bool = True,
     priority: list[str] | None = None, encoding: str | None = None, delimiter: str | None = None,
-    multiline: bool | None = None, pair_by_stem: bool = False, land: bool = True,
+    multiline: bool | None = None, pair_by_stem: bool = False, only=None, land: bool = True,
 ) -> FolderComparison:
     """Pair the feeds of two folders by name and compare each pair.
 
     File names, headers and dialects are settled first by small jobs; rows stay in Spark. Naming the
     ``encoding`` and whether values run over line ends (``multiline``) saves one pass over CSV text.
-    ``pair_by_stem`` ignores suffixes when pairing. ``land`` writes the parsed columns to a table first.
+    ``pair_by_stem`` ignores suffixes when pairing, ``only`` keeps the pairs named in it. ``land`` writes the parsed columns to a table first.
     """
     session = working_session(spark)
     shown = _stem if pair_by_stem else (lambda f: f)
@@ -108,6 +108,8 @@ def compare_folders(
     listed = list(jobs.map(lambda folder: feed_paths(session, folder, pattern), (baseline, comparison)))
     sides = [paths for paths, _ in listed]
     size_shuffles(session, sum(size for _, size in listed))
+    if only is not None:
+        sides = [{f: p for f, p in side.items() if shown(f) in set(only)} for side in sides]
     names = [{shown(f) for f in side} for side in sides]
     paired = names[0] & names[1]
     other = [{"_file": f, "status": "unpaired", "reason": "only in baseline"} for f in sorted(names[0] - paired)]

@@ -16,7 +16,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtally.functions.values import name
 from rowtally.session import scratch_folder, working_session
 from rowtally.sources.csvfeeds import DELIMITERS, SAMPLE, header_names
 from rowtally.sources.feed import FeedGroup, as_order

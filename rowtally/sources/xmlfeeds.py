@@ -22,10 +22,10 @@ _TEXT = "_VALUE"
 
 def record_tags(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     """``_file, tag``: the first record name that occurs in a feed, null when none does."""
-    v = F.col("value")
-    seen = working_session(spark).read.text(paths).groupBy(feed_name(scanned_path(), folder).alias("_file")).agg(
-        *[F.bool_or(v.rlike(rf"<([^<>\s/!?:]+:)?{t}([\s/>]|\z)")).alias(t) for t in RECORD_TAGS]
-    )
+    # cut at tag ends, not line ends: a document may be one long line
+    pieces = working_session(spark).read.option("lineSep", ">").text(paths)
+    opens = lambda t: F.col("value").rlike(rf"<([^<>\s/!?:]+:)?{t}(\s[^<]*)?/?\z")
+    seen = pieces.groupBy(feed_name(scanned_path(), folder).alias("_file")).agg(*[F.bool_or(opens(t)).alias(t) for t in RECORD_TAGS])
     return seen.select("_file", F.coalesce(*[F.when(F.col(t), F.lit(t)) for t in RECORD_TAGS]).alias("tag"))
 
 

@@ -54,3 +54,24 @@ def test_file_names(spark):
     df = spark.createDataFrame([(k,) for k in links], "link string")
     got = {r[0]: r[1] for r in df.select("link", catalog.feed_file_name(F.lit("c"), F.col("link"))).collect()}
     assert got == links
+
+
+def test_channels_compared_across_formats(spark, tmp_path):
+    from rowtally import compare_channels
+
+    for side, files in {"one": {"Ads.csv": "sku,price\n1,5\n2,6\n", "Text.csv": "sku,price\n1,1\n", "Other.csv": "sku\n1\n"},
+                        "two": {"Ads.xml": "<r><item><sku>1</sku><price>5.0</price></item><item><sku>2</sku><price>7</price></item></r>",
+                                "Text.csv": "sku,price\n1,1\n"}}.items():
+        (tmp_path / side).mkdir()
+        for name, text in files.items():
+            (tmp_path / side / name).write_text(text)
+    schema = "pos int, name string, link string"
+    one = spark.createDataFrame([(0, "Ads", "http://a/f"), (1, "Text", "http://t"), (2, "Other", "http://o"), (3, "none", "")], schema)
+    two = spark.createDataFrame([(0, "ADS", "http://b/f.xml"), (1, "text", "http://t"), (2, "none", "x")], schema)
+    result, names = compare_channels(spark, str(tmp_path / "one"), str(tmp_path / "two"), one, two)
+    assert {r["_file"]: r["status"] for r in result.pair_summary.collect()} == {"Ads": "success", "Text": "success"}
+    assert [tuple(r) for r in result.diff_cells.collect()] == [("Ads", "2", "price", "6", "7")]
+    assert {(r["channel"], r["match_rate"]) for r in result.channel_stats(names).collect()} == {("Ads", 50.0), ("Text", 100.0)}
+    chosen = spark.createDataFrame([("Text",)], "channel string")
+    result, _ = compare_channels(spark, str(tmp_path / "one"), str(tmp_path / "two"), one, two, selection=chosen)
+    assert [r["_file"] for r in result.pair_summary.collect()] == ["Text"]

@@ -4,11 +4,10 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from rowtally import compare_folders
 from rowtally.session import working_session
-from rowtally.sources import csvfeeds, listing, xmlfeeds
+from rowtally.sources import csvfeeds, listing
 from rowtally.sources.scan import feed_paths, scan, scan_folder
 
 
@@ -121,7 +120,9 @@ def test_xml_records(spark, tmp_path):
     write(tmp_path, "feed.xml", "﻿" + RSS.replace("CTRL", ""))
     write(tmp_path, "dirty.xml", RSS.replace("CTRL", "\x01"))
     write(tmp_path, "entry.xml", "<feed><entry><a>1</a></entry><entry><a>2</a><b>x</b></entry></feed>")
+    write(tmp_path, "line.xml", "<r><!-- item --><items/><x:product a='>' xmlns:x='u'><a>1</a></x:product><product/></r>")
     got = rows(spark, tmp_path)
+    assert got.pop("line.xml")[0] == {"@a": ">", "a": "1"}
     empty = {"@k": "", "e": "", "id": "", "n": "", "shipping_country": "", "shipping_price": "", "tag": ""}
     expected = [
         {**empty, "@k": "1", "id": "1", "shipping_country": "DE", "shipping_price": "2", "tag": "b"},
