@@ -89,7 +89,7 @@ def with_key(
         return rows.withColumn(key, F.coalesce(fold_case(bare), F.lit("")))
     # a key is empty just when its raw form is blank, so blank rows go before keys are computed
     rows = df if keep_blank else df.filter(bare != "")
-    plain = rows if ascii_only else rows.filter(r.isNull() | is_ascii(r))
+    plain = rows if ascii_only else rows.filter(F.coalesce(is_ascii(r), F.lit(True)))
 
     def keyed(part: DataFrame) -> DataFrame:
         return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_t", "_n")
