@@ -34,13 +34,13 @@ FROM {part} WHERE p_partkey % 11 <> 0
 
 PART_COLUMNS = ["brand", "kind", "retail", "size", "title"]
 
-# A large pair whose key repeats in the data itself; every line without tax also collides on one hot key.
+# A large pair whose key repeats in the data itself; besides, a third of all lines share one hot key.
 LINE_A = """
 SELECT 'lineitem' AS _file,
        concat_ws('-', lpad(CAST(l_orderkey AS STRING), 12, '0'), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
                  CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING),
                  CAST(CAST(l_quantity AS DECIMAL(12,2)) AS STRING), l_returnflag, l_linestatus) AS ord,
-       CASE WHEN l_tax = 0 THEN 'HOT' ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) END AS sku,
+       CASE WHEN l_partkey % 3 = 0 THEN 'HOT' ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) END AS sku,
        CAST(l_partkey AS STRING) AS part, CAST(l_suppkey AS STRING) AS supp,
        CAST(CAST(l_quantity AS DECIMAL(12,2)) AS STRING) AS qty,
        CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) AS price,
@@ -53,7 +53,7 @@ SELECT 'lineitem' AS _file,
        concat_ws('-', lpad(CAST(l_orderkey AS STRING), 12, '0'), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
                  CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING),
                  CAST(CAST(l_quantity AS DECIMAL(12,2)) AS STRING), l_returnflag, l_linestatus) AS ord,
-       CASE WHEN l_tax = 0 THEN ' HOT' ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || ' ' END AS sku,
+       CASE WHEN l_partkey % 3 = 0 THEN ' HOT' ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || ' ' END AS sku,
        CAST(l_partkey AS STRING) AS part,
        CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE CAST(l_suppkey AS STRING) END AS supp,
        CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty,
