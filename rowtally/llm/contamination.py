@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowtally.session import scratch_folder, stored
+
 SHINGLE = 5
 LEAST = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +42,8 @@ def _sketches(items: DataFrame, least: float) -> DataFrame:
 
     The sketch of an item is its n - need + 1 smallest shingle hashes: whoever holds ``need`` shingles holds one of these.
     """
-    rows = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), _words(F.col("text")).alias("w")).filter("size(w) > 0").dropDuplicates(["item", "item_id"])
+    rows = items.select("item_id", "text").distinct()
+    rows = rows.select("item_id", F.xxhash64("item_id", "text").alias("item"), _words(F.col("text")).alias("w")).filter("size(w) > 0")
     rows = rows.withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
     gram = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("width")), lambda i: F.array_join(F.slice("w", i + 1, F.col("width")), " "))
     rows = rows.select("item", "item_id", "width", F.array_distinct(gram).alias("grams"))
@@ -64,7 +67,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     doc_id are not searched. For rows that repeat a doc_id or item_id the best counts. Either table may be empty. Sketches are broadcast only if
     Spark's own size threshold allows it.
     """
-    sketches = _sketches(items, least)
+    sketches = stored(_sketches(items, least), scratch_folder(docs.sparkSession, "sketches"))
     probes = sketches.select("item", "width", "partition", "need", F.explode("sketch").alias("u"))
     bounds = probes.groupBy("width").agg(F.max("u").alias("u"), F.min("need").alias("need")).collect()  # a row for each width, SHINGLE at most
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
