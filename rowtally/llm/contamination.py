@@ -64,8 +64,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     Candidates are then verified on the words themselves. Nothing is lost by the search.
 
     Items of fewer than five words have their whole sequence as shingle; items without words are skipped. Rows without
-    doc_id are not searched. For rows that repeat a doc_id or item_id the best counts. Either table may be empty. Sketches are broadcast only if
-    Spark's own size threshold allows it.
+    doc_id are not searched. Rows that share a doc_id count as one document; of texts that share an item_id the best
+    counts. Either table may be empty. Sketches are broadcast only if Spark's own size threshold allows it.
     """
     sketches = stored(_sketches(items, least), scratch_folder(docs.sparkSession, "sketches"))
     probes = sketches.select("item", "width", "partition", "need", F.explode("sketch").alias("u"))
@@ -84,8 +84,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles int, n_shared int, containment double")
     spaced = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" ")).alias("spaced")
     pairs = texts.join(found, "doc_id").join(sketches.select("item", "item_id", "grams", "n", "need"), "item")
-    pairs = pairs.select("doc_id", "item_id", "n", "need", "grams", spaced)
-    shared = F.size(F.filter("grams", lambda g: F.contains(F.col("spaced"), F.concat(F.lit(" "), g, F.lit(" ")))))
-    pairs = pairs.select("doc_id", "item_id", "n", "need", shared.alias("shared")).filter("shared >= need")
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("b"))
+    grams = pairs.select("doc_id", "item", "item_id", "n", "need", spaced, F.explode("grams").alias("gram"))
+    grams = grams.filter(F.contains(F.col("spaced"), F.concat(F.lit(" "), "gram", F.lit(" "))))
+    shared = grams.groupBy("doc_id", "item", "item_id", "n", "need").agg(F.count_distinct("gram").cast("int").alias("shared")).filter("shared >= need")
+    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("n_shingles"), F.col("b.shared").alias("n_shared"), F.col("b.containment").alias("containment"))
