@@ -7,14 +7,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rowtally.llm.words import Words, batches_of, words
 
 WINDOW = 20
-_PACKED = "bucket int, doc_id long, data binary"
+_PACKED = "bucket int, reply boolean, data binary"
 _REPLY = "doc_id long, data binary"
 _U32 = np.uint64(0xFFFFFFFF)
 
@@ -34,44 +34,72 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cuts], np.diff(np.r_[cuts, len(owner)]).astype(np.uint32)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: bytes that are mostly zero then stand together and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n)
+
+
 def _pack(doc_ids: np.ndarray, *columns: np.ndarray) -> bytes:
     """Columns of entries whose documents stand in runs."""
     docs, counts = _runs(doc_ids)
-    head = np.array([len(docs), len(doc_ids)], np.int64)
-    return b"".join(x.tobytes() for x in (head, docs, counts, *columns))
+    head = np.array([len(docs), len(doc_ids)], np.int64).tobytes()
+    return b"".join([head, _planes(docs), _planes(counts), *(np.packbits(c).tobytes() if c.dtype == bool else _planes(c) for c in columns)])
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     n_docs, n = np.frombuffer(data, np.int64, 2).tolist()
-    docs, at = np.frombuffer(data, np.int64, n_docs, 16), 16 + 8 * n_docs
-    out = [np.repeat(docs, np.frombuffer(data, np.uint32, n_docs, at))]
+    at = 16 + 8 * n_docs
+    out = [np.repeat(_from_planes(data, np.int64, n_docs, 16), _from_planes(data, np.uint32, n_docs, at))]
     at += 4 * n_docs
     for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        if kind is bool:
+            out.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
+            at += -(-n // 8)
+        else:
+            out.append(_from_planes(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
     return out
 
 
-def _to_buckets(slot: np.ndarray, doc_ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+def _to_buckets(slot: np.ndarray, doc_ids: np.ndarray, *columns: np.ndarray, reply: bool = False) -> pa.RecordBatch:
+    """One row of packed entries per bucket."""
     order = np.argsort(slot, kind="stable")
     slot, doc_ids, columns = slot[order], doc_ids[order], [c[order] for c in columns]
     number, counts = _runs(slot)
     ends = np.cumsum(counts.astype(np.int64))
-    return [(int(s), None, _pack(doc_ids[b - n:b], *(c[b - n:b] for c in columns))) for s, n, b in zip(number, counts.astype(np.int64), ends)]
+    data = [_pack(doc_ids[b - n:b], *(c[b - n:b] for c in columns)) for n, b in zip(counts.astype(np.int64), ends)]
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(np.full(len(data), reply)), pa.array(data, pa.binary())], ["bucket", "reply", "data"])
 
 
-def _to_docs(doc_ids: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple]:
-    """A row per document, dealt to buckets by the document: they only pass through."""
+def _to_docs(doc_ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Answers for documents, packed by buckets of documents."""
     order = np.argsort(doc_ids, kind="stable")
-    doc_ids, values = doc_ids[order], values[order]
-    docs, counts = _runs(doc_ids)
-    ends = np.cumsum(counts.astype(np.int64))
-    return [(int(d) % buckets, int(d), values[b - n:b].tobytes()) for d, n, b in zip(docs, counts.astype(np.int64), ends)]
+    return _to_buckets(doc_ids[order] % buckets, doc_ids[order], values[order], reply=True)
+
+
+def _answer(table: pa.Table, rows: pa.RecordBatch | None) -> pa.Table:
+    """Answers that only pass through, and those found here."""
+    passing = table.filter(table["reply"]).select(["bucket", "reply", "data"])
+    return passing if rows is None else pa.concat_tables([passing, pa.table(rows)])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["bucket", "doc_id", "data"])
+def _deliver(kind):
+    """Answers of a bucket of documents, one row per document."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        doc, value = (np.concatenate(c) for c in zip(*(_unpack(d, kind) for d in table["data"].to_pylist())))
+        order = np.argsort(doc, kind="stable")
+        docs, counts = _runs(doc[order])
+        ends = np.cumsum(counts.astype(np.int64))
+        data = [value[order[b - n:b]].tobytes() for n, b in zip(counts.astype(np.int64), ends)]
+        return pa.table({"doc_id": docs, "data": pa.array(data, pa.binary())})
+
+    return run
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +130,14 @@ def _probe(block: int, buckets: int):
             anchor = (starts - w.bounds[text]) % block == 0
             order, group = _groups(h)
             several = np.bincount(group)[group] > 1
-            anchored = np.zeros(group[-1] + 1, np.uint8)
-            anchored[group[anchor[order]]] = 1
+            anchored = np.zeros(group[-1] + 1, bool)
+            anchored[group[anchor[order]]] = True
             first = order[np.r_[True, group[1:] != group[:-1]]]
-            yield _batch(_to_buckets(*_by_place(first, _slots(h, buckets), ids[text], (h & _U32).astype(np.uint32)), anchored[np.argsort(first, kind="stable")]))
+            yield _to_buckets(*_by_place(first, _slots(h, buckets), ids[text], (h & _U32).astype(np.uint32)), anchored[np.argsort(first, kind="stable")])
             again = order[several]
             pairs = np.unique(np.stack([text[again].astype(np.uint64), _codes(h[again], buckets)]), axis=1) if len(again) else np.zeros((2, 0), np.uint64)
             if pairs.shape[1]:
-                yield _batch(_to_docs(ids[pairs[0].astype(np.int64)], pairs[1], buckets))
+                yield _to_docs(ids[pairs[0].astype(np.int64)], pairs[1], buckets)
 
     return run
 
@@ -119,24 +147,25 @@ def _by_place(first: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [c[at] for c in columns]
 
 
-def _hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _hits(buckets: int):
     """Blocks of words that stand in two entries at least, one of them an anchor: codes per document."""
-    slot = key[0].as_py()
-    passing = table.filter(table["doc_id"].is_valid())
-    parts = [_unpack(d, np.uint32, np.uint8) for d in table.filter(table["doc_id"].is_null())["data"].to_pylist()]
-    rows: list[tuple] = []
-    if parts:
-        doc, code, anchor = (np.concatenate(c) for c in zip(*parts))
-        order, group = _groups(code)
-        good = (np.bincount(group) > 1) & (np.bincount(group, anchor[order]) > 0)
-        hit = order[good[group]]
-        rows = _to_docs(doc[hit], (np.uint64(slot) << np.uint64(32)) | code[hit].astype(np.uint64), 1)
-    return pa.table({"doc_id": pa.concat_arrays([passing["doc_id"].combine_chunks(), pa.array([r[1] for r in rows], pa.int64())]),
-                     "data": pa.concat_arrays([passing["data"].combine_chunks(), pa.array([r[2] for r in rows], pa.binary())])})
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        slot, rows = np.uint64(key[0].as_py()) << np.uint64(32), None
+        parts = [_unpack(d, np.uint32, bool) for d in table.filter(pc.invert(table["reply"]))["data"].to_pylist()]
+        if parts:
+            doc, code, anchor = (np.concatenate(c) for c in zip(*parts))
+            order, group = _groups(code)
+            good = (np.bincount(group) > 1) & (np.bincount(group, anchor[order]) > 0)
+            hit = order[good[group]]
+            rows = _to_docs(doc[hit], slot | code[hit].astype(np.uint64), buckets)
+        return _answer(table, rows)
+
+    return run
 
 
 def _replies(lists: pa.Array, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(lists.flatten().drop_null().to_pylist()), kind)
+    return np.frombuffer(b"".join(lists.drop_null().to_pylist()), kind)
 
 
 def _extend(window: int, block: int, buckets: int):
@@ -158,8 +187,8 @@ def _extend(window: int, block: int, buckets: int):
             lead = order[leads][group]
             later = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
             first = np.sort(order[leads])
-            yield _batch(_to_buckets(_slots(h[first], buckets), doc[first], h[first], check[first], place[first]))
-            yield _batch(_to_docs(doc[later], place[later], buckets))
+            yield _to_buckets(_slots(h[first], buckets), doc[first], h[first], check[first], place[first])
+            yield _to_docs(doc[later], place[later], buckets)
 
     return run
 
@@ -180,21 +209,23 @@ def _around_hits(w: Words, hits: np.ndarray, window: int, block: int, buckets: i
     return at[before[at + window - block + 1] > before[at]]
 
 
-def _later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _later(buckets: int):
     """Of equal windows all but the earliest: their places per document."""
-    passing = table.filter(table["doc_id"].is_valid())
-    parts = [_unpack(d, np.uint64, np.uint32, np.uint32) for d in table.filter(table["doc_id"].is_null())["data"].to_pylist()]
-    rows: list[tuple] = []
-    if parts:
-        doc, h, check, place = (np.concatenate(c) for c in zip(*parts))
-        by_place = np.lexsort((place, doc))
-        doc, h, check, place = doc[by_place], h[by_place], check[by_place], place[by_place]
-        order, group = _groups(check, h)
-        lead = order[np.r_[True, group[1:] != group[:-1]]][group]
-        later = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
-        rows = _to_docs(doc[later], place[later], 1)
-    return pa.table({"doc_id": pa.concat_arrays([passing["doc_id"].combine_chunks(), pa.array([r[1] for r in rows], pa.int64())]),
-                     "data": pa.concat_arrays([passing["data"].combine_chunks(), pa.array([r[2] for r in rows], pa.binary())])})
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = None
+        parts = [_unpack(d, np.uint64, np.uint32, np.uint32) for d in table.filter(pc.invert(table["reply"]))["data"].to_pylist()]
+        if parts:
+            doc, h, check, place = (np.concatenate(c) for c in zip(*parts))
+            by_place = np.lexsort((place, doc))
+            doc, h, check, place = doc[by_place], h[by_place], check[by_place], place[by_place]
+            order, group = _groups(check, h)
+            lead = order[np.r_[True, group[1:] != group[:-1]]][group]
+            later = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
+            rows = _to_docs(doc[later], place[later], buckets)
+        return _answer(table, rows)
+
+    return run
 
 
 def _remove(window: int, names: list[str]):
@@ -205,7 +236,7 @@ def _remove(window: int, names: list[str]):
                 found = text.encode().split()
                 n = len(found)
                 if starts:
-                    at = np.frombuffer(b"".join(starts), np.uint32).astype(np.int64)
+                    at = np.frombuffer(starts, np.uint32).astype(np.int64)
                     change = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + window, n), minlength=n + 1)
                     found = list(compress(found, (np.cumsum(change)[:n] == 0).tolist()))
                 kept = b" ".join(found)
@@ -234,10 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     own = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c.lower() not in (*own, "_hits", "_removed")])
     probes = docs.select("doc_id", "text").mapInArrow(_probe(block, buckets), _PACKED)
-    hits = probes.groupBy("bucket").applyInArrow(_hits, _REPLY).groupBy("doc_id").agg(F.collect_list("data").alias("_hits"))
-    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "_hits")
+    hits = probes.groupBy("bucket").applyInArrow(_hits(buckets), _PACKED).groupBy("bucket").applyInArrow(_deliver(np.uint64), _REPLY)
+    near = docs.join(hits.withColumnRenamed("data", "_hits"), "doc_id", "left").select("doc_id", "text", "_hits")
     windows = near.mapInArrow(_extend(window, block, buckets), _PACKED)
-    removed = windows.groupBy("bucket").applyInArrow(_later, _REPLY).groupBy("doc_id").agg(F.collect_list("data").alias("_removed"))
+    removed = windows.groupBy("bucket").applyInArrow(_later(buckets), _PACKED).groupBy("bucket").applyInArrow(_deliver(np.uint32), _REPLY)
+    removed = removed.withColumnRenamed("data", "_removed")
     fields = [f for f in docs.schema.fields if f.name != "text"]
     fields += [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     fields += [StructField("kept_text", StringType())] if texts else []
