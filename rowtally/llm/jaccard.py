@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtally.llm.components import components
-from rowtally.llm.substrings import _batch, _groups, _slots, _to_buckets, _unpack
+from rowtally.llm.substrings import _groups, _slots, _to_buckets, _unpack
 from rowtally.llm.words import NOT_BLANK, batches_of, mix, words
 from rowtally.session import scratch_folder, stored
 
 TREE_ROWS = 64  # sets a prefix tree holds at most
 SPARE = 2  # segments more than differences
+HEAD = 0.35  # share of the order of n-grams that a first look is limited to
+_HEAD_END = np.uint64(int(HEAD * 2**64))
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -100,16 +102,19 @@ def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndar
 
 
 class PrefixTree:
-    """Ordered n-gram sets as paths of a tree. A branch holds the sets ``lo:hi`` that share its first ``depth`` n-grams."""
+    """Ordered n-gram sets as paths of a tree. A branch holds the sets ``lo:hi`` that share its first ``depth`` n-grams.
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    ``totals`` are the sets' sizes; a path may hold only the n-grams below some point of the order.
+    """
+
+    def __init__(self, sets: list[np.ndarray], totals: np.ndarray, percent: int):
         self.percent = percent
         universe, number = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum([len(s) for s in sets])
         paths = [number[e - len(s):e] for s, e in zip(sets, ends)]
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.order]
-        self.lengths = np.array([len(p) for p in self.paths])
+        self.totals = totals[self.order]
         self.shared = np.array([0, *(self._common(a, b) for a, b in zip(self.paths, self.paths[1:]))], np.int64)
         self.seen = np.zeros(len(universe), bool)
 
@@ -119,31 +124,35 @@ class PrefixTree:
         differ = np.flatnonzero(a[:n] != b[:n])
         return int(differ[0]) if len(differ) else n
 
-    def needed(self, x: int, y: int) -> int:
+    def _needed(self, x: int, y: int) -> int:
         """The least overlap at which sets of x and y n-grams are linked."""
         return -(-self.percent * (x + y) // (100 + self.percent))
 
-    def forest(self, part: np.ndarray) -> list[tuple[int, int]]:
-        """Links between sets (in tree order) that join different parts; ``part`` is updated."""
+    def partners(self, part: np.ndarray, join: bool) -> list[tuple[int, int]]:
+        """Pairs of sets (in tree order) of different parts whose overlap can reach the bound; with ``join`` (paths are whole,
+        so that it does), found pairs join their parts, and ``part`` is updated."""
         found = []
         for x in range(len(self.paths) - 1):
-            path = self.paths[x]
+            path, total = self.paths[x], int(self.totals[x])
             self.seen[path] = True
             stack = [(x + 1, len(self.paths), 0, 0)]
             while stack:
                 lo, hi, depth, overlap = stack.pop()
                 if (part[lo:hi] == part[x]).all():
                     continue
-                end = int(self.shared[lo + 1:hi].min()) if hi - lo > 1 else int(self.lengths[lo])
+                end = int(self.shared[lo + 1:hi].min()) if hi - lo > 1 else len(self.paths[lo])
                 step = self.paths[lo][depth:end]
                 overlap += int(self.seen[step].sum())
-                left = len(path) - int(np.searchsorted(path, step[-1], side="right")) if len(step) else len(path)
-                longest, shortest = int(self.lengths[lo:hi].max()), int(self.lengths[lo:hi].min())
-                if overlap + min(left, longest - end) < self.needed(len(path), shortest):
+                left = total - (int(np.searchsorted(path, step[-1], side="right")) if len(step) else 0)
+                if hi - lo == 1:
+                    left = total - len(path)
+                longest, shortest = int(self.totals[lo:hi].max()), int(self.totals[lo:hi].min())
+                if overlap + min(left, longest - end) < self._needed(total, shortest):
                     continue
                 if hi - lo == 1:
                     found.append((x, lo))
-                    part[part == part[lo]] = part[x]
+                    if join:
+                        part[part == part[lo]] = part[x]
                     continue
                 cuts = [lo, *(lo + 1 + np.flatnonzero(self.shared[lo + 1:hi] == end)).tolist(), hi]
                 stack += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:])]
@@ -175,15 +184,16 @@ def _segments(n: int, percent: int, buckets: int):
             same[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
             text, sig = text[~same[text]], sig[~same[text]]
             if len(sig):
-                yield _batch(_to_buckets(_slots(sig, buckets), ids[text], (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+                yield _to_buckets(_slots(sig, buckets), ids[text], (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (sig >> np.uint64(56)).astype(np.uint8))
 
     return run
 
 
 def _candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """(doc, leader): documents that share a segment with others, and the smallest of these."""
-    parts = [_unpack(d, np.uint32) for d in table["data"].to_pylist()]
-    doc, code = (np.concatenate(c) for c in zip(*parts))
+    parts = [_unpack(d, np.uint32, np.uint8) for d in table["data"].to_pylist()]
+    doc, low, high = (np.concatenate(c) for c in zip(*parts))
+    code = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
     order = np.lexsort((doc, code))
     doc, code = doc[order], code[order]
     new = np.r_[True, code[1:] != code[:-1]]
@@ -194,35 +204,50 @@ def _candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _sets(n: int):
+    """The whole set of a text, and the n-grams in the first HEAD of the order in 32 bits."""
+
     def run(batches):
         for batch in batches_of(batches, "text", 4 << 20):
             h, bounds = shingle_sets(batch.column("text"), n)
-            ids, places = batch.column("doc_id").to_pylist(), batch.column("places").to_pylist()
-            rows = [(p["part"], ids[i], p["component"], h[bounds[i]:bounds[i + 1]].tobytes()) for i in range(len(ids)) for p in places[i]]
-            for at in range(0, len(rows), 256):
-                columns = zip(*rows[at:at + 256])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["part", "doc", "component", "grams"])
+            grams = [h[a:b] for a, b in zip(bounds, bounds[1:])]
+            heads = [(g[g < _HEAD_END] >> np.uint64(32)).astype(np.uint32) for g in grams]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in heads], pa.binary()), pa.array(np.diff(bounds), pa.int64())],
+                ["doc", "grams", "head", "total"])
+
+    return run
+
+
+def _screen(percent: int):
+    """Which rows of a part have a partner by the heads of their sets; shared hashes only raise an overlap."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tree = PrefixTree([np.frombuffer(g, np.uint32) for g in table["head"].to_pylist()], table["total"].to_numpy(), percent)
+        pairs = tree.partners(table["component"].to_numpy()[tree.order], join=False)
+        rows = np.array(tree.order)[np.unique(np.array(pairs, np.int64).reshape(-1))] if pairs else np.zeros(0, np.int64)
+        return table.select(["part", "doc", "component"]).take(pa.array(rows, pa.int64()))
 
     return run
 
 
 def _join_part(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table["doc"].to_numpy(), return_index=True)
-        grams = table["grams"].to_pylist()
-        tree = PrefixTree([np.frombuffer(grams[i], np.uint64) for i in first], percent)
-        ids, part = ids[tree.order], table["component"].to_numpy()[first][tree.order].copy()
-        links = tree.forest(part)
+        sets = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        tree = PrefixTree(sets, np.array([len(s) for s in sets]), percent)
+        ids, part = table["doc"].to_numpy()[tree.order], table["component"].to_numpy()[tree.order].copy()
+        links = tree.partners(part, join=True)
         return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
 
     return run
 
 
-def _linked(docs: DataFrame, places: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links found in the prefix tree of each part; ``places``: doc, part, component."""
-    by_doc = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("part", "component")).alias("places"))
-    sets = docs.join(by_doc, "doc_id").mapInArrow(_sets(n), "part string, doc long, component long, grams binary")
-    return stored(sets.groupBy("part").applyInArrow(_join_part(percent), "a long, b long"), scratch_folder(docs.sparkSession, "links"))
+def _linked(sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """Links found in each part of ``places`` (doc, part, component): first by the heads of sets, then for what is left by whole sets."""
+    spark = sets.sparkSession
+    heads = sets.select("doc", "head", "total").join(places, "doc").select("part", "doc", "component", "head", "total")
+    near = stored(heads.groupBy("part").applyInArrow(_screen(percent), "part string, doc long, component long"), scratch_folder(spark, "near")).distinct()
+    whole = sets.select("doc", "grams").join(near, "doc").select("part", "doc", "component", "grams")
+    return stored(whole.groupBy("part").applyInArrow(_join_part(percent), "a long, b long"), scratch_folder(spark, "links"))
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -236,13 +261,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
        differences, so that linked sets agree on a whole segment. Documents that do are grouped under the smallest of
        them: every linked pair meets in some group, and a phrase that many share doesn't bring them together.
     3. Each group, cut into parts of TREE_ROWS with the leader in all, builds a prefix tree of its ordered sets. A set
-       walks it with the overlap of shared paths, leaves branches whose remaining lengths can't reach the bound, and skips those it is
-       already joined with.
+       walks it with the overlap of shared paths, leaves branches whose remaining lengths can't reach the bound, and skips
+       those it is already joined with. A first tree holds only the n-grams in the first HEAD of the order, which rules
+       most others out already; whole sets are sent only for the rest.
     4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts.
     5. Links are a forest per part; connected components give the result.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without doc_id get no component; rows that share
-    a doc_id are judged one by one in steps 1 and 2, and share the component. An empty table gives an empty result.
+    a doc_id are compared one by one and share their links. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -254,7 +280,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     other = keyed.join(copies, ["k1", "k2", "n"]).filter("doc_id > rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     other = stored(other, scratch_folder(spark, "copies"))
 
-    pairs = docs.mapInArrow(_segments(n, percent, buckets), "bucket int, doc_id long, data binary").groupBy("bucket").applyInArrow(_candidates, "doc long, leader long")
+    pairs = docs.mapInArrow(_segments(n, percent, buckets), "bucket int, reply boolean, data binary").groupBy("bucket").applyInArrow(_candidates, "doc long, leader long")
     for column in ("doc", "leader"):
         pairs = pairs.join(other.withColumnsRenamed({"doc_id": column, "rep": "_rep"}), column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
     groups = stored(pairs.filter("doc <> leader").distinct(), scratch_folder(spark, "groups"))
@@ -267,21 +293,23 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     heads = sizes.select(F.col("leader").alias("doc"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     places = members.select("doc", part(F.lit("a"), own).alias("part"), F.col("doc").alias("component"))
     places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component")))
-    links = _linked(docs, places, n, percent)
+    members = places.select(F.col("doc").alias("doc_id")).distinct()
+    sets = stored(docs.join(members, "doc_id").mapInArrow(_sets(n), "doc long, grams binary, head binary, total long"), scratch_folder(spark, "gram-sets"))
+    links = _linked(sets, places, percent)
 
     large = sizes.filter("parts > 1")
     if large.limit(1).count():
-        links = links.unionByName(_rest(docs, groups, large, links, n, percent))
+        links = links.unionByName(_rest(sets, groups, large, links, percent))
     parts = components(links)
     whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = keyed.join(whole, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _rest(docs: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+def _rest(sets: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links of large groups between documents of different parts and components: those outside a group's largest
     component, in parts of their own, meet all members, part by part."""
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     parts = components(links).withColumnRenamed("node", "doc")
     heads = large.select(F.col("leader").alias("doc"), "leader")
     rows = groups.join(large.select("leader"), "leader").select("doc", "leader").unionByName(heads)
@@ -296,4 +324,4 @@ def _rest(docs: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame
     inner = rows.select("doc", "leader", "component", every("outer").alias("i"), j.alias("j"))
     outer = rows.filter("component <> top").select("doc", "leader", "component", i.alias("i"), every("parts").alias("j"))
     places = inner.unionByName(outer).select("doc", F.concat_ws("/", "leader", F.lit("b"), "i", "j").alias("part"), "component").distinct()
-    return _linked(docs, places, n, percent)
+    return _linked(sets, places, percent)
