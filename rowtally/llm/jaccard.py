@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtally.llm.components import components
-from rowtally.llm.substrings import _groups, _slots, _to_buckets, _unpack
+from rowtally.llm.substrings import _PACKED, _groups, _slots, _to_buckets, _unpack
 from rowtally.llm.words import NOT_BLANK, batches_of, mix, words
 from rowtally.session import scratch_folder, stored
 
-TREE_ROWS = 64  # sets a prefix tree holds at most
+TREE_ROWS = 192  # sets a prefix tree holds at most
 SPARE = 2  # segments more than differences
 HEAD = 0.35  # share of the order of n-grams that a first look is limited to
 _HEAD_END = np.uint64(int(HEAD * 2**64))
@@ -102,9 +104,10 @@ def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndar
 
 
 class PrefixTree:
-    """Ordered n-gram sets as paths of a tree. A branch holds the sets ``lo:hi`` that share its first ``depth`` n-grams.
+    """Ordered n-gram sets as paths of a tree. A branch holds the sets ``lo:hi`` that share its first n-grams.
 
-    ``totals`` are the sets' sizes; a path may hold only the n-grams below some point of the order.
+    ``totals`` are the sets' sizes; a path may hold only the n-grams below some point of the order. Branches are kept level
+    by level, so that a set meets all branches of a level at once.
     """
 
     def __init__(self, sets: list[np.ndarray], totals: np.ndarray, percent: int):
@@ -115,8 +118,17 @@ class PrefixTree:
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.order]
         self.totals = totals[self.order]
-        self.shared = np.array([0, *(self._common(a, b) for a, b in zip(self.paths, self.paths[1:]))], np.int64)
-        self.seen = np.zeros(len(universe), bool)
+        self.nothing = len(universe)  # stands at the end of each step, so that none is empty
+        self.seen = np.zeros(len(universe) + 1, bool)
+        shared = np.array([0, *(self._common(a, b) for a, b in zip(self.paths, self.paths[1:]))], np.int64)
+        self.levels = []
+        branches = [(0, len(sets), 0, 0)]  # lo, hi, depth, parent
+        while branches:
+            self.levels.append(self._level(branches, shared))
+            ends = self.levels[-1]["end"].tolist()
+            branches = [
+                (a, b, end, i) for i, ((lo, hi, _, _), end) in enumerate(zip(branches, ends)) if hi - lo > 1
+                for a, b in itertools.pairwise([lo, *(lo + 1 + np.flatnonzero(shared[lo + 1:hi] == end)).tolist(), hi])]
 
     @staticmethod
     def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -124,39 +136,48 @@ class PrefixTree:
         differ = np.flatnonzero(a[:n] != b[:n])
         return int(differ[0]) if len(differ) else n
 
-    def _needed(self, x: int, y: int) -> int:
-        """The least overlap at which sets of x and y n-grams are linked."""
-        return -(-self.percent * (x + y) // (100 + self.percent))
-
-    def partners(self, part: np.ndarray, join: bool) -> list[tuple[int, int]]:
-        """Pairs of sets (in tree order) of different parts whose overlap can reach the bound; with ``join`` (paths are whole,
-        so that it does), found pairs join their parts, and ``part`` is updated."""
-        found = []
-        for x in range(len(self.paths) - 1):
-            path, total = self.paths[x], int(self.totals[x])
-            self.seen[path] = True
-            stack = [(x + 1, len(self.paths), 0, 0)]
-            while stack:
-                lo, hi, depth, overlap = stack.pop()
-                if (part[lo:hi] == part[x]).all():
-                    continue
-                end = int(self.shared[lo + 1:hi].min()) if hi - lo > 1 else len(self.paths[lo])
-                step = self.paths[lo][depth:end]
-                overlap += int(self.seen[step].sum())
-                left = total - (int(np.searchsorted(path, step[-1], side="right")) if len(step) else 0)
-                if hi - lo == 1:
-                    left = total - len(path)
-                longest, shortest = int(self.totals[lo:hi].max()), int(self.totals[lo:hi].min())
-                if overlap + min(left, longest - end) < self._needed(total, shortest):
-                    continue
-                if hi - lo == 1:
-                    found.append((x, lo))
+    def _level(self, branches: list[tuple], shared: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi, depth, parent = (np.array(c) for c in zip(*branches))
+        end = np.array([int(shared[a + 1:b].min()) if b - a > 1 else len(self.paths[a]) for a, b in zip(lo, hi)])
+        steps = [np.append(self.paths[a][d:e], self.nothing) for a, d, e in zip(lo, depth, end)]
+        return {
+            "lo": lo, "hi": hi, "parent": parent, "end": end, "leaf": hi - lo == 1,
+            "last": np.array([self.paths[a][e - 1] if e else -1 for a, e in zip(lo, end)]),
+            "steps": np.concatenate(steps), "cuts": np.cumsum([0, *(len(x) for x in steps[:-1])]),
+            "longest": np.array([self.totals[a:b].max() for a, b in zip(lo, hi)]), "shortest": np.array([self.totals[a:b].min() for a, b in zip(lo, hi)])}
+
+    def partners(self, part: np.ndarray, probe: np.ndarray, join: bool) -> list[tuple[int, int]]:
+        """Pairs of sets (in tree order) of different parts, one of them a probe at least, whose overlap can reach the bound.
+
+        With ``join`` (paths are whole, so that it does) found pairs join their parts, and ``part`` is updated.
+        """
+        found: list[tuple[int, int]] = []
+        for x in np.flatnonzero(probe).tolist():
+            wanted = (part != part[x]) & ~probe
+            wanted[x + 1:] = part[x + 1:] != part[x]
+            if wanted.any():
+                found += self._walk(x, np.concatenate([[0], np.cumsum(wanted)]), part, join)
+        return found
+
+    def _walk(self, x: int, wanted: np.ndarray, part: np.ndarray, join: bool) -> list[tuple[int, int]]:
+        path, total, found = self.paths[x], int(self.totals[x]), []
+        self.seen[path] = True
+        overlap, alive = np.zeros(1, np.int64), np.ones(1, bool)
+        for level in self.levels:
+            alive = alive[level["parent"]] & (wanted[level["hi"]] > wanted[level["lo"]])
+            if not alive.any():
+                break
+            overlap = overlap[level["parent"]] + np.add.reduceat(self.seen[level["steps"]], level["cuts"], dtype=np.int64)
+            left = total - np.where(level["leaf"], len(path), np.searchsorted(path, level["last"], side="right"))
+            needed = -(-self.percent * (total + level["shortest"]) // (100 + self.percent))
+            alive &= overlap + np.minimum(left, level["longest"] - level["end"]) >= needed
+            for y in level["lo"][alive & level["leaf"]].tolist():
+                if not join or part[y] != part[x]:
+                    found.append((x, y))
                     if join:
-                        part[part == part[lo]] = part[x]
-                    continue
-                cuts = [lo, *(lo + 1 + np.flatnonzero(self.shared[lo + 1:hi] == end)).tolist(), hi]
-                stack += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:])]
-            self.seen[path] = False
+                        part[part == part[y]] = part[x]
+            alive &= ~level["leaf"]
+        self.seen[path] = False
         return found
 
 
@@ -189,18 +210,28 @@ def _segments(n: int, percent: int, buckets: int):
     return run
 
 
-def _candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """(doc, leader): documents that share a segment with others, and the smallest of these."""
-    parts = [_unpack(d, np.uint32, np.uint8) for d in table["data"].to_pylist()]
-    doc, low, high = (np.concatenate(c) for c in zip(*parts))
-    code = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-    order = np.lexsort((doc, code))
-    doc, code = doc[order], code[order]
-    new = np.r_[True, code[1:] != code[:-1]]
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    pairs = np.unique(np.stack([doc[several], doc[new][group][several]]), axis=1)
-    return pa.table({"doc": pairs[0], "leader": pairs[1]})
+def _candidates(buckets: int):
+    """(doc, leader): documents that share a segment with others, and the smallest of these; packed by leader."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [_unpack(d, np.uint32, np.uint8) for d in table["data"].to_pylist()]
+        doc, low, high = (np.concatenate(c) for c in zip(*parts))
+        code = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        order = np.lexsort((doc, code))
+        doc, code = doc[order], code[order]
+        new = np.r_[True, code[1:] != code[:-1]]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        leader, doc = np.unique(np.stack([doc[new][group][several], doc[several]]), axis=1)
+        return pa.table(_to_buckets(mix(leader.astype(np.uint64)).astype(np.int64) % buckets, leader, doc))
+
+    return run
+
+
+def _distinct_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    leader, doc = (np.concatenate(c) for c in zip(*(_unpack(d, np.int64) for d in table["data"].to_pylist())))
+    leader, doc = np.unique(np.stack([leader, doc]), axis=1)
+    return pa.table({"doc": doc, "leader": leader})
 
 
 def _sets(n: int):
@@ -212,8 +243,8 @@ def _sets(n: int):
             grams = [h[a:b] for a, b in zip(bounds, bounds[1:])]
             heads = [(g[g < _HEAD_END] >> np.uint64(32)).astype(np.uint32) for g in grams]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in heads], pa.binary()), pa.array(np.diff(bounds), pa.int64())],
-                ["doc", "grams", "head", "total"])
+                [batch.column("doc_id"), batch.column("large"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in heads], pa.binary()), pa.array(np.diff(bounds), pa.int64())],
+                ["doc", "large", "grams", "head", "total"])
 
     return run
 
@@ -223,9 +254,10 @@ def _screen(percent: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tree = PrefixTree([np.frombuffer(g, np.uint32) for g in table["head"].to_pylist()], table["total"].to_numpy(), percent)
-        pairs = tree.partners(table["component"].to_numpy()[tree.order], join=False)
+        part, probe = (table[c].to_numpy()[tree.order] for c in ("component", "probe"))
+        pairs = tree.partners(part, probe, join=False)
         rows = np.array(tree.order)[np.unique(np.array(pairs, np.int64).reshape(-1))] if pairs else np.zeros(0, np.int64)
-        return table.select(["part", "doc", "component"]).take(pa.array(rows, pa.int64()))
+        return table.select(["part", "doc", "component", "probe"]).take(pa.array(rows, pa.int64()))
 
     return run
 
@@ -234,19 +266,19 @@ def _join_part(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
         tree = PrefixTree(sets, np.array([len(s) for s in sets]), percent)
-        ids, part = table["doc"].to_numpy()[tree.order], table["component"].to_numpy()[tree.order].copy()
-        links = tree.partners(part, join=True)
+        ids, part, probe = (table[c].to_numpy()[tree.order] for c in ("doc", "component", "probe"))
+        links = tree.partners(part, probe, join=True)
         return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
 
     return run
 
 
 def _linked(sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Links found in each part of ``places`` (doc, part, component): first by the heads of sets, then for what is left by whole sets."""
+    """Links found in each part of ``places`` (doc, part, component, probe): first by the heads of sets, then for what is left by whole sets."""
     spark = sets.sparkSession
-    heads = sets.select("doc", "head", "total").join(places, "doc").select("part", "doc", "component", "head", "total")
-    near = stored(heads.groupBy("part").applyInArrow(_screen(percent), "part string, doc long, component long"), scratch_folder(spark, "near")).distinct()
-    whole = sets.select("doc", "grams").join(near, "doc").select("part", "doc", "component", "grams")
+    heads = sets.select("doc", "head", "total").join(places, "doc").select("part", "doc", "component", "probe", "head", "total")
+    near = stored(heads.groupBy("part").applyInArrow(_screen(percent), "part string, doc long, component long, probe boolean"), scratch_folder(spark, "near")).distinct()
+    whole = sets.select("doc", "grams").join(near, "doc").select("part", "doc", "component", "probe", "grams")
     return stored(whole.groupBy("part").applyInArrow(_join_part(percent), "a long, b long"), scratch_folder(spark, "links"))
 
 
@@ -280,7 +312,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     other = keyed.join(copies, ["k1", "k2", "n"]).filter("doc_id > rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     other = stored(other, scratch_folder(spark, "copies"))
 
-    pairs = docs.mapInArrow(_segments(n, percent, buckets), "bucket int, reply boolean, data binary").groupBy("bucket").applyInArrow(_candidates, "doc long, leader long")
+    pairs = docs.mapInArrow(_segments(n, percent, buckets), _PACKED).groupBy("bucket").applyInArrow(_candidates(buckets), _PACKED)
+    pairs = pairs.groupBy("bucket").applyInArrow(_distinct_pairs, "doc long, leader long")
     for column in ("doc", "leader"):
         pairs = pairs.join(other.withColumnsRenamed({"doc_id": column, "rep": "_rep"}), column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
     groups = stored(pairs.filter("doc <> leader").distinct(), scratch_folder(spark, "groups"))
@@ -292,14 +325,18 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = groups.join(sizes, "leader")
     heads = sizes.select(F.col("leader").alias("doc"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     places = members.select("doc", part(F.lit("a"), own).alias("part"), F.col("doc").alias("component"))
-    places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component")))
-    members = places.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stored(docs.join(members, "doc_id").mapInArrow(_sets(n), "doc long, grams binary, head binary, total long"), scratch_folder(spark, "gram-sets"))
+    places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component"))).withColumn("probe", F.lit(True))
+    both = members.select("doc", "parts").unionByName(sizes.select(F.col("leader").alias("doc"), "parts"))
+    both = both.groupBy(F.col("doc").alias("doc_id")).agg((F.max("parts") > 1).alias("large"))
+    sets = docs.join(both, "doc_id").mapInArrow(_sets(n), "doc long, large boolean, grams binary, head binary, total long")
+    folder = scratch_folder(spark, "gram-sets")
+    sets.write.partitionBy("large").parquet(folder)
+    sets = spark.read.schema("doc long, grams binary, head binary, total long, large boolean").parquet(folder)
     links = _linked(sets, places, percent)
 
     large = sizes.filter("parts > 1")
     if large.limit(1).count():
-        links = links.unionByName(_rest(sets, groups, large, links, percent))
+        links = links.unionByName(_rest(sets.filter("large"), groups, large, links, percent))
     parts = components(links)
     whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = keyed.join(whole, ["k1", "k2", "n"], "left")
@@ -321,7 +358,7 @@ def _rest(sets: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame
     rows = rows.join(tops, "leader")
     i, j = (F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("outer", "parts"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    inner = rows.select("doc", "leader", "component", every("outer").alias("i"), j.alias("j"))
-    outer = rows.filter("component <> top").select("doc", "leader", "component", i.alias("i"), every("parts").alias("j"))
-    places = inner.unionByName(outer).select("doc", F.concat_ws("/", "leader", F.lit("b"), "i", "j").alias("part"), "component").distinct()
+    inner = rows.select("doc", "leader", "component", every("outer").alias("i"), j.alias("j"), F.lit(False).alias("probe"))
+    outer = rows.filter("component <> top").select("doc", "leader", "component", i.alias("i"), every("parts").alias("j"), F.lit(True).alias("probe"))
+    places = inner.unionByName(outer).select("doc", F.concat_ws("/", "leader", F.lit("b"), "i", "j").alias("part"), "component", "probe")
     return _linked(sets, places, percent)
