@@ -13,7 +13,7 @@ from rowtally.llm.components import components, local_forest
 from rowtally.session import scratch_folder, stored
 
 BLOCK_DIMENSIONS = 8
-GROUP_ROWS = 32_768  # vectors a task holds from either side, at most
+GROUP_ROWS = 65_536  # vectors a task holds from either side, at most
 SLACK = 1e-9
 
 
@@ -79,19 +79,20 @@ def _join_cell(least: float, budgets):
         where, budget = plan[number]
         left, right = np.flatnonzero(home & (side != 1)), np.flatnonzero(side != 0)
         low = turned[:, where].astype(np.float32)
-        square = (low ** 2).sum(1)
+        square, one = (low ** 2).sum(1)[:, None], np.ones((len(low), 1), np.float32)
+        minuend, subtrahend = np.hstack([-2 * low, square, one]), np.hstack([low, one, square])  # their product: squared distances
         right = right[np.argsort(low[right, 0], kind="stable")]
         left = left[np.argsort(low[left, 0], kind="stable")]
         along, radius = low[right, 0], np.sqrt(budget) + 1e-4
+        sorted_right = np.ascontiguousarray(subtrahend[right].T)
         links, pairs = np.zeros(len(ids), np.int64), []
         for at in range(0, len(left), 256):
             mine = left[at:at + 256]
             a, b = np.searchsorted(along, [low[mine[0], 0] - radius, low[mine[-1], 0] + radius])
-            for c in range(a, b, 8192):
-                other = right[c:min(c + 8192, b)]
-                gap = square[mine, None] + square[other] - 2 * (low[mine] @ low[other].T)
-                i, j = np.nonzero(gap <= budget + 1e-4)
-                i, j = mine[i], other[j]
+            for c in range(a, b, 2048):
+                d2 = min(c + 2048, b)
+                i, j = np.divmod(np.flatnonzero((minuend[mine] @ sorted_right[:, c:d2]).ravel() <= np.float32(budget + 1e-4)), d2 - c)
+                i, j = mine[i], right[c + j]
                 for e in range(0, len(i), 65536):
                     p, q = i[e:e + 65536], j[e:e + 65536]
                     near = (np.einsum("ij,ij->i", unit[p], unit[q]) >= least) & (ids[p] != ids[q])
