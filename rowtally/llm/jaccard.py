@@ -274,11 +274,12 @@ def _join_part(percent: int):
 
 
 def _linked(sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Links found in each part of ``places`` (doc, part, component, probe): first by the heads of sets, then for what is left by whole sets."""
+    """Links found in each part of ``places`` (doc, part, component, probe): first by the heads of sets, then for what is left by
+    whole sets. Places grow with the corpus, so that they are never broadcast, however few they are."""
     spark = sets.sparkSession
-    heads = sets.select("doc", "head", "total").join(places, "doc").select("part", "doc", "component", "probe", "head", "total")
+    heads = sets.select("doc", "head", "total").join(places.hint("merge"), "doc").select("part", "doc", "component", "probe", "head", "total")
     near = stored(heads.groupBy("part").applyInArrow(_screen(percent), "part string, doc long, component long, probe boolean"), scratch_folder(spark, "near")).distinct()
-    whole = sets.select("doc", "grams").join(near, "doc").select("part", "doc", "component", "probe", "grams")
+    whole = sets.select("doc", "grams").join(near.hint("merge"), "doc").select("part", "doc", "component", "probe", "grams")
     return stored(whole.groupBy("part").applyInArrow(_join_part(percent), "a long, b long"), scratch_folder(spark, "links"))
 
 
@@ -328,7 +329,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component"))).withColumn("probe", F.lit(True))
     both = members.select("doc", "parts").unionByName(sizes.select(F.col("leader").alias("doc"), "parts"))
     both = both.groupBy(F.col("doc").alias("doc_id")).agg((F.max("parts") > 1).alias("large"))
-    sets = docs.join(both, "doc_id").mapInArrow(_sets(n), "doc long, large boolean, grams binary, head binary, total long")
+    sets = docs.join(both.hint("merge"), "doc_id").mapInArrow(_sets(n), "doc long, large boolean, grams binary, head binary, total long")
     folder = scratch_folder(spark, "gram-sets")
     sets.write.partitionBy("large").parquet(folder)
     sets = spark.read.schema("doc long, grams binary, head binary, total long, large boolean").parquet(folder)
