@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtally.llm.encoding import encoder
 from rowtally.llm.words import batches_of
+from rowtally.session import scratch_folder, stored
 
 BLOCK = 1024
 
@@ -36,6 +37,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
     n = F.col("n_tokens")
     by_length = token_lengths(docs, tokenizer, text).groupBy("n_tokens").agg(F.sum("documents").alias("documents"))
     by_length = by_length.select("n_tokens", "documents", (n * F.col("documents")).alias("tokens"), F.floor(n / BLOCK).alias("_block"))
+    by_length = stored(by_length, scratch_folder(docs.sparkSession, "lengths"))
     blocks = by_length.groupBy("_block").agg(F.sum("documents").alias("_d"), F.sum("tokens").alias("_t"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
