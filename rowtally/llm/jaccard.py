@@ -15,7 +15,7 @@ from rowtally.llm.words import NOT_BLANK, batches_of, mix, words
 from rowtally.session import scratch_folder, stored
 
 TREE_ROWS = 192  # sets a prefix tree holds at most
-SPARE = 2  # segments more than differences
+SPARE = 2  # segments more than differences, at least
 HEAD = 0.35  # share of the order of n-grams that a first look is limited to
 _HEAD_END = np.uint64(int(HEAD * 2**64))
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
@@ -58,8 +58,10 @@ class Sizes:
         while edges[-1] < 1 << 40:
             edges.append(edges[-1] * 100 // percent + 1)
         self.edges = np.array(edges, np.int64)
-        most = self.edges[1:] - 1
-        self.segments = (100 - percent) * (most + most * 100 // percent) // (100 + percent) + 1 + SPARE
+        least, most = self.edges[:-1], self.edges[1:] - 1
+        enough = (100 - percent) * (most + most * 100 // percent) // (100 + percent) + 1
+        self.spare = SPARE + np.ceil(2.5 * enough * np.exp(-least / enough)).astype(np.int64)  # more than the empty ones of nearly all sets
+        self.segments = enough + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, side="right") - 1
@@ -71,8 +73,8 @@ class Sizes:
 def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of the segments of each set: equal segments of two sets of one size class have equal signatures.
 
-    The order of n-grams is cut into as many segments as the class asks for, so that linked sets agree on SPARE + 1 of
-    them. Empty segments are left out unless a set has over SPARE of them: then agreement may lie in these alone.
+    The order of n-grams is cut into as many segments as the class asks for, so that linked sets agree on more of
+    them than are spare. Empty segments are left out unless a set has more of them than are spare: then agreement may lie in these alone.
     """
     n = np.diff(bounds)
     some = np.flatnonzero(n)
@@ -93,7 +95,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndar
         out_text.append(mine[owner[cuts]])
         out_sig.append(mix(total ^ place))
         filled = np.bincount(owner[cuts], minlength=len(mine))
-        for i in np.flatnonzero(sizes.segments[kind] - filled > SPARE):
+        for i in np.flatnonzero(sizes.segments[kind] - filled > sizes.spare[kind]):
             own = segment[cuts][owner[cuts] == i]
             empty = np.setdiff1d(np.arange(sizes.segments[kind[i]], dtype=np.uint64), own)
             out_text.append(np.full(len(empty), mine[i]))
