@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks import feeds
 from checks.feeds import duck
+from rowtally.functions.names import EXCLUDED_PATTERNS, KEY_PATTERNS
 
 W = r"[\s\x0b\x1c-\x1f]"
 PAD = r"[\s\x0b]"
@@ -123,19 +124,8 @@ NAME_NORM = (
 )
 
 # The scoring rules on normalised names, in order.
-_RULES = [
-    (r"^sku$", "1.0", "SKU"), (r"^id$", "0.95", "ID"), (r"^ean$", "0.9", "EAN"), (r"^gtin$", "0.9", "GTIN"),
-    (r"^upc$", "0.9", "UPC"), (r"^mpn$", "0.9", "MPN"), (r"^offerid$", "0.95", "OfferID"),
-    (r"^productid$", "0.95", "ProductID"), (r"^itemid$", "0.9", "ItemID"), (r"^articleid$", "0.9", "ArticleID"),
-    (r"^sku_?(id|code|num|no|number)?$", "0.95", "SKU variant"),
-    (r"^(product|item|article|offer)_?(sku|id|code)$", "0.9", "Product/Item ID"),
-    (r"^(product|item|article|offer)_?(number|num|no)$", "0.85", "Product Number"),
-    (r"sku|stock_?keeping_?unit", "0.8", "Contains SKU"),
-    (r"^ean_?(code|number|num|no)?$", "0.9", "EAN variant"), (r"^gtin_?(code|number|num|no)?$", "0.9", "GTIN variant"),
-    (r"^upc_?(code|number|num|no)?$", "0.9", "UPC variant"), (r"^mpn_?(code|number|num|no)?$", "0.85", "MPN variant"),
-    (r"^model_?(number|num|no|id|code)?$", "0.7", "Model Number"), (r"^part_?(number|num|no|id|code)?$", "0.7", "Part Number"),
-]
-_NOT_A_KEY = r"^(category|parent|group|manufacturer|brand|country|tax|currency|language|warehouse|store|shop|row)_?id$|^index$|^unnamed"
+_RULES = KEY_PATTERNS
+_NOT_A_KEY = "|".join(EXCLUDED_PATTERNS)
 
 
 def _guided(user, priority):
