@@ -197,3 +197,10 @@ SITE_NAMES = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'shop.DE
 
 SITES = """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name END AS title,
  CASE WHEN s_suppkey % 5 <> 0 THEN 'n' || CAST(s_suppkey AS STRING) END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'active' END AS status FROM {supplier}"""
+
+PACKED = """SELECT g, 'p' || CAST(g AS STRING) || CASE g % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.xml.zip' END AS _file, p_partkey, p_name, p_brand
+ FROM (SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS g, p_partkey, p_name, p_brand FROM {part})"""
+
+# Records of two feeds: an inch mark in each title of one, a title over two lines in each record of the other.
+QUOTED = """SELECT 'inch.csv' AS _file, p_partkey AS sku, '27" ' || p_name AS title, CAST(p_partkey AS STRING) || ',27" ' || p_name AS line FROM {part}
+ UNION ALL SELECT 'lines.csv', p_partkey, p_name || chr(10) || p_brand, CAST(p_partkey AS STRING) || ',"' || p_name || chr(10) || p_brand || '"' FROM {part}"""

@@ -269,8 +269,14 @@ def _sites(where: str) -> str:
  QUALIFY row_number() OVER (PARTITION BY response, id ORDER BY pos) = 1""")
 
 
-_PACKED_CELLS = """SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.xml' END AS _file,
- CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""
+_FAULTS = """WITH b AS (SELECT p_partkey AS k FROM {part}), n AS (SELECT k FROM b WHERE k % 11 <> 0),
+good_b AS (SELECT k FROM b WHERE k % 10 <> 3), good_n AS (SELECT k FROM n WHERE k % 10 <> 7),
+faults AS (SELECT 'parts' AS _file, 'success' AS status, NULL AS reason, (SELECT count(*) FROM b) AS rows_1, (SELECT count(*) FROM n) AS rows_2,
+   (SELECT count(*) FROM n) AS common, CAST(0 AS BIGINT) AS rejects_1, CAST(0 AS BIGINT) AS rejects_2
+ UNION ALL SELECT 'dirty', 'success', NULL, (SELECT count(*) FROM good_b), (SELECT count(*) FROM good_n),
+   (SELECT count(*) FROM good_b JOIN good_n USING (k)), (SELECT count(*) FROM b WHERE k % 10 = 3), (SELECT count(*) FROM n WHERE k % 10 = 7)
+ UNION ALL SELECT 'shop', 'error', 'several feeds of this name: shop.csv, shop.xml', NULL, NULL, NULL, 0, 0
+ UNION ALL SELECT 'empty', 'error', 'empty file', NULL, NULL, NULL, 0, 0)"""
 
 ORACLE |= {
     "csv_scan": duck(f"""SELECT nullif(sku, '') AS sku, nullif(title, '') AS title, nullif(brand, '') AS brand, nullif(kind, '') AS kind,
@@ -278,11 +284,20 @@ ORACLE |= {
     "folder_column_stats": files(STATS),
     "folder_diff_cells": files("""SELECT _file, sku, "column", coalesce(value_1, '') AS value_1, coalesce(value_2, '') AS value_2
  FROM coded WHERE code >= 2"""),
-    "folder_pair_summary": files("SELECT * FROM summary"),
+    "folder_pair_summary": files("SELECT *, CAST(0 AS BIGINT) AS rejects_1, CAST(0 AS BIGINT) AS rejects_2 FROM summary"),
     "folder_missing_keys": files(MISSING),
     "csv_delimiters": duck("""SELECT 'f' || p_partkey AS path, CASE p_partkey % 8 WHEN 0 THEN '|' WHEN 1 THEN ';' WHEN 2 THEN chr(9)
  WHEN 3 THEN ',' WHEN 4 THEN '~' WHEN 5 THEN '^' WHEN 6 THEN chr(1) ELSE ',' END AS delimiter FROM {part}"""),
-    "packed_scan": duck(_PACKED_CELLS),
+    "packed_scan": duck(f"SELECT _file, CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM ({feeds.PACKED})"),
+    "csv_inch_mark": duck(f"""SELECT _file, count(*) AS rows, CAST(sum(length(title)) AS BIGINT) AS characters, _file = 'lines.csv' AS quoted_newline
+ FROM ({feeds.QUOTED}) GROUP BY _file"""),
+    "xml_root_children": duck("""SELECT 'parts.xml' AS _file, CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""),
+    "folder_faults": duck(f"{_FAULTS} SELECT * FROM faults"),
+    "folder_faults_log": duck(f"""{_FAULTS} SELECT 'ERROR' AS category, _file AS file, reason AS message FROM faults WHERE status = 'error'
+ UNION ALL SELECT 'WARN', _file, 'records that do not parse: ' || rejects_1 || ' | ' || rejects_2 FROM faults WHERE rejects_1 + rejects_2 > 0"""),
+    "folder_faults_run": duck(f"""{_FAULTS} SELECT count(*) AS total_pairs, count(*) FILTER (status = 'success') AS success, CAST(0 AS BIGINT) AS skipped,
+ count(*) FILTER (status = 'error') AS failed, CAST(sum(common) AS BIGINT) AS total_skus, CAST(0 AS BIGINT) AS total_diffs,
+ CAST(sum(rows_1 + rows_2 - 2 * common) AS BIGINT) AS total_missing, CAST(100 AS DOUBLE) AS avg_match_rate FROM faults"""),
     "file_pairing": duck(f"""SELECT coalesce(a._file, b._file) AS _file, CASE WHEN a._file IS NULL OR b._file IS NULL THEN 'unpaired' ELSE 'paired' END AS status,
  CASE WHEN a._file IS NULL THEN 'only in comparison' WHEN b._file IS NULL THEN 'only in baseline' END AS reason
  FROM ({feeds.LISTING_A}) a FULL JOIN ({feeds.LISTING_B}) b ON a._file = b._file"""),

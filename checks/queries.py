@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks import feeds
 from checks.feeds import spark_sql
@@ -185,40 +187,99 @@ def csv_delimiters(spark, sf_dir):
     return csvfeeds.delimiters(lines.withColumn("line", F.col("line").cast("binary")))
 
 
-def _packed(kind, sku, title, brand):
-    """One small archive, workbook or XML document holding one record."""
+def _packed(kind, records):
+    """An archive with a CSV feed, a workbook, or an archive with an XML document."""
     import io
     import zipfile
     from xml.sax.saxutils import escape
 
-    if kind == 2:
-        return f"<shop><thing><sku>{sku}</sku><title>{escape(title)}</title><brand>{escape(brand)}</brand></thing></shop>".encode()
-    cell = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-    row = lambda *cells: "<row>" + "".join(map(cell, cells)) + "</row>"
-    sheet = f"<worksheet><sheetData>{row('sku', 'title', 'brand')}{row(str(sku), title, brand)}</sheetData></worksheet>"
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        if kind == 1:
-            z.writestr("xl/worksheets/sheet1.xml", sheet)
-        else:
+        if kind == 0:
             z.writestr("notes.txt", "-")
-            z.writestr("feed.csv", f"sku;title;brand\n{sku};{title};{brand}\n")
+            z.writestr("feed.csv", "\n".join(";".join(r) for r in [("sku", "title", "brand"), *records]))
+        elif kind == 1:
+            cell = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+            rows = ["<row>" + "".join(map(cell, r)) + "</row>" for r in [("sku", "title", "brand"), *records]]
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{''.join(rows)}</sheetData></worksheet>")
+        else:
+            things = [f"<thing><sku>{s}</sku><title>{escape(t)}</title><brand>{escape(b)}</brand></thing>" for s, t, b in records]
+            z.writestr("feed.xml", f"<shop>{''.join(things)}</shop>")
     return buffer.getvalue()
 
 
 def packed_scan(spark, sf_dir):
-    """Every part packed into a file of its own, then unpacked."""
+    """The parts, a hundred to a packed file, unpacked and read."""
+    import pandas as pd
+
+    def pack(part):
+        records = list(zip(part["p_partkey"].astype(str), part["p_name"], part["p_brand"]))
+        return pd.DataFrame({"_file": part["_file"][:1], "content": [_packed(int(part["g"].iloc[0]) % 3, records)]})
+
+    contents = spark_sql(spark, sf_dir, feeds.PACKED).groupBy("_file").applyInPandas(pack, "_file string, content binary")
+    folder = scratch_folder(spark, "packed")
+    packed.land(contents, folder)
+    groups, errors, _ = packed.landed_groups(spark, folder)
+    assert not errors, errors
+    frames = [g.read(g.files).select("_file", "sku", "title", "brand") for g in groups]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def csv_inch_mark(spark, sf_dir):
+    """Inch marks inside cells do not make quoted values; values over two lines do."""
+    folder = scratch_folder(spark, "quotes")
+    for file in ("inch.csv", "lines.csv"):
+        lines = spark_sql(spark, sf_dir, feeds.QUOTED).filter(F.col("_file") == file).select(F.col("line").alias("sku,title"))
+        # written as they stand: one column without quotes, the header line above each part
+        lines.write.option("header", True).option("quote", "").option("sep", "\x02").csv(f"{folder}/{file}")
+    paths, _ = listing.feed_paths(spark, folder)
+    marks = csvfeeds.profile(spark, [p for ps in paths.values() for p in ps])
+    marks = marks.groupBy(listing.feed_name(F.col("path"), folder).alias("_file")).agg(F.bool_or("quoted_newline").alias("quoted_newline"))
+    (rows,) = scan(spark, folder)
+    found = rows.groupBy("_file").agg(F.count("*").alias("rows"), F.sum(F.length("title")).alias("characters"))
+    return found.join(marks, "_file")
+
+
+def xml_root_children(spark, sf_dir):
+    """Records without a known name: the children of the root."""
+    folder = scratch_folder(spark, "children")
+    parts = spark_sql(spark, sf_dir, "SELECT p_partkey AS sku, p_name AS title, p_brand AS brand FROM {part}")
+    parts.coalesce(1).write.format("xml").option("rootTag", "shop").option("rowTag", "thing").save(f"{folder}/parts.xml")
+    (rows,) = scan(spark, folder)
+    return rows.select("_file", "sku", "title", "brand")
+
+
+def faulty_folders(spark, sf_dir):
+    """Parts with their own column order, an empty feed, two feeds of one name, and records that do not parse."""
+    folder = scratch_folder(spark, "faults")
+    parts = spark_sql(spark, sf_dir, "SELECT p_partkey AS sku, p_name AS title FROM {part}")
+    some = parts.filter("sku % 11 <> 0")
+    for side, rows in (("base", parts), ("new", some)):
+        to = f"{folder}/{side}"
+        even = rows.filter("sku % 2 = 0").select("title", "sku")
+        csv = lambda df, file: df.write.mode("append").option("header", True).csv(f"{to}/{file}")
+        csv(rows.filter("sku % 2 = 1"), "parts.csv")
+        csv(even if side == "base" else even.select("sku", "title"), "parts.csv")
+        csv(rows, "shop.csv")
+        if side == "base":
+            rows.withColumnRenamed("sku", "id").write.format("xml").option("rowTag", "item").save(f"{to}/shop.xml")
+            rows.filter("sku < 0").select("title").write.text(f"{to}/empty.csv")
+        else:
+            csv(rows, "empty.csv")
+        end = F.when(F.col("sku") % 10 == (3 if side == "base" else 7), "</wrong></item>").otherwise("</title></item>")
+        record = F.concat(F.lit("<item><sku>"), "sku", F.lit("</sku><title>"), "title", end)
+        rows.select(record).write.text(f"{to}/dirty.xml")
+    return compare_folders(spark, f"{folder}/base", f"{folder}/new", key="sku", pair_by_stem=True)
 
-    def pack(batches):
-        for b in batches:
-            b["content"] = [_packed(k % 3, k, t, r) for k, t, r in zip(b["p_partkey"], b["p_name"], b["p_brand"])]
-            yield b[["_file", "content"]]
 
-    ext = F.element_at(F.array(F.lit(".zip"), F.lit(".xlsx"), F.lit(".xml")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    files = parts.select(F.concat(F.lit("p"), "p_partkey", ext).alias("_file"), "p_partkey", "p_name", "p_brand")
-    files = files.repartition(spark.sparkContext.defaultParallelism)  # one small table file would be one task
-    return packed.as_columns(packed.unpack(files.mapInPandas(pack, "_file string, content binary")), ["sku", "title", "brand"]).drop("_ord")
+def folder_faults(spark, sf_dir):
+    found = faulty_folders(spark, sf_dir).pair_summary
+    return found.select("_file", "status", "reason", "rows_1", "rows_2", "common", "rejects_1", "rejects_2")
+
+
+def folder_faults_log(spark, sf_dir):
+    log = runlog.filter_log(faulty_folders(spark, sf_dir).run_log, ["WARN", "ERROR"])
+    return log.select("category", "file", "message")
 
 
 def file_pairing(spark, sf_dir):
@@ -320,6 +381,11 @@ QUERIES = {
     "csv_scan": csv_scan,
     "csv_delimiters": csv_delimiters,
     "packed_scan": packed_scan,
+    "csv_inch_mark": csv_inch_mark,
+    "xml_root_children": xml_root_children,
+    "folder_faults": folder_faults,
+    "folder_faults_log": folder_faults_log,
+    "folder_faults_run": frame(faulty_folders, "run_summary"),
     "file_pairing": file_pairing,
     "folder_column_stats": frame(folders, "column_stats"),
     "folder_diff_cells": folder_diff_cells,

@@ -16,11 +16,11 @@ def overall_stats(column_stats: DataFrame) -> DataFrame:
 
 
 def display_name(frame: DataFrame, names: DataFrame | None) -> DataFrame:
-    """Add ``display``: the name in ``names(_file, display)``, else the file's own."""
+    """Add ``display``: the name in ``names(_file, display)``, of several the last by order, else the file's own."""
     if names is None:
         return frame.withColumn("display", F.col("_file"))
     own = F.coalesce("display", "_file").alias("display")
-    return frame.join(names.select("_file", "display"), "_file", "left").select(*frame.columns, own)
+    return frame.join(names.groupBy("_file").agg(F.max("display").alias("display")), "_file", "left").select(*frame.columns, own)
 
 
 def channel_stats(column_stats: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -56,12 +56,13 @@ def pair_totals(column_stats: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(pair_summary: DataFrame, overall: DataFrame) -> DataFrame:
-    """One row for the whole run. Both inputs hold one row per file or column."""
+def run_summary(pairs: DataFrame, overall: DataFrame) -> DataFrame:
+    """One row for the whole run. Both inputs hold one row per file or column; the differences are summed over columns."""
     status = F.col("status")
     ok = status == "success"
     # stacked rather than joined: two kinds of rows, one aggregation
-    both = pair_summary.unionByName(overall.select(F.col("match_rate").alias("_rate")), allowMissingColumns=True)
+    columns = overall.select(F.col("match_rate").alias("_rate"), F.col("mismatches").alias("_differing"))
+    both = pairs.unionByName(columns, allowMissingColumns=True)
     total = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0).cast("bigint"))
     return both.agg(
         F.count_if(status != "unpaired").alias("total_pairs"),
@@ -69,7 +70,7 @@ def run_summary(pair_summary: DataFrame, overall: DataFrame) -> DataFrame:
         F.count_if(status == "skipped").alias("skipped"),
         F.count_if(status == "error").alias("failed"),
         total(F.col("common")).alias("total_skus"),
-        total(F.col("total_differences")).alias("total_diffs"),
+        F.coalesce(F.sum("_differing"), F.lit(0).cast("bigint")).alias("total_diffs"),
         total(F.col("only_1") + F.col("only_2")).alias("total_missing"),
         F.coalesce(F.bround(F.avg("_rate"), 1), F.lit(0.0)).alias("avg_match_rate"),
     )

@@ -20,6 +20,9 @@ def run_log(pair_summary: DataFrame, confidence: DataFrame | None = None) -> Dat
         pairs = pairs.withColumn("confidence", F.lit(None).cast("double"))
     else:
         pairs = pairs.join(confidence.select("_file", "confidence"), "_file", "left")
+    for side in ("rejects_1", "rejects_2"):  # only folders have records that do not parse
+        if side not in pairs.columns:
+            pairs = pairs.withColumn(side, F.lit(0).cast("bigint"))
     status = F.col("status")
     ok = status == "success"
     say = lambda pattern, *cols: F.format_string(pattern, *[F.col(c) for c in cols])
@@ -29,6 +32,7 @@ def run_log(pair_summary: DataFrame, confidence: DataFrame | None = None) -> Dat
         ("MATCH", ok, say("key columns: %s | %s", "key_1", "key_2")),
         ("WARN", ok & (F.col("key_1") != F.col("key_2")), F.lit("the sides use different key columns")),
         ("WARN", F.col("confidence") < LOW_CONFIDENCE, say("low key confidence: %.2f", "confidence")),
+        ("WARN", F.col("rejects_1") + F.col("rejects_2") > 0, say("records that do not parse: %d | %d", "rejects_1", "rejects_2")),
         ("STAT", ok, say("rows %d | %d, keys %d | %d", "rows_1", "rows_2", "keys_1", "keys_2")),
         ("MATCH", ok, say("%d keys on both sides", "common")),
         ("MISS", ok & (F.col("only_1") + F.col("only_2") > 0), say("only in 1: %d, only in 2: %d", "only_1", "only_2")),

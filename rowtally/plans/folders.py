@@ -9,10 +9,11 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtally.operators import compare, detect, rollup, runlog
-from rowtally.plans.reconcile import COLUMN_STATS, DIFF_CELLS, PAIR_SUMMARY, Reconciliation
+from rowtally.plans.reconcile import COLUMN_STATS, DIFF_CELLS, OUTCOME, PAIR_SUMMARY, Reconciliation
 from rowtally.functions.values import name
 from rowtally.session import scratch_folder, size_shuffles, stored, working_session
-from rowtally.sources.scan import feed_paths, scan_folder
+from rowtally.sources.listing import feed_paths
+from rowtally.sources.scan import scan_folder
 
 MISSING_KEYS = "_file string, missing_in string, sku string, raw_sku string"
 
@@ -52,7 +53,17 @@ class FolderComparison:
     def pair_summary(self) -> DataFrame:
         """Compared pairs, and those skipped, in error or without a partner, with the reason."""
         other = self.spark.createDataFrame(self._other, PAIR_SUMMARY)
-        return reduce(DataFrame.unionByName, [p.pair_summary for p in self.parts], other)
+        pairs = reduce(DataFrame.unionByName, [p.pair_summary for p in self.parts], other)
+        if self.rejects is None:
+            return pairs.withColumns({c: F.lit(0).cast("bigint") for c in ("rejects_1", "rejects_2")})
+        found = self.rejects.groupBy("_file").agg(*[F.count_if(F.col("side") == s).alias(f"_rejects_{s}") for s in (1, 2)])
+        counts = [F.coalesce(f"_rejects_{s}", F.lit(0)).alias(f"rejects_{s}") for s in (1, 2)]
+        return pairs.join(found, "_file", "left").select(*pairs.columns, *counts)
+
+    @property
+    def pair_outcomes(self) -> DataFrame:
+        other = self.spark.createDataFrame(self._other, PAIR_SUMMARY).select(*OUTCOME)
+        return reduce(DataFrame.unionByName, [p.pair_outcomes for p in self.parts], other)
 
     @cached_property
     def confidence(self) -> DataFrame:
@@ -71,7 +82,7 @@ class FolderComparison:
 
     @property
     def run_summary(self) -> DataFrame:
-        return rollup.run_summary(self.pair_summary, self.overall_stats)
+        return rollup.run_summary(self.pair_outcomes, self.overall_stats)
 
     @property
     def run_log(self) -> DataFrame:
@@ -90,6 +101,16 @@ def _land(spark, df: DataFrame, columns: list[str]) -> DataFrame:
     return landed.select("_file", "_ord", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
+def _rejects(spark, scans, pair_by_stem: bool, land: bool) -> DataFrame | None:
+    """``_file, side, record, parsed`` of records that do not parse."""
+    found = [r.withColumn("side", F.lit(n)) for n, s in enumerate(scans, 1) for r in s.rejects]
+    if not found:
+        return None
+    file = F.regexp_replace("_file", r"\.[^.]*$", "") if pair_by_stem else F.col("_file")
+    rejects = reduce(DataFrame.unionByName, found).select(file.alias("_file"), "side", "record", "parsed")
+    return stored(rejects, scratch_folder(spark, "rejects")) if land else rejects
+
+
 def compare_folders(
     spark: SparkSession, baseline: str, comparison: str, key: str | None = None, compare_columns=None, exclude=(),
     pattern: str | None = None, normalize: bool = True, case_sensitive: bool = True, auto_detect: bool = True,
@@ -109,18 +130,27 @@ def compare_folders(
     sides = [paths for paths, _ in listed]
     size_shuffles(session, sum(size for _, size in listed))
     if only is not None:
-        sides = [{f: p for f, p in side.items() if shown(f) in set(only)} for side in sides]
+        kept = set(only)
+        sides = [{f: p for f, p in side.items() if shown(f) in kept} for side in sides]
     names = [{shown(f) for f in side} for side in sides]
     paired = names[0] & names[1]
     other = [{"_file": f, "status": "unpaired", "reason": "only in baseline"} for f in sorted(names[0] - paired)]
     other += [{"_file": f, "status": "unpaired", "reason": "only in comparison"} for f in sorted(names[1] - paired)]
 
+    # of several feeds under one name none can be taken for the pair
+    broken: dict[str, str] = {}
+    for side in sides:
+        members = defaultdict(list)
+        for f in sorted(side):
+            members[shown(f)].append(f)
+        broken |= {n: f"several feeds of this name: {', '.join(fs)}" for n, fs in members.items() if len(fs) > 1 and n in paired}
+    paired -= set(broken)
+
     dialect = {"encoding": encoding, "delimiter": delimiter, "multiline": multiline}
     scans = list(jobs.map(
         lambda folder, side: scan_folder(session, folder, {f: p for f, p in side.items() if shown(f) in paired}, **dialect),
         (baseline, comparison), sides,
     ))
-    broken: dict[str, str] = {}
     for s in scans:
         for f, why in s.errors.items():
             broken.setdefault(shown(f), why)
@@ -164,5 +194,4 @@ def compare_folders(
     jobs.shutdown()
     options = {"normalize": normalize, "case_sensitive": case_sensitive}
     parts = [Reconciliation(*frames, *keys, columns, files=files, **options) for frames, _, keys, columns, files in planned]
-    rejects = [r for s in scans for r in s.rejects]
-    return FolderComparison(session, parts, other, confidence, reduce(DataFrame.unionByName, rejects) if rejects else None)
+    return FolderComparison(session, parts, other, confidence, _rejects(session, scans, pair_by_stem, land))

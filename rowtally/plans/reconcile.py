@@ -28,6 +28,9 @@ COLUMN_STATS = (
 )
 
 
+OUTCOME = ["_file", "status", "common", "only_1", "only_2"]  # what the run summary needs of a pair
+
+
 class Reconciliation:
     """Lazy result frames of one comparison. Nothing runs before a frame is used.
 
@@ -61,7 +64,10 @@ class Reconciliation:
         if self._label is not None or self._files is not None:
             names = [self._label] if self._label is not None else self._files
             return self.spark.createDataFrame([(f,) for f in names], "_file string")
-        return self._base.select("_file").intersect(self._changed.select("_file"))
+        # reduced in each task first, so that the file of most rows is no large partition
+        side = lambda df, n: df.select("_file", F.lit(n).alias("side"))
+        found = side(self._base, 1).unionByName(side(self._changed, 2)).groupBy("_file")
+        return found.agg(F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high AND _file IS NOT NULL").select("_file")
 
     # --- keys ---------------------------------------------------------------------------------
 
@@ -173,15 +179,28 @@ class Reconciliation:
         fields = [f.strip().split() for f in PAIR_SUMMARY.split(",")]
         fixed = {"status": F.lit("success"), "reason": F.lit(None).cast("string"),
                  "key_1": F.lit(self.key_1), "key_2": F.lit(self.key_2)}
-        joined = self.files.join(self.key_counts, "_file", "left").join(
-            rollup.pair_totals(self.column_stats), "_file", "left"
-        )
+        joined = self._file_counts.join(rollup.pair_totals(self.column_stats), "_file", "left")
         value = lambda n, t: F.col(n) if n == "_file" else fixed.get(n, F.coalesce(n, F.lit(0)).cast(t))
         return joined.select(*[value(n, t).alias(n) for n, t in fields])
 
+    @property
+    def _file_counts(self) -> DataFrame:
+        """The key counts of the compared files; the ledger knows which files have rows on both sides."""
+        if self._label is None and self._files is None:
+            return self.key_counts.filter("rows_1 > 0 AND rows_2 > 0")
+        return self.files.join(self.key_counts, "_file", "left")
+
+    @property
+    def pair_outcomes(self) -> DataFrame:
+        """What the run summary needs of every pair, without its columns."""
+        if "pair_summary" in self._stored:
+            return self._stored["pair_summary"].select(*OUTCOME)
+        counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in OUTCOME[2:]]
+        return self._file_counts.select("_file", F.lit("success").alias("status"), *counts)
+
     @property
     def run_summary(self) -> DataFrame:
-        return rollup.run_summary(self.pair_summary, self.overall_stats)
+        return rollup.run_summary(self.pair_outcomes, self.overall_stats)
 
     @property
     def run_log(self) -> DataFrame:

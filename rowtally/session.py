@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,9 +42,13 @@ def working_session(spark: SparkSession, **settings: str) -> SparkSession:
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of this machine is used.
+    Only a local master, as in tests, may leave that unset; then a folder of this machine is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowtally-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="rowtally-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

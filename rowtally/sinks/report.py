@@ -80,6 +80,8 @@ def write_report(result, folder: str, fmt: str = "csv", merge_diffs: bool = Fals
     write_table(files_table(pairs, names), f"{folder}/Files", fmt)
     write_table(result.run_log, f"{folder}/Debug_Log", fmt)
     write_table(result.missing_keys.orderBy("_file", "missing_in", "raw_sku"), f"{folder}/Missing_Keys", fmt)
+    if getattr(result, "rejects", None) is not None:
+        write_table(result.rejects, f"{folder}/Rejects", fmt)
     diffs = diff_table(result.diff_cells, names, labels, merge_diffs, names is not None)
     if merge_diffs:
         write_table(diffs, f"{folder}/Differences", fmt)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
@@ -50,20 +52,26 @@ def heads(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines.mapInPandas(first_lines, "path string, pos int, line binary")
 
 
-def profile(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per file, over its whole text: ``path, utf8, gbk, quoted_newline``; no shuffle but one row per file.
+def opens_value(line: Column, delimiter: str | None = None) -> Column:
+    """Whether a quoted value starts in a line and does not end there.
 
-    A line with an odd number of quotes means that a quoted value runs over a line end.
+    Only a quote at the start of a cell opens one; an inch mark inside a cell does not.
     """
+    ends = "[" + "".join(re.escape(d) for d in dict.fromkeys([*DELIMITERS, delimiter or ","])) + "]"
+    bare = F.replace(line, F.lit('""'), F.lit(""))
+    return F.regexp_replace(bare, f'(^|{ends})"[^"]*"', "$1").rlike(f'(^|{ends})"')
+
+
+def profile(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> DataFrame:
+    """Per file, over its whole text: ``path, utf8, gbk, quoted_newline``; no shuffle but one row per file."""
     v = F.col("value")
     # GBK never uses line ends inside a character, so testing line by line is testing the file
     as_gbk = F.decode(v.cast("binary"), "GBK")
     gbk = v.rlike(r"^[\x00-\x7F]*\z") | ~F.contains(as_gbk, F.lit("\ufffd"))
-    quotes = F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))
     return working_session(spark).read.text(paths).groupBy(scanned_path().alias("path")).agg(
         F.bool_and(F.is_valid_utf8(v)).alias("utf8"),
         F.bool_and(gbk).alias("gbk"),
-        F.bool_or(quotes % 2 == 1).alias("quoted_newline"),
+        F.bool_or(opens_value(v, delimiter)).alias("quoted_newline"),
     )
 
 
@@ -106,7 +114,7 @@ def header_names(cells: list[str]) -> list[str]:
     return names
 
 
-@dataclass
+@dataclass(frozen=True)
 class Dialect:
     delimiter: str
     encoding: str
@@ -128,39 +136,57 @@ def read_csv(spark, folder, paths, columns, dialect, multi_part=False) -> DataFr
 
 
 def csv_groups(spark, folder, feeds: dict[str, list[str]], multi_part=False, encoding=None, delimiter=None, multiline=None):
-    """Groups of CSV feeds that can be read together, and the feeds that have no header.
+    """Groups of CSV feeds that can be read together, and ``{feed: error}`` of those that cannot be read.
 
     Heads are read always, whole files only when ``encoding`` or ``multiline`` is left to be found.
-    What comes back to the driver is one row per distinct dialect and header with its feed names.
+    All parts of a feed have one dialect; each is read by its own header, whose order may differ.
+    What comes back to the driver is one row per distinct dialect and header with its files.
     """
     session = working_session(spark)
     paths = [p for ps in feeds.values() for p in ps]
-    file = feed_name(F.col("path"), folder).alias("_file")
+    file = feed_name(F.col("path"), folder)
     head = heads(session, paths)
-    found = head.filter(F.col("pos") == 0)
-    found = found.join(delimiters(head), "path", "left") if delimiter is None else found.withColumn("delimiter", F.lit(delimiter))
-    # the first part of a feed speaks for all of its parts
-    found = found.groupBy(file).agg(F.min_by("line", "path").alias("header"), F.min_by("delimiter", "path").alias("delimiter"))
+    found = head.filter(F.col("pos") == 0).select(file.alias("_file"), "path", F.col("line").alias("header"))
+    if delimiter is None:
+        by_feed = head.select(file.alias("path"), F.struct("path", "pos").alias("pos"), "line")
+        found = found.join(delimiters(by_feed).withColumnRenamed("path", "_file"), "_file", "left")
+    else:
+        found = found.withColumn("delimiter", F.lit(delimiter))
     if encoding is None or multiline is None:
-        whole = profile(session, paths).groupBy(file).agg(
+        whole = profile(session, paths, delimiter).groupBy(file.alias("_file")).agg(
             encoding_of(F.bool_and("utf8"), F.bool_and("gbk")).alias("encoding"), F.bool_or("quoted_newline").alias("quoted_newline")
         )
         found = found.join(whole, "_file")
     for column, value in (("encoding", encoding), ("quoted_newline", multiline)):
         found = found if value is None else found.withColumn(column, F.lit(value))
-    rows = found.groupBy("delimiter", "encoding", "quoted_newline", "header").agg(F.collect_list("_file").alias("files")).collect()
+    files = F.collect_list(F.struct("_file", "path")).alias("files")
+    rows = found.groupBy("delimiter", "encoding", "quoted_newline", "header").agg(files).collect()
 
-    groups, seen = [], set()
+    parts, dialects = defaultdict(dict), {}
     for r in rows:
         dialect = Dialect(r["delimiter"] or ",", r["encoding"], r["quoted_newline"])
-        header = bytes(r["header"]).decode(_CODECS.get(dialect.encoding, dialect.encoding), "replace")
-        columns = header_names(next(csv.reader([header.lstrip(BOM)], delimiter=dialect.delimiter))) if header.strip() else []
-        if not columns:
-            continue
-        seen |= set(r["files"])
-
-        def read(files, columns=columns, dialect=dialect):
-            return read_csv(session, folder, [p for f in files for p in feeds[f]], columns, dialect, multi_part)
-
-        groups.append(FeedGroup(columns, sorted(r["files"]), read))
-    return groups, sorted(set(feeds) - seen)
+        header = bytes(r["header"]).decode(_CODECS.get(dialect.encoding, dialect.encoding), "replace").lstrip(BOM)
+        columns = header_names(next(csv.reader([header], delimiter=dialect.delimiter))) if header.strip() else []
+        for f in r["files"]:
+            parts[f["_file"]][f["path"]] = columns
+            dialects[f["_file"]] = dialect
+
+    errors, alike = {}, defaultdict(lambda: defaultdict(list))
+    for f in feeds:
+        headers = sorted(parts[f].items())
+        if not headers or not all(columns for _, columns in headers):
+            errors[f] = "no header"
+        elif any(sorted(columns) != sorted(headers[0][1]) for _, columns in headers):
+            errors[f] = "part files with different columns"
+        else:
+            for path, columns in headers:
+                alike[tuple(headers[0][1]), tuple(columns), dialects[f]][f].append(path)
+
+    def group(columns, own, dialect, members):
+        def read(chosen):
+            part = read_csv(session, folder, [p for f in chosen for p in members[f]], own, dialect, multi_part)
+            return part.select("_file", "_ord", *[name(c) for c in columns])
+
+        return FeedGroup(list(columns), sorted(members), read)
+
+    return [group(*key, members) for key, members in alike.items()], errors

@@ -53,4 +53,5 @@ def _stacked(columns: list[str], members: list[FeedGroup]) -> FeedGroup:
         wanted = [(g, [f for f in g.files if f in asked]) for g in members]
         return reduce(DataFrame.unionByName, [g.read(mine) for g, mine in wanted if mine])
 
-    return FeedGroup(columns, sorted(f for g in members for f in g.files), read) if len(members) > 1 else members[0]
+    # parts of one feed may be in several groups
+    return FeedGroup(columns, sorted({f for g in members for f in g.files}), read) if len(members) > 1 else members[0]

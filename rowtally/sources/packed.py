@@ -1,13 +1,13 @@
-"""Feeds Spark cannot split or parse itself: archives, workbooks and XML without a known record name.
+"""Archives and workbooks: unpacked once, one file in one task, to a text table that the other readers take.
 
-Each file is one row of ``binaryFile`` and is unpacked inside one task into ``_file, _ord, cells`` rows,
-``cells`` being a map of column to text. Parallelism comes from the number of files.
+The first feed of an archive is only decompressed; its lines go to shared storage as they stand and are read
+like any CSV or XML feed from there. Records of workbooks become JSON lines.
 """
 
 from __future__ import annotations
 
-import csv
 import io
+import json
 import os
 import re
 import xml.etree.ElementTree as ET
@@ -16,43 +16,17 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowtally.functions.values import name
 from rowtally.session import scratch_folder, working_session
-from rowtally.sources.csvfeeds import DELIMITERS, SAMPLE, header_names
-from rowtally.sources.feed import FeedGroup, as_order
-from rowtally.sources.listing import feed_name
-from rowtally.sources.xmlfeeds import RECORD_TAGS
+from rowtally.sources.csvfeeds import csv_groups, header_names
+from rowtally.sources.feed import FeedGroup, file_order
+from rowtally.sources.listing import feed_name, feed_paths, scanned_path
+from rowtally.sources.xmlfeeds import xml_groups
 
-ROWS_PER_BATCH = 5000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 5000, 16 << 20
 # Unpacking is work for the processor and one archive may be large: small tasks, one archive at a time.
 _UNPACKING = {"spark.sql.files.maxPartitionBytes": str(16 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
-SCHEMA = "_file string, _ord bigint, cells map<string,string>, error string"
-_COLUMNS = ["_file", "_ord", "cells", "error"]
-
-
-def _decoded(data: bytes) -> str:
-    for codec in ("utf-8-sig", "gbk"):
-        try:
-            return data.decode(codec)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("latin-1")
-
-
-def csv_records(data: bytes):
-    text = _decoded(data)
-    sample = [re.sub(r'"[^"]*"', "", line) for line in text[:SAMPLE].splitlines()[:-1] or text.splitlines()[:1]]
-    sample = [line for line in sample if line and '"' not in line]
-    counts = {d: [line.count(d) for line in sample] for d in DELIMITERS}
-    rank = lambda d: (min(counts[d], default=0) == max(counts[d], default=0) > 0, counts[d][0] if counts[d] else 0, -DELIMITERS.index(d))
-    best = max(DELIMITERS, key=rank)
-    rows = csv.reader(io.StringIO(text, newline=""), delimiter=best if any(counts[best]) else ",")
-    header = next(rows, None)
-    if not header:
-        raise ValueError("empty CSV")
-    columns = header_names(header)
-    for row in rows:
-        if row:
-            yield dict(zip(columns, row + [None] * (len(columns) - len(row))))
+LARGEST = (1 << 31) - 1024  # what one binary value can hold
 
 
 def _local(tag: str) -> str:
@@ -60,25 +34,6 @@ def _local(tag: str) -> str:
     return tag.rsplit(":", 1)[-1] if ":" in tag and tag.index(":") <= 3 else tag
 
 
-def xml_records(data: bytes):
-    text = re.sub(r"(?is)<\?xml[^?]*\?>", "", data.decode("utf-8-sig", "replace"), count=1)
-    root = ET.fromstring(re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", text))
-    found = [e for t in RECORD_TAGS for e in root.iter() if e is not root and _local(e.tag) == t]
-    first = _local(found[0].tag) if found else None
-    items = [e for e in found if _local(e.tag) == first] or list(root)
-    if not items:
-        raise ValueError("no repeating elements")
-    own = lambda e: (e.text or "").strip()
-    for item in items:
-        record = {}
-        for child in item:
-            if len(child):
-                record.update({f"{_local(child.tag)}_{_local(sub.tag)}": own(sub) for sub in child})
-            else:
-                record[_local(child.tag)] = own(child)
-        yield record | {"@" + _local(k): v for k, v in item.attrib.items()}
-
-
 def xlsx_records(data: bytes):
     """Cells of the first sheet as the text stored in the file."""
     def texts(node):
@@ -117,84 +72,117 @@ def xlsx_records(data: bytes):
             yield {c: cells.get(i, "") for i, c in enumerate(columns)}
 
 
-_DECODERS = {".csv": csv_records, ".xml": xml_records, ".xlsx": xlsx_records}
-
-
-def zip_records(data: bytes):
-    """Records of the first member, in archive order, that is a feed."""
+def feed_lines(file: str, data: bytes):
+    """``(kind, line)`` of a workbook's records, or of the first feed in an archive."""
+    if file.lower().endswith(".xlsx"):
+        yield from (("book", json.dumps(record).encode()) for record in xlsx_records(data))
+        return
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for member in archive.namelist():
             ext = os.path.splitext(member)[1].lower()
             if ext == ".xls":
                 raise ValueError("legacy .xls is not supported")
-            if ext in _DECODERS:
-                return _DECODERS[ext](archive.read(member))
+            if ext == ".xlsx":
+                yield from feed_lines(member, archive.read(member))
+                return
+            if ext in (".csv", ".xml"):
+                with archive.open(member) as lines:
+                    yield from ((ext[1:], line.removesuffix(b"\n")) for line in lines)
+                return
     raise ValueError("no CSV, Excel or XML file in the archive")
 
 
-def _records_of(file: str, data: bytes):
-    ext = os.path.splitext(file)[1].lower()
-    if ext == ".zip":
-        return zip_records(data)
-    if ext not in _DECODERS:
-        raise ValueError(f"unsupported format: {ext}")
-    return _DECODERS[ext](data)
-
-
 def unpack(contents: DataFrame) -> DataFrame:
-    """``contents(_file, content)`` to records. A file that cannot be read gives one row with its error."""
+    """``contents(_file, content)`` to ``_file, kind, n, line``. A file that cannot be read gives a line with its error."""
 
     def run(batches):
-        rows = []
+        rows, size = [], 0
+        frame = lambda: pd.DataFrame(rows, columns=["_file", "kind", "n", "line"])
         for batch in batches:
             for file, data in zip(batch["_file"], batch["content"]):
-                n = 0
                 try:
-                    for record in _records_of(file, bytes(data)):
-                        rows.append((file, n, record, None))
-                        n += 1
-                        if len(rows) == ROWS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=_COLUMNS)
-                            rows = []
+                    for n, (kind, line) in enumerate(feed_lines(file, bytes(data))):
+                        rows.append((file, kind, n, line))
+                        size += len(line)
+                        if len(rows) == ROWS_PER_BATCH or size > BYTES_PER_BATCH:
+                            yield frame()
+                            rows, size = [], 0
                 except Exception as e:  # one unreadable file must not stop the others
-                    rows.append((file, None, None, f"{type(e).__name__}: {e}"))
+                    rows.append((file, "error", 0, " ".join(f"{type(e).__name__}: {e}".split()).encode()))
         if rows:
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            yield frame()
+
+    return contents.select("_file", "content").mapInPandas(run, "_file string, kind string, n bigint, line binary")
+
+
+def land(contents: DataFrame, folder: str) -> None:
+    """Unpack to text files ``kind=<kind>/_file=<name>/``, one per packed file, lines in order."""
+    lines = unpack(contents).withColumn("line", F.col("line").cast("string")).sortWithinPartitions("kind", "_file", "n")
+    lines.drop("n").write.partitionBy("kind", "_file").text(folder)
 
-    return contents.select("_file", "content").mapInPandas(run, SCHEMA)
 
+def _book_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part: bool) -> list[FeedGroup]:
+    """Groups of workbooks with the same columns; all records of one have the same."""
+    file = feed_name(scanned_path(), folder).alias("_file")
+    columns = spark.read.text([p for ps in feeds.values() for p in ps]).select(file, F.json_object_keys("value").alias("columns")).distinct()
+    shapes = columns.groupBy("columns").agg(F.collect_list("_file").alias("files")).collect()
 
-def as_columns(records: DataFrame, columns: list[str], multi_part: bool = False) -> DataFrame:
-    """Records as text columns; a cell the record lacks is ''."""
-    order = as_order(F.col("_ord"), F.lit(""), multi_part).alias("_ord")
-    return records.filter("error is null").select("_file", order, *[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in columns])
+    def group(kept, files):
+        def read(chosen):
+            lines = spark.read.text([p for f in chosen for p in feeds[f]])
+            rows = lines.select(file, file_order(scanned_path(), multi_part).alias("_ord"), F.from_json("value", "map<string,string>").alias("c"))
+            return rows.select("_file", "_ord", *[F.col("c")[c].alias(c) for c in kept])
+
+        return FeedGroup(kept, sorted(files), read)
+
+    return [group(list(s["columns"]), s["files"]) for s in shapes]
+
+
+def _without_nulls(group: FeedGroup) -> FeedGroup:
+    """A cell that a packed record lacks is ''."""
+    filled = [F.coalesce(name(c), F.lit("")).alias(c) for c in group.columns]
+    return FeedGroup(group.columns, group.files, lambda chosen: group.read(chosen).select("_file", "_ord", *filled))
+
+
+def landed_groups(spark: SparkSession, landed: str, multi_part: bool = False):
+    """Groups of the unpacked feeds, ``{feed: error}``, and rejected records."""
+    session = working_session(spark)
+    listed = session.read.format("binaryFile").option("recursiveFileLookup", True).load(landed)
+    kinds = [r["kind"] for r in listed.select(feed_name(F.col("path"), landed).alias("kind")).distinct().collect()]
+    groups, errors, rejects = [], {}, []
+    for kind in kinds:
+        folder = f"{landed}/{kind}"
+        feeds, _ = feed_paths(session, folder, "*")
+        if kind == "kind=csv":
+            found, broken = csv_groups(session, folder, feeds, multi_part)
+            groups, errors = groups + found, errors | broken
+        elif kind == "kind=xml":
+            found, rejects, unknown = xml_groups(session, folder, feeds, multi_part)
+            groups, errors = groups + found, errors | {f: "no repeating elements" for f in unknown}
+        elif kind == "kind=book":
+            groups += _book_groups(session, folder, feeds, multi_part)
+        else:
+            lines = session.read.text([p for ps in feeds.values() for p in ps])
+            errors |= {r[0]: r[1] for r in lines.select(feed_name(scanned_path(), folder), "value").collect()}
+    # what came out of a file before its error is not compared
+    for g in groups:
+        g.files = [f for f in g.files if f not in errors]
+    return [_without_nulls(g) for g in groups if g.files], errors, rejects
 
 
 def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
-    """Groups of packed feeds with the same columns, and ``{file: error}`` of those that cannot be read.
+    """Groups of packed feeds with the same columns, ``{file: error}`` of those that cannot be read, and rejects.
 
-    Unpacked records are written once to the shared scratch folder; the shapes and every later pass read
-    that table instead of decoding the archives again.
+    Files are unpacked once to the shared scratch folder; every later pass reads what lies there.
     """
     session = working_session(spark, **_UNPACKING)
     files = session.read.format("binaryFile").load([p for ps in feeds.values() for p in ps])
+    named = files.withColumn("_file", feed_name(F.col("path"), folder))
+    large = {r["_file"]: "too large for one value" for r in named.filter(F.col("length") > LARGEST).select("_file").distinct().collect()}
     landed = scratch_folder(session, "packed")
-    unpack(files.select(feed_name(F.col("path"), folder).alias("_file"), "content")).write.partitionBy("_file").parquet(landed)
-    session = working_session(spark)
-    schema = "_ord bigint, cells map<string,string>, error string, _file string"
-    records = session.read.schema(schema).parquet(landed)
-    errors = {r["_file"]: r["error"] for r in records.filter("error is not null").select("_file", "error").collect()}
-    good = records.filter("error is null")
-    keys = good.select("_file", F.col("_ord"), F.posexplode(F.map_keys("cells")).alias("pos", "column"))
-    first = keys.groupBy("_file", "column").agg(F.min(F.struct("_ord", "pos")).alias("at"))
-    columns = first.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("at", "column"))).alias("c"))
-    shapes = columns.select("_file", F.col("c.column").alias("columns")).groupBy("columns").agg(F.collect_list("_file").alias("files"))
-    groups = []
-    for shape in shapes.collect():
-        names = [f for f in shape["files"] if f not in errors]
-        if names:
-            kept = list(shape["columns"])
-            groups.append(FeedGroup(kept, sorted(names), lambda chosen, kept=kept: as_columns(good.filter(F.col("_file").isin(chosen)), kept, multi_part)))
+    land(named.filter(F.col("length") <= LARGEST).select("_file", "content"), landed)
+    groups, errors, rejects = landed_groups(spark, landed, multi_part)
+    errors |= large
     found = {f for g in groups for f in g.files}
     errors |= {f: "no records" for f in feeds if f not in found and f not in errors}
-    return groups, errors
+    return groups, errors, rejects

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowtally.sources.csvfeeds import csv_groups
 from rowtally.sources.feed import FeedGroup, stack_groups
-from rowtally.sources.listing import list_feeds
+from rowtally.sources.listing import feed_paths
 from rowtally.sources.packed import packed_groups
 from rowtally.sources.xmlfeeds import xml_groups
 
@@ -24,35 +24,29 @@ class FolderScan:
         return [(f, i, c) for g in self.groups for f in g.files for i, c in enumerate(g.columns)]
 
 
-def feed_paths(spark: SparkSession, folder: str, pattern: str | None = None) -> tuple[dict[str, list[str]], int]:
-    """Paths of every feed in the folder, the parts of one feed in order; and the bytes of all."""
-    paths, size = defaultdict(list), 0
-    for r in list_feeds(spark, folder, pattern).filter("length > 0").orderBy("path").collect():
-        paths[r["_file"]].append(r["path"])
-        size += r["length"]
-    return dict(paths), size
-
-
 def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], **csv_options) -> FolderScan:
     """Group the given feeds by shape. ``csv_options``: ``encoding``, ``delimiter``, ``multiline``."""
+    errors = {f: "empty file" for f, paths in feeds.items() if not paths}
+    feeds = {f: paths for f, paths in feeds.items() if paths}
     by_format = defaultdict(dict)
     for f, paths in feeds.items():
         by_format["." + f.rsplit(".", 1)[-1].lower() if "." in f else ""][f] = paths
-    groups, errors, rejects = [], {}, []
+    groups, rejects = [], []
     # row positions have one type per folder, so that groups can be stacked
     multi_part = any(len(paths) > 1 for paths in feeds.values())
     packed = {f: p for ext in (".zip", ".xlsx") for f, p in by_format[ext].items()}
     if by_format[".csv"]:
-        found, headless = csv_groups(spark, folder, by_format[".csv"], multi_part, **csv_options)
+        found, unreadable = csv_groups(spark, folder, by_format[".csv"], multi_part, **csv_options)
         groups += found
-        errors |= {f: "no header" for f in headless}
+        errors |= unreadable
     if by_format[".xml"]:
         found, rejects, unknown = xml_groups(spark, folder, by_format[".xml"], multi_part)
         groups += found
-        packed |= {f: by_format[".xml"][f] for f in unknown}
+        errors |= {f: "no repeating elements" for f in unknown}
     if packed:
-        found, unreadable = packed_groups(spark, folder, packed, multi_part)
+        found, unreadable, broken = packed_groups(spark, folder, packed, multi_part)
         groups += found
+        rejects += broken
         errors |= unreadable
     for ext, members in by_format.items():
         if ext not in (".csv", ".xml", ".zip", ".xlsx"):
@@ -60,9 +54,13 @@ def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], *
     return FolderScan(stack_groups(groups), errors, rejects)
 
 
-def scan(spark: SparkSession, folder: str, pattern: str | None = None, **csv_options) -> list[DataFrame]:
-    """One DataFrame per distinct shape among the feeds of a folder, every column as text."""
+def scan(spark: SparkSession, folder: str, pattern: str | None = None, with_rejects: bool = False, **csv_options):
+    """One DataFrame per distinct shape among the feeds of a folder, every column as text.
+
+    ``with_rejects`` also returns the records that do not parse, ``_file, record, parsed``, one DataFrame per record name.
+    """
     found = scan_folder(spark, folder, feed_paths(spark, folder, pattern)[0], **csv_options)
     if found.errors:
         raise ValueError(f"cannot read {found.errors}")
-    return [g.read(g.files) for g in found.groups]
+    frames = [g.read(g.files) for g in found.groups]
+    return (frames, found.rejects) if with_rejects else frames

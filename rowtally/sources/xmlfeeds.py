@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rowtally.functions.values import name, strip
 from rowtally.session import working_session
@@ -21,18 +21,41 @@ _TEXT = "_VALUE"
 
 
 def record_tags(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """``_file, tag``: the first record name that occurs in a feed, null when none does."""
+    """``_file, tag, prefixed``: the first record name that occurs in a feed, null when none does."""
     # cut at tag ends, not line ends: a document may be one long line
     pieces = working_session(spark).read.option("lineSep", ">").text(paths)
-    opens = lambda t: F.col("value").rlike(rf"<([^<>\s/!?:]+:)?{t}(\s[^<]*)?/?\z")
-    seen = pieces.groupBy(feed_name(scanned_path(), folder).alias("_file")).agg(*[F.bool_or(opens(t)).alias(t) for t in RECORD_TAGS])
-    return seen.select("_file", F.coalesce(*[F.when(F.col(t), F.lit(t)) for t in RECORD_TAGS]).alias("tag"))
+    opens = lambda t: F.col("value").rlike(rf"<{t}(\s[^<]*)?/?\z")
+    prefix = "[^<>\\s/!?:]+:"
+    seen = pieces.groupBy(feed_name(scanned_path(), folder).alias("_file")).agg(
+        *[F.bool_or(opens(t)).alias(t) for t in RECORD_TAGS], *[F.bool_or(opens(prefix + t)).alias("_" + t) for t in RECORD_TAGS]
+    )
+    named = [F.when(F.col(t) | F.col("_" + t), F.struct(F.lit(t).alias("tag"), F.col("_" + t).alias("prefixed"))) for t in RECORD_TAGS]
+    return seen.select("_file", F.coalesce(*named).alias("r")).select("_file", "r.tag", "r.prefixed")
+
+
+def root_children(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """``_file, tag, prefixed``: the name of the root's first child, which is the second start tag of a document."""
+    pieces = working_session(spark).read.option("lineSep", ">").text(paths)
+    start = r"\A[^<]*<([^<>\s/!?:]+:)?([^<>\s/!?:]+)(?:\s[^<]*)?/?\z"
+    tag, prefix = (F.regexp_extract("value", start, i) for i in (2, 1))
+    starts = pieces.select(
+        feed_name(scanned_path(), folder).alias("_file"), file_order(scanned_path(), True).alias("at"), tag.alias("tag"), (prefix != "").alias("prefixed")
+    ).filter("tag <> ''")
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy("at"))
+    return starts.withColumn("nth", nth).filter("nth = 2").select("_file", "tag", "prefixed")
 
 
-def _reader(spark: SparkSession, tag: str):
-    # this parser cuts records out of the text first, so that one bad record spoils no other
+def declared_prefixes(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Namespace prefixes the documents declare, each once."""
+    pieces = spark.read.option("lineSep", ">").text(paths)
+    return [r[0] for r in pieces.select(F.explode(F.regexp_extract_all("value", F.lit(r"\sxmlns:([^\s=]+)\s*=")))).distinct().collect()]
+
+
+def _reader(spark: SparkSession, tag: str, prefixed: bool):
+    # the older parser cuts records out of the text first, so that one bad record spoils no other;
+    # it looks for a name as written, so that names with a namespace prefix need the other
     return (
-        spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True)
+        spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", not prefixed)
         .option("ignoreNamespace", True).option("attributePrefix", "@").option("valueTag", _TEXT)
         .option("inferSchema", False).option("columnNameOfCorruptRecord", BAD)
     )
@@ -73,7 +96,7 @@ def flattened(schema: T.StructType) -> dict[str, Column]:
     return {c: v if c.startswith("@") else strip(v) for c, v in out.items()}
 
 
-def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schema: T.StructType, multi_part=False):
+def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schema: T.StructType, multi_part=False, prefixed=False):
     """Records and rejects. A record that does not parse is cleaned of illegal characters and parsed again.
 
     Returns ``(_file, _ord, <text columns>)`` and ``(_file, record, parsed)`` of those that still do not parse.
@@ -82,7 +105,7 @@ def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schem
     full = T.StructType([*body.fields, T.StructField(BAD, T.StringType())])
     flat = flattened(body)
     path = scanned_path()
-    rows = _reader(spark, tag).schema(full).load(paths).select(
+    rows = _reader(spark, tag, prefixed).schema(full).load(paths).select(
         feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord"), *[name(f) for f in full.names]
     )
     if BAD not in schema.names:
@@ -97,12 +120,14 @@ def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schem
     return good, tried.filter(bad.isNotNull()).select("_file", bad.alias("record"), parsed)
 
 
-def infer(spark: SparkSession, paths: list[str], tag: str) -> T.StructType:
-    return _reader(spark, tag).load(paths).schema
+def infer(spark: SparkSession, paths: list[str], tag: str, prefixed: bool = False) -> T.StructType:
+    return _reader(spark, tag, prefixed).load(paths).schema
 
 
 def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
-    """Groups of XML feeds with the same columns, rejected records, and feeds without a known record name.
+    """Groups of XML feeds with the same columns, rejected records, and feeds in which no records are found.
+
+    Records are the elements of the first known record name, without one those named like the root's first child.
 
     One schema is inferred per record name over all its feeds; which of its columns a feed has comes from
     one aggregation, since a feed lacks a column that none of its records has.
@@ -112,14 +137,20 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
     by_tag = defaultdict(list)
     for r in tags:
         if r["tag"]:
-            by_tag[r["tag"]].append(r["_file"])
+            by_tag[r["tag"], r["prefixed"]].append(r["_file"])
+    unnamed = [p for r in tags if not r["tag"] for p in feeds[r["_file"]]]
+    if unnamed:
+        for r in root_children(session, folder, unnamed).collect():
+            by_tag[r["tag"], r["prefixed"]].append(r["_file"])
     groups, rejects, unknown = [], [], set(feeds) - {f for fs in by_tag.values() for f in fs}
-    for tag, files in by_tag.items():
+    for (tag, prefixed), files in by_tag.items():
         paths = [p for f in files for p in feeds[f]]
-        schema = infer(session, paths, tag)
-        rows, rejected = read_xml(session, folder, paths, tag, schema, multi_part)
+        schema = infer(session, paths, tag, prefixed)
+        rows, rejected = read_xml(session, folder, paths, tag, schema, multi_part, prefixed)
         rejects += [rejected] if rejected is not None else []
-        columns = [c for c in rows.columns if c not in ("_file", "_ord")]
+        # that parser takes declarations in a record for attributes
+        declared = {"xmlns", *declared_prefixes(session, paths)} if prefixed else set()
+        columns = [c for c in rows.columns if c not in ("_file", "_ord") and c.removeprefix("@") not in declared]
         if not columns:
             unknown |= set(files)
             continue
@@ -129,8 +160,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
         for shape in shapes:
             found |= set(shape["files"])
 
-            def read(chosen, tag=tag, schema=schema, kept=list(shape["columns"])):
-                part, _ = read_xml(session, folder, [p for f in chosen for p in feeds[f]], tag, schema, multi_part)
+            def read(chosen, tag=tag, prefixed=prefixed, schema=schema, kept=list(shape["columns"])):
+                part, _ = read_xml(session, folder, [p for f in chosen for p in feeds[f]], tag, schema, multi_part, prefixed)
                 return part.select("_file", "_ord", *[F.coalesce(name(c), F.lit("")).alias(c) for c in kept])
 
             groups.append(FeedGroup(list(shape["columns"]), sorted(shape["files"]), read))

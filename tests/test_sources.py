@@ -2,11 +2,13 @@
 
 import io
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 
 from rowtally import compare_folders
-from rowtally.session import working_session
+from rowtally.session import scratch_folder, working_session
+from rowtally.sinks.report import write_report
 from rowtally.sources import csvfeeds, listing
 from rowtally.sources.scan import feed_paths, scan, scan_folder
 
@@ -225,3 +227,80 @@ def test_pairs_by_stem(spark, tmp_path):
     write(tmp_path / "c", "shop.xml", "<r><item><sku>1</sku><v>y</v></item></r>")
     r = compare_folders(spark, str(tmp_path / "b"), str(tmp_path / "c"), pair_by_stem=True)
     assert [tuple(x) for x in r.diff_cells.collect()] == [("shop", "1", "v", "x", "y")]
+
+
+def test_parts_are_read_by_their_own_header(spark, tmp_path):
+    write(tmp_path, "f.csv/part-0.csv", "sku,price\n1,5\n")
+    write(tmp_path, "f.csv/part-1.csv", "price,sku\n6,2\n")
+    write(tmp_path, "f.csv/part-2.csv", "")
+    assert rows(spark, tmp_path)["f.csv"] == [{"sku": "1", "price": "5"}, {"sku": "2", "price": "6"}]
+    write(tmp_path, "g.csv/part-0.csv", "sku,price\n1,5\n")
+    write(tmp_path, "g.csv/part-1.csv", "sku,title\n1,5\n")
+    with pytest.raises(ValueError, match="different columns"):
+        scan(spark, str(tmp_path))
+
+
+def test_empty_feeds_and_stem_clashes_are_errors(spark, tmp_path):
+    for side in ("b", "c"):
+        write(tmp_path / side, "ok.csv", "sku,v\n1,x\n")
+        write(tmp_path / side, "shop.csv", "sku,v\n1,x\n")
+        write(tmp_path / side, "e.csv", "sku,v\n1,x\n" if side == "c" else "")
+    write(tmp_path / "b", "shop.xml", "<r><item><sku>2</sku></item></r>")
+    r = compare_folders(spark, str(tmp_path / "b"), str(tmp_path / "c"), pair_by_stem=True)
+    got = {x["_file"]: (x["status"], x["reason"]) for x in r.pair_summary.collect()}
+    assert got == {"ok": ("success", None), "e": ("error", "empty file"),
+                   "shop": ("error", "several feeds of this name: shop.csv, shop.xml")}
+    run = r.run_summary.collect()[0]
+    assert (run["total_pairs"], run["success"], run["failed"]) == (3, 1, 2)
+
+
+def test_rejects_are_reported(spark, tmp_path):
+    bad = "<r><item><sku>1</sku></item><item><sku>2</b></item></r>"
+    write(tmp_path / "b", "f.xml", bad)
+    write(tmp_path / "c", "f.xml", bad.replace("</b>", "</sku>"))
+    r = compare_folders(spark, str(tmp_path / "b"), str(tmp_path / "c"))
+    s = r.pair_summary.collect()[0]
+    assert (s["status"], s["rows_1"], s["rows_2"], s["rejects_1"], s["rejects_2"]) == ("success", 1, 2, 1, 0)
+    assert ("WARN", "records that do not parse: 1 | 0") in {(x["category"], x["message"]) for x in r.run_log.collect()}
+    write_report(r, str(tmp_path / "report"), fmt="parquet")
+    assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "report/Rejects")).select("_file", "side", "record").collect()] == [
+        ("f.xml", 1, "<item><sku>2</b></item>")]
+    frames, rejects = scan(spark, str(tmp_path / "b"), with_rejects=True)
+    assert frames[0].count() == 1 and rejects[0].count() == 1
+
+
+def test_inch_marks_leave_a_file_splittable(spark, tmp_path):
+    write(tmp_path, "i.csv", "sku,title\n" + "".join(f'{i},27" monitor\n' for i in range(5000)))
+    small = working_session(spark, **{"spark.sql.files.maxPartitionBytes": "10000", "spark.sql.files.openCostInBytes": "0"})
+    (df,) = scan(small, str(tmp_path))
+    assert df.rdd.getNumPartitions() > 3
+    assert df.filter("title = '27\" monitor'").count() == 5000
+
+
+@pytest.mark.parametrize("line, opened", [
+    ('1,27" x', False), ('1,"a"', False), ('1,"a', True), ('1,"a ""b"" c"', False), ('1,"""a""",2', False), ('1,"""a', True),
+    ('"a,b",c', False), ('"a', True), ('1,""', False), ('b"', False), ('5" x 7",b', False), ('1,"a";"b', True)])
+def test_which_quotes_open_a_value(spark, line, opened):
+    df = spark.createDataFrame([(line,)], "v string")
+    assert df.select(csvfeeds.opens_value(df.v)).first()[0] is opened
+
+
+def test_packed_names_order_and_errors(spark, tmp_path):
+    many = "sku,v\n" + "".join(f"{i},{i}\n" for i in range(12000))
+    write(tmp_path, "a b+50%=x.zip", zipped(a__csv=many))
+    write(tmp_path, "root.zip", zipped(a__xml="<shop><!-- <x> --><thing><n>1</n></thing><thing><n>2</n></thing></shop>"))
+    got = rows(spark, tmp_path)
+    assert [r["v"] for r in got["a b+50%=x.zip"]] == [str(i) for i in range(12000)]
+    assert got["root.zip"] == [{"n": "1"}, {"n": "2"}]
+    write(tmp_path, "broken.zip", b"no archive")
+    feeds, _ = feed_paths(spark, str(tmp_path))
+    found = scan_folder(spark, str(tmp_path), feeds)
+    assert list(found.errors) == ["broken.zip"] and "BadZipFile" in found.errors["broken.zip"]
+
+
+def test_scratch_is_shared_unless_local():
+    fake = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            scratch_folder(fake(master), "x")
+    assert "/x-" in scratch_folder(fake("local[8]"), "x")
