@@ -149,8 +149,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
         rows, rejected = read_xml(session, folder, paths, tag, schema, multi_part, prefixed)
         rejects += [rejected] if rejected is not None else []
         # that parser takes declarations in a record for attributes
-        declared = {"xmlns", *declared_prefixes(session, paths)} if prefixed else set()
-        columns = [c for c in rows.columns if c not in ("_file", "_ord") and c.removeprefix("@") not in declared]
+        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))} if prefixed else set()
+        columns = [c for c in rows.columns if c not in ("_file", "_ord") and c not in declared]
         if not columns:
             unknown |= set(files)
             continue
