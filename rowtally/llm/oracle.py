@@ -1,5 +1,107 @@
-"""SQL for the queries that SQL can express."""
+"""SQL for the queries that SQL can express: each states the contract in full, not the method."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
+
+
+def _word_rows(text: str, pattern: str) -> str:
+    """doc_id, pos and w of each word of the documents."""
+    found = f"regexp_extract_all(coalesce({text}, ''), '{pattern}')"
+    return f"SELECT doc_id, unnest({found}) AS w, generate_subscripts({found}, 1) AS pos FROM documents"
+
+
+def _run(n: int) -> str:
+    """The word of a row and the n - 1 that follow it; null if there are fewer."""
+    return " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER here" for k in range(1, n))])
+
+
+REPEATS = rf"""
+WITH words AS ({_word_rows("text", r"[^\x20\x09-\x0D]+")}),
+runs AS (SELECT doc_id, pos, w, {_run(20)} AS run FROM words WINDOW here AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+    SELECT doc_id, pos, w, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS repeated
+    FROM runs),
+cut AS (
+    SELECT doc_id, pos, w,
+        bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM later),
+kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+        sha256(coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM cut GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+
+def _list_words(table: str, key: str) -> str:
+    """The words of each text as a list, without case and punctuation."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lowered = _LOWER.format("coalesce(text, '')")
+    return f"SELECT {key}, regexp_extract_all({lowered}, '{pattern}') AS w FROM {table}"
+
+
+LEAKS = rf"""
+WITH item_words AS ({_list_words("benchmark", "item_id")}),
+item_runs AS (SELECT item_id, w, least(len(w), 5) AS width FROM item_words WHERE len(w) > 0),
+item_shingles AS (
+    SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS shingle
+    FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM item_runs)),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
+doc_words AS ({_list_words("documents", "doc_id")}),
+texts AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM doc_words WHERE doc_id IS NOT NULL),
+shared AS (
+    SELECT doc_id, item_id, count(*) AS n_shared
+    FROM texts JOIN item_shingles ON contains(spaced, ' ' || shingle || ' ') GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n::INTEGER AS n_shingles, n_shared::INTEGER AS n_shared, n_shared::DOUBLE / n AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n"""
+
+ARCHIVES = """
+WITH records AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS payload FROM pages),
+responses AS (SELECT payload, max(page_id) AS first_id FROM records WHERE payload_bytes >= 1000 GROUP BY payload)
+SELECT page_id, payload_bytes, sha1(r.payload) AS payload_digest,
+    CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < first_id THEN first_id END AS refers_to
+FROM records r LEFT JOIN responses l ON r.payload = l.payload"""
+
+JACCARD = rf"""
+WITH RECURSIVE words AS ({_word_rows(_LOWER.format("text"), r"[^\x20\x09-\x0D]+")}),
+runs AS (SELECT doc_id, pos, {_run(4)} AS run FROM words WINDOW here AS (PARTITION BY doc_id ORDER BY pos)),
+short AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS run FROM words GROUP BY doc_id HAVING count(*) < 4),
+shingles AS (SELECT DISTINCT doc_id, run FROM runs WHERE run IS NOT NULL UNION ALL SELECT doc_id, run FROM short),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_common
+    FROM shingles x JOIN shingles y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM met JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 100 * n_common >= 85 * (s.n + t.n - n_common)),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.a = d.doc_id"""
+
+EMBEDDINGS = f"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACH},
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+    vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN lowest l ON l.a = e.vec_id"""
+
+ORACLE = {
+    "op1_substring_dedup": REPEATS,
+    "op4_decontamination": LEAKS,
+    "op6_warc": ARCHIVES,
+    "op8_jaccard_join": JACCARD,
+    "op9_embedding_dedup": EMBEDDINGS,
+}
