@@ -27,8 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of 20 words are cut out of the texts. A text without repeats stays as it is; one of which nothing is left goes."""
-    cut = substrings.remove_repeats(docs.withColumn("_text", F.col("text")), window=20, texts=True)
-    out = cut.filter("n_removed = 0 OR kept_text <> ''").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_text")))
+    cut = substrings.remove_repeats(docs, window=20, texts=True)
+    out = cut.filter("n_removed = 0 OR kept_text <> ''").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -249,7 +249,7 @@ def _remove(window: int, names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """One row per row of ``docs``: its columns but the text, and n_words, n_removed, kept_sha256 and, with ``texts``, kept_text.
+    """One row per row of ``docs``: its columns but the text, and n_words, n_removed, kept_sha256. With ``texts`` also the text and kept_text.
 
     Every word covered by a window of ``window`` words whose sequence also starts earlier (smaller doc_id, or earlier in the
     document) is removed. Blocks of window // 2 words at multiples of that length are the anchors; each window holds one,
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     windows = near.mapInArrow(_extend(window, block, buckets), _PACKED)
     removed = windows.groupBy("bucket").applyInArrow(_later(buckets), _PACKED).groupBy("bucket").applyInArrow(_deliver(np.uint32), _REPLY)
     removed = removed.withColumnRenamed("data", "_removed")
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    fields = [f for f in docs.schema.fields if texts or f.name != "text"]
     fields += [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     fields += [StructField("kept_text", StringType())] if texts else []
     names = [f.name for f in fields]
