@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rowtally.functions.values import name, strip
-from rowtally.session import working_session
+from rowtally.session import scratch_folder, working_session
 from rowtally.sources.feed import FeedGroup, file_order
-from rowtally.sources.listing import feed_name, scanned_path
+from rowtally.sources.listing import feed_name, feed_paths, scanned_path
 
 # Element names taken for records, in this order.
 RECORD_TAGS = ["item", "product", "offer", "record", "row", "entry"]
@@ -19,6 +21,14 @@ ILLEGAL = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 BAD = "_corrupt_record"
 _TEXT = "_VALUE"
 
+# Name given to the root's children where their own names don't tell records from other elements.
+CHILD = "rowtally_child"
+_MARKUP = re.compile(r"<!--|<!\[CDATA\[|<\?|<!|</?(?=[^\s<>/!?])")
+_ENDS = {"<!--": "--", "<![CDATA[": "]]", "<?": "?"}
+_TAG = re.compile(r"<(/?)([^\s<>/]+)(.*)\Z", re.S)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+_OPEN_VALUE = re.compile(r"""=\s*["']""")
+
 
 def record_tags(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     """``_file, tag, prefixed``: the first record name that occurs in a feed, null when none does."""
@@ -33,16 +43,128 @@ def record_tags(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame
     return seen.select("_file", F.coalesce(*named).alias("r")).select("_file", "r.tag", "r.prefixed")
 
 
-def root_children(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """``_file, tag, prefixed``: the name of the root's first child, which is the second start tag of a document."""
+class _Children:
+    """The root's direct children in one document, from its text cut behind each ``>``.
+
+    Comments, CDATA, instructions and quoted values are stepped over. An end tag closes all that is open in its
+    element, and one of nothing open is ignored, so that a fault stays in its record.
+    """
+
+    def __init__(self, keep: bool):
+        self.keep, self.open, self.waiting, self.record = keep, [], [], None
+        self.names: set[tuple[str, bool]] = set()
+        self.inner: set[str] = set()  # names that occur elsewhere than as a child of the root or below one of that name
+
+    def feed(self, piece: str):
+        """Takes a piece, yields the record that it ends."""
+        self.waiting.append(piece)
+        first = self.waiting[0]
+        start = next((m for m in _MARKUP.finditer(first)), None)
+        kind = start[0] if start else ""
+        if kind in _ENDS and not piece.endswith(_ENDS[kind]):
+            return
+        if kind == "<!" and "[" in first[start.start():] and not piece.rstrip().endswith("]"):
+            return
+        text = first if len(self.waiting) == 1 else ">".join(self.waiting)
+        tag = _TAG.match(text, start.start()) if start and kind not in _ENDS and kind != "<!" else None
+        if tag and not tag[1] and _OPEN_VALUE.search(_QUOTED.sub("", tag[3])):
+            return
+        self.waiting = []
+        if not tag:
+            if self.record is not None:
+                self.record.append(text + ">")
+            return
+        whole, empty = tag[2], tag[3].endswith("/")
+        local = whole.rsplit(":", 1)[-1]
+        if tag[1]:
+            if whole in self.open:
+                at = len(self.open) - 1 - self.open[::-1].index(whole)
+                if at < 2 and self.record is not None:
+                    self.record.append(text[:tag.start()] if at == 1 else text + ">")
+                    yield self.ended()
+                elif self.record is not None:
+                    self.record.append(text + ">")
+                del self.open[at:]
+            elif self.record is not None:
+                self.record.append(text + ">")
+            return
+        if len(self.open) == 1:
+            self.names.add((local, ":" in whole))
+            if self.keep:
+                self.record = [f"<{CHILD}{tag[3].removesuffix('/')}>"]
+                if empty:
+                    yield self.ended()
+        elif self.record is not None:
+            self.record.append(text + ">")
+        if len(self.open) != 1 and local not in {n.rsplit(":", 1)[-1] for n in self.open[1:]}:
+            self.inner.add(local)
+        if not empty:
+            self.open.append(whole)
+
+    def ended(self) -> str:
+        done, self.record = "".join(self.record) + f"</{CHILD}>", None
+        return done
+
+    def close(self):
+        """At the end of a document: the record that is still open, with all that follows it."""
+        if self.waiting and self.record is not None:
+            self.record.append(">".join(self.waiting))
+        if self.record is not None:
+            yield self.ended()
+
+
+def _documents(spark: SparkSession, folder: str, paths: list[str], keep: bool, schema: str, row) -> DataFrame:
+    """``row(_file, path, n, record)`` of the records, or ``row(_file, path, children, None)`` of each document."""
     pieces = working_session(spark).read.option("lineSep", ">").text(paths)
-    start = r"\A[^<]*<([^<>\s/!?:]+:)?([^<>\s/!?:]+)(?:\s[^<]*)?/?\z"
-    tag, prefix = (F.regexp_extract("value", start, i) for i in (2, 1))
-    starts = pieces.select(
-        feed_name(scanned_path(), folder).alias("_file"), file_order(scanned_path(), True).alias("at"), tag.alias("tag"), (prefix != "").alias("prefixed")
-    ).filter("tag <> ''")
-    nth = F.row_number().over(Window.partitionBy("_file").orderBy("at"))
-    return starts.withColumn("nth", nth).filter("nth = 2").select("_file", "tag", "prefixed")
+    path = scanned_path()
+    pieces = pieces.select(feed_name(path, folder).alias("_file"), path.alias("path"), file_order(path, True).alias("at"), "value")
+    pieces = pieces.repartition("path").sortWithinPartitions("path", "at").select("_file", "path", "value")
+
+    def run(batches):
+        now, children, n = None, None, 0
+        for batch in batches:
+            out = []
+            for file, at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, at) != now:
+                    if now:
+                        out += [row(*now, n, r) for r in children.close()] if keep else [row(*now, children, None)]
+                    now, children, n = (file, at), _Children(keep), 0
+                for record in children.feed(value):
+                    out.append(row(*now, n, record))
+                    n += 1
+            if out:
+                yield frame(out)
+        if now:
+            out = [row(*now, n, r) for r in children.close()] if keep else [row(*now, children, None)]
+            if out:
+                yield frame(out)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    frame = lambda out: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(names, zip(*out))})
+    return pieces.mapInArrow(run, schema)
+
+
+def root_children(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """``_file, tags, prefixes, apart``: the names of the root's direct children; with and without a namespace prefix;
+    and whether elements of such a name stand in other places too, where a reader by name would take them for records."""
+    def row(file, path, children, _):
+        names = sorted({t for t, _ in children.names})
+        prefixes = sorted({p for _, p in children.names})
+        return file, names, prefixes, bool(children.inner & set(names))
+
+    found = _documents(spark, folder, paths, False, "_file string, tags array<string>, prefixes array<boolean>, apart boolean", row)
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return found.groupBy("_file").agg(all_of("tags"), all_of("prefixes"), F.bool_or("apart").alias("apart"))
+
+
+def land_children(spark: SparkSession, folder: str, paths: list[str]) -> str:
+    """Every direct child of the root as an element CHILD, in order, below the folder returned; one file per document."""
+    landed = scratch_folder(spark, "children-of-root")
+    rows = _documents(spark, folder, paths, True, "_file string, path string, n bigint, record string", lambda *r: r)
+    step = F.split_part("path", F.lit("/" + folder.split(":", 1)[-1].strip("/") + "/"), F.lit(2))
+    rows = rows.select("_file", step.alias("part"), "n", "record").sortWithinPartitions("_file", "part", "n")
+    rows.drop("n").write.partitionBy("_file", "part").text(landed)
+    return landed
 
 
 def declared_prefixes(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -127,7 +249,8 @@ def infer(spark: SparkSession, paths: list[str], tag: str, prefixed: bool = Fals
 def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
     """Groups of XML feeds with the same columns, rejected records, and feeds in which no records are found.
 
-    Records are the elements of the first known record name, without one those named like the root's first child.
+    Records are the elements of the first known record name, without one all direct children of the root. Where these have
+    several names, or one that other elements have too, they are landed under one name first and read in their order.
 
     One schema is inferred per record name over all its feeds; which of its columns a feed has comes from
     one aggregation, since a feed lacks a column that none of its records has.
@@ -137,19 +260,27 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
     by_tag = defaultdict(list)
     for r in tags:
         if r["tag"]:
-            by_tag[r["tag"], r["prefixed"]].append(r["_file"])
+            by_tag[folder, r["tag"], r["prefixed"]].append(r["_file"])
     unnamed = [p for r in tags if not r["tag"] for p in feeds[r["_file"]]]
-    if unnamed:
-        for r in root_children(session, folder, unnamed).collect():
-            by_tag[r["tag"], r["prefixed"]].append(r["_file"])
+    paths_of, mixed = {folder: feeds}, []
+    for r in root_children(session, folder, unnamed).collect() if unnamed else []:
+        if len(r["tags"]) == 1 and len(r["prefixes"]) == 1 and not r["apart"]:
+            by_tag[folder, r["tags"][0], r["prefixes"][0]].append(r["_file"])
+        elif r["tags"]:
+            mixed.append(r["_file"])
+    if mixed:
+        landed = land_children(session, folder, [p for f in mixed for p in feeds[f]])
+        paths_of[landed], _ = feed_paths(session, landed, "*")
+        by_tag[landed, CHILD, False] = mixed
     groups, rejects, unknown = [], [], set(feeds) - {f for fs in by_tag.values() for f in fs}
-    for (tag, prefixed), files in by_tag.items():
-        paths = [p for f in files for p in feeds[f]]
+    for (at, tag, prefixed), files in by_tag.items():
+        own = paths_of[at]
+        paths = [p for f in files for p in own[f]]
         schema = infer(session, paths, tag, prefixed)
-        rows, rejected = read_xml(session, folder, paths, tag, schema, multi_part, prefixed)
+        rows, rejected = read_xml(session, at, paths, tag, schema, multi_part, prefixed)
         rejects += [rejected] if rejected is not None else []
         # that parser takes declarations in a record for attributes
-        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))} if prefixed else set()
+        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))} if prefixed or tag == CHILD else set()
         columns = [c for c in rows.columns if c not in ("_file", "_ord") and c not in declared]
         if not columns:
             unknown |= set(files)
@@ -160,8 +291,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
         for shape in shapes:
             found |= set(shape["files"])
 
-            def read(chosen, tag=tag, prefixed=prefixed, schema=schema, kept=list(shape["columns"])):
-                part, _ = read_xml(session, folder, [p for f in chosen for p in feeds[f]], tag, schema, multi_part, prefixed)
+            def read(chosen, at=at, own=own, tag=tag, prefixed=prefixed, schema=schema, kept=list(shape["columns"])):
+                part, _ = read_xml(session, at, [p for f in chosen for p in own[f]], tag, schema, multi_part, prefixed)
                 return part.select("_file", "_ord", *[F.coalesce(name(c), F.lit("")).alias(c) for c in kept])
 
             groups.append(FeedGroup(list(shape["columns"]), sorted(shape["files"]), read))

@@ -150,6 +150,31 @@ def test_xml_root_children(spark, tmp_path):
     assert rows(spark, tmp_path)["root.xml"] == [{"n": "1", "@id": "7", "m_k": ""}, {"n": "2", "@id": "", "m_k": "3"}]
 
 
+def test_xml_root_children_of_several_names(spark, tmp_path):
+    write(tmp_path, "mixed.xml", '<?xml version="1.0"?><!DOCTYPE shop [<!ELEMENT x ANY>]><shop><meta><title>x</title></meta><!-- <thing/> > -->'
+          '<thing id="a>b"><n>1</n><![CDATA[</thing><n>]]></thing><other/><thing><n>2</n></thing><meta><title>\ny</title></meta></shop>')
+    write(tmp_path, "inner.xml", "<shop><thing><n>1</n></thing><box><thing>5</thing></box></shop>")
+    write(tmp_path, "root.xml", "<a><a><n>1</n></a><a><n>2</n></a></a>")
+    write(tmp_path, "spaces.xml", "<s><x:b xmlns:x='u' x:k='1'><x:n>1</x:n></x:b><b><n>2</n></b></s>")
+    for part, k in (("part-0", 1), ("part-1", 3)):
+        write(tmp_path, f"parts.xml/{part}.xml", f"<s><b><n>{k}</n></b><c><n>{k + 1}</n></c></s>" + "\n" * (9 - k))
+    got = rows(spark, tmp_path)
+    empty = {"title": "", "n": "", "@id": ""}
+    assert got["mixed.xml"] == [{**empty, "title": "x"}, {**empty, "n": "1", "@id": "a>b"}, empty, {**empty, "n": "2"}, {**empty, "title": "y"}]
+    assert got["inner.xml"] == [{"n": "1", "thing": ""}, {"n": "", "thing": "5"}]
+    assert got["root.xml"] == [{"n": "1"}, {"n": "2"}]
+    assert got["spaces.xml"] == [{"n": "1", "@k": "1"}, {"n": "2", "@k": ""}]
+    assert [r["n"] for r in got["parts.xml"]] == ["1", "2", "3", "4"]
+
+
+def test_xml_faults_among_root_children_are_rejects(spark, tmp_path):
+    write(tmp_path, "bad.xml", "<r><x><a>1</a></x><y><a>2</b></y><x><a>3</a></x><y><a>4</a>")
+    feeds, _ = feed_paths(spark, str(tmp_path))
+    found = scan_folder(spark, str(tmp_path), feeds)
+    assert [r["a"] for r in found.groups[0].read(["bad.xml"]).orderBy("_ord").collect()] == ["1", "3", "4"]
+    assert ["<a>2</b>" in r["record"] for r in found.rejects[0].collect()] == [True]
+
+
 def zipped(**members):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
