@@ -1,4 +1,4 @@
-"""Operator 7: licence scan by a positional index of rare licence words."""
+"""Operator 7: licence scan by a positional index of rare licence phrases."""
 
 from __future__ import annotations
 
@@ -32,26 +32,23 @@ TEMPLATES = {
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 }
 LEAST_SCORE = 0.6
-ANCHORS = 3
+
+_BEFORE = 1 << 10  # words a template may begin before a text, more than any has
 
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 @dataclass
 class Index:
-    """Words of all templates, their IDF, and for each template its rarest words with their places."""
+    """Words of all templates, their IDF, and for each template one mandatory phrase and the places it has there."""
 
     vocabulary: list[str]
     idf: np.ndarray
     templates: list[tuple[str, list[int], list[list[int]], bool]]  # label, word numbers, mandatory phrases, is it a base phrase
-    anchors: list[list[int]]  # places of the rarest words in each template
+    anchors: list[tuple[list[int], list[int]]]  # of each template its rarest phrase, and every offset it may have from the start
 
-    def postings(self) -> dict[int, list[tuple[int, int]]]:
-        out: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, numbers, _, _) in enumerate(self.templates):
-            for place in self.anchors[t]:
-                out.setdefault(numbers[place], []).append((t, place))
-        return out
+    def postings(self) -> list[tuple[int, list[int], list[int]]]:
+        return [(t, phrase, offsets) for t, (phrase, offsets) in enumerate(self.anchors)]
 
 
 def licence_words() -> list[str]:
@@ -65,7 +62,11 @@ def build_index(idf: dict[str, float]) -> Index:
     as_numbers = lambda text: [number[w] for w in text.split()]
     templates = [(label, as_numbers(phrase), [as_numbers(phrase)], True) for phrase, label in BASE_PHRASES.items()]
     templates += [(label, as_numbers(text), [as_numbers(p) for p in phrases], False) for label, (text, phrases) in TEMPLATES.items()]
-    anchors = [sorted(sorted(range(len(n)), key=lambda i: (-weight[n[i]], i))[:ANCHORS]) for _, n, _, _ in templates]
+    anchors = []
+    for _, numbers, phrases, _ in templates:
+        # whatever place passes holds each phrase somewhere in its window; the one of the rarest words has the fewest places
+        rarest = max(phrases, key=lambda p: sum(weight[p]))
+        anchors.append((rarest, list(range(len(numbers) - len(rarest) + 1))))
     return Index(vocabulary, weight, templates, anchors)
 
 
@@ -109,11 +110,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: base phrases at all their places, and licences found by the rare-word index.
 
-    First the document frequency of every licence word is counted over all texts. Each template then keeps its ANCHORS
-    words of highest IDF as postings (word, template, place). Scanning looks up the anchor words of a text, lets each
-    vote for (template, start of the template in the text), and keeps starts on which at least two anchors agree (all of
-    them for a base phrase); there the mandatory phrases must stand word for word and the IDF-weighted share of template
-    words in place is the score. A text's score is its best; 0 without a licence. Null texts count as empty.
+    First the document frequency of every licence word is counted over all texts. A licence stands at a place if the
+    template laid there, which may begin before the text or end behind it, covers all mandatory phrases word for word and
+    its score, the IDF-weighted share of template words in place, is LEAST_SCORE or more. Each template keeps its mandatory
+    phrase of highest IDF as posting: where that stands in a text, every start that covers it is tried, so that no place
+    is missed. A text's score is its best; 0 without a licence. Null texts count as empty.
     The vocabulary is fixed, so that what the driver sees doesn't grow.
     """
     counts = {r["word"]: r["n"] for r in document_frequencies(docs).collect()}
@@ -128,41 +129,51 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def _stands(key: np.ndarray, number: np.ndarray, phrase: list[int]) -> np.ndarray:
+    """Keys of the places where a phrase stands word for word."""
+    at = np.flatnonzero(number == phrase[0])
+    at = at[at + len(phrase) <= len(number)]
+    for k, word in enumerate(phrase):
+        at = at[(number[at + k] == word) & (key[at + k] == key[at] + k)]
+    return key[at]
+
+
+def _windows(key: np.ndarray, number: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The licence words at ``size`` places from each start; -1 for other words and outside the text."""
+    places = starts[:, None] + np.arange(size)
+    at = np.minimum(np.searchsorted(key, places), len(key) - 1)
+    return np.where(key[at] == places, number[at], -1)
+
+
 def _scan_batch(batch: pa.RecordBatch, index: Index, finder: Finder, postings) -> pa.RecordBatch:
     bounds, text, place, number = finder(batch.column("text"))
     n = len(batch)
-    key = text.astype(np.int64) << 40 | place  # sorted, as words come in order
-    votes = []
-    for word, entries in postings.items():
-        mine = np.flatnonzero(number == word)
-        for t, offset in entries:
-            fits = mine[place[mine] >= offset]
-            votes.append(np.stack([np.full(len(fits), t), text[fits], place[fits] - offset]))
+    key = (text.astype(np.int64) << 40) + place + _BEFORE  # sorted, as words come in order
     n_base, first, last, score = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n)
     base: dict[int, set[str]] = {}
     found: dict[int, set[str]] = {}
-    votes = np.concatenate(votes, 1) if votes else np.zeros((3, 0), np.int64)
-    starts, agree = np.unique(votes, axis=1, return_counts=True)
-    needed = np.array([len(a) if is_base else min(2, len(a)) for a, (_, _, _, is_base) in zip(index.anchors, index.templates)])
-    for t, doc, start in starts[:, agree >= needed[starts[0]]].T.tolist() if starts.size else []:
+    for t, phrase, offsets in postings:
         label, numbers, phrases, is_base = index.templates[t]
-        a, b = np.searchsorted(key, [doc << 40 | start, doc << 40 | (start + len(numbers))])
-        window = np.full(len(numbers), -1)
-        window[place[a:b] - start] = number[a:b]
-        seen = window.tolist()
-        if not all(any(seen[i:i + len(p)] == p for i in range(len(seen) - len(p) + 1)) for p in phrases):
-            continue
+        stands = _stands(key, number, phrase)
         weight = index.idf[numbers]
-        value = float(weight[window == numbers].sum() / weight.sum())
-        if is_base:
-            n_base[doc] += 1
-            first[doc] = start if first[doc] < 0 else min(first[doc], start)
-            last[doc] = max(last[doc], start)
-            base.setdefault(doc, set()).add(label)
-        elif value < LEAST_SCORE:
-            continue
-        found.setdefault(doc, set()).add(label)
-        score[doc] = max(score[doc], min(value, 1.0))
+        for offset in offsets if len(stands) else ():
+            window = _windows(key, number, stands - offset, len(numbers))
+            fits = np.ones(len(stands), bool)
+            for p in phrases:
+                fits &= np.any([(window[:, i:i + len(p)] == p).all(1) for i in range(len(numbers) - len(p) + 1)], axis=0)
+            value = np.minimum(((window == numbers) * weight).sum(1) / weight.sum(), 1.0)
+            fits &= is_base | (value >= LEAST_SCORE)
+            doc, start = stands[fits] >> 40, (stands[fits] & ((1 << 40) - 1)) - _BEFORE - offset
+            np.maximum.at(score, doc, value[fits])
+            of_label = np.unique(doc).tolist()
+            if is_base:
+                n_base += np.bincount(doc, minlength=n)
+                last[of_label] = np.maximum(last[of_label], start[np.searchsorted(doc, of_label, side="right") - 1])
+                lowest = start[np.searchsorted(doc, of_label)]
+                first[of_label] = np.where(first[of_label] < 0, lowest, np.minimum(first[of_label], lowest))
+            for names in (base, found) if is_base else (found,):
+                for i in of_label:
+                    names.setdefault(i, set()).add(label)
     join = lambda sets: pa.array([",".join(sorted(sets[i])) if i in sets else "" for i in range(n)], pa.string())
     place_of = lambda x: pa.array(x, pa.int64(), mask=x < 0)
     return pa.RecordBatch.from_arrays(

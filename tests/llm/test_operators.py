@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, empty texts, copies, repeated ids and further columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -130,6 +131,44 @@ def test_licences(spark):
     assert got[1].n_words == 0 and got[1].first_word is None and got[4].labels == ""
 
 
+def test_licences_against_every_place(spark):
+    rng = np.random.default_rng(11)
+    split = lambda text: re.findall("[a-z0-9]+", text.lower())
+    texts = ["Apache License Version 2.0", "x Apache License Version 2.0", "the Mozilla Public License v 2.0", "mit license", "CC BY 4.0", None]
+    pool = [*licences.licence_words(), "x", "y"]
+    for text, _ in licences.TEMPLATES.values():
+        for _ in range(12):
+            own = split(text)[int(rng.integers(0, 4)):len(split(text)) - int(rng.integers(0, 3))]
+            for i in np.flatnonzero(rng.random(len(own)) < 0.12):
+                own[i] = pool[int(rng.integers(0, len(pool)))]
+            before = rng.integers(0, len(pool), int(rng.integers(0, 4)))
+            texts.append(" ".join([*(pool[i] for i in before), *own, *(["y", *own] if rng.random() < 0.3 else [])]))
+    texts += ["filler words"] * 300
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    words = [split(t or "") for t in texts]
+    idf = {w: np.log((len(texts) + 1) / (sum(w in x for x in words) + 1)) + 1 for w in pool}
+    holds = lambda window, p: any(window[i:i + len(p)] == p for i in range(len(window) - len(p) + 1))
+    for doc, own in enumerate(words):
+        best, labels, starts = 0.0, set(), []
+        for phrase, label in licences.BASE_PHRASES.items():
+            at = [i for i in range(len(own)) if own[i:i + len(phrase.split())] == phrase.split()]
+            starts += at
+            labels |= {label} if at else set()
+            best = 1.0 if at else best
+        base = set(labels)
+        for label, (text, phrases) in licences.TEMPLATES.items():
+            wanted = text.split()
+            for start in range(-len(wanted), len(own) + 1):
+                window = [own[i] if 0 <= i < len(own) else None for i in range(start, start + len(wanted))]
+                value = sum(idf[a] for a, b in zip(wanted, window) if a == b) / sum(idf[a] for a in wanted)
+                if value >= licences.LEAST_SCORE and all(holds(window, p.split()) for p in phrases):
+                    labels, best = labels | {label}, max(best, value)
+        r = got[doc]
+        assert (r.labels, r.base_labels, r.n_base) == (",".join(sorted(labels)), ",".join(sorted(base)), len(starts)), texts[doc]
+        assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None)) and r.score == pytest.approx(best)
+    assert got[0].labels == "apache-2.0"
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 16))
