@@ -15,7 +15,6 @@ from rowtally.session import scratch_folder, stored
 
 TERM_BITS = 20
 SAMPLE_PER_CLASS = 10_000  # labelled rows of each class the model is fitted on, at most
-TERMS = 4096  # hashed terms the model knows, at most
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.05, 1e-4
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -65,12 +64,12 @@ def sample_labels(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[in
     return parts[0].unionByName(parts[1]), {y: sizes.get(y, 0) for y in (0, 1)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_terms: int = TERMS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
     """Learn from ``labels`` (doc_id, y of 0 or 1) and the whole texts of those documents.
 
-    The model is fitted on at most ``per_class`` rows of each class, chosen by hash, and knows at most ``most_terms``
-    terms, those whose document counts differ most between the classes; the prior is that of all labels. Without rows of
-    both classes the score is the share of toxic labels, or 0.5 without labels.
+    The model is fitted on at most ``per_class`` rows of each class, chosen by hash, and knows all terms of these, which the
+    hashed space bounds; the prior is that of all labels. Without rows of both classes the score is the share of toxic
+    labels, or 0.5 without labels.
     """
     sample, sizes = sample_labels(labels, per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
@@ -79,66 +78,75 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
         for batch in batches_of(batches, "text", 4 << 20):
             text_of, term = hashed_terms(batch.column("text"))
             cuts = np.searchsorted(text_of, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(term, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(term, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "terms"])
 
-    rows = stored(texts.mapInArrow(featurise, "y int, terms array<long>"), scratch_folder(docs.sparkSession, "terms"))
+    rows = stored(texts.mapInArrow(featurise, "y int, terms array<int>"), scratch_folder(docs.sparkSession, "terms"))
     drawn = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    a, b = F.sum("y"), F.sum(1 - F.col("y"))
-    gap = F.abs(a / F.lit(n1) - b / F.lit(n0)) / F.sqrt((a + b + 1) / F.lit(n0 + n1))
-    best = (rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(gap.alias("gap"), F.count(F.lit(1)).alias("n"))
-            .filter("n > 2").orderBy(F.desc("gap"), "term").limit(most_terms))
-    terms = np.array(sorted(r["term"] for r in best.collect()), np.int64)
-
-    def known_only(batches):
-        for batch in batches:
-            lists = batch.column("terms")
-            owner, value = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(terms, value), max(len(terms) - 1, 0))
-            kept = terms[at] == value if len(terms) else np.zeros(len(value), bool)
-            cuts = np.searchsorted(owner[kept], np.arange(len(batch) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at[kept], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "terms"])
-
-    found = rows.mapInArrow(known_only, "y int, terms array<int>").toArrow()
-    y = found["y"].to_numpy().astype(float)
-    lists = [np.array(x, np.int64) for x in found["terms"].to_pylist()]
+    found = rows.toArrow()
+    y = found["y"].to_numpy().astype(np.float32)
+    ends = np.cumsum(pc.list_value_length(found["terms"]).to_numpy())
+    flat = pc.list_flatten(found["terms"]).to_numpy()
+    lists = [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+    terms, place = np.unique(flat), np.zeros(1 << TERM_BITS, np.int32)
+    place[terms] = np.arange(len(terms))
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # the result doesn't hang on the order of tasks
-    machine = train([lists[i] for i in order], y[order], terms)
+    machine = train([place[lists[i]] for i in order], y[order], terms.astype(np.int64))
     machine.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return machine
 
 
+class _Batch:
+    """Some rows, and their entries in the order of rows and of terms, so that sums over either are sums over runs."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray):
+        sizes = np.array([len(r) for r in rows])
+        self.y, self.filled = y, np.flatnonzero(sizes)
+        self.row_cuts = (np.cumsum(sizes) - sizes)[self.filled]
+        self.used, self.place = np.unique(np.concatenate(rows), return_inverse=True)
+        order = np.argsort(self.place, kind="stable")
+        self.place = self.place.astype(np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        self.term_cuts = np.searchsorted(self.place[order], np.arange(len(self.used)))
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.y), *values.shape[1:]), np.float32)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(values[self.place], self.row_cuts)
+        return out
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.owner], self.term_cuts) if len(self.used) else np.zeros((0, *values.shape[1:]), np.float32)
+
+
 def train(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, seed: int = 7) -> Machine:
     """Minibatch gradient steps with a rate per parameter that falls with the gradients it has seen."""
     rng = np.random.default_rng(seed)
     n = len(terms)
-    weights, factors, bias = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), 0.0
-    sw, sf, sb = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
+    weights, factors, bias = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32), 0.0
+    sw, sf, sb = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1e-2
+    order = rng.permutation(len(rows))
+    batches = [_Batch([rows[i] for i in pick], y[pick]) for pick in (order[at:at + 128] for at in range(0, len(order), 128))]
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), 128):
-            pick = order[at:at + 128]
-            term = np.concatenate([rows[i] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            machine = Machine(terms, bias, weights, factors)
-            error = 1 / (1 + np.exp(-np.clip(machine.logits(owner, term, len(pick)), -40, 40))) - y[pick]
-            sums = np.stack([np.bincount(owner, f[term], len(pick)) for f in factors.T], 1)
-            used, inverse = np.unique(term, return_inverse=True)
-            e = error[owner]
-            gw = np.bincount(inverse, e, len(used)) + DECAY * weights[used]
-            gf = np.stack([np.bincount(inverse, e * (sums[owner, f] - factors[term, f]), len(used)) for f in range(FACTORS)], 1)
-            gf += DECAY * factors[used]
+        for batch in (batches[i] for i in rng.permutation(len(batches))):
+            used, w, v = batch.used, weights[batch.used], factors[batch.used]
+            sums = batch.by_row(v)
+            logits = bias + batch.by_row(w - 0.5 * (v ** 2).sum(1)) + 0.5 * (sums ** 2).sum(1)
+            error = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - batch.y).astype(np.float32)
+            e = batch.by_term(error)
+            gw = e + DECAY * w
+            gf = batch.by_term(error[:, None] * sums) + (DECAY - e)[:, None] * v
             sw[used] += gw ** 2
             sf[used] += gf ** 2
-            weights[used] -= RATE * gw / np.sqrt(sw[used])
-            factors[used] -= RATE * gf / np.sqrt(sf[used])
-            sb += error.sum() ** 2
-            bias -= RATE * error.sum() / np.sqrt(sb)
+            weights[used] = w - RATE * gw / np.sqrt(sw[used])
+            factors[used] = v - RATE * gf / np.sqrt(sf[used])
+            total = float(error.sum())
+            sb += total ** 2
+            bias -= RATE * total / np.sqrt(sb)
     return Machine(terms, bias, weights, factors)
 
 

@@ -195,6 +195,19 @@ def test_toxicity_held_out(spark):
     assert toxicity.with_score(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"), machine).first()._score == 0.5
 
 
+def test_toxicity_of_pairs_of_words(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(13000):  # toxic where one of two words stands and the other doesn't, so that each is balanced by itself
+        a, b = i % 2, i // 2 % 2
+        filler = " ".join(f"{k}word" for k in rng.integers(1000, 3300, 4))
+        rows.append((i, " ".join([filler, *["ga"] * a, *["ib"] * b]), a ^ b))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows[:12000]], "doc_id long, y int"))
+    got = {r.doc_id: r._score for r in toxicity.with_score(docs.filter("doc_id >= 12000"), machine).collect()}
+    assert sum((got[i] >= 0.5) == y for i, _, y in rows[12000:]) >= 850
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert substrings.remove_repeats(none).count() == jaccard.jaccard_groups(none).count() == packing.pack(none, TOKENS).count() == 0
