@@ -49,6 +49,11 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a.view(np.int64), b.view(np.int64)
 
 
+def set_nodes(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A number for each set from its key; ``jaccard_groups`` picks a salt by which no two sets share one."""
+    return mix(a.view(np.uint64) ^ mix(b.view(np.uint64) ^ np.uint64(salt))).view(np.int64)
+
+
 class Sizes:
     """Size classes, and how many segments keep one in common in any linked pair whose smaller set is of a class."""
 
@@ -183,24 +188,24 @@ class PrefixTree:
         return found
 
 
-def _keys(n: int):
+def _keys(n: int, salt: int):
     def run(batches):
         for batch in batches_of(batches, "text", 4 << 20):
             h, bounds = shingle_sets(batch.column("text"), n)
             a, b = set_keys(h, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "k1", "k2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_nodes(a, b, salt)), pa.array(a), pa.array(b), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "node", "k1", "k2", "n"])
 
     return run
 
 
-def _segments(n: int, percent: int, buckets: int):
+def _segments(n: int, percent: int, buckets: int, salt: int):
     def run(batches):
         sizes = Sizes(percent)
         for batch in batches_of(batches, "text", 8 << 20):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             h, bounds = shingle_sets(batch.column("text"), n)
             a, b = set_keys(h, bounds)
+            ids = set_nodes(a, b, salt)
             text, sig = signatures(h, bounds, sizes)
             order, group = _groups(ids, b, a)
             same = np.zeros(len(ids), bool)  # copies of a set in this batch: one stands for all
@@ -213,7 +218,7 @@ def _segments(n: int, percent: int, buckets: int):
 
 
 def _candidates(buckets: int):
-    """(doc, leader): documents that share a segment with others, and the smallest of these; packed by leader."""
+    """(doc, leader): sets that share a segment with others, and the smallest node of these; packed by leader."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [_unpack(d, np.uint32, np.uint8) for d in table["data"].to_pylist()]
@@ -221,6 +226,8 @@ def _candidates(buckets: int):
         code = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.lexsort((doc, code))
         doc, code = doc[order], code[order]
+        other = np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])][:len(doc)]  # copies of a set from several batches
+        doc, code = doc[other], code[other]
         new = np.r_[True, code[1:] != code[:-1]]
         group = np.cumsum(new) - 1
         several = np.bincount(group)[group] > 1
@@ -236,16 +243,18 @@ def _distinct_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc, "leader": leader})
 
 
-def _sets(n: int):
-    """The whole set of a text, and the n-grams in the first HEAD of the order in 32 bits."""
+def _sets(n: int, salt: int):
+    """The whole set of a text that is the wanted one of its doc_id, and the n-grams in the first HEAD of the order in 32 bits."""
 
     def run(batches):
         for batch in batches_of(batches, "text", 4 << 20):
             h, bounds = shingle_sets(batch.column("text"), n)
-            grams = [h[a:b] for a, b in zip(bounds, bounds[1:])]
+            wanted = set_nodes(*set_keys(h, bounds), salt) == batch.column("doc").to_numpy()
+            batch, sizes = batch.filter(pa.array(wanted)), np.diff(bounds)[wanted]
+            grams = [h[a:b] for a, b, keep in zip(bounds, bounds[1:], wanted) if keep]
             heads = [(g[g < _HEAD_END] >> np.uint64(32)).astype(np.uint32) for g in grams]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("large"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in heads], pa.binary()), pa.array(np.diff(bounds), pa.int64())],
+                [batch.column("doc"), batch.column("large"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in heads], pa.binary()), pa.array(sizes, pa.int64())],
                 ["doc", "large", "grams", "head", "total"])
 
     return run
@@ -291,7 +300,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Texts whose sets of n-word shingles have 100 * intersection >= percent * union are linked; component_id is the
     smallest doc_id reachable, the document's own included. Steps:
 
-    1. Equal sets are one class (128-bit keys, counted with map-side sums); its smallest doc_id stands for it.
+    1. Equal sets are one class (128-bit keys), a node of the join whatever doc_ids have it.
     2. N-grams are ordered by hash. That order is cut into segments, more than a linked pair of such sizes can have
        differences, so that linked sets agree on a whole segment. Documents that do are grouped under the smallest of
        them: every linked pair meets in some group, and a phrase that many share doesn't bring them together.
@@ -300,25 +309,25 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
        those it is already joined with. A first tree holds only the n-grams in the first HEAD of the order, which rules
        most others out already; whole sets are sent only for the rest.
     4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts.
-    5. Links are a forest per part; connected components give the result.
+    5. Links are a forest per part; their connected components, over the smallest doc_id of each class and with the classes
+       of one doc_id linked, give the result.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without doc_id get no component; rows that share
-    a doc_id are compared one by one and share their links. An empty table gives an empty result.
+    a doc_id are compared one by one, share their links and have one component. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = stored(docs.mapInArrow(_keys(n), "doc_id long, k1 long, k2 long, n long"), scratch_folder(spark, "sets"))
-    classes = keyed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, scratch_folder(spark, "classes"))
-    copies = classes.filter("copies > 1").select("k1", "k2", "n", "rep")
-    other = keyed.join(copies, ["k1", "k2", "n"]).filter("doc_id > rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    other = stored(other, scratch_folder(spark, "copies"))
-
-    pairs = docs.mapInArrow(_segments(n, percent, buckets), _PACKED).groupBy("bucket").applyInArrow(_candidates(buckets), _PACKED)
+    for salt in itertools.count():
+        keyed = stored(docs.mapInArrow(_keys(n, salt), "doc_id long, node long, k1 long, k2 long, n long"), scratch_folder(spark, "sets"))
+        some = keyed.filter("n > 0 AND doc_id IS NOT NULL")
+        classes = some.groupBy("node", "k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+        classes = stored(classes, scratch_folder(spark, "classes"))
+        if not classes.groupBy("node").count().filter("count > 1").limit(1).count():
+            break
+
+    pairs = docs.mapInArrow(_segments(n, percent, buckets, salt), _PACKED).groupBy("bucket").applyInArrow(_candidates(buckets), _PACKED)
     pairs = pairs.groupBy("bucket").applyInArrow(_distinct_pairs, "doc long, leader long")
-    for column in ("doc", "leader"):
-        pairs = pairs.join(other.withColumnsRenamed({"doc_id": column, "rep": "_rep"}), column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
     groups = stored(pairs.filter("doc <> leader").distinct(), scratch_folder(spark, "groups"))
     sizes = groups.groupBy("leader").agg((F.count(F.lit(1)) + 1).alias("rows")).withColumn("parts", F.ceil(F.col("rows") / TREE_ROWS).cast("int"))
     sizes = stored(sizes, scratch_folder(spark, "group-sizes"))
@@ -330,8 +339,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     places = members.select("doc", part(F.lit("a"), own).alias("part"), F.col("doc").alias("component"))
     places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component"))).withColumn("probe", F.lit(True))
     both = members.select("doc", "parts").unionByName(sizes.select(F.col("leader").alias("doc"), "parts"))
-    both = both.groupBy(F.col("doc").alias("doc_id")).agg((F.max("parts") > 1).alias("large"))
-    sets = docs.join(both.hint("merge"), "doc_id").mapInArrow(_sets(n), "doc long, large boolean, grams binary, head binary, total long")
+    both = both.groupBy("doc").agg((F.max("parts") > 1).alias("large"))
+    both = both.join(classes.select(F.col("node").alias("doc"), F.col("rep").alias("doc_id")), "doc")
+    sets = docs.join(both.hint("merge"), "doc_id").mapInArrow(_sets(n, salt), "doc long, large boolean, grams binary, head binary, total long")
     folder = scratch_folder(spark, "gram-sets")
     sets.write.partitionBy("large").parquet(folder)
     sets = spark.read.schema("doc long, grams binary, head binary, total long, large boolean").parquet(folder)
@@ -340,9 +350,19 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     large = sizes.filter("parts > 1")
     if large.limit(1).count():
         links = links.unionByName(_rest(sets.filter("large"), groups, large, links, percent))
+
+    reps = classes.select("node", "rep")
+    for column in ("a", "b"):
+        links = links.join(reps.withColumnsRenamed({"node": column, "rep": f"_{column}"}), column).drop(column).withColumnRenamed(f"_{column}", column)
+    # a doc_id of several sets links these
+    several = some.groupBy("doc_id").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("doc_id")
+    links = links.select("a", "b").unionByName(some.join(several, "doc_id").join(reps, "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
     parts = components(links)
-    whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.join(whole, ["k1", "k2", "n"], "left")
+    whole = reps.join(parts, reps["rep"] == parts["node"], "left").select(reps["node"], F.coalesce("component", "rep").alias("component_id"))
+    out = keyed.filter("n > 0").join(whole, "node", "left").select("doc_id", "n", "component_id")
+    empty = keyed.filter("n = 0").select("doc_id", "n")
+    shared = some.join(empty.select("doc_id").distinct(), "doc_id").join(whole, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = out.unionByName(empty.join(shared, "doc_id", "left"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

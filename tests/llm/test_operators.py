@@ -74,6 +74,20 @@ def test_jaccard(docs, rows, monkeypatch, n, percent, tree):
     assert got == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("tree", [192, 4])
+def test_jaccard_of_repeated_ids(spark, monkeypatch, tree):
+    monkeypatch.setattr(jaccard, "TREE_ROWS", tree)
+    rng = np.random.default_rng(4)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(3, a), (5, a), (5, f"{b} x"), (7, b), (8, prose(rng, 50)), (8, None), (9, c), (9, ""), (2, f"{c} x"), (9, prose(rng, 40)), (5, a), (6, ""), (None, a)]
+    rows += [(20 + i % 9, f"{b} {i}") for i in range(20)] + [(40 + i, prose(rng, 40)) for i in range(4)] + [(41, prose(rng, 40))]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    near = {3, 5, 7, *range(20, 29)}
+    for r in got:
+        assert r.component_id == (3 if r.doc_id in near else 2 if r.doc_id in (2, 9) else r.doc_id), r
+
+
 def test_contamination(spark, docs, rows):
     items = [(0, " ".join(rows[41][1].split()[30:70]).upper() + "!"), (1, "never seen words in any text"), (2, "one two"), (3, None), (4, "")]
     got = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
