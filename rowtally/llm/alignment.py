@@ -195,6 +195,15 @@ class Aligner:
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One aligner for each Python worker and pair of paths."""
+    if (path_a, path_b) not in _ALIGNERS:
+        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
+    return _ALIGNERS[path_a, path_b]
+
+
 _PART = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs array<long>, held array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -206,9 +215,7 @@ def _align_batches(path_a: str, path_b: str):
     schema = to_arrow_schema(_parse_datatype_string(_PART))
 
     def run(batches):
-        if (path_a, path_b) not in _ALIGNERS:
-            _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
-        aligner, number = _ALIGNERS[path_a, path_b], TaskContext.get().partitionId() << 32
+        aligner, number = aligner_of(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches_of(batches, "text", BATCH_BYTES):
             if not len(batch):
                 continue

@@ -98,10 +98,87 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
     vec_id <= coalesce(low, vec_id) AS kept
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN lowest l ON l.a = e.vec_id"""
 
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of short ASCII text, bit by bit."""
+    shifted = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([4294967295] || [ascii(c)::BIGINT FOR c IN string_split({text}, '')], lambda c, b: {shifted}), 4294967295)"
+
+
+def _digest(*values: str) -> str:
+    return f"sha256({' || '.join(f'coalesce(strlen({v}) || chr(58) || {v}, chr(45))' for v in values)})"
+
+
+def _levels(source: str) -> str:
+    """What stands above a list of nodes until one is left."""
+    return f"""SELECT lang, 0 AS level, nodes FROM {source} UNION ALL
+    SELECT lang, level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]"""
+
+
+
+
+def _leaf(n_chars: str) -> str:
+    return _digest("doc_id::VARCHAR", "source", "lang", f"{n_chars}::VARCHAR", "text")
+
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS tampered, n_chars,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM documents),
+groups AS (SELECT lang, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang),
+trees AS ({_levels("groups")} FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM trees WHERE len(nodes) = 1),
+top AS (SELECT NULL AS lang, list(subroot ORDER BY place) AS nodes FROM subroots),
+tops AS ({_levels("top")} FROM tops WHERE len(nodes) > 1),
+places AS (
+    SELECT l.doc_id, l.lang, 0 AS tree, t.level, (l.pos >> t.level) AS p, t.nodes
+    FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+    UNION ALL
+    SELECT l.doc_id, l.lang, 1, t.level, (s.place >> t.level), t.nodes
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN tops t WHERE len(t.nodes) > 1),
+siblings AS (
+    SELECT doc_id, string_agg(coalesce(nodes[xor(p, 1) + 1], ''), '' ORDER BY tree, level) AS joined,
+        list(CASE WHEN p % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(nodes[xor(p, 1) + 1], '') ORDER BY tree, level) AS steps
+    FROM places GROUP BY doc_id),
+folded AS (
+    SELECT l.doc_id, leaf, subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root, sha256(coalesce(joined, '')) AS proof_sha256,
+        list_reduce([CASE WHEN {_crc32("l.doc_id::VARCHAR")} % 7 = 0 THEN coalesce(tampered_or_null, leaf) ELSE leaf END] || coalesce(steps, []),
+            lambda d, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || d) ELSE sha256(d || s[2:]) END) AS folded_root
+    FROM (SELECT *, CASE WHEN n_chars IS NOT NULL THEN tampered END AS tampered_or_null FROM leaves) l
+    JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN siblings b ON b.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+def _escaped(text: str) -> str:
+    """Backslashes doubled, then one set behind the first character of each control string."""
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in ("<|turn|>", "<|text|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+CHATS = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+placed AS (
+    SELECT *, length('<|turn|>' || {_escaped("role")} || '<|text|>' || {_escaped("text")} || '</s>') AS size,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM turns),
+summed AS (
+    SELECT *, sum(size) OVER (PARTITION BY conv_id, pos // 256 ORDER BY pos) AS upto,
+        (pos % 256 = 255 AND pos + 1 < n) OR (pos + 1 = n AND role <> 'assistant') AS tail FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (coalesce(sum(upto) FILTER (role = 'assistant'), 0) + coalesce(sum(upto) FILTER (tail), 0))::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id"""
+
 ORACLE = {
     "op1_substring_dedup": REPEATS,
     "op4_decontamination": LEAKS,
     "op6_warc": ARCHIVES,
     "op8_jaccard_join": JACCARD,
     "op9_embedding_dedup": EMBEDDINGS,
+    "op11_merkle_manifest": MANIFEST,
+    "op13_chat_format": CHATS,
 }
