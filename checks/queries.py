@@ -184,7 +184,8 @@ def csv_scan(spark, sf_dir):
 
 def csv_delimiters(spark, sf_dir):
     lines = spark_sql(spark, sf_dir, feeds.HEAD_LINES)
-    return csvfeeds.delimiters(lines.withColumn("line", F.col("line").cast("binary")))
+    counted = lines.groupBy("path", csvfeeds.delimiter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("lines"), F.min(F.when(F.col("pos") == 0, 0)).alias("header"))
+    return csvfeeds.delimiters(counted, "path")
 
 
 def _packed(kind, records):
@@ -249,7 +250,7 @@ def xml_root_children(spark, sf_dir):
     return rows.select("_file", "sku", "title", "brand")
 
 
-def faulty_folders(spark, sf_dir):
+def faulty_folders(spark, sf_dir, repair=False):
     """Parts with their own column order, an empty feed, two feeds of one name, and records that do not parse."""
     folder = scratch_folder(spark, "faults")
     parts = spark_sql(spark, sf_dir, "SELECT p_partkey AS sku, p_name AS title FROM {part}")
@@ -269,7 +270,7 @@ def faulty_folders(spark, sf_dir):
         end = F.when(F.col("sku") % 10 == (3 if side == "base" else 7), "</wrong></item>").otherwise("</title></item>")
         record = F.concat(F.lit("<item><sku>"), "sku", F.lit("</sku><title>"), "title", end)
         rows.select(record).write.text(f"{to}/dirty.xml")
-    return compare_folders(spark, f"{folder}/base", f"{folder}/new", key="sku", pair_by_stem=True)
+    return compare_folders(spark, f"{folder}/base", f"{folder}/new", key="sku", pair_by_stem=True, repair=repair)
 
 
 def folder_faults(spark, sf_dir):

@@ -21,9 +21,9 @@ MISSING_KEYS = "_file string, missing_in string, sku string, raw_sku string"
 class FolderComparison:
     """Result frames over all pairs. Differences of pairs of different shapes are stacked."""
 
-    def __init__(self, spark, parts: list[Reconciliation], other_pairs: list[dict], confidence: list[tuple], rejects):
+    def __init__(self, spark, parts: list[Reconciliation], other_pairs: list[dict], confidence: list[tuple], faulty):
         self.spark, self.parts = spark, parts
-        self._other, self._confidence, self.rejects = other_pairs, confidence, rejects
+        self._other, self._confidence, self._faulty = other_pairs, confidence, faulty
 
     def _stack(self, frames, schema: str) -> DataFrame:
         return reduce(DataFrame.unionByName, frames, self.spark.createDataFrame([], schema))
@@ -49,6 +49,16 @@ class FolderComparison:
     def key_presence(self) -> DataFrame:
         return self._stack([p.key_presence for p in self.parts], "_file string, sku string, presence string")
 
+    @property
+    def rejects(self) -> DataFrame | None:
+        """``_file, side, record, parsed`` of records that do not parse; ``None`` if there can be none."""
+        return None if self._faulty is None else self._faulty.filter("NOT repaired").drop("repaired")
+
+    @property
+    def repairs(self) -> DataFrame | None:
+        """The same of records that parse after a repair of their markup. They are compared like others."""
+        return None if self._faulty is None else self._faulty.filter("repaired").drop("repaired")
+
     @property
     def pair_summary(self) -> DataFrame:
         """Compared pairs, and those skipped, in error or without a partner, with the reason."""
@@ -86,7 +96,7 @@ class FolderComparison:
 
     @property
     def run_log(self) -> DataFrame:
-        return runlog.run_log(self.pair_summary, self.confidence)
+        return runlog.run_log(self.pair_summary, self.confidence, self.repairs)
 
 
 def _stem(file: str) -> str:
@@ -101,13 +111,13 @@ def _land(spark, df: DataFrame, columns: list[str]) -> DataFrame:
     return landed.select("_file", "_ord", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def _rejects(spark, scans, pair_by_stem: bool, land: bool) -> DataFrame | None:
-    """``_file, side, record, parsed`` of records that do not parse."""
+def _faulty(spark, scans, pair_by_stem: bool, land: bool) -> DataFrame | None:
+    """``_file, side, record, parsed, repaired`` of records that did not parse."""
     found = [r.withColumn("side", F.lit(n)) for n, s in enumerate(scans, 1) for r in s.rejects]
     if not found:
         return None
     file = F.regexp_replace("_file", r"\.[^.]*$", "") if pair_by_stem else F.col("_file")
-    rejects = reduce(DataFrame.unionByName, found).select(file.alias("_file"), "side", "record", "parsed")
+    rejects = reduce(DataFrame.unionByName, found).select(file.alias("_file"), "side", "record", "parsed", "repaired")
     return stored(rejects, scratch_folder(spark, "rejects")) if land else rejects
 
 
@@ -115,13 +125,14 @@ def compare_folders(
     spark: SparkSession, baseline: str, comparison: str, key: str | None = None, compare_columns=None, exclude=(),
     pattern: str | None = None, normalize: bool = True, case_sensitive: bool = True, auto_detect: bool = True,
     priority: list[str] | None = None, encoding: str | None = None, delimiter: str | None = None,
-    multiline: bool | None = None, pair_by_stem: bool = False, only=None, land: bool = True,
+    multiline: bool | None = None, pair_by_stem: bool = False, only=None, land: bool = True, repair: bool = True,
 ) -> FolderComparison:
     """Pair the feeds of two folders by name and compare each pair.
 
     File names, headers and dialects are settled first by small jobs; rows stay in Spark. Naming the
     ``encoding`` and whether values run over line ends (``multiline``) saves one pass over CSV text.
-    ``pair_by_stem`` ignores suffixes when pairing, ``only`` keeps the pairs named in it. ``land`` writes the parsed columns to a table first.
+    ``pair_by_stem`` ignores suffixes when pairing, ``only`` keeps the pairs named in it. ``land`` writes the parsed columns to a table
+    first. ``repair`` mends XML records of broken markup, which are rejects otherwise.
     """
     session = working_session(spark)
     shown = _stem if pair_by_stem else (lambda f: f)
@@ -146,7 +157,7 @@ def compare_folders(
         broken |= {n: f"several feeds of this name: {', '.join(fs)}" for n, fs in members.items() if len(fs) > 1 and n in paired}
     paired -= set(broken)
 
-    dialect = {"encoding": encoding, "delimiter": delimiter, "multiline": multiline}
+    dialect = {"encoding": encoding, "delimiter": delimiter, "multiline": multiline, "repair": repair}
     scans = list(jobs.map(
         lambda folder, side: scan_folder(session, folder, {f: p for f, p in side.items() if shown(f) in paired}, **dialect),
         (baseline, comparison), sides,
@@ -194,4 +205,4 @@ def compare_folders(
     jobs.shutdown()
     options = {"normalize": normalize, "case_sensitive": case_sensitive}
     parts = [Reconciliation(*frames, *keys, columns, files=files, **options) for frames, _, keys, columns, files in planned]
-    return FolderComparison(session, parts, other, confidence, _rejects(session, scans, pair_by_stem, land))
+    return FolderComparison(session, parts, other, confidence, _faulty(session, scans, pair_by_stem, land))

@@ -1,9 +1,9 @@
-"""CSV feeds: dialect found by Spark jobs, then read with Spark's own reader, every column as text."""
+"""CSV feeds: dialect found by Spark jobs over the whole text, then parsed by Spark, every column as text."""
 
 from __future__ import annotations
 
 import csv
-import re
+import io
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -11,67 +11,82 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtally.functions.values import name
-from rowtally.session import working_session
-from rowtally.sources.feed import FeedGroup, file_order, string_schema
+from rowtally.session import scratch_folder, stored, working_session
+from rowtally.sources.csvlines import joined_records, keeps_open, opens_value, record_starts
+from rowtally.sources.feed import FeedGroup, as_order, file_order, string_schema
 from rowtally.sources.listing import feed_name, scanned_path
 
-# Delimiters tried, the size of the sample, and the encodings tried after UTF-8.
+# Delimiters tried, and the encodings tried after UTF-8.
 DELIMITERS = ["|", ";", "\t", ",", "~", "^", "\x01"]
-SAMPLE = 8192
 ENCODINGS = ["UTF-8", "GBK", "ISO-8859-1"]
 
 BOM = "\ufeff"
+STEADY = 0.9  # share of lines that must have as many delimiters as the header
 _CODECS = {"UTF-8": "utf-8", "GBK": "gbk", "ISO-8859-1": "latin-1"}
 _ONE_FILE_PER_TASK = str(1 << 50)
 
 
-def heads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first lines of every file, up to the sample size: ``path, pos, line`` (bytes).
+def _tried(delimiter: str | None) -> list[str]:
+    return list(dict.fromkeys([*DELIMITERS, delimiter or ","]))
 
-    Each file is one task that stops after its first batch, so the job reads heads, not files.
+
+def heads(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> DataFrame:
+    """The header of every file, ``path, header`` (bytes), with all lines that its quoted values run over.
+
+    Each file is one task that stops where the header ends, so the job reads heads, not files.
     """
     session = working_session(spark, **{
         "spark.sql.files.maxPartitionBytes": _ONE_FILE_PER_TASK,
         "spark.sql.files.openCostInBytes": _ONE_FILE_PER_TASK,
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     })
-    lines = session.read.text(paths).select(scanned_path().alias("path"), F.col("value").cast("binary").alias("line"))
+    v = F.col("value")
+    lines = session.read.option("lineSep", "\n").text(paths).select(
+        scanned_path().alias("path"), v.cast("binary").alias("line"), opens_value(v, _tried(delimiter)).alias("from_out"), keeps_open(v, _tried(delimiter)).alias("from_in"))
 
-    def first_lines(batches):
-        taken, size = [], 0
+    def first_record(batches):
+        path, taken, inside = None, [], False
         for batch in batches:
-            for path, line in zip(batch["path"], batch["line"]):
-                size += len(line) + 1
-                if taken and size > SAMPLE:
+            for path, line, out, within in zip(*(batch[c] for c in ("path", "line", "from_out", "from_in"))):
+                taken.append(bytes(line))
+                inside = within if inside else out
+                if not inside:
                     break
-                taken.append((path, len(taken), bytes(line)))
-            if size > SAMPLE:
+            if taken and not inside:
                 break
-        yield pd.DataFrame(taken, columns=["path", "pos", "line"])
+        # a value that is never closed is none: then the first line is the header
+        header = b"\n".join(taken) if not inside else taken[0] if taken else b""
+        yield pd.DataFrame({"path": [path], "header": [header.removesuffix(b"\r")]} if taken else {"path": [], "header": []})
 
-    return lines.mapInPandas(first_lines, "path string, pos int, line binary")
+    return lines.mapInPandas(first_record, "path string, header binary")
 
 
-def opens_value(line: Column, delimiter: str | None = None) -> Column:
-    """Whether a quoted value starts in a line and does not end there.
-
-    Only a quote at the start of a cell opens one; an inch mark inside a cell does not.
-    """
-    ends = "[" + "".join(re.escape(d) for d in dict.fromkeys([*DELIMITERS, delimiter or ","])) + "]"
-    bare = F.replace(line, F.lit('""'), F.lit(""))
-    return F.regexp_replace(bare, f'(^|{ends})"[^"]*"', "$1").rlike(f'(^|{ends})"')
+def delimiter_counts(line: Column) -> Column:
+    """How often each candidate stands outside of quotes; null for a line in which a quoted value starts or ends, which is no sample."""
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
+    counts = F.array(*[F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS])
+    return F.when((F.octet_length(line) > 0) & ~F.contains(bare, F.lit('"')), counts)
 
 
 def profile(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> DataFrame:
-    """Per file, over its whole text: ``path, utf8, gbk, quoted_newline``; no shuffle but one row per file."""
+    """Over the whole text of each file: ``path, counts, lines, utf8, gbk, quoted_newline, header``.
+
+    A row for each different way in which candidates for the delimiter occur in a line, summed up before the shuffle.
+    ``header`` is the place of the first such line in the first split; the smallest is that of the header.
+    """
     v = F.col("value")
     # GBK never uses line ends inside a character, so testing line by line is testing the file
     as_gbk = F.decode(v.cast("binary"), "GBK")
     gbk = v.rlike(r"^[\x00-\x7F]*\z") | ~F.contains(as_gbk, F.lit("\ufffd"))
-    return working_session(spark).read.text(paths).groupBy(scanned_path().alias("path")).agg(
+    lines = working_session(spark).read.text(paths)
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    rows = lines.select(scanned_path().alias("path"), (F.lit(None).cast("array<int>") if delimiter else delimiter_counts(v)).alias("counts"), v, first.alias("first"))
+    return rows.groupBy("path", "counts").agg(
+        F.count(F.lit(1)).alias("lines"),
         F.bool_and(F.is_valid_utf8(v)).alias("utf8"),
         F.bool_and(gbk).alias("gbk"),
-        F.bool_or(opens_value(v, delimiter)).alias("quoted_newline"),
+        F.bool_or(opens_value(v, _tried(delimiter))).alias("quoted_newline"),
+        F.min("first").alias("header"),
     )
 
 
@@ -80,26 +95,21 @@ def encoding_of(utf8: Column, gbk: Column) -> Column:
     return F.when(utf8, ENCODINGS[0]).when(gbk, ENCODINGS[1]).otherwise(ENCODINGS[2])
 
 
-def delimiters(head_lines: DataFrame) -> DataFrame:
-    """``path, delimiter``: the candidate found equally often in every sampled line, the most frequent first.
+def delimiters(counted: DataFrame, key: str) -> DataFrame:
+    """``<key>, delimiter`` of files from ``<key>, counts, lines, header``, where ``header`` is null but for the first line's counts.
 
+    Chosen is the candidate that stands in STEADY or more of all lines as often as in the header, the most frequent first.
     Without such a one the candidate that splits the header widest, as it yields most columns; then a comma.
     """
-    raw = F.decode("line", "ISO-8859-1")
-    text = F.regexp_replace(raw, '"[^"]*"', "")
-    counts = F.array(*[
-        F.struct(F.lit(d).alias("delimiter"), F.lit(-i).alias("rank"),
-                 (F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias("n"))
-        for i, d in enumerate(DELIMITERS)
-    ])
-    # a quote left over belongs to a value that runs over the line end; such lines are no sample
-    whole = (F.length("line") > 0) & ~F.contains(text, F.lit('"'))
-    seen = head_lines.filter(whole).select("path", "pos", F.inline(counts)).groupBy("path", "delimiter", "rank").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min_by("n", "pos").alias("header")
-    )
-    steady = (F.col("least") == F.col("most")) & (F.col("most") > 0)
-    best = F.max_by("delimiter", F.struct(steady, F.col("header"), F.col("rank")))
-    return seen.groupBy("path").agg(F.when(F.max("header") > 0, best).otherwise(",").alias("delimiter"))
+    some = counted.filter("counts IS NOT NULL")
+    header = some.filter("header IS NOT NULL").groupBy(key).agg(F.min_by("counts", "header").alias("wanted"))
+    alike = F.transform(F.arrays_zip("counts", "wanted"), lambda c: c["counts"] == c["wanted"])
+    sums = [F.sum(F.when(alike[i], F.col("lines")).otherwise(0)) for i in range(len(DELIMITERS))]
+    seen = some.join(header, key).groupBy(key).agg(F.first("wanted").alias("wanted"), F.sum("lines").alias("all"), F.array(*sums).alias("alike"))
+    ranked = [F.struct((F.col("alike")[i] >= F.col("all") * STEADY).alias("steady"), F.col("wanted")[i].alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter"))
+              for i, d in enumerate(DELIMITERS)]
+    best = F.array_max(F.filter(F.array(*ranked), lambda r: r["n"] > 0))
+    return seen.select(key, F.coalesce(best["delimiter"], F.lit(",")).alias("delimiter"))
 
 
 def header_names(cells: list[str]) -> list[str]:
@@ -121,43 +131,45 @@ class Dialect:
     quoted_newline: bool
 
 
-def read_csv(spark, folder, paths, columns, dialect, multi_part=False) -> DataFrame:
-    """Rows of files that share header and dialect: ``_file, _ord`` and text columns."""
-    reader = (
-        spark.read.schema(string_schema(columns))
-        .option("header", True).option("mode", "PERMISSIVE").option("sep", dialect.delimiter)
-        .option("encoding", dialect.encoding).option("escape", '"').option("multiLine", dialect.quoted_newline)
-        .option("maxColumns", max(20480, len(columns) + 1))
-    )
-    path = scanned_path()
-    return reader.csv(paths).select(
-        feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord"), *[name(c) for c in columns]
-    )
+def read_csv(spark, folder, paths, columns, dialect, multi_part=False, starts=None) -> DataFrame:
+    """Rows of files that share header and dialect: ``_file, _ord`` and text columns.
+
+    Files whose values run over line ends are put together from lines first; ``starts`` are their splits' starts.
+    """
+    options = {"mode": "PERMISSIVE", "sep": dialect.delimiter, "escape": '"', "maxColumns": str(max(20480, len(columns) + 1))}
+    path = F.col("path") if dialect.quoted_newline else scanned_path()
+    if not dialect.quoted_newline:
+        rows = spark.read.schema(string_schema(columns)).options(**options).option("header", True).option("encoding", dialect.encoding).csv(paths)
+        return rows.select(feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord"), *[name(c) for c in columns])
+    tried = _tried(dialect.delimiter)
+    starts = record_starts(spark, paths, tried, dialect.encoding) if starts is None else starts.filter(F.col("path").isin(paths))
+    records = joined_records(spark, paths, starts, tried, dialect.encoding).filter("(block > 0 OR line > 0) AND value <> ''")
+    # names stand by their places: a text schema can't hold every name
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(columns))), {**options, "multiLine": "true"})
+    place = F.col("block").cast("decimal(38,0)") * F.lit(1 << 33).cast("decimal(11,0)") + F.col("line")
+    rows = records.select(feed_name(path, folder).alias("_file"), as_order(place, path, multi_part).alias("_ord"), cells.alias("r"))
+    return rows.select("_file", "_ord", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def csv_groups(spark, folder, feeds: dict[str, list[str]], multi_part=False, encoding=None, delimiter=None, multiline=None):
     """Groups of CSV feeds that can be read together, and ``{feed: error}`` of those that cannot be read.
 
-    Heads are read always, whole files only when ``encoding`` or ``multiline`` is left to be found.
+    Whole files are read once unless ``encoding``, ``delimiter`` and ``multiline`` are all given; then only their heads are.
     All parts of a feed have one dialect; each is read by its own header, whose order may differ.
     What comes back to the driver is one row per distinct dialect and header with its files.
     """
     session = working_session(spark)
     paths = [p for ps in feeds.values() for p in ps]
     file = feed_name(F.col("path"), folder)
-    head = heads(session, paths)
-    found = head.filter(F.col("pos") == 0).select(file.alias("_file"), "path", F.col("line").alias("header"))
-    if delimiter is None:
-        by_feed = head.select(file.alias("path"), F.struct("path", "pos").alias("pos"), "line")
-        found = found.join(delimiters(by_feed).withColumnRenamed("path", "_file"), "_file", "left")
-    else:
-        found = found.withColumn("delimiter", F.lit(delimiter))
-    if encoding is None or multiline is None:
-        whole = profile(session, paths, delimiter).groupBy(file.alias("_file")).agg(
-            encoding_of(F.bool_and("utf8"), F.bool_and("gbk")).alias("encoding"), F.bool_or("quoted_newline").alias("quoted_newline")
-        )
+    found = heads(session, paths, delimiter).select(file.alias("_file"), "path", "header")
+    if None in (encoding, delimiter, multiline):
+        seen = stored(profile(session, paths, delimiter).withColumn("_file", file), scratch_folder(session, "profile"))
+        whole = seen.groupBy("_file").agg(encoding_of(F.bool_and("utf8"), F.bool_and("gbk")).alias("encoding"), F.bool_or("quoted_newline").alias("quoted_newline"))
         found = found.join(whole, "_file")
-    for column, value in (("encoding", encoding), ("quoted_newline", multiline)):
+        if delimiter is None:
+            by_part = seen.select("_file", "counts", "lines", F.when(F.col("header").isNotNull(), F.struct("path", "header")).alias("header"))
+            found = found.join(delimiters(by_part, "_file"), "_file", "left")
+    for column, value in (("encoding", encoding), ("delimiter", delimiter), ("quoted_newline", multiline)):
         found = found if value is None else found.withColumn(column, F.lit(value))
     files = F.collect_list(F.struct("_file", "path")).alias("files")
     rows = found.groupBy("delimiter", "encoding", "quoted_newline", "header").agg(files).collect()
@@ -166,7 +178,7 @@ def csv_groups(spark, folder, feeds: dict[str, list[str]], multi_part=False, enc
     for r in rows:
         dialect = Dialect(r["delimiter"] or ",", r["encoding"], r["quoted_newline"])
         header = bytes(r["header"]).decode(_CODECS.get(dialect.encoding, dialect.encoding), "replace").lstrip(BOM)
-        columns = header_names(next(csv.reader([header], delimiter=dialect.delimiter))) if header.strip() else []
+        columns = header_names(next(csv.reader(io.StringIO(header, newline=""), delimiter=dialect.delimiter))) if header.strip() else []
         for f in r["files"]:
             parts[f["_file"]][f["path"]] = columns
             dialects[f["_file"]] = dialect
@@ -183,8 +195,13 @@ def csv_groups(spark, folder, feeds: dict[str, list[str]], multi_part=False, enc
                 alike[tuple(headers[0][1]), tuple(columns), dialects[f]][f].append(path)
 
     def group(columns, own, dialect, members):
+        starts = None
+        if dialect.quoted_newline:
+            starts = record_starts(session, [p for ps in members.values() for p in ps], _tried(dialect.delimiter), dialect.encoding)
+            starts = stored(starts, scratch_folder(session, "splits"))
+
         def read(chosen):
-            part = read_csv(session, folder, [p for f in chosen for p in members[f]], own, dialect, multi_part)
+            part = read_csv(session, folder, [p for f in chosen for p in members[f]], own, dialect, multi_part, starts)
             return part.select("_file", "_ord", *[name(c) for c in columns])
 
         return FeedGroup(list(columns), sorted(members), read)

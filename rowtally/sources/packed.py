@@ -144,7 +144,7 @@ def _without_nulls(group: FeedGroup) -> FeedGroup:
     return FeedGroup(group.columns, group.files, lambda chosen: group.read(chosen).select("_file", "_ord", *filled))
 
 
-def landed_groups(spark: SparkSession, landed: str, multi_part: bool = False):
+def landed_groups(spark: SparkSession, landed: str, multi_part: bool = False, repair: bool = True):
     """Groups of the unpacked feeds, ``{feed: error}``, and rejected records."""
     session = working_session(spark)
     listed = session.read.format("binaryFile").option("recursiveFileLookup", True).load(landed)
@@ -157,7 +157,7 @@ def landed_groups(spark: SparkSession, landed: str, multi_part: bool = False):
             found, broken = csv_groups(session, folder, feeds, multi_part)
             groups, errors = groups + found, errors | broken
         elif kind == "kind=xml":
-            found, rejects, unknown = xml_groups(session, folder, feeds, multi_part)
+            found, rejects, unknown = xml_groups(session, folder, feeds, multi_part, repair)
             groups, errors = groups + found, errors | {f: "no repeating elements" for f in unknown}
         elif kind == "kind=book":
             groups += _book_groups(session, folder, feeds, multi_part)
@@ -170,7 +170,7 @@ def landed_groups(spark: SparkSession, landed: str, multi_part: bool = False):
     return [_without_nulls(g) for g in groups if g.files], errors, rejects
 
 
-def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
+def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False, repair=True):
     """Groups of packed feeds with the same columns, ``{file: error}`` of those that cannot be read, and rejects.
 
     Files are unpacked once to the shared scratch folder; every later pass reads what lies there.
@@ -181,7 +181,7 @@ def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]],
     large = {r["_file"]: "too large for one value" for r in named.filter(F.col("length") > LARGEST).select("_file").distinct().collect()}
     landed = scratch_folder(session, "packed")
     land(named.filter(F.col("length") <= LARGEST).select("_file", "content"), landed)
-    groups, errors, rejects = landed_groups(spark, landed, multi_part)
+    groups, errors, rejects = landed_groups(spark, landed, multi_part, repair)
     errors |= large
     found = {f for g in groups for f in g.files}
     errors |= {f: "no records" for f in feeds if f not in found and f not in errors}

@@ -24,8 +24,8 @@ class FolderScan:
         return [(f, i, c) for g in self.groups for f in g.files for i, c in enumerate(g.columns)]
 
 
-def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], **csv_options) -> FolderScan:
-    """Group the given feeds by shape. ``csv_options``: ``encoding``, ``delimiter``, ``multiline``."""
+def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], repair: bool = True, **csv_options) -> FolderScan:
+    """Group the given feeds by shape. ``repair`` mends broken XML records. ``csv_options``: ``encoding``, ``delimiter``, ``multiline``."""
     errors = {f: "empty file" for f, paths in feeds.items() if not paths}
     feeds = {f: paths for f, paths in feeds.items() if paths}
     by_format = defaultdict(dict)
@@ -40,11 +40,11 @@ def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], *
         groups += found
         errors |= unreadable
     if by_format[".xml"]:
-        found, rejects, unknown = xml_groups(spark, folder, by_format[".xml"], multi_part)
+        found, rejects, unknown = xml_groups(spark, folder, by_format[".xml"], multi_part, repair)
         groups += found
         errors |= {f: "no repeating elements" for f in unknown}
     if packed:
-        found, unreadable, broken = packed_groups(spark, folder, packed, multi_part)
+        found, unreadable, broken = packed_groups(spark, folder, packed, multi_part, repair)
         groups += found
         rejects += broken
         errors |= unreadable
@@ -54,12 +54,13 @@ def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], *
     return FolderScan(stack_groups(groups), errors, rejects)
 
 
-def scan(spark: SparkSession, folder: str, pattern: str | None = None, with_rejects: bool = False, **csv_options):
-    """One DataFrame per distinct shape among the feeds of a folder, every column as text.
+def scan(spark: SparkSession, folder: str, pattern: str | None = None, with_rejects: bool = False, **options):
+    """One DataFrame per distinct shape among the feeds of a folder, every column as text. ``options`` as in ``scan_folder``.
 
-    ``with_rejects`` also returns the records that do not parse, ``_file, record, parsed``, one DataFrame per record name.
+    ``with_rejects`` also returns the records that did not parse, ``_file, record, parsed, repaired``, one DataFrame per record
+    name. Those repaired are among the rows.
     """
-    found = scan_folder(spark, folder, feed_paths(spark, folder, pattern)[0], **csv_options)
+    found = scan_folder(spark, folder, feed_paths(spark, folder, pattern)[0], **options)
     if found.errors:
         raise ValueError(f"cannot read {found.errors}")
     frames = [g.read(g.files) for g in found.groups]

@@ -1,17 +1,16 @@
-"""XML feeds, read by Spark's XML source record by record."""
+"""XML feeds: records are cut out of the text by many tasks, then read by Spark's XML source one by one."""
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtally.functions.values import name, strip
-from rowtally.session import scratch_folder, working_session
-from rowtally.sources.feed import FeedGroup, file_order
+from rowtally.session import scratch_folder, stored, working_session
+from rowtally.sources.feed import FeedGroup, as_order
 from rowtally.sources.listing import feed_name, feed_paths, scanned_path
+from rowtally.sources.xmlrepair import repaired
+from rowtally.sources.xmlscan import AT, CHILD, chunk_starts, records
 
 # Element names taken for records, in this order.
 RECORD_TAGS = ["item", "product", "offer", "record", "row", "entry"]
@@ -21,166 +20,18 @@ ILLEGAL = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 BAD = "_corrupt_record"
 _TEXT = "_VALUE"
 
-# Name given to the root's children where their own names don't tell records from other elements.
-CHILD = "rowtally_child"
-_MARKUP = re.compile(r"<!--|<!\[CDATA\[|<\?|<!|</?(?=[^\s<>/!?])")
-_ENDS = {"<!--": "--", "<![CDATA[": "]]", "<?": "?"}
-_TAG = re.compile(r"<(/?)([^\s<>/]+)(.*)\Z", re.S)
-_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
-_OPEN_VALUE = re.compile(r"""=\s*["']""")
-
-
-def record_tags(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """``_file, tag, prefixed``: the first record name that occurs in a feed, null when none does."""
-    # cut at tag ends, not line ends: a document may be one long line
-    pieces = working_session(spark).read.option("lineSep", ">").text(paths)
-    opens = lambda t: F.col("value").rlike(rf"<{t}(\s[^<]*)?/?\z")
-    prefix = "[^<>\\s/!?:]+:"
-    seen = pieces.groupBy(feed_name(scanned_path(), folder).alias("_file")).agg(
-        *[F.bool_or(opens(t)).alias(t) for t in RECORD_TAGS], *[F.bool_or(opens(prefix + t)).alias("_" + t) for t in RECORD_TAGS]
-    )
-    named = [F.when(F.col(t) | F.col("_" + t), F.struct(F.lit(t).alias("tag"), F.col("_" + t).alias("prefixed"))) for t in RECORD_TAGS]
-    return seen.select("_file", F.coalesce(*named).alias("r")).select("_file", "r.tag", "r.prefixed")
-
-
-class _Children:
-    """The root's direct children in one document, from its text cut behind each ``>``.
-
-    Comments, CDATA, instructions and quoted values are stepped over. An end tag closes all that is open in its
-    element, and one of nothing open is ignored, so that a fault stays in its record.
-    """
-
-    def __init__(self, keep: bool):
-        self.keep, self.open, self.waiting, self.record = keep, [], [], None
-        self.names: set[tuple[str, bool]] = set()
-        self.inner: set[str] = set()  # names that occur elsewhere than as a child of the root or below one of that name
-
-    def feed(self, piece: str):
-        """Takes a piece, yields the record that it ends."""
-        self.waiting.append(piece)
-        first = self.waiting[0]
-        start = next((m for m in _MARKUP.finditer(first)), None)
-        kind = start[0] if start else ""
-        if kind in _ENDS and not piece.endswith(_ENDS[kind]):
-            return
-        if kind == "<!" and "[" in first[start.start():] and not piece.rstrip().endswith("]"):
-            return
-        text = first if len(self.waiting) == 1 else ">".join(self.waiting)
-        tag = _TAG.match(text, start.start()) if start and kind not in _ENDS and kind != "<!" else None
-        if tag and not tag[1] and _OPEN_VALUE.search(_QUOTED.sub("", tag[3])):
-            return
-        self.waiting = []
-        if not tag:
-            if self.record is not None:
-                self.record.append(text + ">")
-            return
-        whole, empty = tag[2], tag[3].endswith("/")
-        local = whole.rsplit(":", 1)[-1]
-        if tag[1]:
-            if whole in self.open:
-                at = len(self.open) - 1 - self.open[::-1].index(whole)
-                if at < 2 and self.record is not None:
-                    self.record.append(text[:tag.start()] if at == 1 else text + ">")
-                    yield self.ended()
-                elif self.record is not None:
-                    self.record.append(text + ">")
-                del self.open[at:]
-            elif self.record is not None:
-                self.record.append(text + ">")
-            return
-        if len(self.open) == 1:
-            self.names.add((local, ":" in whole))
-            if self.keep:
-                self.record = [f"<{CHILD}{tag[3].removesuffix('/')}>"]
-                if empty:
-                    yield self.ended()
-        elif self.record is not None:
-            self.record.append(text + ">")
-        if len(self.open) != 1 and local not in {n.rsplit(":", 1)[-1] for n in self.open[1:]}:
-            self.inner.add(local)
-        if not empty:
-            self.open.append(whole)
-
-    def ended(self) -> str:
-        done, self.record = "".join(self.record) + f"</{CHILD}>", None
-        return done
-
-    def close(self):
-        """At the end of a document: the record that is still open, with all that follows it."""
-        if self.waiting and self.record is not None:
-            self.record.append(">".join(self.waiting))
-        if self.record is not None:
-            yield self.ended()
-
-
-def _documents(spark: SparkSession, folder: str, paths: list[str], keep: bool, schema: str, row) -> DataFrame:
-    """``row(_file, path, n, record)`` of the records, or ``row(_file, path, children, None)`` of each document."""
-    pieces = working_session(spark).read.option("lineSep", ">").text(paths)
-    path = scanned_path()
-    pieces = pieces.select(feed_name(path, folder).alias("_file"), path.alias("path"), file_order(path, True).alias("at"), "value")
-    pieces = pieces.repartition("path").sortWithinPartitions("path", "at").select("_file", "path", "value")
-
-    def run(batches):
-        now, children, n = None, None, 0
-        for batch in batches:
-            out = []
-            for file, at, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, at) != now:
-                    if now:
-                        out += [row(*now, n, r) for r in children.close()] if keep else [row(*now, children, None)]
-                    now, children, n = (file, at), _Children(keep), 0
-                for record in children.feed(value):
-                    out.append(row(*now, n, record))
-                    n += 1
-            if out:
-                yield frame(out)
-        if now:
-            out = [row(*now, n, r) for r in children.close()] if keep else [row(*now, children, None)]
-            if out:
-                yield frame(out)
-
-    names = [part.split()[0] for part in schema.split(", ")]
-    frame = lambda out: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(names, zip(*out))})
-    return pieces.mapInArrow(run, schema)
-
-
-def root_children(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """``_file, tags, prefixes, apart``: the names of the root's direct children; with and without a namespace prefix;
-    and whether elements of such a name stand in other places too, where a reader by name would take them for records."""
-    def row(file, path, children, _):
-        names = sorted({t for t, _ in children.names})
-        prefixes = sorted({p for _, p in children.names})
-        return file, names, prefixes, bool(children.inner & set(names))
-
-    found = _documents(spark, folder, paths, False, "_file string, tags array<string>, prefixes array<boolean>, apart boolean", row)
-    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return found.groupBy("_file").agg(all_of("tags"), all_of("prefixes"), F.bool_or("apart").alias("apart"))
-
-
-def land_children(spark: SparkSession, folder: str, paths: list[str]) -> str:
-    """Every direct child of the root as an element CHILD, in order, below the folder returned; one file per document."""
-    landed = scratch_folder(spark, "children-of-root")
-    rows = _documents(spark, folder, paths, True, "_file string, path string, n bigint, record string", lambda *r: r)
-    step = F.split_part("path", F.lit("/" + folder.split(":", 1)[-1].strip("/") + "/"), F.lit(2))
-    rows = rows.select("_file", step.alias("part"), "n", "record").sortWithinPartitions("_file", "part", "n")
-    rows.drop("n").write.partitionBy("_file", "part").text(landed)
-    return landed
-
-
 def declared_prefixes(spark: SparkSession, paths: list[str]) -> list[str]:
     """Namespace prefixes the documents declare, each once."""
     pieces = spark.read.option("lineSep", ">").text(paths)
     return [r[0] for r in pieces.select(F.explode(F.regexp_extract_all("value", F.lit(r"\sxmlns:([^\s=]+)\s*=")))).distinct().collect()]
 
 
-def _reader(spark: SparkSession, tag: str, prefixed: bool):
-    # the older parser cuts records out of the text first, so that one bad record spoils no other;
-    # it looks for a name as written, so that names with a namespace prefix need the other
-    return (
-        spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", not prefixed)
-        .option("ignoreNamespace", True).option("attributePrefix", "@").option("valueTag", _TEXT)
-        .option("inferSchema", False).option("columnNameOfCorruptRecord", BAD)
-    )
+_OPTIONS = {"rowTag": CHILD, "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": _TEXT, "columnNameOfCorruptRecord": BAD}
+
+
+def _reader(spark: SparkSession):
+    # the older parser cuts records out of the text first, so that one bad record spoils no other
+    return spark.read.format("xml").options(**_OPTIONS).option("useLegacyXMLParser", True).option("inferSchema", False)
 
 
 def _text(value: Column, dtype: T.DataType) -> Column | None:
@@ -218,83 +69,89 @@ def flattened(schema: T.StructType) -> dict[str, Column]:
     return {c: v if c.startswith("@") else strip(v) for c, v in out.items()}
 
 
-def read_xml(spark: SparkSession, folder: str, paths: list[str], tag: str, schema: T.StructType, multi_part=False, prefixed=False):
-    """Records and rejects. A record that does not parse is cleaned of illegal characters and parsed again.
+def _as_written(record: Column) -> Column:
+    """A record under its own name again."""
+    own = F.regexp_extract(record, rf'{AT}="[^|]*\|([^|]*)\|', 1)
+    body = F.regexp_replace(record, rf'\A<{CHILD} {AT}="[^"]*"', "")
+    return F.concat(F.lit("<"), own, F.when(F.endswith(body, F.lit(f"</{CHILD}>")), F.concat(F.substring(body, F.lit(1), F.length(body) - len(CHILD) - 1), own, F.lit(">"))).otherwise(body))
 
-    Returns ``(_file, _ord, <text columns>)`` and ``(_file, record, parsed)`` of those that still do not parse.
+
+@F.pandas_udf(T.StringType())
+def _repaired(record: pd.Series) -> pd.Series:
+    return record.map(repaired)
+
+
+def read_xml(spark: SparkSession, folder: str, paths: list[str], schema: T.StructType, multi_part=False, repair=True):
+    """Rows, and records that did not parse. Such a record is cleaned of illegal characters and parsed again; if that fails
+    and ``repair`` is set, its markup is repaired.
+
+    Returns ``(_file, _ord, <text columns>)`` and ``(_file, record, parsed, repaired)``; repaired records are among the rows too.
     """
     body = T.StructType([f for f in schema.fields if f.name != BAD])
     full = T.StructType([*body.fields, T.StructField(BAD, T.StringType())])
-    flat = flattened(body)
-    path = scanned_path()
-    rows = _reader(spark, tag, prefixed).schema(full).load(paths).select(
-        feed_name(path, folder).alias("_file"), file_order(path, multi_part).alias("_ord"), *[name(f) for f in full.names]
-    )
+    flat = {c: v for c, v in flattened(body).items() if c != "@" + AT}
+    place = name("@" + AT)
+    order = as_order(F.substring_index(place, "|", 1), F.regexp_extract(place, r"(?s)\|[^|]*\|(.*)", 1), multi_part)
+    columns = ["_file", order.alias("_ord"), *[flat[c].alias(c) for c in flat]]
+    rows = _reader(spark).schema(full).load(paths).select(feed_name(scanned_path(), folder).alias("_file"), *[name(f) for f in full.names])
     if BAD not in schema.names:
-        return rows.select("_file", "_ord", *[flat[c].alias(c) for c in flat]), None
-    options = {"rowTag": tag, "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": _TEXT, "columnNameOfCorruptRecord": BAD}
+        return rows.select(*columns), None
     bad = F.col(BAD)
-    again = F.from_xml(F.regexp_replace(bad, ILLEGAL, ""), full, options)
-    as_read = F.struct(*[name(f) for f in full.names])
-    tried = rows.select("_file", "_ord", F.when(bad.isNull(), as_read).otherwise(again).alias("_r")).select("_file", "_ord", "_r.*")
-    good = tried.filter(bad.isNull()).select("_file", "_ord", *[flat[c].alias(c) for c in flat])
-    parsed = F.to_json(F.struct(*[name(f) for f in body.names])).alias("parsed")
-    return good, tried.filter(bad.isNotNull()).select("_file", bad.alias("record"), parsed)
+    fields = F.struct(*[name(f) for f in full.names])
+    parse = lambda record: F.from_xml(record, full, _OPTIONS)
+    tried = rows.select("_file", F.when(bad.isNull(), fields).otherwise(parse(F.regexp_replace(bad, ILLEGAL, ""))).alias("_r")).select("_file", "_r.*")
+    good = tried.filter(bad.isNull()).select(*columns)
+    broken = tried.filter(bad.isNotNull())
+    lost = [_as_written(bad).alias("record"), F.to_json(F.struct(*[name(f) for f in body.names])).alias("parsed")]
+    if not repair:
+        return good, broken.select("_file", *lost, F.lit(False).alias("repaired"))
+    mended = broken.select("_file", *lost, parse(_repaired(F.regexp_replace(bad, ILLEGAL, ""))).alias("_r"))
+    known = mended.select("_file", "_r.*").filter(bad.isNull()).select(*columns)
+    return good.unionByName(known), mended.select("_file", "record", "parsed", F.col(f"_r.{BAD}").isNull().alias("repaired"))
 
 
-def infer(spark: SparkSession, paths: list[str], tag: str, prefixed: bool = False) -> T.StructType:
-    return _reader(spark, tag, prefixed).load(paths).schema
+def infer(spark: SparkSession, paths: list[str]) -> T.StructType:
+    return _reader(spark).load(paths).schema
 
 
-def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False):
-    """Groups of XML feeds with the same columns, rejected records, and feeds in which no records are found.
+def land_records(spark: SparkSession, folder: str, feeds: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
+    """Cut the records out of all documents, ``tag=<name>/_file=<feed>/`` below a scratch folder; its folders and their feeds.
+
+    Records are the elements of the first known record name that a feed has, without one all direct children of the root.
+    """
+    paths = [p for ps in feeds.values() for p in ps]
+    starts = stored(chunk_starts(spark, folder, paths, RECORD_TAGS), scratch_folder(spark, "chunks"))
+    names = starts.groupBy("_file").agg(F.flatten(F.collect_set("names")).alias("names"))
+    tag = F.coalesce(*[F.when(F.array_contains("names", t), t) for t in RECORD_TAGS])
+    placed = starts.join(names.select("_file", tag.alias("tag")), "_file").drop("names")
+    landed = scratch_folder(spark, "records")
+    records(spark, paths, placed).write.partitionBy("tag", "_file").text(landed)
+    return {f"{landed}/{kind}": feed_paths(spark, f"{landed}/{kind}", "*")[0] for kind in feed_paths(spark, landed, "tag=*")[0]}
 
-    Records are the elements of the first known record name, without one all direct children of the root. Where these have
-    several names, or one that other elements have too, they are landed under one name first and read in their order.
+
+def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False, repair=True):
+    """Groups of XML feeds with the same columns, records that did not parse, and feeds in which no records are found.
 
     One schema is inferred per record name over all its feeds; which of its columns a feed has comes from
     one aggregation, since a feed lacks a column that none of its records has.
     """
     session = working_session(spark)
-    tags = record_tags(session, folder, [p for ps in feeds.values() for p in ps]).collect()
-    by_tag = defaultdict(list)
-    for r in tags:
-        if r["tag"]:
-            by_tag[folder, r["tag"], r["prefixed"]].append(r["_file"])
-    unnamed = [p for r in tags if not r["tag"] for p in feeds[r["_file"]]]
-    paths_of, mixed = {folder: feeds}, []
-    for r in root_children(session, folder, unnamed).collect() if unnamed else []:
-        if len(r["tags"]) == 1 and len(r["prefixes"]) == 1 and not r["apart"]:
-            by_tag[folder, r["tags"][0], r["prefixes"][0]].append(r["_file"])
-        elif r["tags"]:
-            mixed.append(r["_file"])
-    if mixed:
-        landed = land_children(session, folder, [p for f in mixed for p in feeds[f]])
-        paths_of[landed], _ = feed_paths(session, landed, "*")
-        by_tag[landed, CHILD, False] = mixed
-    groups, rejects, unknown = [], [], set(feeds) - {f for fs in by_tag.values() for f in fs}
-    for (at, tag, prefixed), files in by_tag.items():
-        own = paths_of[at]
-        paths = [p for f in files for p in own[f]]
-        schema = infer(session, paths, tag, prefixed)
-        rows, rejected = read_xml(session, at, paths, tag, schema, multi_part, prefixed)
+    groups, rejects, unknown = [], [], set(feeds)
+    for at, own in land_records(session, folder, feeds).items():
+        paths = [p for ps in own.values() for p in ps]
+        schema = infer(session, paths)
+        rows, rejected = read_xml(session, at, paths, schema, multi_part, repair)
         rejects += [rejected] if rejected is not None else []
         # that parser takes declarations in a record for attributes
-        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))} if prefixed or tag == CHILD else set()
+        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))}
         columns = [c for c in rows.columns if c not in ("_file", "_ord") and c not in declared]
-        if not columns:
-            unknown |= set(files)
-            continue
-        present = rows.groupBy("_file").agg(F.array_compact(F.array(*[F.when(F.count(name(c)) > 0, F.lit(c)) for c in columns])).alias("columns"))
-        shapes = present.groupBy("columns").agg(F.collect_list("_file").alias("files")).collect()
-        found = set()
-        for shape in shapes:
-            found |= set(shape["files"])
+        present = rows.groupBy("_file").agg(F.array_compact(F.array(*[F.when(F.count(name(c)) > 0, F.lit(c)) for c in columns]).cast("array<string>")).alias("columns"))
+        for shape in present.filter("size(columns) > 0").groupBy("columns").agg(F.collect_list("_file").alias("files")).collect():
+            unknown -= set(shape["files"])
 
-            def read(chosen, at=at, own=own, tag=tag, prefixed=prefixed, schema=schema, kept=list(shape["columns"])):
-                part, _ = read_xml(session, at, [p for f in chosen for p in own[f]], tag, schema, multi_part, prefixed)
+            def read(chosen, at=at, own=own, schema=schema, kept=list(shape["columns"])):
+                part, _ = read_xml(session, at, [p for f in chosen for p in own[f]], schema, multi_part, repair)
                 return part.select("_file", "_ord", *[F.coalesce(name(c), F.lit("")).alias(c) for c in kept])
 
             groups.append(FeedGroup(list(shape["columns"]), sorted(shape["files"]), read))
-        unknown |= set(files) - found
     return groups, rejects, sorted(unknown)

@@ -107,7 +107,7 @@ def test_order_over_splits_and_part_files(spark, tmp_path):
 def test_given_dialect_skips_the_full_pass(spark, tmp_path, monkeypatch):
     write(tmp_path, "a.csv", "sku,v\n1,2\n")
     monkeypatch.setattr(csvfeeds, "profile", lambda *a: pytest.fail("whole files were read"))
-    assert rows(spark, tmp_path, encoding="UTF-8", multiline=False) == {"a.csv": [{"sku": "1", "v": "2"}]}
+    assert rows(spark, tmp_path, encoding="UTF-8", multiline=False, delimiter=",") == {"a.csv": [{"sku": "1", "v": "2"}]}
 
 
 RSS = """<?xml version="1.0" encoding="utf-16"?><rss xmlns:g="http://x"><channel><title>c</title>
@@ -140,7 +140,7 @@ def test_xml_records(spark, tmp_path):
 def test_xml_rejects_are_kept_apart(spark, tmp_path):
     write(tmp_path, "bad.xml", "<r><item><a>1</a></item><item><a>2</b></item><item><a>3</a></item></r>")
     feeds, _ = feed_paths(spark, str(tmp_path))
-    found = scan_folder(spark, str(tmp_path), feeds)
+    found = scan_folder(spark, str(tmp_path), feeds, repair=False)
     assert [r["a"] for r in found.groups[0].read(["bad.xml"]).orderBy("_ord").collect()] == ["1", "3"]
     assert [r["record"] for r in found.rejects[0].collect()] == ["<item><a>2</b></item>"]
 
@@ -170,7 +170,7 @@ def test_xml_root_children_of_several_names(spark, tmp_path):
 def test_xml_faults_among_root_children_are_rejects(spark, tmp_path):
     write(tmp_path, "bad.xml", "<r><x><a>1</a></x><y><a>2</b></y><x><a>3</a></x><y><a>4</a>")
     feeds, _ = feed_paths(spark, str(tmp_path))
-    found = scan_folder(spark, str(tmp_path), feeds)
+    found = scan_folder(spark, str(tmp_path), feeds, repair=False)
     assert [r["a"] for r in found.groups[0].read(["bad.xml"]).orderBy("_ord").collect()] == ["1", "3", "4"]
     assert ["<a>2</b>" in r["record"] for r in found.rejects[0].collect()] == [True]
 
@@ -283,14 +283,14 @@ def test_rejects_are_reported(spark, tmp_path):
     bad = "<r><item><sku>1</sku></item><item><sku>2</b></item></r>"
     write(tmp_path / "b", "f.xml", bad)
     write(tmp_path / "c", "f.xml", bad.replace("</b>", "</sku>"))
-    r = compare_folders(spark, str(tmp_path / "b"), str(tmp_path / "c"))
+    r = compare_folders(spark, str(tmp_path / "b"), str(tmp_path / "c"), repair=False)
     s = r.pair_summary.collect()[0]
     assert (s["status"], s["rows_1"], s["rows_2"], s["rejects_1"], s["rejects_2"]) == ("success", 1, 2, 1, 0)
     assert ("WARN", "records that do not parse: 1 | 0") in {(x["category"], x["message"]) for x in r.run_log.collect()}
     write_report(r, str(tmp_path / "report"), fmt="parquet")
     assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "report/Rejects")).select("_file", "side", "record").collect()] == [
         ("f.xml", 1, "<item><sku>2</b></item>")]
-    frames, rejects = scan(spark, str(tmp_path / "b"), with_rejects=True)
+    frames, rejects = scan(spark, str(tmp_path / "b"), with_rejects=True, repair=False)
     assert frames[0].count() == 1 and rejects[0].count() == 1
 
 
@@ -307,7 +307,7 @@ def test_inch_marks_leave_a_file_splittable(spark, tmp_path):
     ('"a,b",c', False), ('"a', True), ('1,""', False), ('b"', False), ('5" x 7",b', False), ('1,"a";"b', True)])
 def test_which_quotes_open_a_value(spark, line, opened):
     df = spark.createDataFrame([(line,)], "v string")
-    assert df.select(csvfeeds.opens_value(df.v)).first()[0] is opened
+    assert df.select(csvfeeds.opens_value(df.v, csvfeeds.DELIMITERS)).first()[0] is opened
 
 
 def test_packed_names_order_and_errors(spark, tmp_path):
