@@ -15,6 +15,8 @@ from rowtally.session import scratch_folder, stored
 
 TERM_BITS = 20
 SAMPLE_PER_CLASS = 10_000  # labelled rows of each class the model is fitted on, at most
+CHUNK_TERMS = 1 << 24  # terms of rows that the driver holds at once, about
+MINIBATCH = 128
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.05, 1e-4
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -64,12 +66,24 @@ def sample_labels(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[in
     return parts[0].unionByName(parts[1]), {y: sizes.get(y, 0) for y in (0, 1)}
 
 
+def _in_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows stored in an order that their content alone decides, in chunks of about CHUNK_TERMS terms."""
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.size("terms") + 1)).first()[0]
+    chunks = -(-total // CHUNK_TERMS)
+    mark = F.xxhash64("terms", "y")
+    rows = rows.withColumns({"mark": mark, "chunk": F.pmod(mark, F.lit(chunks)).cast("int")})
+    folder = scratch_folder(spark, "sample")
+    rows.repartition(chunks, "chunk").write.partitionBy("chunk").parquet(folder)
+    return spark.read.schema("y int, terms array<int>, mark long, chunk int").parquet(folder), chunks
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
     """Learn from ``labels`` (doc_id, y of 0 or 1) and the whole texts of those documents.
 
     The model is fitted on at most ``per_class`` rows of each class, chosen by hash, and knows all terms of these, which the
-    hashed space bounds; the prior is that of all labels. Without rows of both classes the score is the share of toxic
-    labels, or 0.5 without labels.
+    hashed space bounds; the prior is that of all labels. The driver holds the machine and about CHUNK_TERMS terms of rows at a time,
+    however long the texts are. Without rows of both classes the score is the share of toxic labels, or 0.5 without labels.
     """
     sample, sizes = sample_labels(labels, per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
@@ -87,15 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    found = rows.toArrow()
-    y = found["y"].to_numpy().astype(np.float32)
-    ends = np.cumsum(pc.list_value_length(found["terms"]).to_numpy())
-    flat = pc.list_flatten(found["terms"]).to_numpy()
-    lists = [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
-    terms, place = np.unique(flat), np.zeros(1 << TERM_BITS, np.int32)
-    place[terms] = np.arange(len(terms))
-    order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # the result doesn't hang on the order of tasks
-    machine = train([place[lists[i]] for i in order], y[order], terms.astype(np.int64))
+    rows, chunks = _in_chunks(rows)
+
+    def minibatches(chunk: int, rng: np.random.Generator) -> list[_Batch]:
+        found = rows.filter(F.col("chunk") == chunk).select("y", "terms", "mark").toArrow()
+        ends = np.cumsum(pc.list_value_length(found["terms"]).to_numpy())
+        starts, flat, y = np.r_[0, ends[:-1]], pc.list_flatten(found["terms"]).to_numpy(), found["y"].to_numpy().astype(np.float32)
+        order = np.argsort(found["mark"].to_numpy())[rng.permutation(len(y))]  # the result doesn't hang on the order of tasks
+        return [_Batch([flat[starts[i]:ends[i]] for i in pick], y[pick]) for pick in (order[at:at + MINIBATCH] for at in range(0, len(order), MINIBATCH))]
+
+    machine = train(minibatches, chunks)
     machine.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return machine
 
@@ -107,11 +122,11 @@ class _Batch:
         sizes = np.array([len(r) for r in rows])
         self.y, self.filled = y, np.flatnonzero(sizes)
         self.row_cuts = (np.cumsum(sizes) - sizes)[self.filled]
-        self.used, self.place = np.unique(np.concatenate(rows), return_inverse=True)
-        order = np.argsort(self.place, kind="stable")
-        self.place = self.place.astype(np.int32)
-        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
-        self.term_cuts = np.searchsorted(self.place[order], np.arange(len(self.used)))
+        self.used, place = np.unique(np.concatenate(rows), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        self.place = place.astype(np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.uint8 if len(rows) <= 256 else np.int32), sizes)[order]
+        self.term_cuts = np.searchsorted(place[order], np.arange(len(self.used)))
 
     def by_row(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.y), *values.shape[1:]), np.float32)
@@ -123,42 +138,62 @@ class _Batch:
         return np.add.reduceat(values[self.owner], self.term_cuts) if len(self.used) else np.zeros((0, *values.shape[1:]), np.float32)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, seed: int = 7) -> Machine:
-    """Minibatch gradient steps with a rate per parameter that falls with the gradients it has seen."""
+def train(minibatches, chunks: int, seed: int = 7) -> Machine:
+    """Minibatch gradient steps with a rate per parameter that falls with the gradients it has seen.
+
+    ``minibatches(chunk, rng)`` gives a chunk's; only one chunk is held at a time. A single one is read once.
+    """
     rng = np.random.default_rng(seed)
-    n = len(terms)
+    n = 1 << TERM_BITS
     weights, factors, bias = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32), 0.0
     sw, sf, sb = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1e-2
-    order = rng.permutation(len(rows))
-    batches = [_Batch([rows[i] for i in pick], y[pick]) for pick in (order[at:at + 128] for at in range(0, len(order), 128))]
+    seen, batches = np.zeros(n, bool), None
     for _ in range(EPOCHS):
-        for batch in (batches[i] for i in rng.permutation(len(batches))):
-            used, w, v = batch.used, weights[batch.used], factors[batch.used]
-            sums = batch.by_row(v)
-            logits = bias + batch.by_row(w - 0.5 * (v ** 2).sum(1)) + 0.5 * (sums ** 2).sum(1)
-            error = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - batch.y).astype(np.float32)
-            e = batch.by_term(error)
-            gw = e + DECAY * w
-            gf = batch.by_term(error[:, None] * sums) + (DECAY - e)[:, None] * v
-            sw[used] += gw ** 2
-            sf[used] += gf ** 2
-            weights[used] = w - RATE * gw / np.sqrt(sw[used])
-            factors[used] = v - RATE * gf / np.sqrt(sf[used])
-            total = float(error.sum())
-            sb += total ** 2
-            bias -= RATE * total / np.sqrt(sb)
-    return Machine(terms, bias, weights, factors)
-
-
-def with_score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of ``docs`` and ``_score``, from the whole text alone; null and empty texts get the bias's score."""
+        for chunk in rng.permutation(chunks).tolist():
+            batches = batches if batches and chunks == 1 else None  # the chunk before goes first
+            batches = batches or minibatches(chunk, rng)
+            for batch in (batches[i] for i in rng.permutation(len(batches))):
+                used, w, v = batch.used, weights[batch.used], factors[batch.used]
+                seen[used] = True
+                sums = batch.by_row(v)
+                logits = bias + batch.by_row(w - 0.5 * (v ** 2).sum(1)) + 0.5 * (sums ** 2).sum(1)
+                error = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - batch.y).astype(np.float32)
+                e = batch.by_term(error)
+                gw = e + DECAY * w
+                gf = batch.by_term(error[:, None] * sums) + (DECAY - e)[:, None] * v
+                sw[used] += gw ** 2
+                sf[used] += gf ** 2
+                weights[used] = w - RATE * gw / np.sqrt(sw[used])
+                factors[used] = v - RATE * gf / np.sqrt(sf[used])
+                total = float(error.sum())
+                sb += total ** 2
+                bias -= RATE * total / np.sqrt(sb)
+    known = np.flatnonzero(seen)
+    return Machine(known, bias, weights[known], factors[known])
+
+
+def free_name(docs: DataFrame, name: str = "_score") -> str:
+    """A name that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_score(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, from the whole text alone; null and empty texts get the bias's score.
+
+    A column of that name in ``docs`` is replaced.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop(name)
+
     def score(batches):
         for batch in batches_of(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(machine.score(batch.column("text")))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(machine.score(batch.column("text")))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def training_labels(labels: DataFrame, held_out=None) -> DataFrame:
