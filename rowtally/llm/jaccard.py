@@ -6,16 +6,19 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtally.llm.components import components
+from rowtally.llm.numbering import bucket_count
 from rowtally.llm.substrings import _PACKED, _groups, _slots, _to_buckets, _unpack
 from rowtally.llm.words import NOT_BLANK, batches_of, mix, words
 from rowtally.session import scratch_folder, stored
 
 TREE_ROWS = 192  # sets a prefix tree holds at most
-SPARE = 2  # segments more than differences, at least
+SPARE = 4  # segments more than differences, at least
+AGREED = 3  # full segments that linked sets of FIRM shingles or more have in common, at least
+FIRM = 24
 HEAD = 0.35  # share of the order of n-grams that a first look is limited to
 _HEAD_END = np.uint64(int(HEAD * 2**64))
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
@@ -64,9 +67,10 @@ class Sizes:
             edges.append(edges[-1] * 100 // percent + 1)
         self.edges = np.array(edges, np.int64)
         least, most = self.edges[:-1], self.edges[1:] - 1
-        enough = (100 - percent) * (most + most * 100 // percent) // (100 + percent) + 1
-        self.spare = SPARE + np.ceil(2.5 * enough * np.exp(-least / enough)).astype(np.int64)  # more than the empty ones of nearly all sets
-        self.segments = enough + self.spare
+        self.differences = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
+        enough = self.differences + 1
+        self.segments = enough + SPARE + np.ceil(2.5 * enough * np.exp(-least / enough)).astype(np.int64)  # more than the empty ones of nearly all sets
+        self.agreed = np.where(least >= FIRM, AGREED, 1)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, side="right") - 1
@@ -75,19 +79,21 @@ class Sizes:
         return self.of(-(-n * self.percent // 100))
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of the segments of each set: equal segments of two sets of one size class have equal signatures.
+def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, firm) of the segments of each set: equal segments of two sets of one size class have equal signatures.
 
-    The order of n-grams is cut into as many segments as the class asks for, so that linked sets agree on more of
-    them than are spare. Empty segments are left out unless a set has more of them than are spare: then agreement may lie in these alone.
+    The order of n-grams is cut into as many segments as the class asks for. Each difference of two sets spoils one segment at most, so
+    that a set's full segments, less the differences a linked pair can have, are what it has in common with any set linked to it.
+    If these are fewer than the class's ``agreed``, its empty segments count as well. So linked sets have ``agreed`` equal
+    signatures or more; where that is AGREED they are firm. Sets so small that only equal ones link have none.
     """
     n = np.diff(bounds)
     some = np.flatnonzero(n)
-    out_text, out_sig = [], []
+    out_text, out_sig, out_firm = [], [], []
     for step in (0, 1):
         kind = sizes.first_of(n[some]) + step
-        mine = some[kind <= sizes.of(n[some])]
-        kind = kind[kind <= sizes.of(n[some])]
+        kept = (kind <= sizes.of(n[some])) & (sizes.differences[kind] > 0)
+        mine, kind = some[kept], kind[kept]
         if not len(mine):
             continue
         pick = np.concatenate([np.arange(bounds[t], bounds[t + 1]) for t in mine])
@@ -99,15 +105,17 @@ def signatures(h: np.ndarray, bounds: np.ndarray, sizes: Sizes) -> tuple[np.ndar
         place = mix((kind[owner[cuts]].astype(np.uint64) << np.uint64(40)) + segment[cuts])
         out_text.append(mine[owner[cuts]])
         out_sig.append(mix(total ^ place))
+        out_firm.append(sizes.agreed[kind[owner[cuts]]] == AGREED)
         filled = np.bincount(owner[cuts], minlength=len(mine))
-        for i in np.flatnonzero(sizes.segments[kind] - filled > sizes.spare[kind]):
+        for i in np.flatnonzero(filled - sizes.differences[kind] < sizes.agreed[kind]):
             own = segment[cuts][owner[cuts] == i]
             empty = np.setdiff1d(np.arange(sizes.segments[kind[i]], dtype=np.uint64), own)
             out_text.append(np.full(len(empty), mine[i]))
             out_sig.append(mix(mix((np.uint64(kind[i]) << np.uint64(40)) + empty)))
+            out_firm.append(np.full(len(empty), sizes.agreed[kind[i]] == AGREED))
     if not out_text:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_text), np.concatenate(out_sig)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(out_text), np.concatenate(out_sig), np.concatenate(out_firm)
 
 
 class PrefixTree:
@@ -193,7 +201,7 @@ def _keys(n: int, salt: int):
         for batch in batches_of(batches, "text", 4 << 20):
             h, bounds = shingle_sets(batch.column("text"), n)
             a, b = set_keys(h, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_nodes(a, b, salt)), pa.array(a), pa.array(b), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "node", "k1", "k2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(set_nodes(a, b, salt)), pa.array(a), pa.array(b), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "mark", "node", "k1", "k2", "n"])
 
     return run
 
@@ -206,7 +214,7 @@ def _segments(n: int, percent: int, buckets: int, salt: int):
             h, bounds = shingle_sets(batch.column("text"), n)
             a, b = set_keys(h, bounds)
             ids = set_nodes(a, b, salt)
-            text, sig = signatures(h, bounds, sizes)
+            text, sig, _ = signatures(h, bounds, sizes)
             order, group = _groups(ids, b, a)
             same = np.zeros(len(ids), bool)  # copies of a set in this batch: one stands for all
             same[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
@@ -244,7 +252,7 @@ def _distinct_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _sets(n: int, salt: int):
-    """The whole set of a text that is the wanted one of its doc_id, and the n-grams in the first HEAD of the order in 32 bits."""
+    """The whole set of a text, and the n-grams in the first HEAD of the order in 32 bits."""
 
     def run(batches):
         for batch in batches_of(batches, "text", 4 << 20):
@@ -308,7 +316,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
        walks it with the overlap of shared paths, leaves branches whose remaining lengths can't reach the bound, and skips
        those it is already joined with. A first tree holds only the n-grams in the first HEAD of the order, which rules
        most others out already; whole sets are sent only for the rest.
-    4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts.
+    4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts, if they fill
+       one tree at most. A larger group is dealt out again by every segment of its members: linked sets agree on AGREED, so that
+       a group's AGREED - 1 commonest segments, which a line that many share makes, can be left out and no link is lost.
     5. Links are a forest per part; their connected components, over the smallest doc_id of each class and with the classes
        of one doc_id linked, give the result.
 
@@ -316,12 +326,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     a doc_id are compared one by one, share their links and have one component. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    buckets = bucket_count(docs)
     for salt in itertools.count():
-        keyed = stored(docs.mapInArrow(_keys(n, salt), "doc_id long, node long, k1 long, k2 long, n long"), scratch_folder(spark, "sets"))
+        keyed = stored(docs.mapInArrow(_keys(n, salt), "doc_id long, mark long, node long, k1 long, k2 long, n long"), scratch_folder(spark, "sets"))
         some = keyed.filter("n > 0 AND doc_id IS NOT NULL")
-        classes = some.groupBy("node", "k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+        classes = some.groupBy("node", "k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+        classes = classes.select("node", "k1", "k2", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"))
         classes = stored(classes, scratch_folder(spark, "classes"))
         if not classes.groupBy("node").count().filter("count > 1").limit(1).count():
             break
@@ -340,8 +351,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     places = places.unionByName(heads.select("doc", part(F.lit("a"), F.col("j")).alias("part"), F.col("doc").alias("component"))).withColumn("probe", F.lit(True))
     both = members.select("doc", "parts").unionByName(sizes.select(F.col("leader").alias("doc"), "parts"))
     both = both.groupBy("doc").agg((F.max("parts") > 1).alias("large"))
-    both = both.join(classes.select(F.col("node").alias("doc"), F.col("rep").alias("doc_id")), "doc")
-    sets = docs.join(both.hint("merge"), "doc_id").mapInArrow(_sets(n, salt), "doc long, large boolean, grams binary, head binary, total long")
+    both = both.join(classes.select(F.col("node").alias("doc"), F.col("rep").alias("doc_id"), "mark"), "doc")
+    # by the text's hash too, so that the texts of one doc_id don't meet each other's sets; of rows alike one
+    texts = docs.join(both.hint("merge"), ["doc_id", "mark"])
+    texts = texts.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "mark", "doc").orderBy("doc"))).filter("_row = 1")
+    sets = texts.select("doc", "large", "text").mapInArrow(_sets(n, salt), "doc long, large boolean, grams binary, head binary, total long")
     folder = scratch_folder(spark, "gram-sets")
     sets.write.partitionBy("large").parquet(folder)
     sets = spark.read.schema("doc long, grams binary, head binary, total long, large boolean").parquet(folder)
@@ -366,22 +380,59 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """Of rows (key, doc, component) the keys with several components: key, top (the largest), rows, and how many trees all and those outside fill."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    tops = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("rows"), F.max("c").alias("c")).filter("rows > c")
+    trees = lambda n: F.ceil(n / TREE_ROWS).cast("int")
+    return tops.select("key", "top", "rows", trees(F.col("rows")).alias("parts"), trees(F.col("rows") - F.col("c")).alias("outer"))
+
+
+def _outsiders(rows: DataFrame, groups: DataFrame, label: str) -> DataFrame:
+    """Places (doc, part, component, probe) by which those outside a key's largest component meet all rows of the key."""
+    rows = rows.join(groups, "key")
+    i, j = (F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("outer", "parts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    inner = rows.select("doc", "key", "component", every("outer").alias("i"), j.alias("j"), F.lit(False).alias("probe"))
+    outer = rows.filter("component <> top").select("doc", "key", "component", i.alias("i"), every("parts").alias("j"), F.lit(True).alias("probe"))
+    return inner.unionByName(outer).select("doc", F.concat_ws("/", "key", F.lit(label), "i", "j").alias("part"), "component", "probe")
+
+
+def _segment_keys(percent: int):
+    """(group, code, firm, doc, component) for each segment of a group's members."""
+
+    def run(batches):
+        sizes = Sizes(percent)
+        for batch in batches:
+            sets = [np.frombuffer(g, np.uint64) for g in batch.column("grams").to_pylist()]
+            if not sets:
+                continue
+            text, sig, firm = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), sizes)
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(sig.view(np.int64)), pa.array(firm), batch.column("doc").take(at), batch.column("component").take(at)],
+                                             ["group", "code", "firm", "doc", "component"])
+
+    return run
+
+
 def _rest(sets: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links of large groups between documents of different parts and components: those outside a group's largest
-    component, in parts of their own, meet all members, part by part."""
+    """Links of large groups between documents of different parts and components: step 4 of ``jaccard_groups``."""
     spark = sets.sparkSession
     parts = components(links).withColumnRenamed("node", "doc")
-    heads = large.select(F.col("leader").alias("doc"), "leader")
-    rows = groups.join(large.select("leader"), "leader").select("doc", "leader").unionByName(heads)
+    heads = large.select(F.col("leader").alias("doc"), F.col("leader").alias("key"))
+    rows = groups.join(large.select("leader"), "leader").select("doc", F.col("leader").alias("key")).unionByName(heads)
     rows = rows.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = stored(rows, scratch_folder(spark, "large-groups"))
-    counts = rows.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("c"))
-    tops = counts.groupBy("leader").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("rows"), F.max("c").alias("c"))
-    tops = tops.filter("rows > c").select("leader", "top", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("parts"), F.ceil((F.col("rows") - F.col("c")) / TREE_ROWS).cast("int").alias("outer"))
-    rows = rows.join(tops, "leader")
-    i, j = (F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("outer", "parts"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    inner = rows.select("doc", "leader", "component", every("outer").alias("i"), j.alias("j"), F.lit(False).alias("probe"))
-    outer = rows.filter("component <> top").select("doc", "leader", "component", i.alias("i"), every("parts").alias("j"), F.lit(True).alias("probe"))
-    places = inner.unionByName(outer).select("doc", F.concat_ws("/", "leader", F.lit("b"), "i", "j").alias("part"), "component", "probe")
+    found = stored(_open_groups(rows), scratch_folder(spark, "open-groups"))
+    places = _outsiders(rows, found.filter("outer <= 1"), "b")
+    wide = found.filter("outer > 1").select("key")
+    if wide.limit(1).count():
+        members = sets.select("doc", "grams").join(rows.join(wide, "key").hint("merge"), "doc")
+        keys = members.select("key", "doc", "component", "grams").mapInArrow(_segment_keys(percent), "group long, code long, firm boolean, doc long, component long")
+        keys = stored(keys, scratch_folder(spark, "segments"))
+        common = keys.groupBy("group", "code").agg(F.count(F.lit(1)).alias("n"), F.bool_and("firm").alias("firm")).filter(f"firm AND n > {TREE_ROWS}")
+        most = common.groupBy("group").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "code")), False), 1, AGREED - 1).alias("codes"))
+        most = most.select("group", F.explode("codes.code").alias("code"))
+        again = keys.join(most, ["group", "code"], "left_anti").select(F.xxhash64("group", "code").alias("key"), "doc", "component")
+        places = places.unionByName(_outsiders(again, _open_groups(again), "c"))
     return _linked(sets, places, percent)

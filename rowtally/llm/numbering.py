@@ -24,6 +24,14 @@ def numbered(df: DataFrame, group: list[str], part: Column, order: list[str], na
 
 
 ROWS_PER_PART = 1 << 18
+BUCKET_BYTES = 32 << 20  # input whose entries one bucket gets, about
+
+
+def bucket_count(df: DataFrame) -> int:
+    """How many buckets a table's entries are dealt into, each a group that one task holds whole: by the input's bytes, so that groups don't grow with it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # rows that no file holds have no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // BUCKET_BYTES + 1)
 
 
 def in_order(df: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -88,6 +88,48 @@ def test_jaccard_of_repeated_ids(spark, monkeypatch, tree):
         assert r.component_id == (3 if r.doc_id in near else 2 if r.doc_id in (2, 9) else r.doc_id), r
 
 
+@pytest.mark.parametrize("tree", [192, 3])
+def test_jaccard_of_many_that_share_a_line(spark, monkeypatch, tree):
+    monkeypatch.setattr(jaccard, "TREE_ROWS", tree)
+    rng = np.random.default_rng(8)
+    line, texts = prose(rng, 12), []
+    for _ in range(60):
+        own = prose(rng, int(rng.integers(20, 60)), 5000).split()
+        near = [*own[:-1], "other"]
+        texts += [f"{line} {' '.join(own)}", f"{line} {' '.join(near)}"] if rng.random() < 0.5 else [f"{' '.join(own)} {line}"]
+    texts += [prose(rng, 300, 9) for _ in range(12)] + [f"{line} {w}" for w in "abcdefgh"]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()}
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in label:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == dict(enumerate(label)) and len(set(label)) < len(label)
+
+
+def test_signatures_agree():
+    """Linked sets have as many equal signatures as their class says."""
+    rng = np.random.default_rng(9)
+    for percent in (80, 85):
+        sizes = jaccard.Sizes(percent)
+        for n in [5, 8, 12, 20, 24, 30, 60, 200]:
+            for _ in range(60):
+                base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+                a = np.unique(base[:n])
+                most = (100 - percent) * 2 * n // (100 + percent)
+                gone = rng.permutation(n)[:int(rng.integers(0, most + 1))]
+                b = np.unique(np.concatenate([np.delete(a, gone[:len(gone) // 2]), base[n:n + len(gone) - len(gone) // 2]]))
+                if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)) or np.array_equal(a, b):
+                    continue
+                text, sig, firm = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), sizes)
+                common = np.intersect1d(sig[text == 0], sig[text == 1])
+                kind = sizes.of(np.array([min(len(a), len(b))]))[0]
+                counted = np.intersect1d(common, sig[firm]) if sizes.agreed[kind] > 1 else common
+                assert len(counted) >= sizes.agreed[kind]
+
+
 def test_contamination(spark, docs, rows):
     items = [(0, " ".join(rows[41][1].split()[30:70]).upper() + "!"), (1, "never seen words in any text"), (2, "one two"), (3, None), (4, "")]
     got = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
