@@ -14,7 +14,8 @@ from rowtally.session import scratch_folder, stored
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. Learnt from all labels of these documents."""
     machine = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.with_score(docs, machine).filter("_score < 0.5").drop("_score")
+    score = toxicity.free_name(docs)
+    return toxicity.with_score(docs, machine, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
