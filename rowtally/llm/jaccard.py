@@ -15,7 +15,9 @@ from rowtally.llm.substrings import _PACKED, _groups, _slots, _to_buckets, _unpa
 from rowtally.llm.words import NOT_BLANK, batches_of, mix, words
 from rowtally.session import scratch_folder, stored
 
-TREE_ROWS = 192  # sets a prefix tree holds at most
+TREE_ROWS = 192  # sets a prefix tree holds at most, when a group is first dealt out
+REST_ROWS = 2048  # the same from either side, when those outside its largest component meet the rest
+WIDE = 8  # trees that those may fill before the group is dealt out by segments
 SPARE = 4  # segments more than differences, at least
 AGREED = 3  # full segments that linked sets of FIRM shingles or more have in common, at least
 FIRM = 24
@@ -316,8 +318,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
        walks it with the overlap of shared paths, leaves branches whose remaining lengths can't reach the bound, and skips
        those it is already joined with. A first tree holds only the n-grams in the first HEAD of the order, which rules
        most others out already; whole sets are sent only for the rest.
-    4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts, if they fill
-       one tree at most. A larger group is dealt out again by every segment of its members: linked sets agree on AGREED, so that
+    4. Where a group of several parts isn't one component then, those outside its largest component meet all its parts, in trees of
+       REST_ROWS from either side, if they fill WIDE at most. A larger group is dealt out again by every segment of its members: linked sets agree on AGREED, so that
        a group's AGREED - 1 commonest segments, which a line that many share makes, can be left out and no link is lost.
     5. Links are a forest per part; their connected components, over the smallest doc_id of each class and with the classes
        of one doc_id linked, give the result.
@@ -384,7 +386,7 @@ def _open_groups(rows: DataFrame) -> DataFrame:
     """Of rows (key, doc, component) the keys with several components: key, top (the largest), rows, and how many trees all and those outside fill."""
     counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     tops = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("rows"), F.max("c").alias("c")).filter("rows > c")
-    trees = lambda n: F.ceil(n / TREE_ROWS).cast("int")
+    trees = lambda n: F.ceil(n / REST_ROWS).cast("int")
     return tops.select("key", "top", "rows", trees(F.col("rows")).alias("parts"), trees(F.col("rows") - F.col("c")).alias("outer"))
 
 
@@ -393,7 +395,8 @@ def _outsiders(rows: DataFrame, groups: DataFrame, label: str) -> DataFrame:
     rows = rows.join(groups, "key")
     i, j = (F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("outer", "parts"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    inner = rows.select("doc", "key", "component", every("outer").alias("i"), j.alias("j"), F.lit(False).alias("probe"))
+    # outsiders of one tree meet each other as probes already
+    inner = rows.filter("component = top OR outer > 1").select("doc", "key", "component", every("outer").alias("i"), j.alias("j"), F.lit(False).alias("probe"))
     outer = rows.filter("component <> top").select("doc", "key", "component", i.alias("i"), every("parts").alias("j"), F.lit(True).alias("probe"))
     return inner.unionByName(outer).select("doc", F.concat_ws("/", "key", F.lit(label), "i", "j").alias("part"), "component", "probe")
 
@@ -424,15 +427,20 @@ def _rest(sets: DataFrame, groups: DataFrame, large: DataFrame, links: DataFrame
     rows = rows.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = stored(rows, scratch_folder(spark, "large-groups"))
     found = stored(_open_groups(rows), scratch_folder(spark, "open-groups"))
-    places = _outsiders(rows, found.filter("outer <= 1"), "b")
-    wide = found.filter("outer > 1").select("key")
+    places = _outsiders(rows, found.filter(F.col("outer") <= WIDE), "b")
+    wide = found.filter(F.col("outer") > WIDE).select("key")
     if wide.limit(1).count():
         members = sets.select("doc", "grams").join(rows.join(wide, "key").hint("merge"), "doc")
         keys = members.select("key", "doc", "component", "grams").mapInArrow(_segment_keys(percent), "group long, code long, firm boolean, doc long, component long")
         keys = stored(keys, scratch_folder(spark, "segments"))
-        common = keys.groupBy("group", "code").agg(F.count(F.lit(1)).alias("n"), F.bool_and("firm").alias("firm")).filter(f"firm AND n > {TREE_ROWS}")
+        counts = keys.groupBy("group", "code").agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and("firm").alias("firm"), F.min("doc").alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        counts = stored(counts.filter("lo < hi"), scratch_folder(spark, "segment-counts"))
+        common = counts.filter(f"firm AND n > {REST_ROWS}")
         most = common.groupBy("group").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "code")), False), 1, AGREED - 1).alias("codes"))
-        most = most.select("group", F.explode("codes.code").alias("code"))
-        again = keys.join(most, ["group", "code"], "left_anti").select(F.xxhash64("group", "code").alias("key"), "doc", "component")
+        left = counts.select("group", "code", "leader").join(most.select("group", F.explode("codes.code").alias("code")), ["group", "code"], "left_anti")
+        # members that share many segments meet once, under the smallest that shares any
+        again = keys.join(left, ["group", "code"]).select(F.xxhash64("group", "leader").alias("key"), "doc", "component").distinct()
+        again = stored(again, scratch_folder(spark, "segment-groups"))
         places = places.unionByName(_outsiders(again, _open_groups(again), "c"))
     return _linked(sets, places, percent)

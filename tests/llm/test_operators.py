@@ -59,6 +59,8 @@ def test_substrings(docs, rows):
 @pytest.mark.parametrize("n, percent, tree", [(4, 85, 192), (5, 80, 192), (4, 85, 4)])
 def test_jaccard(docs, rows, monkeypatch, n, percent, tree):
     monkeypatch.setattr(jaccard, "TREE_ROWS", tree)
+    monkeypatch.setattr(jaccard, "REST_ROWS", tree)
+    monkeypatch.setattr(jaccard, "WIDE", 1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs, n, percent).collect()}
     sets = {}
     for i, t, *_ in rows:
@@ -77,6 +79,8 @@ def test_jaccard(docs, rows, monkeypatch, n, percent, tree):
 @pytest.mark.parametrize("tree", [192, 4])
 def test_jaccard_of_repeated_ids(spark, monkeypatch, tree):
     monkeypatch.setattr(jaccard, "TREE_ROWS", tree)
+    monkeypatch.setattr(jaccard, "REST_ROWS", tree)
+    monkeypatch.setattr(jaccard, "WIDE", 1)
     rng = np.random.default_rng(4)
     a, b, c = (prose(rng, 80) for _ in range(3))
     rows = [(3, a), (5, a), (5, f"{b} x"), (7, b), (8, prose(rng, 50)), (8, None), (9, c), (9, ""), (2, f"{c} x"), (9, prose(rng, 40)), (5, a), (6, ""), (None, a)]
@@ -91,6 +95,8 @@ def test_jaccard_of_repeated_ids(spark, monkeypatch, tree):
 @pytest.mark.parametrize("tree", [192, 3])
 def test_jaccard_of_many_that_share_a_line(spark, monkeypatch, tree):
     monkeypatch.setattr(jaccard, "TREE_ROWS", tree)
+    monkeypatch.setattr(jaccard, "REST_ROWS", tree)
+    monkeypatch.setattr(jaccard, "WIDE", 1)
     rng = np.random.default_rng(8)
     line, texts = prose(rng, 12), []
     for _ in range(60):
