@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtally.llm.components import components, local_forest
@@ -33,11 +33,11 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, embedding) whose vector is there, finite in every component and not zero."""
+def usable() -> Column:
+    """Whether a row has a vec_id and a vector that is finite in every component and not zero."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(v))
-    return vectors.select("vec_id", "embedding").filter(x.isNotNull() & finite & F.exists(x, lambda v: v != 0) & F.col("vec_id").isNotNull())
+    return F.coalesce(x.isNotNull() & finite & F.exists(x, lambda v: v != 0) & F.col("vec_id").isNotNull(), F.lit(False))
 
 
 def _spread(least: float, grid: int, budgets):
@@ -126,21 +126,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     link counts and a spanning forest, never pairs.
 
     Vectors that are null, zero or not finite, and rows without vec_id, have no links and are their own component.
-    Vectors of different dimensions never link. Repeated vec_ids count as one vector, the row with the smallest
-    components; an empty table gives an empty result.
+    Vectors of different dimensions never link. Every row is a vector of its own, also where several share a vec_id; an
+    empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    good = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    good = stored(good, scratch_folder(spark, "vectors"))
+    vectors = vectors.select("vec_id", "embedding")
+    good = vectors.filter(usable())
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
-    classes = stored(classes, scratch_folder(spark, "vector-classes"))
+    # numbers rise with the smallest vec_id, so that the smallest number of a component has its smallest vec_id
+    classes = stored(classes.orderBy("rep").withColumn("node", F.monotonically_increasing_id()), scratch_folder(spark, "vector-classes"))
     total = classes.count()
     grid = 1
     while grid < BLOCK_DIMENSIONS and total > GROUP_ROWS * 4 ** grid:
         grid += 1
     whole = 2 - 2 * least
     budgets = lambda d: [(b, whole * (b.stop - b.start) / d) for b in blocks(d)]
-    reps = classes.select(F.col("rep").alias("vec_id"), "_n", "embedding", F.size("embedding").alias("_d"))
+    reps = classes.select(F.col("node").alias("vec_id"), "_n", "embedding", F.size("embedding").alias("_d"))
     kind = reps.schema["embedding"].dataType.simpleString()
     placed = reps.mapInArrow(_spread(least, grid, budgets), f"vec_id long, _n long, embedding {kind}, cell string, home boolean")
     placed = stored(placed, scratch_folder(spark, "cells"))
@@ -156,12 +157,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     dealt = dealt.select(F.concat_ws("/", "cell", "_at.i", "_at.j").alias("part"), "vec_id", "_n", "embedding", "home", "side")
     found = dealt.groupBy("part").applyInArrow(_join_cell(least, budgets), "vec_id long, links long, other long")
     found = stored(found, scratch_folder(spark, "links"))
-    links = found.filter("links IS NOT NULL").groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
-    parts = components(found.filter("other IS NOT NULL"), "vec_id", "other").withColumnRenamed("node", "rep")
-    joined = classes.join(links, "rep", "left").join(parts, "rep", "left")
+    links = found.filter("links IS NOT NULL").groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "node")
+    parts = components(found.filter("other IS NOT NULL"), "vec_id", "other")
+    names = parts.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id")), "component").select("node", "component_id")
+    joined = classes.join(links, "node", "left").join(names, "node", "left")
     known = good.join(joined, "embedding").select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = vectors.select("vec_id").join(known, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.col("vec_id").eqNullSafe(component).alias("kept"))
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("_n") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    alone = vectors.filter(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return known.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
