@@ -33,10 +33,6 @@ def _gram_hashes(width: int) -> Column:
     return F.transform("grams", lambda g: F.shiftrightunsigned(F.xxhash64(*[F.get(F.split(g, " "), F.lit(k)) for k in range(width)]), 1))
 
 
-def _at_most(top: int) -> Column:
-    return F.filter("u", lambda u: u <= F.lit(top))
-
-
 def _sketches(items: DataFrame, least: float) -> DataFrame:
     """item, item_id, width, grams, n, size partition, and ``need``: how many of its n shingles a document must hold.
 
@@ -59,33 +55,37 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
 
     A thirty-shingle item in a document of 20,000 words has a Jaccard similarity of .0015, so that signatures of the
     documents don't see it. Here the items carry the MinHash sketch: their smallest shingle hashes, as many as decide
-    containment, in partitions by size, each with its own largest sketch hash and least need. Document shingles over every partition's
-    largest hash are dropped in the scan, the rest probe the sketches of partitions that the document is long enough for.
+    containment, in partitions by size, each with its own largest sketch hash and least need. A document's shingles are hashed in the scan
+    and dropped there if they are over the largest hash of all partitions it is long enough for; the rest probe the sketches.
     Candidates are then verified on the words themselves. Nothing is lost by the search.
 
     Items of fewer than five words have their whole sequence as shingle; items without words are skipped. Rows without
-    doc_id are not searched. Rows that share a doc_id count as one document; of texts that share an item_id the best
-    counts. Either table may be empty. Sketches are broadcast only if Spark's own size threshold allows it.
+    doc_id are not searched. Rows that share a doc_id are texts of their own, and so are those of an item_id; the best pair counts.
+    Either table may be empty. Sketches and hits are broadcast only if Spark's own size threshold allows it.
     """
-    sketches = stored(_sketches(items, least), scratch_folder(docs.sparkSession, "sketches"))
+    spark = docs.sparkSession
+    sketches = stored(_sketches(items, least), scratch_folder(spark, "sketches"))
     probes = sketches.select("item", "width", "partition", "need", F.explode("sketch").alias("u"))
-    bounds = probes.groupBy("width").agg(F.max("u").alias("u"), F.min("need").alias("need")).collect()  # a row for each width, SHINGLE at most
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    split = texts.select("doc_id", _words(F.col("text")).alias("w"))
-    found = None
-    for row in bounds:
-        width, top = int(row["width"]), int(row["u"])
-        hashed = split.filter(F.size("w") >= width + row["need"] - 1).select("doc_id", F.size("w").alias("words"), _shingles("w", width, lambda i, k=width: _hash("w", i, k)).alias("u"))
-        low = hashed.select("doc_id", "words", F.explode(_at_most(top)).alias("u"))
+    # a row for each width and power of two of an item's size
+    bounds = probes.groupBy("width", "partition").agg(F.max("u").alias("top"), F.min("need").alias("need")).collect()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).filter("doc_id IS NOT NULL")
+    split = texts.select("doc_id", "mark", _words(F.col("text")).alias("w"))
+    words, found = F.size("w"), None
+    for width in sorted({row["width"] for row in bounds}):
+        own = [row for row in bounds if row["width"] == width]
+        top = F.greatest(*[F.when(words >= row["need"] + width - 1, row["top"]).otherwise(-1) for row in own], F.lit(-1))
+        hashed = split.select("doc_id", "mark", words.alias("words"), top.alias("top"), "w").filter("top >= 0")
+        hashed = hashed.select("doc_id", "mark", "words", "top", _shingles("w", width, lambda i, k=width: _hash("w", i, k)).alias("u"))
+        low = hashed.select("doc_id", "mark", "words", F.explode(F.filter("u", lambda u: u <= F.col("top"))).alias("u"))
         mine = probes.filter(F.col("width") == width).select("item", "u", "need")
-        hits = low.join(mine, "u").filter(F.col("words") >= F.col("need") + width - 1).select("doc_id", "item").distinct()
+        hits = low.join(mine, "u").filter(F.col("words") >= F.col("need") + width - 1).select("doc_id", "mark", "item").distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles int, n_shared int, containment double")
+        return spark.createDataFrame([], "doc_id long, item_id long, n_shingles int, n_shared int, containment double")
+    found = stored(found, scratch_folder(spark, "hits"))  # its size then lets texts stay where they are, if it is small
     spaced = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" ")).alias("spaced")
-    pairs = texts.join(found, "doc_id").join(sketches.select("item", "item_id", "grams", "n", "need"), "item")
-    grams = pairs.select("doc_id", "item", "item_id", "n", "need", spaced, F.explode("grams").alias("gram"))
-    grams = grams.filter(F.contains(F.col("spaced"), F.concat(F.lit(" "), "gram", F.lit(" "))))
-    shared = grams.groupBy("doc_id", "item", "item_id", "n", "need").agg(F.count_distinct("gram").cast("int").alias("shared")).filter("shared >= need")
-    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("b"))
+    pairs = texts.join(found, ["doc_id", "mark"]).join(sketches.select("item", "item_id", "grams", "n", "need"), "item")
+    shared = F.size(F.filter("grams", lambda g: F.contains(F.col("spaced"), F.concat(F.lit(" "), g, F.lit(" ")))))
+    counted = pairs.select("doc_id", "item_id", "n", "need", "grams", spaced).select("doc_id", "item_id", "n", "need", shared.alias("shared")).filter("shared >= need")
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("n_shingles"), F.col("b.shared").alias("n_shared"), F.col("b.containment").alias("containment"))
