@@ -52,10 +52,11 @@ item_shingles AS (
     FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM item_runs)),
 sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
 doc_words AS ({_list_words("documents", "doc_id")}),
-texts AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM doc_words WHERE doc_id IS NOT NULL),
-shared AS (
-    SELECT doc_id, item_id, count(*) AS n_shared
-    FROM texts JOIN item_shingles ON contains(spaced, ' ' || shingle || ' ') GROUP BY doc_id, item_id)
+texts AS (SELECT doc_id, row_number() OVER () AS text_id, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM doc_words WHERE doc_id IS NOT NULL),
+held AS (
+    SELECT doc_id, text_id, item_id, count(*) AS n_held
+    FROM texts JOIN item_shingles ON contains(spaced, ' ' || shingle || ' ') GROUP BY doc_id, text_id, item_id),
+shared AS (SELECT doc_id, item_id, max(n_held) AS n_shared FROM held GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n::INTEGER AS n_shingles, n_shared::INTEGER AS n_shared, n_shared::DOUBLE / n AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n"""
 
@@ -173,8 +174,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     (coalesce(sum(upto) FILTER (role = 'assistant'), 0) + coalesce(sum(upto) FILTER (tail), 0))::BIGINT AS formatted_chars
 FROM summed GROUP BY conv_id"""
 
+
+def _unit(salt: str) -> str:
+    """A number between 0 and 1 from the MD5 of doc_id and a salt."""
+    return f"((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || {salt}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
+SHARDS = f"""
+WITH RECURSIVE steps AS (
+    SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM steps WHERE k < 8),
+lookup AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+sized AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+        xor(list_reduce([4294967295] || [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(coalesce(text, '')), '..')],
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+    FROM documents, lookup),
+scored AS (
+    SELECT *, [{{'score': -1 / ln({_unit("s::VARCHAR")}), 'shard': s::INTEGER}} FOR s IN range(17)] AS scores, floor({_unit("'slot'")} * 1024) AS part FROM sized),
+dealt AS (SELECT *, list_max(scores[:16]).shard AS shard, list_max(scores).shard AS grown_shard FROM scored)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id) - 1 AS slot, grown_shard FROM dealt"""
+
 ORACLE = {
     "op1_substring_dedup": REPEATS,
+    "op3_sharding": SHARDS,
     "op4_decontamination": LEAKS,
     "op6_warc": ARCHIVES,
     "op8_jaccard_join": JACCARD,
