@@ -204,3 +204,23 @@ PACKED = """SELECT g, 'p' || CAST(g AS STRING) || CASE g % 3 WHEN 0 THEN '.zip'
 # Records of two feeds: an inch mark in each title of one, a title over two lines in each record of the other.
 QUOTED = """SELECT 'inch.csv' AS _file, p_partkey AS sku, '27" ' || p_name AS title, CAST(p_partkey AS STRING) || ',27" ' || p_name AS line FROM {part}
  UNION ALL SELECT 'lines.csv', p_partkey, p_name || chr(10) || p_brand, CAST(p_partkey AS STRING) || ',"' || p_name || chr(10) || p_brand || '"' FROM {part}"""
+
+
+# Records whose comments, text and attribute values hold markup, with nested children; pieces of one document each.
+MARKUP = """SELECT p_partkey AS k, '<product code="' || CAST(p_partkey AS STRING) || '>"><!-- old <item> list --><sku>' || CAST(p_partkey AS STRING) || '</sku><title><![CDATA[<b>'
+ || p_name || '</b> <item>x</item>]]></title><dims><w>' || CAST(p_size AS STRING) || '</w></dims><dims><h unit="cm">' || CAST(p_size + 1 AS STRING)
+ || '</h></dims><tag>first</tag><tag>' || p_brand || '</tag></product>' AS record FROM {part}"""
+
+# A feed whose header and values run over line ends.
+WRAPPED = """SELECT p_partkey AS sku, p_name || chr(10) || 'line, "two" x' AS title, p_brand AS brand,
+ CAST(p_partkey AS STRING) || ',"' || p_name || chr(10) || 'line, ""two"" x",' || p_brand AS line FROM {part}"""
+
+# A feed that only its later lines tell the delimiter of: the first twentieth has a semicolon in each line as well.
+LATE = """SELECT p_partkey AS sku, CASE WHEN p_partkey * 20 <= n THEN p_name || ';' || p_brand ELSE p_name END AS title
+ FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {part}) AS t"""
+
+
+# Titles that only one encoding of three writes as bytes that are valid in no earlier one.
+ENCODED = """SELECT _file, p_partkey AS sku, added || p_name AS title FROM {part}
+ CROSS JOIN (SELECT 'utf.csv' AS _file, 'Größe 中 ' AS added UNION ALL SELECT 'gbk.csv', '中文 ' UNION ALL SELECT 'latin.csv', 'café ') AS t"""
+FILE_ENCODINGS = {"utf.csv": "UTF-8", "gbk.csv": "GBK", "latin.csv": "ISO-8859-1"}

@@ -292,6 +292,20 @@ ORACLE |= {
     "csv_inch_mark": duck(f"""SELECT _file, count(*) AS rows, CAST(sum(length(title)) AS BIGINT) AS characters, _file = 'lines.csv' AS quoted_newline
  FROM ({feeds.QUOTED}) GROUP BY _file"""),
     "xml_root_children": duck("""SELECT 'parts.xml' AS _file, CAST(p_partkey AS VARCHAR) AS sku, p_name AS title, p_brand AS brand FROM {part}"""),
+    "xml_markup": duck("""SELECT p_partkey || '>' AS code, CAST(p_partkey AS VARCHAR) AS sku, '<b>' || p_name || '</b> <item>x</item>' AS title,
+ CAST(p_size AS VARCHAR) AS dims_w, CAST(p_size + 1 AS VARCHAR) AS dims_h, p_brand AS tag FROM {part}"""),
+    "csv_encodings": duck(f"SELECT _file, CAST(sku AS VARCHAR) AS sku, title FROM ({feeds.ENCODED})"),
+    "discovered_columns": files("""SELECT DISTINCT _file, side, "column", 'sku' AS key FROM files, (VALUES (1), (2)) s(side),
+ (SELECT "column" FROM stats UNION SELECT 'sku') c"""),
+    "report_columns": many("""SELECT row_number() OVER (ORDER BY match_rate, "column")::INTEGER AS place, "column", status, match_rate, total_compared AS total FROM overall"""),
+    "report_files": many("SELECT row_number() OVER (ORDER BY _file)::INTEGER AS place, _file AS file, rows_1, common FROM summary"),
+    "report_differences": many("""SELECT _file, row_number() OVER (PARTITION BY _file ORDER BY "column", sku)::INTEGER AS place, "column", sku,
+ coalesce(nullif(value_1, ''), 'EMPTY') AS value_1, coalesce(nullif(value_2, ''), 'EMPTY') AS value_2 FROM coded WHERE code >= 2"""),
+    "csv_wrapped": duck(f"SELECT CAST(sku AS VARCHAR) AS sku, title, brand FROM ({feeds.WRAPPED})"),
+    "csv_late_delimiter": duck(f"SELECT CAST(sku AS VARCHAR) AS sku, title FROM ({feeds.LATE})"),
+    "folder_repaired": duck(f"""{_FAULTS} SELECT _file, CASE WHEN _file = 'dirty' THEN (SELECT count(*) FROM b) ELSE rows_1 END AS rows_1,
+ CASE WHEN _file = 'dirty' THEN (SELECT count(*) FROM n) ELSE rows_2 END AS rows_2, CASE WHEN _file = 'dirty' THEN (SELECT count(*) FROM n) ELSE common END AS common,
+ CASE WHEN status = 'success' THEN 0 END AS total_differences, 0 AS rejects_1, 0 AS rejects_2, rejects_1 + rejects_2 AS repaired FROM faults"""),
     "folder_faults": duck(f"{_FAULTS} SELECT * FROM faults"),
     "folder_faults_log": duck(f"""{_FAULTS} SELECT 'ERROR' AS category, _file AS file, reason AS message FROM faults WHERE status = 'error'
  UNION ALL SELECT 'WARN', _file, 'records that do not parse: ' || rejects_1 || ' | ' || rejects_2 FROM faults WHERE rejects_1 + rejects_2 > 0"""),

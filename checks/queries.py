@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import feeds
 from checks.feeds import spark_sql
@@ -15,10 +15,10 @@ from rowtally.operators import catalog, compare, detect, ledger, rollup, runlog
 from rowtally.operators.align import first_per_key
 from rowtally.plans.folders import compare_folders
 from rowtally.plans.reconcile import reconcile
-from rowtally.session import scratch_folder
-from rowtally.sinks.report import diff_table
+from rowtally.session import scratch_folder, working_session
+from rowtally.sinks.report import diff_table, write_report
 from rowtally.sources import csvfeeds, listing, packed
-from rowtally.sources.scan import scan
+from rowtally.sources.scan import feed_columns, scan
 
 
 def _pair(a, b, **options):
@@ -245,7 +245,7 @@ def xml_root_children(spark, sf_dir):
     """Records without a known name: the children of the root."""
     folder = scratch_folder(spark, "children")
     parts = spark_sql(spark, sf_dir, "SELECT p_partkey AS sku, p_name AS title, p_brand AS brand FROM {part}")
-    parts.coalesce(1).write.format("xml").option("rootTag", "shop").option("rowTag", "thing").save(f"{folder}/parts.xml")
+    parts.write.format("xml").option("rootTag", "shop").option("rowTag", "thing").save(f"{folder}/parts.xml")
     (rows,) = scan(spark, folder)
     return rows.select("_file", "sku", "title", "brand")
 
@@ -283,6 +283,84 @@ def folder_faults_log(spark, sf_dir):
     return log.select("category", "file", "message")
 
 
+def folder_repaired(spark, sf_dir):
+    """The same folders when broken records are repaired: none is lost."""
+    compared = faulty_folders(spark, sf_dir, repair=True)
+    mended = compared.repairs.groupBy("_file").agg(F.count("*").alias("repaired"))
+    found = compared.pair_summary.join(mended, "_file", "left")
+    return found.select("_file", "rows_1", "rows_2", "common", "total_differences", "rejects_1", "rejects_2", F.coalesce("repaired", F.lit(0)).alias("repaired"))
+
+
+def xml_markup(spark, sf_dir):
+    """Markup in comments, CDATA and attribute values starts no records; children of children get a column each."""
+    folder = scratch_folder(spark, "markup")
+    spark_sql(spark, sf_dir, feeds.MARKUP).select("record").write.text(f"{folder}/parts.xml")
+    (rows,) = scan(spark, folder)
+    return rows.select(F.col("@code").alias("code"), "sku", "title", "dims_w", "dims_h", "tag")
+
+
+def csv_wrapped(spark, sf_dir):
+    """Header cells and values with line ends."""
+    folder = scratch_folder(spark, "wrapped")
+    lines = spark_sql(spark, sf_dir, feeds.WRAPPED).groupBy(F.floor(F.col("sku") / 500).alias("part")).agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    texts = lines.select("part", F.concat(F.lit('sku,"long\ntitle",brand\n'), "lines").alias("value"))
+    texts.write.partitionBy("part").text(f"{folder}/wrapped.csv")
+    (rows,) = scan(spark, folder)
+    return rows.select("sku", F.col("long\ntitle").alias("title"), "brand")
+
+
+def csv_late_delimiter(spark, sf_dir):
+    """The delimiter comes from the whole text."""
+    folder = scratch_folder(spark, "late")
+    lines = spark_sql(spark, sf_dir, feeds.LATE).orderBy("sku").select(F.concat(F.col("sku").cast("string"), F.lit(","), "title").alias("sku,title;x"))
+    lines.write.option("header", True).option("quote", "").option("sep", "\x02").csv(f"{folder}/late.csv")
+    (rows,) = scan(spark, folder)
+    return rows.select("sku", F.col("title;x").alias("title"))
+
+
+def csv_encodings(spark, sf_dir):
+    """Feeds in three encodings."""
+    folder = scratch_folder(spark, "encodings")
+    rows = spark_sql(working_session(spark), sf_dir, feeds.ENCODED)
+    for file, encoding in feeds.FILE_ENCODINGS.items():
+        rows.filter(F.col("_file") == file).drop("_file").write.option("header", True).option("encoding", encoding).csv(f"{folder}/{file}")
+    (rows,) = scan(spark, folder)
+    return rows.select("_file", "sku", "title")
+
+
+def discovered_columns(spark, sf_dir):
+    """Columns of CSV and XML feeds, and the key columns found among them."""
+    base = scratch_folder(spark, "discovery")
+    for side, sql in (("base", feeds.FILES_A), ("new", feeds.FILES_B)):
+        _write_folder(spark, sf_dir, sql, f"{base}/{side}")
+    found = feed_columns(spark, f"{base}/base", 1).unionByName(feed_columns(spark, f"{base}/new", 2))
+    keys = detect.resolve_keys(found).select("_file", F.col("key_1").alias("key"))
+    return found.join(keys, "_file").select("_file", "side", "column", "key")
+
+
+def _report(spark, sf_dir, table):
+    """A table of the written report, and the place that each row has in it."""
+    folder = scratch_folder(spark, "report")
+    write_report(many_pairs(spark, sf_dir), folder)
+    rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{table}")
+    files = [F.col("_metadata.file_name"), F.monotonically_increasing_id()]
+    by_file = Window.partitionBy("_file") if "_file" in rows.columns else Window.partitionBy(F.lit(0))
+    return rows.select("*", *[c.alias(f"_at{i}") for i, c in enumerate(files)]).withColumn("place", F.row_number().over(by_file.orderBy("_at0", "_at1")))
+
+
+def report_columns(spark, sf_dir):
+    rates = _report(spark, sf_dir, "Column_Match_Rates")
+    return rates.select("place", F.col("Column").alias("column"), F.col("Status").alias("status"), F.col("`Match_Rate_%`").cast("double").alias("match_rate"), F.col("Total").cast("long").alias("total"))
+
+
+def report_files(spark, sf_dir):
+    return _report(spark, sf_dir, "Files").select("place", F.col("File").alias("file"), F.col("rows_1").cast("long").alias("rows_1"), F.col("common").cast("long").alias("common"))
+
+
+def report_differences(spark, sf_dir):
+    return _report(spark, sf_dir, "Differences").select("_file", "place", "column", "sku", F.col("Value_F1").alias("value_1"), F.col("Value_F2").alias("value_2"))
+
+
 def file_pairing(spark, sf_dir):
     return listing.pair_feeds(spark_sql(spark, sf_dir, feeds.LISTING_A), spark_sql(spark, sf_dir, feeds.LISTING_B))
 
@@ -384,6 +462,15 @@ QUERIES = {
     "packed_scan": packed_scan,
     "csv_inch_mark": csv_inch_mark,
     "xml_root_children": xml_root_children,
+    "xml_markup": xml_markup,
+    "csv_wrapped": csv_wrapped,
+    "csv_late_delimiter": csv_late_delimiter,
+    "folder_repaired": folder_repaired,
+    "csv_encodings": csv_encodings,
+    "discovered_columns": discovered_columns,
+    "report_columns": report_columns,
+    "report_files": report_files,
+    "report_differences": report_differences,
     "folder_faults": folder_faults,
     "folder_faults_log": folder_faults_log,
     "folder_faults_run": frame(faulty_folders, "run_summary"),

@@ -59,12 +59,14 @@ def channels(responses: DataFrame) -> DataFrame:
 
 
 def match_channels(channels_1: DataFrame, channels_2: DataFrame) -> DataFrame:
-    """Channels of both sites whose names agree but for case; of equal names the last listed counts."""
+    """Channels of both sites whose names agree but for case; of equal names the last listed counts, in the order of ``response``
+    (where there is one), then ``pos``."""
 
     def last(df: DataFrame, n: int) -> DataFrame:
-        order = Window.partitionBy("_name").orderBy(F.desc("pos"))
-        named = df.select(F.lower("name").alias("_name"), "pos", F.col("name").alias(f"name_{n}"), F.col("link").alias(f"link_{n}"))
-        return named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "pos")
+        listed = [c for c in ("response", "pos", "name", "link") if c in df.columns]
+        order = Window.partitionBy("_name").orderBy(*[F.desc(c) for c in listed])
+        named = df.select(F.lower("name").alias("_name"), *listed, F.col("name").alias(f"name_{n}"), F.col("link").alias(f"link_{n}"))
+        return named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", *listed)
 
     both = last(channels_1, 1).join(last(channels_2, 2), "_name")
     return both.select(F.col("_name").alias("match_name"), F.col("name_1").alias("channel"), "link_1", "link_2")

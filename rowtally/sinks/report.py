@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtally.operators.rollup import channel_stats, display_name
 
@@ -52,12 +52,12 @@ def files_table(pair_summary: DataFrame, names=None) -> DataFrame:
     ).orderBy("File")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None, mode: str = "errorifexists") -> None:
     """Write one report table. CSV files start with a byte-order mark in their header."""
     if fmt == "csv":
         kept = [c for c in df.columns if c != partition_by]
         df = df.withColumnRenamed(kept[0], BOM + kept[0])
-    writer = df.write.mode("errorifexists").format(fmt)
+    writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", "")
     if partition_by:
@@ -65,28 +65,57 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: str |
     writer.save(path)
 
 
+class Report:
+    """A report folder whose tables are written one after the other; a manifest names those that are complete.
+
+    What a run that broke off had finished is kept by the next one, and what it had begun is written anew. A
+    report that is complete is an error, so that none is overwritten.
+    """
+
+    END = "complete"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.manifest = f"{self.folder}/_manifest"
+        known = self.spark.createDataFrame([], "table string")
+        known.write.mode("append").parquet(self.manifest)
+        self.done = {r["table"] for r in self.spark.read.schema("table string").parquet(self.manifest).collect()}
+        if self.END in self.done:
+            raise ValueError(f"the report {folder} is complete")
+
+    def note(self, table: str) -> None:
+        self.spark.createDataFrame([(table,)], "table string").write.mode("append").parquet(self.manifest)
+
+    def add(self, table: str, make, fmt: str, partition_by: str | None = None) -> None:
+        """``make`` gives the rows; it isn't called for a table that is there."""
+        if table not in self.done:
+            write_table(make(), f"{self.folder}/{table}", fmt, partition_by, mode="overwrite")
+            self.note(table)
+
+
 def write_report(result, folder: str, fmt: str = "csv", merge_diffs: bool = False, names=None,
                  labels=("Value_F1", "Value_F2")) -> None:
-    """Write every report table of a comparison below ``folder``.
+    """Write every report table of a comparison below ``folder``; after a crash the same call goes on where it stopped.
 
     The alignment runs once: ``materialize`` keeps the cells that differ, and both the rates and the
     differences are read from there. Differences stay distributed, one directory per file unless merged.
     """
     result.materialize()
-    pairs = result.pair_summary
-    write_table(result.run_summary, f"{folder}/Summary", fmt)
-    rates = channel_table(result.column_stats, names) if names is not None else column_table(result.overall_stats)
-    write_table(rates, f"{folder}/Column_Match_Rates", fmt)
-    write_table(files_table(pairs, names), f"{folder}/Files", fmt)
-    write_table(result.run_log, f"{folder}/Debug_Log", fmt)
-    write_table(result.missing_keys.orderBy("_file", "missing_in", "raw_sku"), f"{folder}/Missing_Keys", fmt)
-    if getattr(result, "rejects", None) is not None:
-        write_table(result.rejects, f"{folder}/Rejects", fmt)
-    diffs = diff_table(result.diff_cells, names, labels, merge_diffs, names is not None)
-    if merge_diffs:
-        write_table(diffs, f"{folder}/Differences", fmt)
-    else:
+    report = Report(result.spark, folder)
+    report.add("Summary", lambda: result.run_summary, fmt)
+    report.add("Column_Match_Rates", lambda: channel_table(result.column_stats, names) if names is not None else column_table(result.overall_stats), fmt)
+    report.add("Files", lambda: files_table(result.pair_summary, names), fmt)
+    report.add("Debug_Log", lambda: result.run_log, fmt)
+    report.add("Missing_Keys", lambda: result.missing_keys.orderBy("_file", "missing_in", "raw_sku"), fmt)
+    for table in ("Rejects", "Repairs"):
+        if getattr(result, table.lower(), None) is not None:
+            report.add(table, lambda table=table: getattr(result, table.lower()), fmt)
+
+    def differences():
+        diffs = diff_table(result.diff_cells, names, labels, merge_diffs, names is not None)
         # ranges keep a file's rows together in few output files, and spread a large file over many tasks
         order = ["_file", "column", "sku"]
-        diffs = diffs.repartitionByRange(*order).sortWithinPartitions(*order)
-        write_table(diffs, f"{folder}/Differences", fmt, "_file")
+        return diffs if merge_diffs else diffs.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    report.add("Differences", differences, fmt, None if merge_diffs else "_file")
+    report.note(Report.END)

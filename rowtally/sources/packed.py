@@ -1,7 +1,8 @@
 """Archives and workbooks: unpacked once, one file in one task, to a text table that the other readers take.
 
 The first feed of an archive is only decompressed; its lines go to shared storage as they stand and are read
-like any CSV or XML feed from there. Records of workbooks become JSON lines.
+like any CSV or XML feed from there. Records of workbooks become JSON lines. Archives are opened by their path: the directory
+is read from their end, then one member as a stream, so that their size doesn't matter.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtally.functions.values import name
@@ -26,7 +30,7 @@ from rowtally.sources.xmlfeeds import xml_groups
 ROWS_PER_BATCH, BYTES_PER_BATCH = 5000, 16 << 20
 # Unpacking is work for the processor and one archive may be large: small tasks, one archive at a time.
 _UNPACKING = {"spark.sql.files.maxPartitionBytes": str(16 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
-LARGEST = (1 << 31) - 1024  # what one binary value can hold
+LARGEST = (1 << 31) - 1024  # what one binary value can hold, where a store can't be read by ranges
 
 
 def _local(tag: str) -> str:
@@ -72,18 +76,30 @@ def xlsx_records(data: bytes):
             yield {c: cells.get(i, "") for i, c in enumerate(columns)}
 
 
-def feed_lines(file: str, data: bytes):
-    """``(kind, line)`` of a workbook's records, or of the first feed in an archive."""
+def opened(path: str):
+    """A file of a store that is read by byte ranges; ``None`` for a store of another kind."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem().open_input_file("/" + (rest or scheme).lstrip("/"))
+    try:
+        system, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return system.open_input_file(at)
+
+
+def feed_lines(file: str, source):
+    """``(kind, line)`` of a workbook's records, or of the first feed in an archive. ``source`` is an open file."""
     if file.lower().endswith(".xlsx"):
-        yield from (("book", json.dumps(record).encode()) for record in xlsx_records(data))
+        yield from (("book", json.dumps(record).encode()) for record in xlsx_records(source.read()))
         return
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+    with zipfile.ZipFile(source) as archive:
         for member in archive.namelist():
             ext = os.path.splitext(member)[1].lower()
             if ext == ".xls":
                 raise ValueError("legacy .xls is not supported")
             if ext == ".xlsx":
-                yield from feed_lines(member, archive.read(member))
+                yield from feed_lines(member, io.BytesIO(archive.read(member)))
                 return
             if ext in (".csv", ".xml"):
                 with archive.open(member) as lines:
@@ -93,15 +109,17 @@ def feed_lines(file: str, data: bytes):
 
 
 def unpack(contents: DataFrame) -> DataFrame:
-    """``contents(_file, content)`` to ``_file, kind, n, line``. A file that cannot be read gives a line with its error."""
+    """``contents(_file, content)``, or ``(_file, path)`` of files to be opened, to ``_file, kind, n, line``. A file that cannot be
+    read gives a line with its error."""
+    given = "content" if "content" in contents.columns else "path"
 
     def run(batches):
         rows, size = [], 0
         frame = lambda: pd.DataFrame(rows, columns=["_file", "kind", "n", "line"])
         for batch in batches:
-            for file, data in zip(batch["_file"], batch["content"]):
+            for file, data in zip(batch["_file"], batch[given]):
                 try:
-                    for n, (kind, line) in enumerate(feed_lines(file, bytes(data))):
+                    for n, (kind, line) in enumerate(feed_lines(file, io.BytesIO(data) if given == "content" else opened(data))):
                         rows.append((file, kind, n, line))
                         size += len(line)
                         if len(rows) == ROWS_PER_BATCH or size > BYTES_PER_BATCH:
@@ -112,7 +130,7 @@ def unpack(contents: DataFrame) -> DataFrame:
         if rows:
             yield frame()
 
-    return contents.select("_file", "content").mapInPandas(run, "_file string, kind string, n bigint, line binary")
+    return contents.select("_file", given).mapInPandas(run, "_file string, kind string, n bigint, line binary")
 
 
 def land(contents: DataFrame, folder: str) -> None:
@@ -176,11 +194,16 @@ def packed_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]],
     Files are unpacked once to the shared scratch folder; every later pass reads what lies there.
     """
     session = working_session(spark, **_UNPACKING)
-    files = session.read.format("binaryFile").load([p for ps in feeds.values() for p in ps])
-    named = files.withColumn("_file", feed_name(F.col("path"), folder))
-    large = {r["_file"]: "too large for one value" for r in named.filter(F.col("length") > LARGEST).select("_file").distinct().collect()}
-    landed = scratch_folder(session, "packed")
-    land(named.filter(F.col("length") <= LARGEST).select("_file", "content"), landed)
+    paths = [p for ps in feeds.values() for p in ps]
+    named = session.read.format("binaryFile").load(paths).withColumn("_file", feed_name(F.col("path"), folder))
+    landed, large = scratch_folder(session, "packed"), {}
+    probe = opened(paths[0])
+    if probe is not None:
+        probe.close()
+        land(named.select("_file", F.col("path")), landed)
+    else:  # a store that only Spark reads: each file is one value
+        large = {r["_file"]: "too large for one value" for r in named.filter(F.col("length") > LARGEST).select("_file").distinct().collect()}
+        land(named.filter(F.col("length") <= LARGEST).select("_file", "content"), landed)
     groups, errors, rejects = landed_groups(spark, landed, multi_part, repair)
     errors |= large
     found = {f for g in groups for f in g.files}

@@ -24,6 +24,12 @@ class FolderScan:
         return [(f, i, c) for g in self.groups for f in g.files for i, c in enumerate(g.columns)]
 
 
+def feed_columns(spark: SparkSession, folder: str, side: int = 1, pattern: str | None = None, **options) -> DataFrame:
+    """``_file, side, pos, column`` of every readable feed of a folder, as key detection takes them."""
+    found = scan_folder(spark, folder, feed_paths(spark, folder, pattern)[0], **options).columns()
+    return spark.createDataFrame([(f, side, pos, column) for f, pos, column in found], "_file string, side int, pos int, column string")
+
+
 def scan_folder(spark: SparkSession, folder: str, feeds: dict[str, list[str]], repair: bool = True, **csv_options) -> FolderScan:
     """Group the given feeds by shape. ``repair`` mends broken XML records. ``csv_options``: ``encoding``, ``delimiter``, ``multiline``."""
     errors = {f: "empty file" for f, paths in feeds.items() if not paths}

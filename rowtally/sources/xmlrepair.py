@@ -25,8 +25,9 @@ def _attributes(inside: str) -> str:
 def repaired(record: str) -> str:
     """The record with every element closed.
 
-    An end tag closes all that is open inside its element; one of nothing open is left out, and what is open at the end is
-    closed there. A ``<`` or ``&`` that starts no markup becomes text. Comments, instructions and declarations go.
+    An end tag closes all that is open inside its element. One of another name than any open closes the innermost element, but
+    never the record itself, and what is open at the end is closed there. A ``<`` or ``&`` that starts no markup becomes text.
+    Comments, instructions and declarations go.
     """
     out, stack, at = [], [], 0
     for m in TOKEN.finditer(record):
@@ -39,6 +40,8 @@ def repaired(record: str) -> str:
                 while (name := stack.pop()) != m["close"]:
                     out.append(f"</{name}>")
                 out.append(f"</{m['close']}>")
+            elif len(stack) > 1:
+                out.append(f"</{stack.pop()}>")
         elif m["open"]:
             inside = m["inside"]
             empty = inside.endswith("/")

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from rowtally.operators import catalog, rollup
@@ -75,3 +77,10 @@ def test_channels_compared_across_formats(spark, tmp_path):
     chosen = spark.createDataFrame([("Text",)], "channel string")
     result, _ = compare_channels(spark, str(tmp_path / "one"), str(tmp_path / "two"), one, two, selection=chosen)
     assert [r["_file"] for r in result.pair_summary.collect()] == ["Text"]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_of_several_responses_the_last_counts(spark, parts):
+    one = spark.createDataFrame([("r1", 0, "X", "l1"), ("r2", 0, "x", "l2"), ("r1", 3, "x", "l3")], "response string, pos int, name string, link string").repartition(parts)
+    two = spark.createDataFrame([("q", 0, "x", "m")], one.schema)
+    assert [(r["channel"], r["link_1"]) for r in catalog.match_channels(one, two).collect()] == [("x", "l2")]

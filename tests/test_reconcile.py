@@ -212,6 +212,27 @@ def test_report(spark, part_pair, tmp_path):
     assert raw.startswith(b"\xef\xbb\xbftotal_pairs")
 
 
+def test_a_report_goes_on_where_it_stopped(spark, part_pair, tmp_path, monkeypatch):
+    r = reconcile(*[df.drop("_file") for df in part_pair], key="sku", order_by="ord")
+    whole, written = report.write_table, []
+
+    def failing(df, path, *rest, **options):
+        written.append(path.rsplit("/", 1)[1])
+        if written.count("Files") == 1 and written[-1] == "Files":
+            df.limit(1).write.csv(path)
+            raise RuntimeError("lost")
+        whole(df, path, *rest, **options)
+
+    monkeypatch.setattr(report, "write_table", failing)
+    with pytest.raises(RuntimeError):
+        report.write_report(r, str(tmp_path / "report"))
+    report.write_report(r, str(tmp_path / "report"))
+    assert written == ["Summary", "Column_Match_Rates", "Files", "Files", "Debug_Log", "Missing_Keys", "Differences"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "report/Files")).count() == 1
+    with pytest.raises(ValueError, match="complete"):
+        report.write_report(r, str(tmp_path / "report"))
+
+
 def test_levels_agree(part_pair):
     stats = reconcile(*part_pair, key="sku", order_by="ord").column_stats
     both = rollup.stats_by_level(stats)

@@ -9,7 +9,7 @@ import pytest
 from rowtally import compare_folders
 from rowtally.session import scratch_folder, working_session
 from rowtally.sinks.report import write_report
-from rowtally.sources import csvfeeds, listing
+from rowtally.sources import csvfeeds, listing, packed
 from rowtally.sources.scan import feed_paths, scan, scan_folder
 
 
@@ -323,6 +323,15 @@ def test_packed_names_order_and_errors(spark, tmp_path):
     assert list(found.errors) == ["broken.zip"] and "BadZipFile" in found.errors["broken.zip"]
 
 
+def test_archives_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    write(tmp_path, "a b%+.zip", zipped(readme__txt="x", a__csv="sku;v\n1;ä\n"))
+    expected = {"a b%+.zip": [{"sku": "1", "v": "ä"}]}
+    assert rows(spark, tmp_path) == expected
+    assert packed.opened("viewfs://store/x") is None
+    monkeypatch.setattr(packed, "opened", lambda path: None)
+    assert rows(spark, tmp_path) == expected
+
+
 def test_scratch_is_shared_unless_local():
     fake = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
