@@ -224,3 +224,12 @@ LATE = """SELECT p_partkey AS sku, CASE WHEN p_partkey * 20 <= n THEN p_name ||
 ENCODED = """SELECT _file, p_partkey AS sku, added || p_name AS title FROM {part}
  CROSS JOIN (SELECT 'utf.csv' AS _file, 'Größe 中 ' AS added UNION ALL SELECT 'gbk.csv', '中文 ' UNION ALL SELECT 'latin.csv', 'café ') AS t"""
 FILE_ENCODINGS = {"utf.csv": "UTF-8", "gbk.csv": "GBK", "latin.csv": "ISO-8859-1"}
+
+
+# Keys with characters that stand for ASCII ones: full-width digits and letters, a no-break space, a dash.
+WIDE = "０１２３４５６７８９Ａ\u00a0–"
+PLAIN = "0123456789A -"
+WIDE_KEYS = f"""SELECT l_orderkey AS okey, l_linenumber AS line, CASE l_orderkey % 5
+ WHEN 0 THEN translate(CAST(l_orderkey AS STRING), '0123456789', '{WIDE[:10]}') WHEN 1 THEN 'A' || '{WIDE[11]}' || CAST(l_orderkey AS STRING)
+ WHEN 2 THEN CAST(l_orderkey AS STRING) || '{WIDE[12]}' || CAST(l_partkey AS STRING) WHEN 3 THEN '００' || translate(CAST(l_orderkey AS STRING), '0123456789', '{WIDE[:10]}')
+ ELSE '{WIDE[10]}' || CAST(l_orderkey AS STRING) || '.0' END AS raw FROM {{lineitem}}"""

@@ -180,6 +180,8 @@ pairs AS (SELECT a._file, a.key AS key_1, b.key AS key_2, least(a.score, b.score
 
 ORACLE = {
     "key_normalize": duck(f"SELECT okey, line, pkey, raw, {key('raw')} AS sku FROM ({feeds.RAW_KEYS})"),
+    "key_normalize_wide": duck(f"""SELECT okey, line, raw, {key('ascii')} AS sku
+ FROM (SELECT *, translate(raw, '{feeds.WIDE}', '{feeds.PLAIN}') AS ascii FROM ({feeds.WIDE_KEYS}))"""),
     "value_equality": duck(f"SELECT *, code < 2 AS equal FROM (SELECT okey, line, pkey, v1, v2, {code('v1', 'v2')} AS code FROM ({feeds.VALUE_PAIRS}))"),
     "dedupe_first": line(f"SELECT _file, k AS sku, {', '.join(feeds.LINE_COLUMNS)} FROM first_a"),
     "column_stats": part(STATS),

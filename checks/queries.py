@@ -43,6 +43,11 @@ def key_normalize(spark, sf_dir):
     return with_key(raw, "raw", "sku", keep_blank=True)
 
 
+def key_normalize_wide(spark, sf_dir):
+    """Keys beyond ASCII."""
+    return with_key(spark_sql(spark, sf_dir, feeds.WIDE_KEYS), "raw", "sku", keep_blank=True)
+
+
 def value_equality(spark, sf_dir):
     v = spark_sql(spark, sf_dir, feeds.VALUE_PAIRS)
     a, b = F.col("v1"), F.col("v2")
@@ -419,6 +424,7 @@ def country_code(spark, sf_dir):
 
 QUERIES = {
     "key_normalize": key_normalize,
+    "key_normalize_wide": key_normalize_wide,
     "value_equality": value_equality,
     "dedupe_first": dedupe_first,
     "column_stats": frame(part_pair, "column_stats"),
