@@ -7,7 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtally.llm.words import LETTER_OR_DIGIT, batches_of, words
@@ -66,8 +68,8 @@ def sample_labels(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[in
     return parts[0].unionByName(parts[1]), {y: sizes.get(y, 0) for y in (0, 1)}
 
 
-def _in_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows stored in an order that their content alone decides, in chunks of about CHUNK_TERMS terms."""
+def _in_chunks(rows: DataFrame) -> tuple[str, int]:
+    """The folder the rows are stored in, by chunks of about CHUNK_TERMS terms that their content alone decides, and how many these are."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.size("terms") + 1)).first()[0]
     chunks = -(-total // CHUNK_TERMS)
@@ -75,7 +77,18 @@ def _in_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
     rows = rows.withColumns({"mark": mark, "chunk": F.pmod(mark, F.lit(chunks)).cast("int")})
     folder = scratch_folder(spark, "sample")
     rows.repartition(chunks, "chunk").write.partitionBy("chunk").parquet(folder)
-    return spark.read.schema("y int, terms array<int>, mark long, chunk int").parquet(folder), chunks
+    return folder, chunks
+
+
+def _chunk(spark: SparkSession, folder: str, chunk: int) -> pa.Table:
+    """A chunk's rows, straight from the stored files where ``pyarrow.fs`` knows the store, so that they don't pass the driver's JVM."""
+    try:
+        system, path = fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return spark.read.schema("y int, terms array<int>, mark long").parquet(f"{folder}/chunk={chunk}").toArrow()
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}", allow_not_found=True)) if f.path.endswith(".parquet"))
+    tables = [pq.read_table(n, columns=["y", "terms", "mark"], filesystem=system, use_threads=False, pre_buffer=False) for n in names]
+    return pa.concat_tables(tables) if tables else pa.table({"y": pa.array([], pa.int32()), "terms": pa.array([], pa.list_(pa.int32())), "mark": pa.array([], pa.int64())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
@@ -101,16 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    rows, chunks = _in_chunks(rows)
+    folder, chunks = _in_chunks(rows)
 
     def minibatches(chunk: int, rng: np.random.Generator) -> list[_Batch]:
-        found = rows.filter(F.col("chunk") == chunk).select("y", "terms", "mark").toArrow()
+        found = _chunk(docs.sparkSession, folder, chunk)
         ends = np.cumsum(pc.list_value_length(found["terms"]).to_numpy())
         starts, flat, y = np.r_[0, ends[:-1]], pc.list_flatten(found["terms"]).to_numpy(), found["y"].to_numpy().astype(np.float32)
         order = np.argsort(found["mark"].to_numpy())[rng.permutation(len(y))]  # the result doesn't hang on the order of tasks
         return [_Batch([flat[starts[i]:ends[i]] for i in pick], y[pick]) for pick in (order[at:at + MINIBATCH] for at in range(0, len(order), MINIBATCH))]
 
     machine = train(minibatches, chunks)
+    pa.default_memory_pool().release_unused()
     machine.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return machine
 
@@ -145,7 +159,8 @@ def train(minibatches, chunks: int, seed: int = 7) -> Machine:
     """
     rng = np.random.default_rng(seed)
     n = 1 << TERM_BITS
-    weights, factors, bias = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32), 0.0
+    weights, factors, bias = np.zeros(n, np.float32), rng.standard_normal((n, FACTORS), np.float32), 0.0
+    factors *= np.float32(0.01)
     sw, sf, sb = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1e-2
     seen, batches = np.zeros(n, bool), None
     for _ in range(EPOCHS):
