@@ -93,7 +93,11 @@ def feed_lines(file: str, source):
     if file.lower().endswith(".xlsx"):
         yield from (("book", json.dumps(record).encode()) for record in xlsx_records(source.read()))
         return
-    with zipfile.ZipFile(source) as archive:
+    try:
+        archive = zipfile.ZipFile(source)
+    except pa.ArrowInvalid as e:  # a file too short to have a directory
+        raise zipfile.BadZipFile(str(e)) from e
+    with archive:
         for member in archive.namelist():
             ext = os.path.splitext(member)[1].lower()
             if ext == ".xls":
