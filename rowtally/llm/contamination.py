@@ -85,7 +85,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     found = stored(found, scratch_folder(spark, "hits"))  # its size then lets texts stay where they are, if it is small
     spaced = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" ")).alias("spaced")
     pairs = texts.join(found, ["doc_id", "mark"]).join(sketches.select("item", "item_id", "grams", "n", "need"), "item")
-    shared = F.size(F.filter("grams", lambda g: F.contains(F.col("spaced"), F.concat(F.lit(" "), g, F.lit(" ")))))
-    counted = pairs.select("doc_id", "item_id", "n", "need", "grams", spaced).select("doc_id", "item_id", "n", "need", shared.alias("shared")).filter("shared >= need")
+    grams = pairs.select("doc_id", "mark", "item", "item_id", "n", "need", spaced, F.explode("grams").alias("gram"))
+    grams = grams.filter(F.contains(F.col("spaced"), F.concat(F.lit(" "), "gram", F.lit(" "))))
+    counted = grams.groupBy("doc_id", "mark", "item", "item_id", "n", "need").agg(F.count_distinct("gram").cast("int").alias("shared")).filter("shared >= need")
     best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("n_shingles"), F.col("b.shared").alias("n_shared"), F.col("b.containment").alias("containment"))
