@@ -69,13 +69,13 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     # a row for each width and power of two of an item's size
     bounds = probes.groupBy("width", "partition").agg(F.max("u").alias("top"), F.min("need").alias("need")).collect()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).filter("doc_id IS NOT NULL")
-    split = texts.select("doc_id", "mark", _words(F.col("text")).alias("w"))
-    words, found = F.size("w"), None
+    # what is used more than once is a column of its own, so that words are cut out of a text once
+    split = texts.select("doc_id", "mark", _words(F.col("text")).alias("w")).select("doc_id", "mark", "w", F.size("w").alias("words"))
+    words, found = F.col("words"), None
     for width in sorted({row["width"] for row in bounds}):
         own = [row for row in bounds if row["width"] == width]
         top = F.greatest(*[F.when(words >= row["need"] + width - 1, row["top"]).otherwise(-1) for row in own], F.lit(-1))
-        hashed = split.select("doc_id", "mark", words.alias("words"), top.alias("top"), "w").filter("top >= 0")
-        hashed = hashed.select("doc_id", "mark", "words", "top", _shingles("w", width, lambda i, k=width: _hash("w", i, k)).alias("u"))
+        hashed = split.select("*", top.alias("top")).select("doc_id", "mark", "words", "top", _shingles("w", width, lambda i, k=width: _hash("w", i, k)).alias("u"))
         low = hashed.select("doc_id", "mark", "words", F.explode(F.filter("u", lambda u: u <= F.col("top"))).alias("u"))
         mine = probes.filter(F.col("width") == width).select("item", "u", "need")
         hits = low.join(mine, "u").filter(F.col("words") >= F.col("need") + width - 1).select("doc_id", "mark", "item").distinct()
