@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rowtally.llm.numbering import in_order
 from rowtally.session import scratch_folder, stored
 
-BLOCK_TURNS = 256  # turns whose text an example repeats, at most
+BLOCK_TURNS = 256  # turns whose examples one row makes, at most
 ESCAPE = "\\"
 
 
@@ -54,16 +54,17 @@ class Template:
 
 
 def format_chats(turns: DataFrame, template: Template = Template(), trainable: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """conv_id, block, turn, last, chat, loss_start, loss_end of every example of ``turns`` (conv_id, turn, role, text).
+    """conv_id, block, turn, last, chat, loss_start, loss_end, before of every example of ``turns`` (conv_id, turn, role, text).
 
-    Each turn of a ``trainable`` role becomes an example of its own: ``chat`` is all turns up to it, and only the code points
-    ``loss_start`` to ``loss_end`` of that (its text, without the end mark) are trained on. Turns behind the last trainable
+    Each turn of a ``trainable`` role becomes an example of its own: ``before`` and ``chat`` are all turns up to it, and only the
+    code points ``loss_start`` to ``loss_end`` of ``chat`` (its text, without the end mark) are trained on. Turns behind the last trainable
     one make a row without trainable text (both ends null), so that the output holds every conversation whole.
 
-    A conversation of over BLOCK_TURNS turns is cut into blocks: the text of a block that isn't the last stands once, in a row
-    without trainable text, and an example of block k has blocks 0 to k - 1 before its own ``chat``. So neither a row nor
-    a task grows with a conversation, and the output grows with the number of turns, not with its square. ``turn`` is the
-    place of the row's last turn in its conversation, from 0; ``last`` marks the one row that holds its block whole.
+    A conversation of over BLOCK_TURNS turns is cut into blocks, each made into examples by itself: ``chat`` has the turns of the
+    example's own block, ``before`` those of all earlier blocks. Examples with their whole context grow with the square of a
+    conversation's turns, so the blocks of one are dealt to different tasks. The text of a block that isn't the last
+    also stands by itself, in a row without trainable text. ``turn`` is the place of the row's last turn in its conversation,
+    from 0; ``last`` marks the one row whose ``chat`` is its block whole.
 
     Turns stand in the order of turn, nulls first, then of role and text; rows alike are turns of their own. Null roles and texts
     count as empty, rows without conv_id are one conversation. Other columns are left out; an empty table gives an empty result.
@@ -73,20 +74,24 @@ def format_chats(turns: DataFrame, template: Template = Template(), trainable: t
     placed = in_order(stored(rows, scratch_folder(turns.sparkSession, "turns")), "conv_id", ["at", "role", "text"])
     reply = F.when(F.col("role").isin(*trainable), F.char_length(template.escaped(F.col("text"))))
     piece = F.struct("pos", template.formatted(F.col("role"), F.col("text")).alias("chat"), reply.alias("reply"))
-    block = F.expr(f"pos DIV {BLOCK_TURNS}").alias("block")
-    blocks = placed.groupBy("conv_id", block).agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("n").alias("n"))
+    joined = lambda pieces: F.array_join(F.transform(pieces, lambda p: p["chat"]), "")
+    own = F.expr(f"pos DIV {BLOCK_TURNS}")
+    # a turn goes to its own block and, as context, to all later ones
+    dealt = placed.select("conv_id", "n", "pos", own.alias("own"), piece.alias("piece"), F.explode(F.sequence(own, F.expr(f"(n - 1) DIV {BLOCK_TURNS}"))).alias("block"))
+    gathered = lambda where: F.sort_array(F.collect_list(F.when(where, F.col("piece"))))
+    blocks = dealt.groupBy("conv_id", "block").agg(gathered(F.col("own") == F.col("block")).alias("pieces"), joined(gathered(F.col("own") < F.col("block"))).alias("before"), F.max("n").alias("n"))
     size, first = F.size("pieces"), F.col("block") * BLOCK_TURNS
     ends_here = first + size < F.col("n")  # more blocks follow, which need this one as context
     targets = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("pieces", i)["reply"].isNotNull())
     tail = ends_here | F.element_at("pieces", -1)["reply"].isNull()
     every = F.when(tail, F.array_append(targets, F.lit(0))).otherwise(targets)
-    cut = blocks.select("conv_id", "block", first.alias("first"), size.alias("size"), tail.alias("tail"), "pieces", F.explode(every).alias("i"))
+    cut = blocks.select("conv_id", "block", first.alias("first"), size.alias("size"), tail.alias("tail"), "pieces", "before", F.explode(every).alias("i"))
     upto = F.when(F.col("i") > 0, F.col("i")).otherwise(F.col("size"))
-    chat = F.array_join(F.transform(F.slice("pieces", 1, upto), lambda p: p["chat"]), "")
+    chat = joined(F.slice("pieces", 1, upto))
     out = cut.select("conv_id", "block", (F.col("first") + upto - 1).alias("turn"), ((F.col("i") == 0) | ~F.col("tail") & (upto == F.col("size"))).alias("last"), chat.alias("chat"),
-                     F.when(F.col("i") > 0, F.element_at("pieces", upto)["reply"]).alias("reply"))
+                     F.when(F.col("i") > 0, F.element_at("pieces", upto)["reply"]).alias("reply"), "before")
     end = F.when(F.col("reply").isNotNull(), F.char_length("chat") - len(template.end)).cast("long")
-    return out.select("conv_id", "block", "turn", "last", "chat", (end - F.col("reply")).alias("loss_start"), end.alias("loss_end"))
+    return out.select("conv_id", "block", "turn", "last", "chat", (end - F.col("reply")).alias("loss_start"), end.alias("loss_end"), "before")
 
 
 def trained_text(template: Template = Template()) -> Column:

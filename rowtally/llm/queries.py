@@ -93,7 +93,10 @@ def op13_chat_format(spark, sf_dir):
     template = chat.Template()
     examples = stored(chat.format_chats(turns, template), scratch_folder(spark, "chats"))
     one = F.struct("block", "turn", F.when(F.col("last"), F.col("chat")).alias("whole"), chat.trained_text(template).alias("reply"))
-    read = examples.groupBy("conv_id").agg(F.sum(F.char_length("chat")).alias("formatted_chars"), F.sort_array(F.collect_list(one)).alias("rows"))
+    size, rest = (F.char_length("before") + F.char_length("chat")).cast("long"), F.col("loss_end").isNull()
+    # examples with all their context, and what comes behind the last one; rows that end an earlier block repeat nothing new
+    behind = F.max_by(F.when(rest, size).otherwise(0), F.struct("block", rest.alias("rest")))
+    read = examples.groupBy("conv_id").agg((F.coalesce(F.sum(F.when(~rest, size)), F.lit(0)) + behind).alias("formatted_chars"), F.sort_array(F.collect_list(one)).alias("rows"))
     joined = lambda name: F.array_join(F.transform("rows", lambda r: r[name]), "")
     read = read.select("conv_id", template.turns(joined("whole")).alias("said"), joined("reply").alias("reply"), "formatted_chars")
     lines = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

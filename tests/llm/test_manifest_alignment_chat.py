@@ -201,3 +201,13 @@ def test_chat_of_little(spark):
     rows = spark.createDataFrame([(1, 0, "assistant", long)], empty.schema)
     r = chat.format_chats(rows).withColumn("trained", chat.trained_text()).first()
     assert r["trained"] == long and r["loss_start"] == len("<|turn|>assistant<|text|>")
+
+
+def test_chat_examples_hold_their_whole_context(spark):
+    turns = [(7, i, "assistant" if i % 2 else "user", f"turn {i}</s>") for i in range(601)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    template = chat.Template()
+    got = chat.format_chats(df).withColumn("said", template.turns(F.concat("before", "chat"))).withColumn("trained", chat.trained_text(template)).collect()
+    assert Counter(r["turn"] for r in got if r["trained"] is not None) == Counter(range(1, 601, 2))
+    for r in got:
+        assert [tuple(t) for t in r["said"]] == [t[2:] for t in turns[:r["turn"] + 1]]
