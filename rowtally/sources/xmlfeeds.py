@@ -10,7 +10,7 @@ from rowtally.session import scratch_folder, stored, working_session
 from rowtally.sources.feed import FeedGroup, as_order
 from rowtally.sources.listing import feed_name, feed_paths, scanned_path
 from rowtally.sources.xmlrepair import repaired
-from rowtally.sources.xmlscan import AT, CHILD, chunk_starts, records
+from rowtally.sources.xmlscan import AT, CHILD, chunk_starts, chunk_texts, records
 
 # Element names taken for records, in this order.
 RECORD_TAGS = ["item", "product", "offer", "record", "row", "entry"]
@@ -81,19 +81,29 @@ def _repaired(record: pd.Series) -> pd.Series:
     return record.map(repaired)
 
 
-def read_xml(spark: SparkSession, folder: str, paths: list[str], schema: T.StructType, multi_part=False, repair=True):
+def _full(schema: T.StructType) -> T.StructType:
+    return T.StructType([*[f for f in schema.fields if f.name != BAD], T.StructField(BAD, T.StringType())])
+
+
+def parsed(spark: SparkSession, folder: str, paths: list[str], schema: T.StructType) -> DataFrame:
+    """``_file`` and the fields of every record, stored: text is parsed once, all later passes read the table."""
+    full = _full(schema)
+    rows = _reader(spark).schema(full).load(paths).select(feed_name(scanned_path(), folder).alias("_file"), *[name(f) for f in full.names])
+    return stored(rows, scratch_folder(spark, "parsed"))
+
+
+def read_xml(rows: DataFrame, schema: T.StructType, multi_part=False, repair=True):
     """Rows, and records that did not parse. Such a record is cleaned of illegal characters and parsed again; if that fails
-    and ``repair`` is set, its markup is repaired.
+    and ``repair`` is set, its markup is repaired. ``rows`` are those of ``parsed``.
 
     Returns ``(_file, _ord, <text columns>)`` and ``(_file, record, parsed, repaired)``; repaired records are among the rows too.
     """
-    body = T.StructType([f for f in schema.fields if f.name != BAD])
-    full = T.StructType([*body.fields, T.StructField(BAD, T.StringType())])
+    full = _full(schema)
+    body = T.StructType(full.fields[:-1])
     flat = {c: v for c, v in flattened(body).items() if c != "@" + AT}
     place = name("@" + AT)
     order = as_order(F.substring_index(place, "|", 1), F.regexp_extract(place, r"(?s)\|[^|]*\|(.*)", 1), multi_part)
     columns = ["_file", order.alias("_ord"), *[flat[c].alias(c) for c in flat]]
-    rows = _reader(spark).schema(full).load(paths).select(feed_name(scanned_path(), folder).alias("_file"), *[name(f) for f in full.names])
     if BAD not in schema.names:
         return rows.select(*columns), None
     bad = F.col(BAD)
@@ -120,12 +130,13 @@ def land_records(spark: SparkSession, folder: str, feeds: dict[str, list[str]])
     Records are the elements of the first known record name that a feed has, without one all direct children of the root.
     """
     paths = [p for ps in feeds.values() for p in ps]
-    starts = stored(chunk_starts(spark, folder, paths, RECORD_TAGS), scratch_folder(spark, "chunks"))
+    chunks = chunk_texts(spark, paths, RECORD_TAGS)
+    starts = stored(chunk_starts(chunks, folder), scratch_folder(spark, "chunks"))
     names = starts.groupBy("_file").agg(F.flatten(F.collect_set("names")).alias("names"))
     tag = F.coalesce(*[F.when(F.array_contains("names", t), t) for t in RECORD_TAGS])
     placed = starts.join(names.select("_file", tag.alias("tag")), "_file").drop("names")
     landed = scratch_folder(spark, "records")
-    records(spark, paths, placed).write.partitionBy("tag", "_file").text(landed)
+    records(chunks, placed).write.partitionBy("tag", "_file").text(landed)
     return {f"{landed}/{kind}": feed_paths(spark, f"{landed}/{kind}", "*")[0] for kind in feed_paths(spark, landed, "tag=*")[0]}
 
 
@@ -140,7 +151,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
     for at, own in land_records(session, folder, feeds).items():
         paths = [p for ps in own.values() for p in ps]
         schema = infer(session, paths)
-        rows, rejected = read_xml(session, at, paths, schema, multi_part, repair)
+        table = parsed(session, at, paths, schema)
+        rows, rejected = read_xml(table, schema, multi_part, repair)
         rejects += [rejected] if rejected is not None else []
         # that parser takes declarations in a record for attributes
         declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))}
@@ -149,8 +161,8 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
         for shape in present.filter("size(columns) > 0").groupBy("columns").agg(F.collect_list("_file").alias("files")).collect():
             unknown -= set(shape["files"])
 
-            def read(chosen, at=at, own=own, schema=schema, kept=list(shape["columns"])):
-                part, _ = read_xml(session, at, [p for f in chosen for p in own[f]], schema, multi_part, repair)
+            def read(chosen, table=table, schema=schema, kept=list(shape["columns"])):
+                part, _ = read_xml(table.filter(F.col("_file").isin(list(chosen))), schema, multi_part, repair)
                 return part.select("_file", "_ord", *[F.coalesce(name(c), F.lit("")).alias(c) for c in kept])
 
             groups.append(FeedGroup(list(shape["columns"]), sorted(shape["files"]), read))

@@ -16,10 +16,11 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtally.session import working_session
+from rowtally.session import scratch_folder, stored, working_session
 from rowtally.sources.listing import feed_name, scanned_path
 
-SPLIT_BYTES = 32 << 20  # text of a chunk, about
+SPLIT_BYTES = 32 << 20  # text that a task reads, about
+CHUNK_CHARACTERS = 1 << 20  # text of a chunk, about: what a task holds grows with a chunk, not with its split
 CHILD = "rowtally_child"  # what records are called once they are cut out
 AT = "rowtally_at"  # attribute of such a record: its place, document and own name
 
@@ -268,51 +269,55 @@ def _chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _gathered(batches):
-    """(path, block, text) of every chunk."""
-    now, parts = None, []
+    """(path, block, text) of every chunk. Chunks of one split are numbered on from its offset; a split has more bytes than chunks."""
+    now, parts, size, n = None, [], 0, 0
     for batch in batches:
         for *key, value in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
-                if now:
-                    yield *now, ">".join(parts) + ">"
-                now, parts = key, []
+            if key != now or size >= CHUNK_CHARACTERS:
+                if parts:
+                    yield now[0], now[1] + n, ">".join(parts) + ">"
+                n = n + 1 if key == now else 0
+                now, parts, size = key, [], 0
             parts.append(value)
-    if now:
-        yield *now, ">".join(parts) + ">"
+            size += len(value) + 1
+    if parts:
+        yield now[0], now[1] + n, ">".join(parts) + ">"
 
 
-def chunk_starts(spark: SparkSession, folder: str, paths: list[str], tags: list[str]) -> DataFrame:
-    """``_file, path, block, start, names`` of every chunk; names are those of ``tags`` that elements in it have."""
+def chunk_texts(spark: SparkSession, paths: list[str], tags: list[str]) -> DataFrame:
+    """``path, block, text, maps`` of every chunk, stored, so that documents are put together and summed up once."""
     def summed(batches):
         for path, block, text in _gathered(batches):
-            yield pa.RecordBatch.from_pydict({"path": [path], "block": [block], "maps": [json.dumps(chunk_map(text, set(tags)))]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "block": [block], "text": [text], "maps": [json.dumps(chunk_map(text, set(tags)))]})
 
-    maps = _chunks(spark, paths).mapInArrow(summed, "path string, block bigint, maps string")
+    return stored(_chunks(spark, paths).mapInArrow(summed, "path string, block bigint, text string, maps string"), scratch_folder(spark, "texts"))
+
+
+def chunk_starts(chunks: DataFrame, folder: str) -> DataFrame:
+    """``_file, path, block, start, names`` of every chunk; names are those of the tags summed up that elements in it have."""
+    maps = chunks.select("path", "block", "maps")
     starts = maps.groupBy("path").applyInArrow(_starts, "path string, block bigint, start string, names array<string>")
     return starts.select(feed_name(F.col("path"), folder).alias("_file"), "*")
 
 
-def records(spark: SparkSession, paths: list[str], starts: DataFrame) -> DataFrame:
+def records(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     """``_file, tag, value``: every record as an element CHILD, whose attribute AT tells its place, document and own name.
 
     ``starts`` (_file, path, block, start, tag), tag null for the children of the root, has a row for each chunk.
     """
-    def texts(batches):
-        for path, block, text in _gathered(batches):
-            yield pa.RecordBatch.from_pydict({"path": [path], "block": [block], "text": [text]})
-
     schema = "_file string, path string, tag string, block bigint, at bigint, name string, seq bigint, text string, whole boolean, holds boolean"
 
     def cut(batches):
         for batch in batches:
-            for file, path, tag, block, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):  # one text at a time
+                file, path, tag, block, start, text = (c[row].as_py() for c in batch.columns)
                 rows = [(file, path, tag, b, at, name, block, t, whole, holds) for b, at, name, t, whole, holds in cut_records(text, block, start, tag)]
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip([c.split()[0] for c in schema.split(", ")], map(list, zip(*rows)))), schema=arrow)
 
     arrow = pa.schema([(c.split()[0], {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for c in schema.split(", ")])
-    chunks = _chunks(spark, paths).mapInArrow(texts, "path string, block bigint, text string")
     found = chunks.join(starts, ["path", "block"]).select("_file", "path", "tag", "block", "start", "text").mapInArrow(cut, schema)
+    found = stored(found, scratch_folder(chunks.sparkSession, "cut"))  # whole records and pieces are told apart after one cut
     key = ["_file", "path", "tag", "block", "at", "name"]
     whole = found.filter("whole").select(*key, "text", "holds")
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")

@@ -106,3 +106,17 @@ def test_delimiter_from_the_whole_text(spark, tmp_path):
 def test_header_of_a_value_that_is_never_closed(spark, tmp_path):
     (tmp_path / "f.csv").write_text('sku,"title\n1,a\n2,b\n')
     assert csvfeeds.heads(spark, [str(tmp_path / "f.csv")]).first()["header"] == b'sku,"title'
+
+
+def test_xml_chunks_are_bounded(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    items = "".join(f"<item><sku>{i}</sku><!-- <item> --><title>t > {i}</title></item>" for i in range(5000))
+    (folder / "big.xml").write_text(f"<shop>{items}</shop>")
+    monkeypatch.setattr(xmlscan, "CHUNK_CHARACTERS", 3000)
+    chunks = xmlscan.chunk_texts(spark, [str(folder / "big.xml")], ["item"])
+    sizes = chunks.selectExpr("block", "length(text) AS n").collect()
+    assert len({r["block"] for r in sizes}) == len(sizes) > 50 and max(r["n"] for r in sizes) < 3200
+    (rows,) = scan(spark, str(folder))
+    got = {r["sku"]: r["title"] for r in rows.orderBy("_ord").collect()}
+    assert list(got.items()) == [(str(i), f"t > {i}") for i in range(5000)]
