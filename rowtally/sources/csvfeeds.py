@@ -23,7 +23,10 @@ ENCODINGS = ["UTF-8", "GBK", "ISO-8859-1"]
 BOM = "\ufeff"
 STEADY = 0.9  # share of lines that must have as many delimiters as the header
 _CODECS = {"UTF-8": "utf-8", "GBK": "gbk", "ISO-8859-1": "latin-1"}
-_ONE_FILE_PER_TASK = str(1 << 50)
+SMALL_BYTES = 256 << 10  # a file up to this size is read whole for its header
+_ONE_FILE_PER_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50), "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+# no small file is split, since a split has the bytes that opening costs at least
+_FILES_TOGETHER = {"spark.sql.files.maxPartitionBytes": str(64 * SMALL_BYTES), "spark.sql.files.openCostInBytes": str(SMALL_BYTES)}
 
 
 def _tried(delimiter: str | None) -> list[str]:
@@ -33,32 +36,45 @@ def _tried(delimiter: str | None) -> list[str]:
 def heads(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> DataFrame:
     """The header of every file, ``path, header`` (bytes), with all lines that its quoted values run over.
 
-    Each file is one task that stops where the header ends, so the job reads heads, not files.
+    A large file is one task that stops where the header ends, so the job reads heads, not files. Many small ones share a task.
     """
-    session = working_session(spark, **{
-        "spark.sql.files.maxPartitionBytes": _ONE_FILE_PER_TASK,
-        "spark.sql.files.openCostInBytes": _ONE_FILE_PER_TASK,
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
-    })
-    v = F.col("value")
-    lines = session.read.option("lineSep", "\n").text(paths).select(
-        scanned_path().alias("path"), v.cast("binary").alias("line"), opens_value(v, _tried(delimiter)).alias("from_out"), keeps_open(v, _tried(delimiter)).alias("from_in"))
-
-    def first_record(batches):
-        path, taken, inside = None, [], False
-        for batch in batches:
-            for path, line, out, within in zip(*(batch[c] for c in ("path", "line", "from_out", "from_in"))):
-                taken.append(bytes(line))
-                inside = within if inside else out
-                if not inside:
+    v, size = F.col("value"), F.col("_metadata.file_size")
+
+    def first_records(alone):
+        def run(batches):
+            now, taken, inside, done = None, [], False, True
+
+            def head():
+                # a value that is never closed is none: then the first line is the header
+                header = b"\n".join(taken) if not inside else taken[0]
+                return pd.DataFrame({"path": [now], "header": [header.removesuffix(b"\r")]})
+
+            for batch in batches:
+                for path, line, out, within in zip(*(batch[c] for c in ("path", "line", "from_out", "from_in"))):
+                    if path != now:
+                        if taken:
+                            yield head()
+                        now, taken, inside, done = path, [], False, False
+                    elif done:
+                        continue
+                    taken.append(bytes(line))
+                    inside = within if inside else out
+                    done = not inside
+                    if alone and done:
+                        break
+                if alone and done:
                     break
-            if taken and not inside:
-                break
-        # a value that is never closed is none: then the first line is the header
-        header = b"\n".join(taken) if not inside else taken[0] if taken else b""
-        yield pd.DataFrame({"path": [path], "header": [header.removesuffix(b"\r")]} if taken else {"path": [], "header": []})
+            if taken:
+                yield head()
+
+        return run
+
+    def read(settings, wanted, alone):
+        lines = working_session(spark, **settings).read.option("lineSep", "\n").text(paths).filter(wanted).select(
+            scanned_path().alias("path"), v.cast("binary").alias("line"), opens_value(v, _tried(delimiter)).alias("from_out"), keeps_open(v, _tried(delimiter)).alias("from_in"))
+        return lines.mapInPandas(first_records(alone), "path string, header binary")
 
-    return lines.mapInPandas(first_record, "path string, header binary")
+    return read(_FILES_TOGETHER, size <= SMALL_BYTES, False).unionByName(read(_ONE_FILE_PER_TASK, size > SMALL_BYTES, True))
 
 
 def delimiter_counts(line: Column) -> Column:

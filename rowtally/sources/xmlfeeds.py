@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rowtally.functions.values import name, strip
 from rowtally.session import scratch_folder, stored, working_session
 from rowtally.sources.feed import FeedGroup, as_order
-from rowtally.sources.listing import feed_name, feed_paths, scanned_path
+from rowtally.sources.listing import feed_name, feed_paths
 from rowtally.sources.xmlrepair import repaired
 from rowtally.sources.xmlscan import AT, CHILD, chunk_starts, chunk_texts, records
 
@@ -85,10 +85,16 @@ def _full(schema: T.StructType) -> T.StructType:
     return T.StructType([*[f for f in schema.fields if f.name != BAD], T.StructField(BAD, T.StringType())])
 
 
+def _document(mark: Column) -> Column:
+    return F.url_decode(F.substring_index(mark, "|", -1))
+
+
 def parsed(spark: SparkSession, folder: str, paths: list[str], schema: T.StructType) -> DataFrame:
     """``_file`` and the fields of every record, stored: text is parsed once, all later passes read the table."""
     full = _full(schema)
-    rows = _reader(spark).schema(full).load(paths).select(feed_name(scanned_path(), folder).alias("_file"), *[name(f) for f in full.names])
+    # of a record that doesn't parse fields may be missing, but it starts with its mark
+    mark = F.coalesce(name("@" + AT), F.regexp_extract(name(BAD), rf'{AT}="([^"]*)"', 1))
+    rows = _reader(spark).schema(full).load(paths).select(feed_name(_document(mark), folder).alias("_file"), *[name(f) for f in full.names])
     return stored(rows, scratch_folder(spark, "parsed"))
 
 
@@ -102,7 +108,7 @@ def read_xml(rows: DataFrame, schema: T.StructType, multi_part=False, repair=Tru
     body = T.StructType(full.fields[:-1])
     flat = {c: v for c, v in flattened(body).items() if c != "@" + AT}
     place = name("@" + AT)
-    order = as_order(F.substring_index(place, "|", 1), F.regexp_extract(place, r"(?s)\|[^|]*\|(.*)", 1), multi_part)
+    order = as_order(F.substring_index(place, "|", 1), _document(place), multi_part)
     columns = ["_file", order.alias("_ord"), *[flat[c].alias(c) for c in flat]]
     if BAD not in schema.names:
         return rows.select(*columns), None
@@ -124,8 +130,8 @@ def infer(spark: SparkSession, paths: list[str]) -> T.StructType:
     return _reader(spark).load(paths).schema
 
 
-def land_records(spark: SparkSession, folder: str, feeds: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
-    """Cut the records out of all documents, ``tag=<name>/_file=<feed>/`` below a scratch folder; its folders and their feeds.
+def land_records(spark: SparkSession, folder: str, feeds: dict[str, list[str]]) -> list[str]:
+    """Cut the records out of all documents, ``tag=<name>/`` below a scratch folder; these folders. Each record's mark names its document.
 
     Records are the elements of the first known record name that a feed has, without one all direct children of the root.
     """
@@ -136,8 +142,8 @@ def land_records(spark: SparkSession, folder: str, feeds: dict[str, list[str]])
     tag = F.coalesce(*[F.when(F.array_contains("names", t), t) for t in RECORD_TAGS])
     placed = starts.join(names.select("_file", tag.alias("tag")), "_file").drop("names")
     landed = scratch_folder(spark, "records")
-    records(chunks, placed).write.partitionBy("tag", "_file").text(landed)
-    return {f"{landed}/{kind}": feed_paths(spark, f"{landed}/{kind}", "*")[0] for kind in feed_paths(spark, landed, "tag=*")[0]}
+    records(chunks, placed).write.partitionBy("tag").text(landed)
+    return [f"{landed}/{kind}" for kind in feed_paths(spark, landed, "tag=*")[0]]
 
 
 def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], multi_part=False, repair=True):
@@ -148,14 +154,13 @@ def xml_groups(spark: SparkSession, folder: str, feeds: dict[str, list[str]], mu
     """
     session = working_session(spark)
     groups, rejects, unknown = [], [], set(feeds)
-    for at, own in land_records(session, folder, feeds).items():
-        paths = [p for ps in own.values() for p in ps]
-        schema = infer(session, paths)
-        table = parsed(session, at, paths, schema)
+    for at in land_records(session, folder, feeds):
+        schema = infer(session, [at])
+        table = parsed(session, folder, [at], schema)
         rows, rejected = read_xml(table, schema, multi_part, repair)
         rejects += [rejected] if rejected is not None else []
         # that parser takes declarations in a record for attributes
-        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, paths))}
+        declared = {"@xmlns", *(f"@{p}" for p in declared_prefixes(session, [at]))}
         columns = [c for c in rows.columns if c not in ("_file", "_ord") and c not in declared]
         present = rows.groupBy("_file").agg(F.array_compact(F.array(*[F.when(F.count(name(c)) > 0, F.lit(c)) for c in columns]).cast("array<string>")).alias("columns"))
         for shape in present.filter("size(columns) > 0").groupBy("columns").agg(F.collect_list("_file").alias("files")).collect():

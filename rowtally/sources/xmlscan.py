@@ -295,13 +295,14 @@ def chunk_texts(spark: SparkSession, paths: list[str], tags: list[str]) -> DataF
 
 def chunk_starts(chunks: DataFrame, folder: str) -> DataFrame:
     """``_file, path, block, start, names`` of every chunk; names are those of the tags summed up that elements in it have."""
-    maps = chunks.select("path", "block", "maps")
+    # dealt by a number of its own, or AQE would put the documents into few tasks for their small maps
+    maps = chunks.select("path", "block", "maps").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     starts = maps.groupBy("path").applyInArrow(_starts, "path string, block bigint, start string, names array<string>")
     return starts.select(feed_name(F.col("path"), folder).alias("_file"), "*")
 
 
 def records(chunks: DataFrame, starts: DataFrame) -> DataFrame:
-    """``_file, tag, value``: every record as an element CHILD, whose attribute AT tells its place, document and own name.
+    """``tag, value``: every record as an element CHILD, whose attribute AT tells its place, own name and document.
 
     ``starts`` (_file, path, block, start, tag), tag null for the children of the root, has a row for each chunk.
     """
@@ -328,6 +329,5 @@ def records(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     alone = F.regexp_like(body, F.lit(r"\A[^<]*/>\z"))
     closed = F.when(alone, body).when(ends, F.regexp_replace(body, r"</[^<>]*>\z", f"</{CHILD}>")).otherwise(F.concat(body, F.lit(f"</{CHILD}>")))
     place = F.col("block").cast("decimal(38,0)") * F.lit(1 << 33).cast("decimal(11,0)") + F.col("at")
-    quoted = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    mark = F.concat(F.lit(f'<{CHILD} {AT}="'), place.cast("string"), F.lit("|"), F.col("name"), F.lit("|"), quoted(F.col("path")), F.lit('"'))
-    return every.select("_file", F.coalesce("tag", F.lit(CHILD)).alias("tag"), F.concat(mark, closed).alias("value"))
+    mark = F.concat(F.lit(f'<{CHILD} {AT}="'), place.cast("string"), F.lit("|"), F.col("name"), F.lit("|"), F.url_encode("path"), F.lit('"'))
+    return every.select(F.coalesce("tag", F.lit(CHILD)).alias("tag"), F.concat(mark, closed).alias("value"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from rowtally.session import working_session
-from rowtally.sources import csvfeeds, xmlscan
+from rowtally.sources import csvfeeds, xmlfeeds, xmlscan
 from rowtally.sources.scan import feed_paths, scan, scan_folder
 from rowtally.sources.xmlrepair import repaired
 
@@ -120,3 +120,31 @@ def test_xml_chunks_are_bounded(spark, tmp_path, monkeypatch):
     (rows,) = scan(spark, str(folder))
     got = {r["sku"]: r["title"] for r in rows.orderBy("_ord").collect()}
     assert list(got.items()) == [(str(i), f"t > {i}") for i in range(5000)]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    for i in range(120):
+        (folder / f"s {i}+.csv").write_text(f'sku,"long\ntitle {i}"\n1,a\n2,b\n' if i % 3 else "sku;title\n1;x\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "large.csv").write_text('sku,title\n' + "1,x\n" * 100_000)
+    paths = [p for ps in feed_paths(spark, str(folder))[0].values() for p in ps]
+    found = csvfeeds.heads(spark, paths)
+    assert found.rdd.getNumPartitions() < 40
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["header"]).decode() for r in found.collect()}
+    want = {f"s {i}+.csv": f'sku,"long\ntitle {i}"' if i % 3 else "sku;title" for i in range(120)} | {"large.csv": "sku,title"}
+    assert got == want
+
+
+def test_many_documents_land_together(spark, tmp_path):
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    for i in range(30):
+        end = "</wrong>" if i == 7 else "</title>"
+        (folder / f"d &{i}+|.xml").write_text(f"<shop><item><sku>{i}</sku><title>a{end}</item><item><sku>x</sku><title>b</title></item></shop>")
+    landed = xmlfeeds.land_records(working_session(spark), str(folder), feed_paths(spark, str(folder))[0])
+    assert len(landed) == 1 and len(feed_paths(spark, landed[0], "*")[0]) < 30
+    (rows,), (rejects,) = scan(spark, str(folder), with_rejects=True, repair=False)
+    assert sorted((r["_file"], r["sku"]) for r in rows.collect()) == sorted([(f"d &{i}+|.xml", s) for i in range(30) for s in (str(i), "x") if (i, s) != (7, "7")])
+    assert [r["_file"] for r in rejects.collect()] == ["d &7+|.xml"]
