@@ -57,7 +57,7 @@ def value_equality(spark, sf_dir):
 def dedupe_first(spark, sf_dir):
     rows = spark_sql(spark, sf_dir, feeds.LINE_A)
     cells = [F.col(c) for c in feeds.LINE_COLUMNS]
-    keyed = with_key(rows.select("_file", F.col("sku").alias("_raw"), F.col("ord").alias("_ord"), *cells), "_raw", "_key")
+    keyed = with_key(rows.select("_file", F.col("sku").alias("_raw"), F.col("ord").alias("_ord"), *cells), "_raw", "_key", carries_cells=True)
     return first_per_key(keyed).select("_file", F.col("_key").alias("sku"), *feeds.LINE_COLUMNS)
 
 

@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtally.functions.values import SPACE, SPACES, strip
+from rowtally.functions.values import SPACE, SPACES, name, strip
 
 # Characters read as a blank or as a hyphen in keys.
 BLANKS = "\u00a0\u2007\u202f"
@@ -32,7 +32,20 @@ def _fold_one(text: str) -> str:
 
 
 def _fold_series(keys: pd.Series) -> pd.Series:
-    return keys.map({k: _fold_one(k) for k in keys.dropna().unique()})
+    """All keys are folded as one text: nothing composes over U+0000. Only what is not ASCII then needs a second look."""
+    given = keys.notna()
+    texts = keys[given].tolist()
+    whole = unicodedata.normalize("NFKC", "\0".join(texts))
+    for c, plain in _FOLD.items():
+        whole = whole.replace(chr(c), plain)
+    folded = whole.split("\0") if texts else []
+    if len(folded) != len(texts):  # some hold U+0000 themselves
+        folded = [_fold_one(k) for k in texts]
+    elif not whole.isascii():
+        folded = [f if f.isascii() else _fold_one(k) for f, k in zip(folded, texts)]
+    out = pd.Series(None, index=keys.index, dtype=object)
+    out[given] = folded
+    return out
 
 
 def fold_unicode(v: Column) -> Column:
@@ -44,6 +57,7 @@ def is_ascii(v: Column) -> Column:
     return F.length(v) == F.octet_length(v)
 
 
+NOT_ASCII = r"[^\x00-\x7f]"
 _ASCII_SPACES = "".join(c for c in SPACES if c < "\x7f")
 # Line ends and tabs inside a key are deleted, information separators read as blanks.
 _INNER = "\x1c\x1d\x1e\x1f" + "\t\n\r\f\v"
@@ -74,13 +88,15 @@ def with_key(
     case_sensitive: bool = True,
     ascii_only: bool = False,
     keep_blank: bool = False,
+    carries_cells: bool = False,
 ) -> DataFrame:
     """Add the comparison key ``key`` derived from the text column ``raw``.
 
     Rows are split by a cheap test on ``raw``: ASCII keys stay in generated code, the others go
     through Arrow. No shuffle and no join is involved. ``ascii_only`` states that every key is known
     to be ASCII (true of any key column that is not text) and leaves the second branch out. Rows
-    without a key are dropped, or keep the key '' with ``keep_blank``.
+    without a key are dropped, or keep the key '' with ``keep_blank``. With ``carries_cells`` the second
+    branch tests the key before the other columns are made, as these cost more than its expression.
     """
     fold_case = (lambda c: c) if case_sensitive else F.lower
     r, bare = F.col(raw), strip(F.col(raw))
@@ -88,8 +104,18 @@ def with_key(
         rows = df if keep_blank else df.filter(bare != "")
         return rows.withColumn(key, F.coalesce(fold_case(bare), F.lit("")))
     # a key is empty just when its raw form is blank, so blank rows go before keys are computed
-    rows = df if keep_blank else df.filter(bare != "")
-    plain = rows if ascii_only else rows.filter(F.coalesce(is_ascii(r), F.lit(True)))
+    with_raw = lambda rows: rows if keep_blank else rows.filter(bare != "")
+    if ascii_only:
+        plain = with_raw(df)
+    else:
+        # out of a generator, so that the filters stay above it: pushed below, each would work out anew whatever expression
+        # the caller's key is made of, several times a row
+        rest = [name(c) for c in df.columns if c != raw]
+        once = F.inline(F.array(F.struct(r.alias(raw), F.coalesce(is_ascii(r), F.lit(True)).alias("_plain"))))
+        split = df.select(*rest, once)
+        part = lambda rows: with_raw(rows).select(*map(name, df.columns))
+        plain = part(split.filter("_plain"))
+        others = part(df.filter(r.rlike(NOT_ASCII)) if carries_cells else split.filter("NOT _plain"))
 
     def keyed(part: DataFrame) -> DataFrame:
         return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_t", "_n")
@@ -100,5 +126,5 @@ def with_key(
     plain = keyed(plain.withColumn("_n", one_blank))
     if ascii_only:
         return plain
-    folded = rows.filter(~is_ascii(r)).withColumn("_n", _spaced_folded(fold_unicode(bare)))
+    folded = others.withColumn("_n", _spaced_folded(fold_unicode(bare)))
     return plain.unionByName(keyed(folded))

@@ -110,7 +110,7 @@ class Reconciliation:
         sides = []
         for df, key, letter in ((self._base, self.key_1, "a"), (self._changed, self.key_2, "b")):
             rows, options = self._side(df, key, letter)
-            sides.append(first_per_key(with_key(rows, "_raw", "_key", **options).drop("_raw")))
+            sides.append(first_per_key(with_key(rows, "_raw", "_key", carries_cells=True, **options).drop("_raw")))
         return align(*sides)
 
     def materialize(self, folder: str | None = None) -> Reconciliation:

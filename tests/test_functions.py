@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtally.functions import names as nm
-from rowtally.functions.keys import normalize_key, with_key
+from rowtally.functions.keys import _fold_one, _fold_series, normalize_key, with_key
 from rowtally.functions.values import cell_code, match_rate, status_band, values_equal
 
 KEYS = [
@@ -118,3 +118,26 @@ def test_column_scores(spark):
     assert detect_pair_keys(spark, ["mpn", "Artikel"], ["mpn", "artikel"], user="artikel") == ("Artikel", "artikel")
     assert detect_pair_keys(spark, ["sku", "x"], ["id", "x"], priority=["", "x"]) == ("sku", "id")  # 0.93 for x
     assert detect_pair_keys(spark, ["mpn", "x"], ["upc", "X"], priority=["x"]) == ("x", "X")
+
+
+def test_a_computed_key_is_worked_out_once_a_branch(spark):
+    raw = F.when(F.col("id") % 2 == 0, F.concat(F.lit("marker-"), F.col("id").cast("string"))).otherwise(F.lit("é"))
+    df = spark.range(10).select(raw.alias("raw"), F.sha2(F.col("id").cast("string"), 256).alias("cell"))
+    keyed = with_key(df, "raw", "key")
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marker-") == 2
+    cells = with_key(df, "raw", "key", carries_cells=True)
+    for found in (keyed, cells):
+        assert found.columns == ["raw", "cell", "key"]
+        assert sorted(r["key"] for r in found.collect()) == sorted([f"marker-{i}" for i in range(0, 10, 2)] + ["é"] * 5)
+
+
+def test_keys_folded_together_are_as_folded_alone():
+    import pandas as pd
+
+    texts = [r for r, _ in KEYS if r] + ["\u0301e", "e\u0301", "\u1100", "\u1161", None, "٣٤", "A\u2014٣"]
+    for more in ([], ["a\0b", "\0٣"]):  # the second holds the character that parts them
+        keys = pd.Series(texts + more, index=range(5, 5 + len(texts + more)))
+        assert [f if isinstance(f, str) else None for f in _fold_series(keys)] == [k and _fold_one(k) for k in texts + more]
+    assert _fold_series(pd.Series([None], dtype=object)).isna().all()
+    assert not len(_fold_series(pd.Series([], dtype=object)))
