@@ -120,3 +120,22 @@ def test_licence_index(spark):
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
     assert Counter((r.doc_id, r.labels) for r in got) == {(1, "mit"): 3, (None, "cc-by"): 1}
     assert licences.scan(spark.createDataFrame(rows[:1], "doc_id long, text string, labels string").filter(F.lit(False))).collect() == []
+
+
+def test_the_encoder_keeps_words_as_runs_of_one_array_and_forgets_them(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from rowtally.llm import encoding
+
+    texts = ["Some words. and, more words...", None, "", "  ", "a <|endoftext|> b é. ., x" + " y1." * 3, "new words, later. Some"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(encoding, "_CACHE_WORDS", most)
+        encoder = encoding.Encoder(path)
+        for part in (texts[:2], texts[2:5], texts[5:], texts[:0], texts):
+            ids, bounds = encoder.encode(pa.array(part, pa.string()))
+            for text, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
+                assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert ids.dtype == np.uint32 and len(encoder.words.lengths) == len(encoder.known)
