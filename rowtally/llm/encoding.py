@@ -77,15 +77,17 @@ class Encoder:
             return
         stems, fresh, picks = self.stems, [], []
         for w in new:
-            stem = w.rstrip(".,")
-            stem = stem if stem and stem[-1].isascii() and stem[-1].isalnum() else w
-            tail, stem = w[len(stem):], stem.lower() if stem.isascii() and "<" not in stem else stem  # a special token is case-sensitive
-            for part in (stem, tail):
-                number = stems.get(part)
-                if number is None:
-                    number = stems[part] = len(stems)
+            if w.isalnum() and w.isascii():
+                stem, tail = w.lower(), ""
+            else:
+                stem = w.rstrip(".,")
+                stem = stem if stem and stem[-1].isascii() and stem[-1].isalnum() else w
+                tail, stem = w[len(stem):], stem.lower() if stem.isascii() and "<" not in stem else stem  # a special token is case-sensitive
+            for part in (stem, tail) if tail else (stem,):
+                if part not in stems:
+                    stems[part] = len(stems)
                     fresh.append(part)
-                picks.append(number)
+            picks += stems[stem], stems[tail]
         self._learn_stems(fresh)
         ids, ends = self.parts.take(np.array(picks, np.int64))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
