@@ -266,7 +266,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     docs = docs.select(*[c for c in docs.columns if c.lower() not in (*own, "_hits", "_removed")])
     probes = docs.select("doc_id", "text").mapInArrow(_probe(block, buckets), _PACKED)
     hits = probes.groupBy("bucket").applyInArrow(_hits(buckets), _PACKED).groupBy("bucket").applyInArrow(_deliver(np.uint64), _REPLY)
-    near = docs.join(hits.withColumnRenamed("data", "_hits"), "doc_id", "left").select("doc_id", "text", "_hits")
+    # both joins take the same columns and rows of ``docs``, so that one exchange serves them and texts are shuffled once
+    near = docs.join(hits.withColumnRenamed("data", "_hits"), "doc_id", "left")
     windows = near.mapInArrow(_extend(window, block, buckets), _PACKED)
     removed = windows.groupBy("bucket").applyInArrow(_later(buckets), _PACKED).groupBy("bucket").applyInArrow(_deliver(np.uint32), _REPLY)
     removed = removed.withColumnRenamed("data", "_removed")

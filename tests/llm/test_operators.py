@@ -275,3 +275,18 @@ def test_empty_tables(spark):
     assert substrings.remove_repeats(none).count() == jaccard.jaccard_groups(none).count() == packing.pack(none, TOKENS).count() == 0
     assert licences.scan(none).count() == token_counts.length_histogram(none, TOKENS).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_substrings_shuffles_texts_once(spark, docs):
+    """Both joins on doc_id read one exchange of the texts."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        plan = substrings.remove_repeats(docs.withColumn("more", docs.source), texts=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    joined = ["ReusedExchange" in line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert sorted(joined) == [False, False, False, True], plan
