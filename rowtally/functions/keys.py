@@ -61,6 +61,7 @@ NOT_ASCII = r"[^\x00-\x7f]"
 _ASCII_SPACES = "".join(c for c in SPACES if c < "\x7f")
 # Line ends and tabs inside a key are deleted, information separators read as blanks.
 _INNER = "\x1c\x1d\x1e\x1f" + "\t\n\r\f\v"
+_CONTROLS = r"[\t\n\x0b\f\r\x1c-\x1f]"
 
 
 def _spaced_folded(v: Column) -> Column:
@@ -75,6 +76,12 @@ def _plain_number(n: Column) -> Column:
     return F.when(integral, plain).otherwise(n)
 
 
+def _spaced(v: Column) -> Column:
+    """An ASCII key without blanks around it and white space other than blanks inside. Few keys hold any, and these take most time."""
+    inner = F.translate(F.btrim(v, F.lit(_ASCII_SPACES)), _INNER, "    ")
+    return F.when(v.rlike(_CONTROLS), inner).otherwise(F.trim(v))
+
+
 def normalize_key(v: Column) -> Column:
     """The full normalisation of any key. The UDF runs for every row; for tables use ``with_key``."""
     return F.coalesce(_plain_number(_spaced_folded(fold_unicode(strip(v)))), F.lit(""))
@@ -106,22 +113,22 @@ def with_key(
     # a key is empty just when its raw form is blank, so blank rows go before keys are computed
     with_raw = lambda rows: rows if keep_blank else rows.filter(bare != "")
     if ascii_only:
-        plain = with_raw(df)
+        plain = with_raw(df).withColumn("_t", _spaced(r))
     else:
         # out of a generator, so that the filters stay above it: pushed below, each would work out anew whatever expression
         # the caller's key is made of, several times a row
         rest = [name(c) for c in df.columns if c != raw]
-        once = F.inline(F.array(F.struct(r.alias(raw), F.coalesce(is_ascii(r), F.lit(True)).alias("_plain"))))
+        ascii_key = F.coalesce(is_ascii(r), F.lit(True))
+        once = F.inline(F.array(F.struct(r.alias(raw), ascii_key.alias("_plain"), F.when(ascii_key, _spaced(r)).alias("_t"))))
         split = df.select(*rest, once)
-        part = lambda rows: with_raw(rows).select(*map(name, df.columns))
-        plain = part(split.filter("_plain"))
-        others = part(df.filter(r.rlike(NOT_ASCII)) if carries_cells else split.filter("NOT _plain"))
+        # an ASCII key is blank just when nothing is left of it here
+        plain = split.filter("_plain" if keep_blank else "_plain AND _t <> ''").select(*map(name, df.columns), "_t")
+        others = with_raw(df.filter(r.rlike(NOT_ASCII)) if carries_cells else split.filter("NOT _plain")).select(*map(name, df.columns))
 
     def keyed(part: DataFrame) -> DataFrame:
         return part.withColumn(key, F.coalesce(fold_case(_plain_number(F.col("_n"))), F.lit(""))).drop("_t", "_n")
 
     # steps used more than once are columns of their own, so that each is computed once
-    plain = plain.withColumn("_t", F.translate(F.btrim(r, F.lit(_ASCII_SPACES)), _INNER, "    "))
     one_blank = F.when(F.contains("_t", F.lit("  ")), F.regexp_replace("_t", " {2,}", " ")).otherwise(F.col("_t"))
     plain = keyed(plain.withColumn("_n", one_blank))
     if ascii_only:

@@ -141,3 +141,16 @@ def test_keys_folded_together_are_as_folded_alone():
         assert [f if isinstance(f, str) else None for f in _fold_series(keys)] == [k and _fold_one(k) for k in texts + more]
     assert _fold_series(pd.Series([None], dtype=object)).isna().all()
     assert not len(_fold_series(pd.Series([], dtype=object)))
+
+
+def test_ascii_keys_are_trimmed_once(frame):
+    """Keys with any white space agree with the full normalisation, and the test for blank ones reads the trimmed key."""
+    spaces = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "  "]
+    raws = [None, "", *spaces, *[f"{a}00{b}1.0{a}" for a in spaces for b in ("", *spaces)], "A  b", "\x00", "\x7f 1", "\x1f \t "]
+    df = frame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    wanted = {r.i: r.k for r in df.select("i", normalize_key(F.col("raw")).alias("k")).collect()}
+    assert {r.i: r.k for r in with_key(df, "raw", "k", keep_blank=True).collect()} == wanted
+    kept = with_key(df, "raw", "k")
+    assert {r.i: r.k for r in kept.collect()} == {i: k for i, k in wanted.items() if k}
+    filters = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "_t#" in line]
+    assert len(filters) == 1 and not any("btrim" in line for line in filters)
