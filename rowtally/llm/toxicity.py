@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,20 +116,37 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     folder, chunks = _in_chunks(rows)
+    place = np.zeros(1 << TERM_BITS, np.int32)
+    for chunk in range(chunks):
+        for batch in _chunk(docs.sparkSession, folder, chunk).to_batches(max_chunksize=MINIBATCH):
+            place[pc.list_flatten(batch["terms"]).to_numpy()] = 1
+    known = np.flatnonzero(place)
+    place[known] = np.arange(len(known))
 
     def minibatches(chunk: int, rng: np.random.Generator) -> list[_Batch]:
         found = _chunk(docs.sparkSession, folder, chunk)
         ends = np.cumsum(pc.list_value_length(found["terms"]).to_numpy())
         starts, flat, y = np.r_[0, ends[:-1]], pc.list_flatten(found["terms"]).to_numpy(), found["y"].to_numpy().astype(np.float32)
         order = np.argsort(found["mark"].to_numpy())[rng.permutation(len(y))]  # the result doesn't hang on the order of tasks
-        return [_Batch([flat[starts[i]:ends[i]] for i in pick], y[pick]) for pick in (order[at:at + MINIBATCH] for at in range(0, len(order), MINIBATCH))]
+        del found
+        _release()
+        return [_Batch([place[flat[starts[i]:ends[i]]] for i in pick], y[pick]) for pick in (order[at:at + MINIBATCH] for at in range(0, len(order), MINIBATCH))]
 
-    machine = train(minibatches, chunks)
-    pa.default_memory_pool().release_unused()
+    machine = train(minibatches, chunks, known)
+    _release()
     machine.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return machine
 
 
+def _release() -> None:
+    """Give memory that is no longer used back, which glibc and Arrow would keep for the driver's process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class _Batch:
     """Some rows, and their entries in the order of rows and of terms, so that sums over either are sums over runs."""
 
@@ -138,9 +156,9 @@ class _Batch:
         self.row_cuts = (np.cumsum(sizes) - sizes)[self.filled]
         self.used, place = np.unique(np.concatenate(rows), return_inverse=True)
         order = np.argsort(place, kind="stable")
-        self.place = place.astype(np.int32)
+        self.place = place.astype(np.uint16 if len(self.used) <= 1 << 16 else np.int32)
         self.owner = np.repeat(np.arange(len(rows), dtype=np.uint8 if len(rows) <= 256 else np.int32), sizes)[order]
-        self.term_cuts = np.searchsorted(place[order], np.arange(len(self.used)))
+        self.term_cuts = np.searchsorted(place[order], np.arange(len(self.used))).astype(np.int32)
 
     def by_row(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.y), *values.shape[1:]), np.float32)
@@ -152,24 +170,32 @@ class _Batch:
         return np.add.reduceat(values[self.owner], self.term_cuts) if len(self.used) else np.zeros((0, *values.shape[1:]), np.float32)
 
 
-def train(minibatches, chunks: int, seed: int = 7) -> Machine:
+def _first_factors(known: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Random factors of the known terms: the same whatever others are known, though drawn a slice of the hashed space at a time."""
+    out, step = np.empty((len(known), FACTORS), np.float32), 1 << 16
+    for at in range(0, 1 << TERM_BITS, step):
+        lo, hi = np.searchsorted(known, [at, at + step])
+        out[lo:hi] = rng.standard_normal((step, FACTORS), np.float32)[known[lo:hi] - at]
+    out *= np.float32(0.01)
+    return out
+
+
+def train(minibatches, chunks: int, known: np.ndarray, seed: int = 7) -> Machine:
     """Minibatch gradient steps with a rate per parameter that falls with the gradients it has seen.
 
-    ``minibatches(chunk, rng)`` gives a chunk's; only one chunk is held at a time. A single one is read once.
+    ``minibatches(chunk, rng)`` gives a chunk's, whose terms are places in ``known``; only one chunk is held at a time. A single one is read once.
     """
     rng = np.random.default_rng(seed)
-    n = 1 << TERM_BITS
-    weights, factors, bias = np.zeros(n, np.float32), rng.standard_normal((n, FACTORS), np.float32), 0.0
-    factors *= np.float32(0.01)
+    n = len(known)
+    weights, factors, bias = np.zeros(n, np.float32), _first_factors(known, rng), 0.0
     sw, sf, sb = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1e-2
-    seen, batches = np.zeros(n, bool), None
+    batches = None
     for _ in range(EPOCHS):
         for chunk in rng.permutation(chunks).tolist():
             batches = batches if batches and chunks == 1 else None  # the chunk before goes first
             batches = batches or minibatches(chunk, rng)
             for batch in (batches[i] for i in rng.permutation(len(batches))):
                 used, w, v = batch.used, weights[batch.used], factors[batch.used]
-                seen[used] = True
                 sums = batch.by_row(v)
                 logits = bias + batch.by_row(w - 0.5 * (v ** 2).sum(1)) + 0.5 * (sums ** 2).sum(1)
                 error = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - batch.y).astype(np.float32)
@@ -183,8 +209,7 @@ def train(minibatches, chunks: int, seed: int = 7) -> Machine:
                 total = float(error.sum())
                 sb += total ** 2
                 bias -= RATE * total / np.sqrt(sb)
-    known = np.flatnonzero(seen)
-    return Machine(known, bias, weights[known], factors[known])
+    return Machine(known, bias, weights, factors)
 
 
 def free_name(docs: DataFrame, name: str = "_score") -> str:
