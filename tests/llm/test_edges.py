@@ -1,6 +1,7 @@
 """Repeated rows and ids, clashing column names, empty tables and texts over a MB; the parts of operators that no query shows."""
 
 import tracemalloc
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -23,6 +24,52 @@ def test_embeddings_of_repeated_ids(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def _links_by_force(vectors: dict[int, np.ndarray]) -> dict[int, tuple[int, int]]:
+    ids, unit = list(vectors), np.stack([v / np.linalg.norm(v) for v in vectors.values()])
+    near = unit @ unit.T >= 0.9
+    label, before = np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(near, label, len(ids)).min(1)
+    return {i: (int(n) - 1, ids[c]) for i, n, c in zip(ids, near.sum(1), label)}
+
+
+def test_embeddings_are_not_copied_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embeddings, "scratch_folder", lambda _, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[2000:] = x[rng.integers(0, 500, 1000)] + rng.normal(0, 0.3, (1000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    want = _links_by_force(dict(enumerate(x.astype(float))))
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 500
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 1.5 * x.nbytes
+
+
+@pytest.mark.parametrize("rows, values, n", [(50, 1 << 22, 700), (1, 2 * 12, 270)])  # files cut into groups; over 64 groups, so that units hold several
+def test_embeddings_of_many_groups(spark, monkeypatch, rows, values, n):
+    monkeypatch.setattr(embeddings, "LEAST_ROWS", rows)
+    monkeypatch.setattr(embeddings, "GROUP_VALUES", values)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 12))
+    x[n // 2:] = x[rng.integers(0, 20, n - n // 2)] + rng.normal(0, 0.4, (n - n // 2, 12))
+    flat = {10_000 + i: rng.normal(size=2) for i in range(40)}  # of another dimension
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in [*enumerate(x), *flat.items()]], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == _links_by_force(dict(enumerate(x))) | _links_by_force(flat)
+
+
+def test_embeddings_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x[:1200] = x[0] + rng.normal(0, 0.32, (1200, 24))  # cosines on either side of 0.9
+    order = rng.permutation(1500)
+    same = [(2000, [0.0, 3.0]), (2001, [-0.0, 3.0]), (2002, [0.0, 6.0]), (2003, [1e-200, 1e-200]), (2004, [1e200, 1e200])]
+    df = spark.createDataFrame([*((int(i), x[i].tolist()) for i in order), *same], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert {i: got[i] for i in range(1500)} == _links_by_force(dict(enumerate(x)))
+    assert {i: got[i] for i in range(2000, 2005)} == {2000: (2, 2000), 2001: (2, 2000), 2002: (2, 2000), 2003: (0, 2003), 2004: (0, 2004)}
+
+
 def test_contamination_of_repeated_ids(spark):
     words = [f"w{i}" for i in range(10)]
     item = " ".join(words)
