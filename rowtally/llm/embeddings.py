@@ -18,13 +18,13 @@ from rowtally.session import scratch_folder, stored
 BLOCKS, LEAST_DIMENSIONS = 2, 8  # blocks of a vector, and the dimensions that each has at least
 GROUP_VALUES = 1 << 22  # components of the vectors that a task holds from either side, at most
 LEAST_ROWS = 1024
-SIDE_GROUPS = 4  # groups that a unit of work takes from either side, at most
+SIDE_GROUPS = 8  # groups that a unit of work takes from either side, at most
 UNIT_PAIRS = 1 << 33  # pairs of vectors that a task compares, about
 MOST_TASKS = 20_000
 TILE = (256, 512)  # vectors of either side that are compared by one product
 MANY = 4096  # pairs of a tile that are verified by one product rather than singly
 SLACK = 1e-4  # by which products of float32 may miss a squared distance
-LINKS = "vec_id long, links long, other long"
+LINKS = "node long, links long, root long"
 
 
 def rotation(dimensions: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def _join_groups(a: _Group, b: _Group, least: float, shares: list[float], links_
 
 
 def _side(groups: int) -> int:
-    return min(SIDE_GROUPS, max(1, groups // 64))
+    return min(SIDE_GROUPS, max(1, groups // 32))
 
 
 def _units(groups: list) -> int:
@@ -210,7 +210,8 @@ def _units(groups: list) -> int:
 
 
 def _join_units(folder: str, groups: dict[int, list[list[tuple]]], least: float):
-    """Unit k takes runs of groups p <= q of one dimension, k = q * (q + 1) / 2 + p, and returns link counts and a spanning forest."""
+    """Unit k takes runs of groups p <= q of one dimension, k = q * (q + 1) / 2 + p, and returns the nodes that have
+    links there: how many, and the root of each in a spanning forest."""
     whole, starts = 2 - 2 * least, np.cumsum([0, *(_units(g) for g in groups.values())])
 
     def unit(store, root: str, k: int) -> pa.RecordBatch:
@@ -236,12 +237,14 @@ def _join_units(folder: str, groups: dict[int, list[list[tuple]]], least: float)
                     ids[at:at + len(x.ids)] = x.ids
                 mine, other = (links[at:at + len(x.ids)] for x, at in ((a, places[g]), (b, places[h])))
                 _join_groups(a, b, least, shares, mine, other, parent, places[g], places[h])
-        some, ends = np.flatnonzero(links), _roots(parent, np.arange(total))
-        moved = np.flatnonzero(ends != np.arange(total))
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([ids[some], ids[moved]])),
-            pa.concat_arrays([pa.array(links[some]), pa.nulls(len(moved), pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[ends[moved]])])], ["vec_id", "links", "other"])
+        some = np.flatnonzero(links)
+        root = _roots(parent, some)
+        if runs[0] != runs[1]:  # a tree of q's own, so that units of the same q repeat its edges, which are then one; its first node leads to p
+            late = some >= places[runs[1][0]]
+            _, first, tree = np.unique(root[late], return_index=True, return_inverse=True)
+            head = some[late][first][tree]
+            root[late] = np.where(some[late] == head, root[late], head)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root])], ["node", "links", "root"])
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(folder)
@@ -284,8 +287,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     tasks = max(1, min(units, MOST_TASKS, max(tasks, pairs // UNIT_PAIRS)))
     found = spark.range(0, units, 1, tasks).mapInArrow(_join_units(folder, groups, least), LINKS)
     found = stored(found, scratch_folder(spark, "links"))
-    links = found.filter("links IS NOT NULL").groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "node")
-    parts = components(found.filter("other IS NOT NULL"), "vec_id", "other")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = components(found, "node", "root")
     least_ids = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     names = parts.join(least_ids, "component").select("node", "component_id")
     joined = classes.select("_a", "_b", "rep", "_n", "node").join(links, "node", "left").join(names, "node", "left")

@@ -45,7 +45,7 @@ def test_embeddings_are_not_copied_on_disk(spark, tmp_path, monkeypatch):
     assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 1.5 * x.nbytes
 
 
-@pytest.mark.parametrize("rows, values, n", [(50, 1 << 22, 700), (1, 2 * 12, 270)])  # files cut into groups; over 64 groups, so that units hold several
+@pytest.mark.parametrize("rows, values, n", [(50, 1 << 22, 700), (1, 2 * 12, 270)])  # files cut into groups; over 64 groups, so that units hold several of them
 def test_embeddings_of_many_groups(spark, monkeypatch, rows, values, n):
     monkeypatch.setattr(embeddings, "LEAST_ROWS", rows)
     monkeypatch.setattr(embeddings, "GROUP_VALUES", values)
